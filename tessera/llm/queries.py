@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embedding_join, mixing, ngram_join, sharding, toxicity
+from tessera.llm import decontaminate, embedding_join, lm_score, mixing, ngram_join, sharding, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), length=200, with_bytes=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), shards=40)
 
@@ -37,7 +41,11 @@ def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.cross_entropy_difference(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_sharding, op4_mixing, op5_ngram_join, op7_decontamination, op9_embedding_join)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_sharding, op4_mixing, op5_ngram_join, op7_decontamination, op9_embedding_join, op10_lm_score)
 }
 ORACLE_SQL: dict[str, str] = {}
