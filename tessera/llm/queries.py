@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embedding_join, lm_score, mixing, ngram_join, sharding, suffix_dedup, toxicity
+from tessera.llm import decontaminate, embedding_join, language_id, lm_score, mixing, ngram_join, sharding, suffix_dedup, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_read(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(_read(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.line_tokens(_read(spark, sf_dir, "documents"), rule="majority")
+
+
 def op9_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -46,6 +54,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_sharding, op4_mixing, op5_ngram_join, op7_decontamination, op9_embedding_join, op10_lm_score)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_sharding, op4_mixing, op5_ngram_join, op6_language_id, op7_decontamination, op8_token_counts, op9_embedding_join, op10_lm_score)
 }
 ORACLE_SQL: dict[str, str] = {}
