@@ -10,7 +10,7 @@ BINS = 64
 class BoostedTrees:
     """Complete binary trees of a fixed depth: ``feature`` and ``cut`` by node, ``leaf`` values by tree."""
 
-    def __init__(self, trees: int = 80, depth: int = 3, rate: float = 0.15, min_rows: int = 4, l2: float = 1.0):
+    def __init__(self, trees: int = 150, depth: int = 3, rate: float = 0.15, min_rows: int = 4, l2: float = 1.0):
         self.trees, self.depth, self.rate, self.min_rows, self.l2 = trees, depth, rate, min_rows, l2
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:

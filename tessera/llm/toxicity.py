@@ -27,6 +27,10 @@ from tessera.llm.store import Stored
 
 MAX_ROWS = 20_000
 MAX_TERMS = 600
+#: A term is in this share of the toxic documents at least (and in 3), so that words of a few copied texts stay out.
+MIN_SHARE = 0.02
+#: Log-odds of a strong term.
+STRONG = 4.5
 THRESHOLD = 0.7
 #: Term lengths in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8)
@@ -61,14 +65,19 @@ def terms(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Lexicon:
-    def __init__(self, hashes: list[int]):
-        self.hashes = np.sort(np.array(hashes, np.int64).view(np.uint64))
+    """Terms' hashes; ``strong`` are those hardly ever seen in documents that aren't toxic."""
 
-    def hits(self, words: Words) -> np.ndarray:
-        out = np.zeros(len(words.start), bool)
+    def __init__(self, hashes: list[int], strong: list[int]):
+        self.hashes, self.strong = (np.sort(np.array(h, np.int64).view(np.uint64)) for h in (hashes, strong))
+
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Which words have a term, and which a strong one."""
+        some, strong = np.zeros(len(words.start), bool), np.zeros(len(words.start), bool)
         for _, own, h in terms(words):
-            out[own[_isin(self.hashes, h)]] = True
-        return out
+            found = _isin(self.hashes, h)
+            some[own[found]] = True
+            strong[own[found][_isin(self.strong, h[found])]] = True
+        return some, strong
 
 
 def undisguised(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +92,7 @@ def undisguised(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 NAMES = (
-    "log_words log_bytes hits hits_log hit_density distinct_hits span_hits disguised_hits second_person near_second_person capitals shouting exclaim question commas stops other_signs digits disguised_words long_words high_bytes lines repeats"
+    "log_words log_bytes strong_hits strong_density hits hits_log hit_density distinct_hits span_hits disguised_hits second_person near_second_person capitals shouting exclaim question commas stops other_signs digits disguised_words long_words high_bytes lines repeats"
 ).split()
 
 
@@ -97,7 +106,7 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         per_byte = np.maximum(size, 1)
         total = lambda mask: np.bincount(doc[mask], minlength=n).astype(float)
         sums = lambda mask: np.add.reduceat(np.append(mask, 0).astype(np.int64), starts)[:n].astype(float)
-        hit = lexicon.hits(words)
+        hit, strong = lexicon.hits(words)
         you = _isin(_SECOND, words.hash)
         run = np.concatenate(([0], np.cumsum(you)))
         at = np.arange(len(doc))
@@ -122,8 +131,8 @@ def features(column: pa.Array, lexicon: Lexicon) -> np.ndarray:
         hits = total(hit)
         other = NOT_SPACE[buf] & ~LETTERS[buf] & ~((buf >= 48) & (buf <= 57)) & ~np.isin(buf, (33, 63, 44, 46))
         made = (
-            np.log1p(count), np.log1p(size), hits, np.log1p(hits), hits / per_word, np.bincount(pair[0], minlength=n), most,
-            np.maximum(np.bincount(plain.doc[lexicon.hits(plain)], minlength=n) - hits, 0), total(you) / per_word, total(near) / per_word,
+            np.log1p(count), np.log1p(size), total(strong), total(strong) / per_word, hits, np.log1p(hits), hits / per_word, np.bincount(pair[0], minlength=n), most,
+            np.maximum(np.bincount(plain.doc[lexicon.hits(plain)[0]], minlength=n) - hits, 0), total(you) / per_word, total(near) / per_word,
             sums(UPPER[buf]) / per_byte, total(shout) / per_word, sums(buf == 33) / per_byte, sums(buf == 63) / per_byte, sums(buf == 44) / per_byte, sums(buf == 46) / per_byte,
             sums(other) / per_byte, sums((buf >= 48) & (buf <= 57)) / per_byte, np.bincount(token.doc[odd], minlength=n) / per_word, total(words.end - words.start > 14) / per_word,
             sums(buf >= 0x80) / per_byte, sums(buf == 10) / per_byte, total(same) / per_word,
@@ -176,7 +185,7 @@ def _count_terms(known: np.ndarray | None):
 
 
 def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[Lexicon]:
-    """Lexicons of half 0, half 1 and both: terms in 3 toxic documents or more, by the log-odds of their use, above 2."""
+    """Lexicons of half 0, half 1 and both: terms in enough toxic documents (MIN_SHARE), by the log-odds of their use, above 2."""
     kinds = "term long, kind long, docs long, uses long"
     toxic = rows.filter("toxic = 1").mapInArrow(_count_terms(None), kinds)
     often = toxic.groupBy("term").agg(F.sum("docs").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "term").limit(100_000)
@@ -190,8 +199,9 @@ def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[Lexicon]
         n = [max(1, sum(sizes.get((h, t), 0) for h in halves)) for t in (0, 1)]
         odds = np.log((total("uses", 1) + 0.5) / n[1]) - np.log((total("uses", 0) + 0.5) / n[0])
         docs = np.log((total("docs", 1) + 0.5) / n[1]) - np.log((total("docs", 0) + 0.5) / n[0])
-        good = table[(total("docs", 1) >= 3) & (odds > 2) & (docs > 1.2)].assign(score=odds + 0.5 * np.log(total("docs", 1).clip(1)))
-        out.append(Lexicon(good.sort_values(["score", "term"], ascending=False).term.head(max_terms).tolist()))
+        good = table[(total("docs", 1) >= max(3, MIN_SHARE * n[1])) & (odds > 2) & (docs > 1.2)].assign(score=odds + 0.5 * np.log(total("docs", 1).clip(1)))
+        good = good.sort_values(["score", "term"], ascending=False).head(max_terms)
+        out.append(Lexicon(good.term.tolist(), good.term[odds[good.index] > STRONG].tolist()))
     return out
 
 
