@@ -22,7 +22,7 @@ doc_id is null take part; a component's id is its smallest id that isn't null.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -36,6 +36,8 @@ from tessera.llm.components import connected_components
 from tessera.llm.store import Stored, buckets_for, stored
 
 GROUPS = 64
+#: Groups of the finer bound before two sets are compared.
+FINE = 1024
 LEAF = 32
 FAN = 16
 #: Nodes that one verifying task may hold.
@@ -264,8 +266,30 @@ def may_link(overlap: np.ndarray, low_a: np.ndarray, high_a: np.ndarray, low_b:
     return ((100 + percent) * overlap >= percent * (low_a + low_b)) & (100 * high >= percent * low)
 
 
-def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of pairs (i < j in tree order) of points that the bounds don't rule out."""
+class Groups:
+    """Components of a growing forest: ``label[k]`` is the same for connected nodes."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.members: list[list[int]] = [[k] for k in range(n)]
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = int(self.label[a]), int(self.label[b])
+        if a == b:
+            return False
+        if len(self.members[a]) < len(self.members[b]):
+            a, b = b, a
+        self.label[self.members[b]] = a
+        self.members[a] += self.members[b]
+        self.members[b] = []
+        return True
+
+
+def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, labels: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of pairs of points that the bounds don't rule out and whose labels differ when their batch is made.
+
+    Pairs within a leaf come first, as they are the likeliest links and spare the others.
+    """
     if len(sizes) < 2:
         return
     tree = CountTree(counts, sizes)
@@ -282,36 +306,26 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[
             x, y = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
             keep[k : k + (1 << 14)] = may_link(np.minimum(high[x], high[y]).sum(axis=1, dtype=np.int64), low_n[x], high_n[x], low_n[y], high_n[y], percent)
         a, b = a[keep], b[keep]
-    lanes = np.arange(LEAF)
+    order = np.argsort(a != b, kind="stable")
+    a, b = a[order], b[order]
+    lanes, cut = np.arange(LEAF), np.arange(0, len(sizes), LEAF)
     for k in range(0, len(a), 32):
-        i = (a[k : k + 32, None, None] * LEAF + lanes[:, None] + 0 * lanes).reshape(-1)
-        j = (b[k : k + 32, None, None] * LEAF + lanes + 0 * lanes[:, None]).reshape(-1)
+        label = labels(tree.order)
+        low, high = np.minimum.reduceat(label, cut), np.maximum.reduceat(label, cut)
+        x, y = a[k : k + 32], b[k : k + 32]
+        split = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
+        x, y = x[split], y[split]
+        i = (x[:, None, None] * LEAF + lanes[:, None] + 0 * lanes).reshape(-1)
+        j = (y[:, None, None] * LEAF + lanes + 0 * lanes[:, None]).reshape(-1)
         fits = (i < j) & (j < len(sizes))
         i, j = i[fits], j[fits]
-        fits = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+        fits = (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (label[i] != label[j])
         i, j = i[fits], j[fits]
         near = (100 + percent) * np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64) >= percent * (sizes[i] + sizes[j])
         if near.any():
             yield tree.order[i[near]], tree.order[j[near]]
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _points(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint16).reshape(-1, GROUPS)
     return counts, np.asarray(table["n_grams"])
@@ -328,28 +342,43 @@ def _forest(percent: int):
         first = np.zeros(len(names), np.int64)
         first[at[::-1]] = np.arange(len(node))[::-1]
         cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-        union, out = Union(len(names)), []
+        groups, out = Groups(len(names)), []
         width = np.diff(cut)
         two = cut[:-1][width == 2]
         pairs = np.unique(np.stack([at[two], at[two + 1]], axis=1), axis=0)
         for k in range(0, len(pairs), 1 << 14):
             i, j = first[pairs[k : k + (1 << 14), 0]], first[pairs[k : k + (1 << 14), 1]]
             near = may_link(np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64), sizes[i], sizes[i], sizes[j], sizes[j], percent)
-            out += [(x, y) for x, y in pairs[k : k + (1 << 14)][near].tolist() if union.join(x, y)]
+            out += [(x, y) for x, y in pairs[k : k + (1 << 14)][near].tolist() if groups.join(x, y)]
         for s, e in zip(cut[:-1][width > 2], cut[1:][width > 2], strict=True):
-            for i, j in tree_pairs(counts[s:e], sizes[s:e], percent):
-                out += [(x, y) for x, y in zip(at[s + i].tolist(), at[s + j].tolist(), strict=True) if union.join(x, y)]
+            own = at[s:e]
+            for i, j in tree_pairs(counts[s:e], sizes[s:e], percent, lambda rows, own=own: groups.label[own[rows]]):
+                out += [(x, y) for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True) if groups.join(x, y)]
         return pa.table({"a": pa.array(names[[x for x, _ in out]], pa.int64()), "b": pa.array(names[[y for _, y in out]], pa.int64())})
 
     return run
 
 
+def fine_counts(grams: list[bytes]) -> np.ndarray:
+    """Count vectors over FINE groups, for a tighter bound than the trees'."""
+    out = np.zeros((len(grams), FINE), np.uint16)
+    for k, data in enumerate(grams):
+        out[k] = np.bincount(unpack(data) % np.uint64(FINE), minlength=FINE)
+    return out.astype(np.uint8) if not len(out) or out.max() < 256 else out
+
+
 def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the true links among the given sets."""
-    union, sets = Union(len(sizes)), {}
-    for i, j in tree_pairs(counts, sizes, percent):
+    """A spanning forest of the true links among the given sets: pairs that the trees leave and a finer bound leaves are compared gram by gram."""
+    groups, sets = Groups(len(sizes)), {}
+    fine = fine_counts(grams) if len(grams) > 2 else None
+    for i, j in tree_pairs(counts, sizes, percent, lambda rows: groups.label[rows]):
+        if fine is not None:
+            near = np.concatenate([np.minimum(fine[i[k : k + 4096]], fine[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)])
+            keep = (100 + percent) * near >= percent * (sizes[i] + sizes[j])
+            order = np.argsort(-near[keep] / (sizes[i] + sizes[j])[keep], kind="stable")
+            i, j = i[keep][order], j[keep][order]
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            if union.find(x) == union.find(y):
+            if groups.label[x] == groups.label[y]:
                 continue
             for k in (x, y):
                 if k not in sets:
@@ -358,7 +387,7 @@ def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: i
             at = np.searchsorted(b, a)
             at[at == len(b)] = 0
             both = int((b[at] == a).sum())
-            if 100 * both >= percent * (int(sizes[x]) + int(sizes[y]) - both) and union.join(x, y):
+            if 100 * both >= percent * (int(sizes[x]) + int(sizes[y]) - both) and groups.join(x, y):
                 yield x, y
 
 
