@@ -65,7 +65,7 @@ def anchors(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int,
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     names, cut = np.unique(bucket[order], return_index=True)
-    ends = np.append(cut[1:], len(order))
+    ends = np.append(cut[1:], len(order))[: len(names)]
     arrays = [pa.array(names.astype(np.int32))]
     for values in columns.values():
         values = values[order]
@@ -124,7 +124,7 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     places = np.zeros(len(tid), PLACE)
     places["at"], places["low"], places["high"] = at[order], low[order], high[order]
     names, cut = np.unique(tid[order], return_index=True)
-    ends = np.append(cut[1:], len(tid))
+    ends = np.append(cut[1:], len(tid))[: len(names)]
     return pa.table({"tid": pa.array(names, pa.int64()), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
 
 
@@ -315,7 +315,7 @@ def _merge(length: int, seed: int):
         order = np.lexsort((begin, tid[row]))
         names, cut = np.unique(tid[row][order], return_index=True)
         spans = np.stack([begin[order], end[order]], axis=1).astype(np.int64)
-        stops = np.append(cut[1:], len(order))
+        stops = np.append(cut[1:], len(order))[: len(names)]
         return pa.table({"tid": pa.array(names, pa.int64()), "spans": pa.array([merged(spans[a:b]).tobytes() for a, b in zip(cut, stops, strict=True)], pa.binary())})
 
     return run

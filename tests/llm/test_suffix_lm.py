@@ -37,6 +37,12 @@ def test_no_texts(spark):
     assert suffix_dedup.remove_repeats(docs.limit(0)).collect() == []
 
 
+def test_nothing_repeats(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, "".join(rng.choices("abcdefgh ", k=400))) for k in range(6)], "doc_id long, text string")
+    assert {r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()} == {0}
+
+
 def reference(docs, good, size):
     split = {k: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for k, t in docs}
     words = Counter(w for ws in split.values() for w in ws)
