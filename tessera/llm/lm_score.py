@@ -122,56 +122,78 @@ class Vocabulary:
         return tuple(-np.log((c + MU * self.unigram[k, second]) / (self.counts[k, first] + MU)) for k, c in enumerate((in_target, in_all)))
 
 
-#: kind 0: bigrams of a bucket; 1: counts of heavy bigrams; 2: a task's documents, with their heavy bigrams and first words
+def _bigrams(vocabulary: Vocabulary, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bigram key, row, whether it is a heavy one) of a batch's chunks."""
+    for first, _, buf, starts, _ in chunks(batch.column(2)):
+        found = Words(buf, starts, NOT_SPACE)
+        if not len(found.hash):
+            continue
+        ids = vocabulary.ids(found.hash)
+        row, gram = gram_hashes(found.hash, found.doc, 2)
+        key = (ids[:-1] * vocabulary.size + ids[1:])[found.doc[:-1] == found.doc[1:]]
+        yield key, first + row, np.isin(gram, vocabulary.heavy) if len(vocabulary.heavy) else np.zeros(len(key), bool)
+
+
+def _heavy_counts(vocabulary: Vocabulary):
+    """mapInArrow function over (target, tid, text): a task's counts of the heavy bigrams, in HEAVY_PARTS parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [(np.zeros(0, np.int64),) * 3]
+        for batch in batches:
+            target = np.asarray(batch.column(0)).astype(float)
+            for key, row, heavy in _bigrams(vocabulary, batch):
+                total.append(_sums(key[heavy], np.ones(heavy.sum()), target[row[heavy]]))
+            total = [_sums(*(np.concatenate([t[k] for t in total]) for k in range(3)))]
+        name, n, nt = total[0]
+        if len(name):
+            yield _packed(name % HEAVY_PARTS, {"keys": name.astype(np.uint32), "runs": n, "tids": nt})
+
+    return run
+
+
+#: kind 0: bigrams (keys) of a bucket with the length of each document's run, its text and whether it is in the target;
+#: kind 1: sums that are priced already: losses (keys, targets), bigrams (runs) and texts of a bucket of texts
 TOKENS = "kind int, bucket int, keys binary, runs binary, tids binary, targets binary"
+_NAMES = ["kind", "bucket", "keys", "runs", "tids", "targets"]
 
 
-def _tokens(vocabulary: Vocabulary, buckets: int):
-    def rows_of(kind: int, bucket: np.ndarray, key: np.ndarray, doc: np.ndarray, tid: np.ndarray, target: np.ndarray) -> list[tuple]:
-        order = np.lexsort((doc, bucket))
-        bucket, key, doc = bucket[order], key[order], doc[order]
-        names, cut = np.unique(bucket, return_index=True)
-        out = []
-        for b, s, e in zip(names.tolist(), cut.tolist(), np.append(cut[1:], len(key)).tolist(), strict=True):
-            docs, runs = np.unique(doc[s:e], return_counts=True)
-            out.append((kind, b, key[s:e].astype(np.uint32).tobytes(), runs.astype(np.int32).tobytes(), tid[docs].tobytes(), target[docs].tobytes()))
-        return out
+def _tokens(vocabulary: Vocabulary, buckets: int, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+    """mapInArrow function over (target, tid, text): light bigrams by bucket, heavy ones priced on the spot."""
 
-    def flush(held: list, tids: list, targets: list, serial: int) -> pa.RecordBatch:
+    def flush(held: list, tids: list, targets: list) -> pa.RecordBatch:
         key, doc, heavy = (np.concatenate([h[k] for h in held]) for k in range(3))
         tid, target = np.concatenate(tids), np.concatenate(targets).astype(np.uint8)
-        bucket = (mix(key.astype(_U)) % _U(buckets)).astype(np.int64)
-        light = ~heavy
-        out = rows_of(0, bucket[light], key[light], doc[light], tid, target)
+        out = []
+        light, owner = key[~heavy], doc[~heavy]
+        bucket = (mix(light.astype(_U)) % _U(buckets)).astype(np.int64)
+        order = np.lexsort((owner, bucket))
+        bucket, light, owner = bucket[order], light[order], owner[order]
+        names, cut = np.unique(bucket, return_index=True)
+        for b, s, e in zip(names.tolist(), cut.tolist(), np.append(cut[1:], len(light))[: len(names)].tolist(), strict=True):
+            docs, runs = np.unique(owner[s:e], return_counts=True)
+            out.append((0, b, light[s:e].astype(np.uint32).tobytes(), runs.astype(np.int32).tobytes(), tid[docs].tobytes(), target[docs].tobytes()))
         if heavy.any():
-            name, n, nt = _sums(key[heavy], np.ones(heavy.sum()), target[doc[heavy]].astype(float))
-            for part in range(HEAVY_PARTS):
-                own = name % HEAVY_PARTS == part
-                out.append((1, part, name[own].astype(np.uint32).tobytes(), n[own].tobytes(), nt[own].tobytes(), b""))
-            out += rows_of(2, np.full(heavy.sum(), serial % buckets), key[heavy], doc[heavy], tid, target)
+            order = np.argsort(doc[heavy], kind="stable")
+            docs, runs = np.unique(doc[heavy], return_counts=True)
+            priced = _price(vocabulary, key[heavy][order], runs, tid[docs], target[docs], known, buckets)
+            out += [(1, r["bucket"], r["lt"], r["n"], r["tid"], r["lb"]) for r in priced.to_pylist()]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=["kind", "bucket", "keys", "runs", "tids", "targets"])
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tids, targets, count, docs, serial = [], [], [], 0, 0, 0
+        held, tids, targets, count, docs = [], [], [], 0, 0
         for batch in batches:
             tids.append(np.asarray(batch.column(1)))
             targets.append(np.asarray(batch.column(0)))
-            for first, _, buf, starts, _ in chunks(batch.column(2)):
-                found = Words(buf, starts, NOT_SPACE)
-                ids = vocabulary.ids(found.hash)
-                row, gram = gram_hashes(found.hash, found.doc, 2)
-                whole = found.doc[:-1] == found.doc[1:] if len(ids) else np.zeros(0, bool)
-                key = (ids[:-1] * vocabulary.size + ids[1:])[whole] if len(ids) else ids
-                heavy = np.isin(gram, vocabulary.heavy) if len(vocabulary.heavy) else np.zeros(len(key), bool)
-                held.append((key, docs + first + row, heavy))
+            for key, row, heavy in _bigrams(vocabulary, batch):
+                held.append((key, docs + row, heavy))
                 count += len(key)
             docs += batch.num_rows
             if count > FLUSH:
-                yield flush(held, tids, targets, serial)
-                held, tids, targets, count, docs, serial = [], [], [], 0, 0, serial + 1
+                yield flush(held, tids, targets)
+                held, tids, targets, count, docs = [], [], [], 0, 0
         if count:
-            yield flush(held, tids, targets, serial)
+            yield flush(held, tids, targets)
 
     return run
 
@@ -182,12 +204,9 @@ def _add_heavy(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"key": name, "n": n, "nt": nt})
 
 
-def _price(vocabulary: Vocabulary, table: pa.Table, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, groups: int) -> pa.RecordBatch:
-    """Sums of losses of each run of one document, packed by a hash of the document; ``known`` has the counts, else the keys here are all there are."""
-    (key,) = _columns(table, {"keys": np.uint32})
-    runs, tid, target = _columns(table, {"runs": np.int32, "tids": np.int64, "targets": np.uint8})
-    key = key.astype(np.int64)
-    run = np.repeat(np.arange(len(runs)), runs)
+def _price(vocabulary: Vocabulary, key: np.ndarray, runs: np.ndarray, tid: np.ndarray, target: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, groups: int) -> pa.RecordBatch:
+    """Sums of losses of each run of one document's bigrams, packed by a hash of the text; ``known`` has the counts, else the keys here are all there are."""
+    key, run = key.astype(np.int64), np.repeat(np.arange(len(runs)), runs)
     name, at = np.unique(key, return_inverse=True)
     if known is None:
         in_all = np.bincount(at, minlength=len(name))
@@ -197,7 +216,7 @@ def _price(vocabulary: Vocabulary, table: pa.Table, known: tuple[np.ndarray, np.
         in_target, in_all = known[1][place], known[2][place]
     losses = [np.bincount(run, x[at], len(runs)) for x in vocabulary.losses(name, in_target, in_all)]
     group = (mix(tid.view(_U)) % _U(groups)).astype(np.int64)
-    return _packed(group, {"tid": tid, "n": runs, "lt": losses[0].astype(np.float32), "lb": losses[1].astype(np.float32)})
+    return _packed(group, {"tid": tid, "n": runs.astype(np.int32), "lt": losses[0].astype(np.float32), "lb": losses[1].astype(np.float32)})
 
 
 SUMS = "bucket int, tid binary, n binary, lt binary, lb binary"
@@ -237,28 +256,24 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int
     counts = Stored(counts.groupBy("bucket").applyInArrow(_add_counts(vocabulary), "kind int, hash long, n long, nt long"), "lm-counts")
     words = Vocabulary(counts.df, vocabulary)
     counts.drop()
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    tokens = Stored(marked.mapInArrow(_tokens(words, buckets), TOKENS), "lm-tokens", "kind")
-    light = tokens.df.filter("kind = 0")
     known = None
     if len(words.heavy):
-        summed = tokens.df.filter("kind = 1").groupBy("bucket").applyInArrow(_add_heavy, "key long, n long, nt long").orderBy("key").toArrow()
-        if summed.num_rows:
-            known = tuple(np.asarray(summed[c].combine_chunks()) for c in ("key", "nt", "n"))
+        heavy = marked.mapInArrow(_heavy_counts(words), "bucket int, keys binary, runs binary, tids binary")
+        summed = heavy.groupBy("bucket").applyInArrow(_add_heavy, "key long, n long, nt long").orderBy("key").toArrow()  # fewer than 2 * HEAVY rows
+        known = tuple(np.asarray(summed[c].combine_chunks()) for c in ("key", "nt", "n"))
 
     def price_bucket(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_price(shared.value, table, None, buckets)])
-
-    def price_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _price(shared.value, pa.Table.from_batches([batch]), known, buckets)
-
-    sums = light.groupBy("bucket").applyInArrow(price_bucket, SUMS)
-    if known is not None:
-        sums = sums.unionByName(tokens.df.filter("kind = 2").select("keys", "runs", "tids", "targets").mapInArrow(price_heavy, SUMS))
+        kind = np.asarray(table["kind"])
+        light, done = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
+        parts = [pa.table({"bucket": done["bucket"], "tid": done["tids"], "n": done["runs"], "lt": done["keys"], "lb": done["targets"]})]
+        if light.num_rows:
+            (keys,), (runs, tid, target) = _columns(light, {"keys": np.uint32}), _columns(light, {"runs": np.int32, "tids": np.int64, "targets": np.uint8})
+            parts.append(pa.Table.from_batches([_price(words, keys, runs, tid, target, None, buckets)]))
+        return pa.concat_tables(parts)
+
+    tokens = marked.mapInArrow(_tokens(words, buckets, known), TOKENS)
+    sums = tokens.groupBy("bucket").applyInArrow(price_bucket, SUMS)
     totals = stored(sums.groupBy("bucket").applyInArrow(_total, "tid long, bigrams long, lt double, lb double"), "lm-totals")
-    tokens.drop()
     kind = docs.schema["doc_id"].dataType.simpleString()
     firsts = rows.select("doc_id", "tid", "text").mapInArrow(_first_words(words), f"doc_id {kind}, tid long, n_tokens long, ft double, fb double")
     # equal texts have added to one total: each has its bigrams once in (n_tokens - 1) / bigrams of it

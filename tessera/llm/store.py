@@ -22,11 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 class Stored:
     """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more."""
 
-    def __init__(self, df: DataFrame, name: str, partition_by: str | None = None):
+    def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
+        df.write.option("compression", "zstd").parquet(self.path)
         _leftovers.append(self)
 
     @property
