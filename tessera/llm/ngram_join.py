@@ -42,8 +42,11 @@ LEAF = 32
 FAN = 16
 #: Nodes that one verifying task may hold.
 CLUSTER_CAP = 20_000
-#: Nodes of one tree; the documents of a wider n-gram are dealt over trees of two pieces each.
-TREE_CAP = 8_192
+#: Nodes of one tree of step 1. The documents of an n-gram in more prefixes than that are mostly made of widespread
+#: n-grams (those come last in the order); they become one candidate cluster, and step 3's tree prunes its pairs once.
+TREE_CAP = 256
+#: Nodes of one row that names such a cluster.
+ROW_CAP = 4_096
 #: Bytes kept of each n-gram's hash for verification.
 KEPT = 5
 #: An n-gram goes last in the order if it is in over one document of so many (and in over 50).
@@ -205,7 +208,7 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
 
 
 def _blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket: the distinct node sets (two nodes or more) of its n-grams, wide ones in pieces, two at a time."""
+    """Of one bucket: the distinct node sets (two nodes or more) of its n-grams; wide ones are whole clusters, their first node in each row."""
     grams, nodes = [], []
     for g, o, v in zip(*(table[c].to_pylist() for c in ("grams", "owners", "nodes")), strict=True):
         grams.append(np.frombuffer(g, np.uint64))
@@ -217,17 +220,15 @@ def _blocks(key: tuple, table: pa.Table) -> pa.Table:
     new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
     gram, node = gram[new], node[new]
     cut = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
-    out: dict[int, np.ndarray] = {}
+    out: dict[int, tuple[bool, np.ndarray]] = {}
     many = np.flatnonzero(np.diff(cut) > 1)
     for a, b in zip(cut[many], cut[many + 1], strict=True):
         own = node[a:b]
-        half = TREE_CAP // 2
-        pieces = [own[k : k + half] for k in range(0, len(own), half)] if len(own) > TREE_CAP else [own]
-        for i in range(len(pieces)):
-            for j in range(i, len(pieces)) if len(pieces) == 1 else range(i + 1, len(pieces)):
-                both = own if len(pieces) == 1 else np.concatenate([pieces[i], pieces[j]])
-                out.setdefault(int(mix(both.view(np.uint64) ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).view(np.int64)), both)
-    return pa.table({"block": pa.array(list(out), pa.int64()), "nodes": pa.array([v.tolist() for v in out.values()], pa.list_(pa.int64()))})
+        whole = len(own) > TREE_CAP
+        for k in range(1, len(own), ROW_CAP):
+            part = np.concatenate([own[:1], own[k : k + ROW_CAP]]) if whole else own
+            out.setdefault(int(mix(part.view(np.uint64) ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).view(np.int64)), (whole, part))
+    return pa.table({"block": pa.array(list(out), pa.int64()), "whole": pa.array([w for w, _ in out.values()], pa.bool_()), "nodes": pa.array([v.tolist() for _, v in out.values()], pa.list_(pa.int64()))})
 
 
 class CountTree:
@@ -294,6 +295,9 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, labels: Call
         return
     tree = CountTree(counts, sizes)
     counts, sizes = counts[tree.order], sizes[tree.order]
+    if counts.max() < 256:
+        counts = counts.astype(np.uint8)
+    padded = np.concatenate([counts, np.zeros((-len(counts) % LEAF, counts.shape[1]), counts.dtype)])
     a = b = np.zeros(1, np.int64)
     for depth in range(len(tree.levels) - 1, -1, -1):
         high, low_n, high_n = tree.levels[depth]
@@ -318,10 +322,16 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, labels: Call
         i = (x[:, None, None] * LEAF + lanes[:, None] + 0 * lanes).reshape(-1)
         j = (y[:, None, None] * LEAF + lanes + 0 * lanes[:, None]).reshape(-1)
         fits = (i < j) & (j < len(sizes))
-        i, j = i[fits], j[fits]
-        fits = (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (label[i] != label[j])
-        i, j = i[fits], j[fits]
-        near = (100 + percent) * np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64) >= percent * (sizes[i] + sizes[j])
+        i, j = np.minimum(i, len(sizes) - 1), np.minimum(j, len(sizes) - 1)
+        fits &= (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])) & (label[i] != label[j])
+        if 2 * fits.sum() > len(fits):  # whole leaves against each other need no copies of their rows
+            both = [padded[z[:, None] * LEAF + lanes] for z in (x, y)]
+            overlap = np.minimum(both[0][:, :, None], both[1][:, None]).sum(axis=-1, dtype=np.uint32).reshape(-1)[fits]
+            i, j = i[fits], j[fits]
+        else:
+            i, j = i[fits], j[fits]
+            overlap = np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.uint32)
+        near = (100 + percent) * overlap.astype(np.int64) >= percent * (sizes[i] + sizes[j])
         if near.any():
             yield tree.order[i[near]], tree.order[j[near]]
 
@@ -414,13 +424,14 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     wide = wide_grams(table.df, every.count())
     buckets = buckets_for(docs, 16)
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary")
-    blocks = prefixes.groupBy("bucket").applyInArrow(_blocks, "block long, nodes array<long>")
+    blocks = prefixes.groupBy("bucket").applyInArrow(_blocks, "block long, whole boolean, nodes array<long>")
     blocks = stored(blocks.dropDuplicates(["block"]), "ngram-blocks")
     sets = every.filter("grams is not null")
     points = sets.select("node", "n_grams", "counts").groupBy("node").agg(F.first("n_grams").alias("n_grams"), F.first("counts").alias("counts"))
-    members = blocks.select("block", F.explode("nodes").alias("node"), F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"))
+    stars = blocks.filter("whole").select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b"))
+    members = blocks.filter("not whole").select("block", F.explode("nodes").alias("node"), F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"))
     forest = members.join(points, "node").groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
-    clusters = stored(connected_components(forest, "a", "b").withColumnRenamed("component", "cluster"), "ngram-clusters")
+    clusters = stored(connected_components(forest.union(stars), "a", "b").withColumnRenamed("component", "cluster"), "ngram-clusters")
     clusters = clusters.union(clusters.select(F.col("cluster"), F.col("cluster")).distinct())
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     placed = stored(clusters.join(sizes, "cluster"), "ngram-members")
