@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+# Freed Arrow buffers go back to the system at once; a worker shares its executor's memory with another one.
+pa.set_memory_pool(pa.system_memory_pool())
 _U = np.uint64
 _rng = np.random.RandomState(20240517)
 BYTE_VALUE = _rng.randint(1, 1 << 62, size=256, dtype=np.int64).astype(_U) | _U(1)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytescan import ALNUM, LOWER, Words, chunks
+from tessera.llm.store import text_batches
 
 WINDOW = 10
 #: Item text that one automaton may hold; more goes to further passes.
@@ -213,7 +214,7 @@ def screen_documents(docs: DataFrame, items: DataFrame, text: str = "text", item
     total = source.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     passes = max(1, -(-total // max_item_bytes))
     fields = list(docs.schema.fields)
-    out = docs
+    out = text_batches(docs)
     for k in range(passes):
         part = source if passes == 1 else source.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == k)
         screen = Screen([(r.name, r.words) for r in part.orderBy("name", "words").collect()], window)

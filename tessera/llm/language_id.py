@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import chunks
+from tessera.llm.store import text_batches
 
 STEPS = 96
 HIDDEN = 8
@@ -211,4 +212,4 @@ def predict_languages(docs: DataFrame, model: ByteGru | None) -> DataFrame:
 
 def language_ids(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score."""
-    return predict_languages(docs, train(docs, rows)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict_languages(text_batches(docs), train(docs, rows)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix
-from tessera.llm.store import Stored, buckets_for, stored
+from tessera.llm.store import Stored, buckets_for, stored, text_batches
 from tessera.llm.suffix_dedup import _columns, _packed
 
 VOCABULARY = 1 << 15
 HEAVY = 2048
 MU = 200.0
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 HEAVY_PARTS = 16
 _U = np.uint64
 
@@ -56,7 +56,7 @@ def _word_counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams, held = [], [], 0
         for batch in batches:
-            target = np.asarray(batch.column(0)).astype(float)
+            target = np.asarray(batch.column(0)).astype(np.uint8)
             for first, _, buf, starts, _ in chunks(batch.column(2)):
                 found = Words(buf, starts, NOT_SPACE)
                 row, gram = gram_hashes(found.hash, found.doc, 2)
@@ -248,7 +248,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int
     """Per document: doc_id, n_tokens, target_loss, background_loss (means over tokens), score (their difference)."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
     good = stored(good, "lm-good")
-    rows = docs.select("doc_id", "text").withColumn("tid", F.xxhash64("text"))
+    rows = text_batches(docs).select("doc_id", "text").withColumn("tid", F.xxhash64("text"))
     side = F.broadcast(good) if good.count() * 16 <= 32 << 20 else good
     marked = rows.join(side, rows["doc_id"] == side["good_id"], "left").select(F.col("good_id").isNotNull().cast("int").alias("target"), "tid", "text")
     buckets = buckets_for(docs, 20)

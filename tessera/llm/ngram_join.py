@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 
 from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix, sequence_hash
 from tessera.llm.components import connected_components
-from tessera.llm.store import Stored, buckets_for, stored
+from tessera.llm.store import Stored, buckets_for, stored, text_batches
 
 GROUPS = 64
 #: Groups of the finer bound before two sets are compared.
@@ -419,6 +419,7 @@ def _verify(percent: int, by: str):
 
 def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUSTER_CAP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n_grams of each row; node, component of nodes that are linked)."""
+    docs = text_batches(docs)
     table = Stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_nodes(n), NODE_SCHEMA), "ngram-nodes")
     every = table.df.filter("wide is null")
     wide = wide_grams(table.df, every.count())

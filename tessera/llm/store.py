@@ -19,6 +19,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Rows of one Arrow batch of texts: keeps what the JVM and a Python worker hold of them to a few MB.
+BATCH_ROWS = 1_000
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """The same table; its session then sends texts to Python in batches of at most BATCH_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return docs
+
+
 class Stored:
     """A written table: ``df`` reads it, ``drop()`` deletes it once nothing reads it any more."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import BYTE_VALUE, chunks, mix, powers
-from tessera.llm.store import Stored, buckets_for, stored
+from tessera.llm.store import Stored, buckets_for, stored, text_batches
 
 LENGTH = 200
 SEED_BYTES = 80
@@ -331,7 +331,7 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[DataFrame, DataFrame]:
     """(docs with their text's hash ``tid``; of each hash with anything to remove: copies and packed spans)."""
-    named = docs.withColumn("tid", F.xxhash64("text"))
+    named = text_batches(docs).withColumn("tid", F.xxhash64("text"))
     texts = named.filter(F.octet_length("text") >= length).select("tid", "text")
     buckets = buckets_for(docs, 6)
     found = texts.mapInArrow(_emit_anchors(length, seed, buckets), "bucket int, gram binary, tid binary, at binary, low binary, high binary")

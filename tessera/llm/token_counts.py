@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.store import text_batches
+
 VOCABULARY_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -111,7 +113,7 @@ def line_tokens(docs: DataFrame, path: str = VOCABULARY_FILE, rule: str = "major
         raise ValueError(f"rule is one of {RULES}")
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), text).mapInArrow(_counted(shared, rule, None), f"key {kind}, n_tokens long, n_crossing long, counts array<double>")
+    out = text_batches(docs).select(F.col(key).alias("key"), text).mapInArrow(_counted(shared, rule, None), f"key {kind}, n_tokens long, n_crossing long, counts array<double>")
     return _finish(out, key, rule, "section_tokens")
 
 
@@ -126,5 +128,5 @@ def field_tokens(rows: DataFrame, fields: Sequence[str], key: str, path: str = V
     parts = [F.concat(F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit("" if f == fields[-1] else separator)) for f in fields]
     ends = F.array(*[sum((F.octet_length(p) for p in parts[1 : k + 1]), F.octet_length(parts[0])) for k in range(len(parts))])
     kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(F.col(key).alias("key"), F.concat(*parts).alias("whole"), ends.alias("ends")).mapInArrow(_counted(shared, rule, 2), f"key {kind}, n_tokens long, n_crossing long, counts array<double>")
+    out = text_batches(rows).select(F.col(key).alias("key"), F.concat(*parts).alias("whole"), ends.alias("ends")).mapInArrow(_counted(shared, rule, 2), f"key {kind}, n_tokens long, n_crossing long, counts array<double>")
     return _finish(out, key, rule, "field_tokens")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees, Isotonic
 from tessera.llm.bytescan import LOWER, NOT_SPACE, Words, chunks, hash_bytes
-from tessera.llm.store import Stored
+from tessera.llm.store import Stored, text_batches
 
 MAX_ROWS = 20_000
 MAX_TERMS = 600
@@ -216,7 +216,7 @@ class ToxicityModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel | None:
-    held = Stored(training_rows(docs, labels, max_rows), "toxicity-rows")
+    held = Stored(training_rows(text_batches(docs), labels, max_rows), "toxicity-rows")
     lexicons = learn_lexicons(held.df)
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
