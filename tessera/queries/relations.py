@@ -885,3 +885,67 @@ def dq_contiguous(spark, sf_dir):
 def dq_round_trip(spark, sf_dir):
     e = _entities(spark, sf_dir)
     return quality.round_trip(e, e.groupBy("name").agg(F.min("id").alias("id")), "name", "id").select("id", "resolved")
+
+
+# --- further lookups
+@query(
+    f"""WITH r AS (SELECT c_mktsegment AS line, 'S' || (c_custkey % 40)::VARCHAR AS name, c_custkey AS id, {PLACE.format('c_custkey')} FROM customer),
+ f AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'none' END AS line, 'S' || (s_suppkey % 30)::VARCHAR AS name, s_suppkey AS ord, {PLACE.format('s_suppkey')} FROM supplier),
+ a AS (SELECT line, name, arg_min(lng, ord) AS l1, arg_min(lat, ord) AS a1 FROM f GROUP BY 1, 2),
+ b AS (SELECT name, arg_min(lng, ord) AS l2, arg_min(lat, ord) AS a2, min(lng) AS x1, max(lng) AS x2, min(lat) AS y1, max(lat) AS y2 FROM f GROUP BY 1)
+ SELECT id, coalesce(l1, l2, lng) AS lng, coalesce(a1, a2, lat) AS lat, CASE WHEN l1 IS NOT NULL THEN 'line' WHEN l2 IS NOT NULL THEN 'name' ELSE 'kept' END AS tier,
+ l1 IS NULL AND coalesce(2 * 6371000 * asin(sqrt(pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2))) > 1500, false) AS conflict
+ FROM r LEFT JOIN a USING (line, name) LEFT JOIN b USING (name)"""
+)
+def refresh_places(spark, sf_dir):
+    r = placed(read(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("line"), F.concat(F.lit("S"), (F.col("c_custkey") % 40).cast("string")).alias("name"), "lng", "lat")
+    f = placed(read(spark, sf_dir, "supplier"), "s_suppkey").select(F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("none").alias("line"), F.concat(F.lit("S"), (F.col("s_suppkey") % 30).cast("string")).alias("name"), F.col("s_suppkey").alias("ord"), "lng", "lat")
+    return joins.refresh_tiered(r, f, "line", "name", "ord", 1500.0).select("id", "lng", "lat", "tier", "conflict")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey = c_nationkey THEN c_custkey END AS entity FROM supplier JOIN customer ON s_suppkey = c_custkey")
+def verified_area(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("s_suppkey"), F.col("c_custkey").alias("entity"), "c_nationkey")
+    out = read(spark, sf_dir, "supplier").join(c, "s_suppkey")
+    return resolve.verified_area(out, "entity", "c_nationkey", "s_nationkey").select("s_suppkey", "entity")
+
+
+@query("SELECT a.p_partkey AS key, arg_min(b.p_size, b.p_partkey) AS level FROM part a JOIN part b ON a.p_name = b.p_name AND b.p_size < 6 GROUP BY 1")
+def level_lookup(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    levels = p.filter("p_size < 6").select(F.col("p_name").alias("name"), F.col("p_size").alias("level"), F.col("p_partkey").alias("ord"))
+    return resolve.first_level(p.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name")), "key", levels, "name", "level", "ord")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'none' WHEN p_size * 20 >= 900 THEN 'same' WHEN p_retailprice <= 1000 THEN 'near' ELSE 'far' END AS class FROM part")
+def candidate_class(spark, sf_dir):
+    p = read(spark, sf_dir, "part").withColumn("score", F.when(F.col("p_size") >= 10, F.col("p_size") * 20))
+    return p.select("p_partkey", resolve.classified(p, "score", "p_retailprice", 900, 1000.0).alias("class"))
+
+
+@query("SELECT n_regionkey, unnest(list_sort(list(n_nationkey))) AS member, count(*)::INT AS size FROM nation GROUP BY 1")
+def expand_members(spark, sf_dir):
+    groups = A.value_set(read(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey")
+    return A.expand_members(groups, "values").select("n_regionkey", "member", F.size("values").alias("size"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE regexp_matches((l_linenumber * 3)::VARCHAR, '^\\d+$') AND l_quantity IS NOT NULL")
+def data_rows(spark, sf_dir):
+    """Table rows that start with a number, null cells dropped."""
+    l = read(spark, sf_dir, "lineitem").withColumn("cells", F.create_map(F.lit("no"), (F.col("l_linenumber") * 3).cast("string"), F.lit("gap"), F.lit(None).cast("string")))
+    kept = l.withColumn("cells", filters.drop_null_cells("cells"))
+    return kept.filter(filters.data_row(F.col("cells")["no"]) & (F.size("cells") == 1)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, p_name LIKE 'a%' AND NOT contains(p_name, 'ed') AS gate, len(string_split(p_name, ' ')) - 1 AS separators, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'middle' ELSE 'small' END AS rule FROM part")
+def name_gates(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    gate = p["p_name"].startswith("a") & filters.keyword_gate(F.col("p_name"), ["a"], ["ed"])
+    return p.select("p_partkey", gate.alias("gate"), filters.count_separators(F.col("p_name"), " ").cast("long").alias("separators"), filters.first_rule([(F.col("p_size") > 40, "large"), (F.col("p_size") > 20, "middle")], "small").alias("rule"))
+
+
+@query("SELECT p_partkey, p_brand IN ('Brand#1', 'Brand#2') AND p_name <> 'x' AS listed FROM part")
+def listed_campuses(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    campus = F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit("（东校区）"))).otherwise(F.col("p_brand"))
+    return p.select("p_partkey", filters.listed_or_campus(campus, ["Brand#1", "Brand#2"], ["x"]).alias("listed"))
