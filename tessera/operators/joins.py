@@ -13,7 +13,7 @@ from tessera.operators.common import cols, first_by, small
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Left join to a dimension."""
+    """Left join to a dimension or to figures by key."""
     return facts.join(small(dim), cols(key), "left")
 
 
@@ -134,7 +134,7 @@ def radius_ids(points: DataFrame, sites: DataFrame, radius_m: float, point_id: s
 
 
 def proximity_pairs(points: DataFrame, radius_m: float, same: Sequence[str], point_id: str, exempt: DataFrame | None = None) -> DataFrame:
-    """Pairs i < j of points within a radius that agree in the ``same`` columns, less exempt pairs (i, j)."""
+    """Pairs i < j of points within a radius that agree in the ``same`` columns, less exempt pairs (i, j)."""
     import math
 
     lat_step = radius_m / 111_000.0

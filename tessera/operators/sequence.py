@@ -36,7 +36,7 @@ def attach_to_header(df: DataFrame, partition: str | Sequence[str], order: str,
 
 
 def stitch(df: DataFrame, partition: str | Sequence[str], order: str, starts: Column, text: str, joiner: str = "") -> DataFrame:
-    """The texts of each section joined in order."""
+    """The texts of each section joined in order."""
     s = attach_to_header(df, partition, order, starts, "section")
     rows = s.groupBy(*cols(partition), "section").agg(F.sort_array(F.collect_list(F.struct(order, text))).alias("_t"))
     return rows.select(*cols(partition), "section", F.array_join(F.transform("_t", lambda t: t[text]), joiner).alias(text), F.size("_t").alias("lines"))

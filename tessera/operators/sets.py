@@ -28,7 +28,7 @@ def two_way_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """U4: rows that went (-) and came (+), by how many more copies there are."""
+    """U4, Q14: rows that went (-) and came (+), by how many more copies there are."""
     columns = before.columns
     both = before.withColumn("_d", F.lit(-1)).unionByName(after.withColumn("_d", F.lit(1)))
     delta = both.groupBy(*columns).agg(F.sum("_d").alias("delta")).filter("delta <> 0")

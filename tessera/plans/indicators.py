@@ -30,7 +30,7 @@ def linkage(quota: DataFrame, scores: DataFrame, district: DataFrame, key: Seque
 
 
 def detail(entities: DataFrame, key: str, facts: dict[str, DataFrame], order: Sequence[str]) -> DataFrame:
-    """Each entity with its facts as sorted arrays of structs, one column a fact table."""
+    """Each entity with its facts as sorted arrays of structs, one column a fact table."""
     out = entities
     for name, table in facts.items():
         columns = [c for c in [*order, *table.columns] if c in table.columns and c != key]
