@@ -113,7 +113,7 @@ def _nodes(n: int):
                     kept.append(hashes)
             docs += rows
             sizes.append(rows)
-            if sum(map(len, kept)) > 1 << 22:
+            if sum(map(len, kept)) > 1 << 20:
                 kept = [_often(kept, docs)]
             columns = [batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary()), pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_grams", "counts", "grams", "wide"])
@@ -198,7 +198,7 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
                 grams.append(hashes[:take])
                 nodes.append(node)
                 held += take
-                if held > 1 << 21:
+                if held > 1 << 20:
                     yield flush(grams, nodes)
                     grams, nodes, held = [], [], 0
         if grams:
@@ -423,7 +423,7 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     table = Stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_nodes(n), NODE_SCHEMA), "ngram-nodes")
     every = table.df.filter("wide is null")
     wide = wide_grams(table.df, every.count())
-    buckets = buckets_for(docs, 16)
+    buckets = buckets_for(docs, 8)
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary")
     blocks = prefixes.groupBy("bucket").applyInArrow(_blocks, "block long, whole boolean, nodes array<long>")
     blocks = stored(blocks.dropDuplicates(["block"]), "ngram-blocks")
