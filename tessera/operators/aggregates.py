@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.functions import geo
 from tessera.operators.common import cols, small
 
 
@@ -74,10 +75,10 @@ def latest_and_all(df: DataFrame, key: str, year: str, medals: Sequence[str]) ->
     return marked.groupBy(key).agg(*[F.sum(F.when(now, F.col(m)).otherwise(0)).alias(f"{m}_latest") for m in medals], *[F.sum(m).alias(f"{m}_all") for m in medals])
 
 
-def pooled(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
+def pooled(df: DataFrame, key: str, year: str, value: str, digits: int = 4) -> DataFrame:
     """The largest value of each year, and the mean over all years' values."""
     per = df.groupBy(key, year).agg(F.max(value).alias("top"), F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    return per.withColumn("mean", F.round(F.try_divide(F.sum("_s").over(W.partitionBy(key)), F.sum("_n").over(W.partitionBy(key))), 4)).drop("_s", "_n")
+    return per.withColumn("mean", geo.round_half_up(F.try_divide(F.sum("_s").over(W.partitionBy(key)).cast("double"), F.sum("_n").over(W.partitionBy(key)).cast("double")), digits)).drop("_s", "_n")
 
 
 def preferred(df: DataFrame, key: str, batch: str, batches: Sequence[int]) -> DataFrame:

@@ -53,10 +53,10 @@ def point_view(points: DataFrame, plates: DataFrame, stations: DataFrame, area:
     return firsts.join(near, point_id, "left").join(around, point_id, "left")
 
 
-def high_ranking(scores: DataFrame, key: str, name: str, year: str, batch: str, value: str, batches: Sequence[int]) -> DataFrame:
+def high_ranking(scores: DataFrame, key: str, name: str, year: str, batch: str, value: str, batches: Sequence[int], digits: int = 4) -> DataFrame:
     """Per key the largest value of each year in the preferred batch, and the mean over all years."""
     chosen = aggregates.preferred(scores, key, batch, batches)
-    return aggregates.pooled(chosen, key, year, value).join(small(scores.groupBy(key).agg(F.min(name).alias(name))), key)
+    return aggregates.pooled(chosen, key, year, value, digits).join(small(scores.groupBy(key).agg(F.min(name).alias(name))), key)
 
 
 def middle_ranking(rows: DataFrame, metrics: DataFrame, key: str, order: Sequence[str], keep_without: bool = True, every: DataFrame | None = None) -> DataFrame:

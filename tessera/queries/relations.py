@@ -119,8 +119,8 @@ def medal_rank_latest(spark, sf_dir):
 @query("WITH o AS (SELECT o_custkey, year(o_orderdate) AS y, max(o_totalprice) AS top, sum(o_totalprice::DECIMAL(18,2)) AS s, count(*) AS n FROM orders GROUP BY 1, 2) SELECT o_custkey, y, top, round((sum(s) OVER (PARTITION BY o_custkey))::DOUBLE / (sum(n) OVER (PARTITION BY o_custkey))::DOUBLE, 2) AS mean FROM o")
 def pooled_mean(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast(MONEY).alias("v"))
-    out = A.pooled(o, "o_custkey", "y", "v")
-    return out.select("o_custkey", "y", F.col("top").cast("double").alias("top"), F.round(F.col("mean").cast("double"), 2).alias("mean"))
+    out = A.pooled(o, "o_custkey", "y", "v", 2)
+    return out.select("o_custkey", "y", F.col("top").cast("double").alias("top"), "mean")
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus FROM (SELECT *, min(CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END) OVER (PARTITION BY o_custkey) AS b, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END AS c FROM orders) WHERE b = c")

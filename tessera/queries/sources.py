@@ -131,8 +131,8 @@ def view_points(spark, sf_dir):
 @query("WITH b AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 3 WHEN 'O' THEN 4 END AS batch FROM orders), p AS (SELECT *, min(batch) OVER (PARTITION BY o_custkey) AS best FROM b), y AS (SELECT o_custkey, year(o_orderdate) AS y, max(o_totalprice) AS top, sum(o_totalprice::DECIMAL(18,2)) AS s, count(*) AS n FROM p WHERE batch = best GROUP BY 1, 2) SELECT o_custkey, y, top, round((sum(s) OVER w)::DOUBLE / (sum(n) OVER w)::DOUBLE, 2) AS mean FROM y WINDOW w AS (PARTITION BY o_custkey)")
 def view_high_ranking(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), F.when(F.col("o_orderstatus") == "F", 3).when(F.col("o_orderstatus") == "O", 4).alias("batch"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"), F.col("o_orderpriority").alias("name"))
-    out = indicators.high_ranking(o, "o_custkey", "name", "y", "batch", "v", [3, 4])
-    return out.select("o_custkey", "y", F.col("top").cast("double").alias("top"), F.round(F.col("mean").cast("double"), 2).alias("mean"))
+    out = indicators.high_ranking(o, "o_custkey", "name", "y", "batch", "v", [3, 4], 2)
+    return out.select("o_custkey", "y", F.col("top").cast("double").alias("top"), "mean")
 
 
 @query("WITH a AS (SELECT o_custkey AS k, o_orderkey AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS k, o_totalprice AS m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') SELECT a.k AS cust, a.n AS k, l AS ord, m FROM a LEFT JOIN b ON a.k = b.k AND a.n = b.n UNION ALL SELECT c_custkey, NULL, NULL, NULL FROM customer WHERE c_custkey NOT IN (SELECT k FROM a)")
