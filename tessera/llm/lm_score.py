@@ -1,37 +1,38 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
 The target model counts the documents of labelled good quality, the background model counts all documents; both share
-one vocabulary (the ``VOCABULARY`` most frequent words of the whole corpus, everything else is one unknown word), order
-and smoothing: p(v|u) = (c(uv) + MU p(v)) / (c(u) + MU) over p(v) = (c(v) + 1) / (N + V). A document's score is the mean
-over its tokens of target loss minus background loss, in nats; lower is closer to the target.
+one vocabulary (every word that occurs twice or more in the corpus, the rest is one unknown word), order and smoothing:
+p(v|u) = (c(uv) + MU p(v)) / (c(u) + MU) over p(v) = (c(v) + 1) / (N + V). A document's score is the mean over its
+tokens of target loss minus background loss, in nats; lower is closer to the target.
 
-Unigram tables are bounded by the vocabulary and broadcast. Bigrams aren't bounded: each token's bigram travels as four
-bytes to a bucket by hash, where it is counted in both models and priced, and the sums return by document. A bigram of
-over 1 / ``HEAVY`` of all tokens (there are fewer than HEAVY) would swamp its bucket: such ones are counted in each task,
-summed, and priced from a broadcast table.
+Neither words nor bigrams are bounded, so no task holds either table. The texts become blocks of about ``FLUSH`` tokens,
+each with its distinct words and the tokens as places among them. A block sends each distinct word with its counts once
+to a bucket by hash, the bucket adds up and answers each block with the sums; the same again with the block's distinct
+bigrams. A word or bigram of any frequency is thus one entry a block. Then each block prices its documents alone.
 
-Texts are identified by a 64-bit hash; equal texts get equal scores. Null, empty and wordless texts have no tokens and a
-null score. Without a labelled document the target model is its smoothing alone.
+Words are identified by a 64-bit hash. Null, empty and wordless texts have no tokens and a null score. Without a labelled
+document the target model is its smoothing alone.
 """
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix
-from tessera.llm.store import Stored, buckets_for, stored, text_batches
-from tessera.llm.suffix_dedup import _columns, _packed
+from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes
+from tessera.llm.store import buckets_for, stored, text_batches
 
-VOCABULARY = 1 << 15
+#: No longer used: frequent bigrams need no path of their own. Tests set it.
 HEAVY = 2048
 MU = 200.0
 FLUSH = 1 << 20
-HEAVY_PARTS = 16
 _U = np.uint64
 
 
@@ -41,243 +42,191 @@ def _sums(values: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return names, *(np.bincount(at, w, len(names)).astype(np.int64) for w in weights)
 
 
-def _word_counts(buckets: int):
-    """mapInArrow function over (target, tid, text): counts of words (kind 0) and of bigrams that are frequent in the task (kind 1)."""
+def _squeezed(values: np.ndarray, sorted_runs: bool = False) -> bytes:
+    """Whole numbers as compressed byte planes, in front of them their count; hashes in sorted runs as differences."""
+    if sorted_runs:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
-    def flush(words: list, grams: list) -> pa.RecordBatch:
-        w, wt = (np.concatenate([x[k] for x in words]) for k in (0, 1))
-        g, gt = (np.concatenate([x[k] for x in grams]) for k in (0, 1))
-        word, n, nt = _sums(w, np.ones(len(w)), wt)
-        gram, m, mt = _sums(g, np.ones(len(g)), gt)
-        often = m * 2 * HEAVY >= len(w)
-        word, n, nt, kind = np.append(word, gram[often]), np.append(n, m[often]), np.append(nt, mt[often]), np.append(np.zeros(len(word), np.uint8), np.ones(often.sum(), np.uint8))
-        return _packed(((word >> _U(20)) % _U(buckets)).astype(np.int64), {"hash": word, "n": n.astype(np.int32), "nt": nt.astype(np.int32), "kind": kind})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, grams, held = [], [], 0
-        for batch in batches:
-            target = np.asarray(batch.column(0)).astype(np.uint8)
-            for first, _, buf, starts, _ in chunks(batch.column(2)):
-                found = Words(buf, starts, NOT_SPACE)
-                row, gram = gram_hashes(found.hash, found.doc, 2)
-                words.append((found.hash, target[first + found.doc]))
-                grams.append((gram, target[first + row]))
-                held += len(found.hash)
-            if held > FLUSH:
-                yield flush(words, grams)
-                words, grams, held = [], [], 0
-        if held:
-            yield flush(words, grams)
-
-    return run
+def _expanded(data: bytes, kind: type, sorted_runs: bool = False) -> np.ndarray:
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], size * width, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    values = np.ascontiguousarray(planes.reshape(width, size).T).reshape(-1).view(kind)
+    return np.cumsum(values, dtype=kind) if sorted_runs else values
 
 
-def _add_counts(vocabulary: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        value, n, nt, kind = _columns(table, {"hash": np.uint64, "n": np.int32, "nt": np.int32, "kind": np.uint8})
-        parts = [(k, *_sums(value[kind == k], n[kind == k], nt[kind == k])) for k in (0, 1)]
-        total = [int(parts[0][2].sum()), int(parts[0][3].sum())]
-        keep = np.argsort(-parts[0][2], kind="stable")[:vocabulary]
-        keep = keep[parts[0][2][keep] > 1]
-        words = [v[keep] for v in parts[0][1:]]
-        rows = {
-            "kind": np.concatenate([np.zeros(len(words[0])), np.ones(len(parts[1][1])), [2]]).astype(np.int32),
-            "hash": np.concatenate([words[0].view(np.int64), parts[1][1].view(np.int64), [0]]).astype(np.int64),
-            "n": np.concatenate([words[1], parts[1][2], [total[0]]]).astype(np.int64),
-            "nt": np.concatenate([words[2], parts[1][3], [total[1]]]).astype(np.int64),
-        }
-        return pa.table(rows)
+def _joined(rows: list[bytes], kind: type, sorted_runs: bool = False) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(_expanded(b, kind, sorted_runs) for b in rows)])
 
-    return run
 
+def _blocks(kind: pa.DataType):
+    """mapInArrow function over (target, doc_id, text): blocks of documents; ``words`` are hashes, frequent ones first, ``tokens`` places in them, ``runs`` tokens of each document."""
 
-class Vocabulary:
-    """Word ids from 1 by hash, 0 for all others; unigram counts of both models; the heavy bigrams' hashes."""
-
-    def __init__(self, counts: DataFrame, size: int):
-        top = counts.filter("kind = 0").orderBy(F.desc("n"), "hash").limit(size - 1).select("hash", "n", "nt").toArrow()
-        total = counts.filter("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("nt"), F.lit(0))).first()
-        hashes = np.asarray(top["hash"].combine_chunks()).view(np.uint64) if top.num_rows else np.zeros(0, _U)
-        order = np.argsort(hashes)
-        self.size, self.hashes = size, hashes[order]
-        self.counts = np.zeros((2, len(hashes) + 1))
-        for k, name in enumerate(("nt", "n")):
-            self.counts[k, 1:] = np.asarray(top[name].combine_chunks())[order] if top.num_rows else []
-            self.counts[k, 0] = total[1 - k] - self.counts[k, 1:].sum()
-        self.tokens = np.array([total[1], total[0]], float)
-        self.unigram = (self.counts + 1) / (self.tokens[:, None] + len(hashes) + 1)
-        # a key of over tokens / HEAVY is frequent in tasks that hold over half of its tokens
-        heavy = counts.filter((F.col("kind") == 1) & (F.col("n") * 2 * HEAVY >= int(total[0]))).select("hash").orderBy("hash").toArrow()
-        self.heavy = np.sort(np.asarray(heavy["hash"].combine_chunks()).view(np.uint64)) if heavy.num_rows else np.zeros(0, _U)
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 1, 0)
-
-    def losses(self, key: np.ndarray, in_target: np.ndarray, in_all: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """-log p of bigrams (first word * VOCABULARY + second word) with those counts, by the target and the background model."""
-        first, second = key // self.size, key % self.size
-        return tuple(-np.log((c + MU * self.unigram[k, second]) / (self.counts[k, first] + MU)) for k, c in enumerate((in_target, in_all)))
-
-
-def _bigrams(vocabulary: Vocabulary, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(bigram key, row, whether it is a heavy one) of a batch's chunks."""
-    for first, _, buf, starts, _ in chunks(batch.column(2)):
-        found = Words(buf, starts, NOT_SPACE)
-        if not len(found.hash):
-            continue
-        ids = vocabulary.ids(found.hash)
-        row, gram = gram_hashes(found.hash, found.doc, 2)
-        key = (ids[:-1] * vocabulary.size + ids[1:])[found.doc[:-1] == found.doc[1:]]
-        yield key, first + row, np.isin(gram, vocabulary.heavy) if len(vocabulary.heavy) else np.zeros(len(key), bool)
-
-
-def _heavy_counts(vocabulary: Vocabulary):
-    """mapInArrow function over (target, tid, text): a task's counts of the heavy bigrams, in HEAVY_PARTS parts."""
+    def flush(number: int, held: list[np.ndarray], runs: list[np.ndarray], targets: list[np.ndarray], ids: list[pa.Array]) -> pa.RecordBatch:
+        words, tokens, n = np.unique(np.concatenate([np.zeros(0, _U), *held]), return_inverse=True, return_counts=True)
+        order = np.lexsort((words, -n))
+        place = np.zeros(len(words), np.int32)
+        place[order] = np.arange(len(words), dtype=np.int32)
+        words, tokens = words[order], place[tokens]
+        block = TaskContext.get().partitionId() << 32 | number
+        values = pa.concat_arrays(ids)
+        packed = [_squeezed(words, True), *map(_squeezed, (tokens, np.concatenate(runs).astype(np.int32), np.concatenate(targets).astype(np.uint8)))]
+        arrays = [pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), *(pa.array([p], pa.binary()) for p in packed)]
+        return pa.RecordBatch.from_arrays(arrays, names=["block", "ids", "words", "tokens", "runs", "targets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [(np.zeros(0, np.int64),) * 3]
+        number, held, runs, targets, ids, count = 0, [], [], [], [], 0
         for batch in batches:
-            target = np.asarray(batch.column(0)).astype(float)
-            for key, row, heavy in _bigrams(vocabulary, batch):
-                total.append(_sums(key[heavy], np.ones(heavy.sum()), target[row[heavy]]))
-            total = [_sums(*(np.concatenate([t[k] for t in total]) for k in range(3)))]
-        name, n, nt = total[0]
-        if len(name):
-            yield _packed(name % HEAVY_PARTS, {"keys": name.astype(np.uint32), "runs": n, "tids": nt})
+            target, doc_id = np.asarray(batch.column(0)), batch.column(1).cast(kind)
+            for first, stop, buf, starts, _ in chunks(batch.column(2)):
+                found = Words(buf, starts, NOT_SPACE)
+                held.append(found.hash)
+                runs.append(np.bincount(found.doc, minlength=stop - first))
+                targets.append(target[first:stop])
+                ids.append(doc_id[first:stop])
+                count += len(found.hash)
+                if count > FLUSH:
+                    yield flush(number, held, runs, targets, ids)
+                    number, held, runs, targets, ids, count = number + 1, [], [], [], [], 0
+        if ids:
+            yield flush(number, held, runs, targets, ids)
 
     return run
 
 
-#: kind 0: bigrams (keys) of a bucket with the length of each document's run, its text and whether it is in the target;
-#: kind 1: sums that are priced already: losses (keys, targets), bigrams (runs) and texts of a bucket of texts
-TOKENS = "kind int, bucket int, keys binary, runs binary, tids binary, targets binary"
-_NAMES = ["kind", "bucket", "keys", "runs", "tids", "targets"]
+def _open(row: dict) -> tuple[np.ndarray, ...]:
+    """(words, tokens, document of each token, target of each token) of a block."""
+    words, tokens, runs, targets = (_expanded(row[c], k, c == "words") for c, k in (("words", _U), ("tokens", np.int32), ("runs", np.int32), ("targets", np.uint8)))
+    doc = np.repeat(np.arange(len(runs)), runs)
+    return words, tokens, doc, targets[doc].astype(float)
 
 
-def _tokens(vocabulary: Vocabulary, buckets: int, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
-    """mapInArrow function over (target, tid, text): light bigrams by bucket, heavy ones priced on the spot."""
+def _freed(df: DataFrame) -> DataFrame:
+    """The same table; the shuffles of earlier steps, which nothing refers to any more, leave the disk."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
 
-    def flush(held: list, tids: list, targets: list) -> pa.RecordBatch:
-        key, doc, heavy = (np.concatenate([h[k] for h in held]) for k in range(3))
-        tid, target = np.concatenate(tids), np.concatenate(targets).astype(np.uint8)
-        out = []
-        light, owner = key[~heavy], doc[~heavy]
-        bucket = (mix(light.astype(_U)) % _U(buckets)).astype(np.int64)
-        order = np.lexsort((owner, bucket))
-        bucket, light, owner = bucket[order], light[order], owner[order]
-        names, cut = np.unique(bucket, return_index=True)
-        for b, s, e in zip(names.tolist(), cut.tolist(), np.append(cut[1:], len(light))[: len(names)].tolist(), strict=True):
-            docs, runs = np.unique(owner[s:e], return_counts=True)
-            out.append((0, b, light[s:e].astype(np.uint32).tobytes(), runs.astype(np.int32).tobytes(), tid[docs].tobytes(), target[docs].tobytes()))
-        if heavy.any():
-            order = np.argsort(doc[heavy], kind="stable")
-            docs, runs = np.unique(doc[heavy], return_counts=True)
-            priced = _price(vocabulary, key[heavy][order], runs, tid[docs], target[docs], known, buckets)
-            out += [(1, r["bucket"], r["lt"], r["n"], r["tid"], r["lb"]) for r in priced.to_pylist()]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tids, targets, count, docs = [], [], [], 0, 0
-        for batch in batches:
-            tids.append(np.asarray(batch.column(1)))
-            targets.append(np.asarray(batch.column(0)))
-            for key, row, heavy in _bigrams(vocabulary, batch):
-                held.append((key, docs + row, heavy))
-                count += len(key)
-            docs += batch.num_rows
-            if count > FLUSH:
-                yield flush(held, tids, targets)
-                held, tids, targets, count, docs = [], [], [], 0, 0
-        if count:
-            yield flush(held, tids, targets)
+ASKED = "bucket int, block long, hash binary, n binary, nt binary"
+TOTALS = ["known", "n_all", "n_target", "single_all", "single_target"]
+ANSWERED = "bucket int, block long, n binary, nt binary, " + ", ".join(f"{c} long" for c in TOTALS)
 
-    return run
 
+def _bucket_order(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of hashes and the order of a block's entries in which it asks and is answered."""
+    bucket = ((hashes >> _U(20)) % _U(buckets)).astype(np.int64)
+    return bucket, np.lexsort((hashes, bucket))
 
-def _add_heavy(key: tuple, table: pa.Table) -> pa.Table:
-    name, n, nt = _columns(table, {"keys": np.uint32, "runs": np.int64, "tids": np.int64})
-    name, n, nt = _sums(name.astype(np.int64), n, nt)
-    return pa.table({"key": name, "n": n, "nt": nt})
 
+def _ask(block: int, hashes: np.ndarray, n: np.ndarray, nt: np.ndarray, buckets: int) -> pa.Table:
+    bucket, order = _bucket_order(hashes, buckets)
+    names, cut = np.unique(bucket[order], return_index=True)
+    ends = np.append(cut[1:], len(order))[: len(names)]
+    packed = [[f(v[order][a:b]) for a, b in zip(cut, ends, strict=True)] for v, f in ((hashes, lambda x: _squeezed(x, True)), (n.astype(np.int64), _squeezed), (nt.astype(np.int64), _squeezed))]
+    return pa.table([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), block, np.int64)), *(pa.array(p, pa.binary()) for p in packed)], names=["bucket", "block", "hash", "n", "nt"])
 
-def _price(vocabulary: Vocabulary, key: np.ndarray, runs: np.ndarray, tid: np.ndarray, target: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None, groups: int) -> pa.RecordBatch:
-    """Sums of losses of each run of one document's bigrams, packed by a hash of the text; ``known`` has the counts, else the keys here are all there are."""
-    key, run = key.astype(np.int64), np.repeat(np.arange(len(runs)), runs)
-    name, at = np.unique(key, return_inverse=True)
-    if known is None:
-        in_all = np.bincount(at, minlength=len(name))
-        in_target = np.bincount(at, target[run].astype(float), len(name))
-    else:
-        place = np.searchsorted(known[0], name)
-        in_target, in_all = known[1][place], known[2][place]
-    losses = [np.bincount(run, x[at], len(runs)) for x in vocabulary.losses(name, in_target, in_all)]
-    group = (mix(tid.view(_U)) % _U(groups)).astype(np.int64)
-    return _packed(group, {"tid": tid, "n": runs.astype(np.int32), "lt": losses[0].astype(np.float32), "lb": losses[1].astype(np.float32)})
 
+def _ask_words(buckets: int):
+    """mapInArrow function over blocks: each block's distinct words with their counts, by bucket."""
 
-SUMS = "bucket int, tid binary, n binary, lt binary, lb binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, tokens, _, target = _open(row)
+                yield from _ask(row["block"], words, np.bincount(tokens, minlength=len(words)), np.bincount(tokens, target, len(words)), buckets).to_batches()
 
+    return run
 
-def _total(key: tuple, table: pa.Table) -> pa.Table:
-    tid, n, lt, lb = _columns(table, {"tid": np.int64, "n": np.int32, "lt": np.float32, "lb": np.float32})
-    name, at = np.unique(tid, return_inverse=True)
-    return pa.table({"tid": name, "bigrams": np.bincount(at, n, len(name)).astype(np.int64), "lt": np.bincount(at, lt, len(name)), "lb": np.bincount(at, lb, len(name))})
 
+def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """The sums over all blocks of a bucket's entries, back to each block; one row has the number of those that occur twice or more and the sums of all and of the others."""
+    asked = [_expanded(b, _U, True) for b in table["hash"].to_pylist()]
+    hashes, n, nt = np.concatenate(asked), *(_joined(table[c].to_pylist(), np.int64) for c in ("n", "nt"))
+    names, at = np.unique(hashes, return_inverse=True)
+    n, nt = (np.bincount(at, w, len(names)).astype(np.int64) for w in (n, nt))
+    cut = np.cumsum([0, *map(len, asked)])
+    totals = np.zeros((len(TOTALS), table.num_rows), np.int64)
+    totals[:, 0] = (n > 1).sum(), n.sum(), nt.sum(), n[n == 1].sum(), nt[n == 1].sum()
+    packed = [pa.array([_squeezed(v[at[a:b]]) for a, b in zip(cut, cut[1:])], pa.binary()) for v in (n, nt)]
+    return pa.table([table["bucket"], table["block"], *packed, *map(pa.array, totals)], names=["bucket", "block", "n", "nt", *TOTALS])
+
+
+def _answers(table: pa.Table, hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, nt) of a block's entries from the answers of all buckets."""
+    _, order = _bucket_order(hashes, buckets)
+    table = table.sort_by("bucket")
+    out = []
+    for values in (_joined(table[c].to_pylist(), np.int64) for c in ("n", "nt")):
+        placed = np.zeros(len(hashes), np.int64)
+        placed[order] = values
+        out.append(placed)
+    return tuple(out)
+
+
+def _bigrams(words: np.ndarray, known: np.ndarray, tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a token follows one of its document, hashes of the bigrams that end in those), unknown words being one word."""
+    follows = np.zeros(len(tokens), bool)
+    follows[1:] = doc[1:] == doc[:-1]
+    return follows, gram_hashes(np.where(known, words, _U(0))[tokens], doc, 2)[1]
+
+
+def _ask_bigrams(buckets: int):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        words, tokens, doc, target = _open(left.to_pylist()[0])
+        n, _ = _answers(right, words, buckets)
+        follows, grams = _bigrams(words, n > 1, tokens, doc)
+        return _ask(key[0].as_py(), *_sums(grams, np.ones(len(grams)), target[follows]), buckets)
 
-def _first_words(vocabulary: Vocabulary):
-    """mapInArrow function over (doc_id, tid, text): tokens and the first word's unigram losses of each row."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, losses = np.zeros(batch.num_rows, np.int64), np.zeros((2, batch.num_rows))
-            for first, stop, buf, starts, _ in chunks(batch.column(2)):
-                found = Words(buf, starts, NOT_SPACE)
-                n[first:stop] = np.bincount(found.doc, minlength=stop - first)
-                docs, at = np.unique(found.doc, return_index=True)
-                losses[:, first + docs] = -np.log(vocabulary.unigram[:, vocabulary.ids(found.hash[at])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(losses[0]), pa.array(losses[1])], names=["doc_id", "tid", "n_tokens", "ft", "fb"])
+
+def _price(buckets: int, totals: tuple[int, int], unknown: tuple[int, int], size: int, kind: pa.DataType):
+    """cogroup function: losses of a block's documents. ``totals`` and ``unknown`` are tokens in all and of the unknown word, by the target and the background; ``size`` is the number of known words."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        words, tokens, doc, _ = _open(row)
+        is_word = np.asarray(right["bigram"]) == 0
+        n, nt = _answers(right.filter(pa.array(is_word)), words, buckets)
+        follows, grams = _bigrams(words, n > 1, tokens, doc)
+        names, at = np.unique(grams, return_inverse=True)
+        m, mt = _answers(right.filter(pa.array(~is_word)), names, buckets)
+        runs = _expanded(row["runs"], np.int32)
+        first = np.flatnonzero(follows) - 1
+        out = []
+        for k, (uni, bi) in enumerate(((nt, mt), (n, m))):
+            count = np.where(n > 1, uni, unknown[k]).astype(float)
+            p = ((count + 1) / (totals[k] + size + 1))[tokens]
+            loss = -np.log(p)
+            loss[follows] = -np.log((bi[at] + MU * p[follows]) / (count[tokens[first]] + MU))
+            total = np.bincount(doc, loss, len(runs))
+            out.append(pa.array(total / np.maximum(runs, 1), mask=runs == 0))
+        return pa.table([pa.array(row["ids"], kind), pa.array(runs.astype(np.int64)), *out], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, n_tokens, target_loss, background_loss (means over tokens), score (their difference)."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
     good = stored(good, "lm-good")
-    rows = text_batches(docs).select("doc_id", "text").withColumn("tid", F.xxhash64("text"))
+    rows = text_batches(docs).select("doc_id", "text")
     side = F.broadcast(good) if good.count() * 16 <= 32 << 20 else good
-    marked = rows.join(side, rows["doc_id"] == side["good_id"], "left").select(F.col("good_id").isNotNull().cast("int").alias("target"), "tid", "text")
+    marked = rows.join(side, rows["doc_id"] == side["good_id"], "left").select(F.col("good_id").isNotNull().cast("int").alias("target"), "doc_id", "text")
     buckets = buckets_for(docs, 20)
-    counts = marked.mapInArrow(_word_counts(buckets), "bucket int, hash binary, n binary, nt binary, kind binary")
-    counts = Stored(counts.groupBy("bucket").applyInArrow(_add_counts(vocabulary), "kind int, hash long, n long, nt long"), "lm-counts")
-    words = Vocabulary(counts.df, vocabulary)
-    counts.drop()
-    known = None
-    if len(words.heavy):
-        heavy = marked.mapInArrow(_heavy_counts(words), "bucket int, keys binary, runs binary, tids binary")
-        summed = heavy.groupBy("bucket").applyInArrow(_add_heavy, "key long, n long, nt long").orderBy("key").toArrow()  # fewer than 2 * HEAVY rows
-        known = tuple(np.asarray(summed[c].combine_chunks()) for c in ("key", "nt", "n"))
-
-    def price_bucket(key: tuple, table: pa.Table) -> pa.Table:
-        kind = np.asarray(table["kind"])
-        light, done = table.filter(pa.array(kind == 0)), table.filter(pa.array(kind == 1))
-        parts = [pa.table({"bucket": done["bucket"], "tid": done["tids"], "n": done["runs"], "lt": done["keys"], "lb": done["targets"]})]
-        if light.num_rows:
-            (keys,), (runs, tid, target) = _columns(light, {"keys": np.uint32}), _columns(light, {"runs": np.int32, "tids": np.int64, "targets": np.uint8})
-            parts.append(pa.Table.from_batches([_price(words, keys, runs, tid, target, None, buckets)]))
-        return pa.concat_tables(parts)
-
-    tokens = marked.mapInArrow(_tokens(words, buckets, known), TOKENS)
-    sums = tokens.groupBy("bucket").applyInArrow(price_bucket, SUMS)
-    totals = stored(sums.groupBy("bucket").applyInArrow(_total, "tid long, bigrams long, lt double, lb double"), "lm-totals")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    firsts = rows.select("doc_id", "tid", "text").mapInArrow(_first_words(words), f"doc_id {kind}, tid long, n_tokens long, ft double, fb double")
-    # equal texts have added to one total: each has its bigrams once in (n_tokens - 1) / bigrams of it
-    share = F.when(F.col("bigrams") > 0, (F.col("n_tokens") - 1) / F.col("bigrams")).otherwise(0.0)
-    loss = lambda first, rest: (F.col(first) + F.coalesce(F.col(rest) * share, F.lit(0.0))) / F.when(F.col("n_tokens") > 0, F.col("n_tokens"))
-    out = firsts.join(totals, "tid", "left").select("doc_id", "n_tokens", loss("ft", "lt").alias("target_loss"), loss("fb", "lb").alias("background_loss"))
+    arrow = to_arrow_type(docs.schema["doc_id"].dataType)
+    blocks = stored(marked.mapInArrow(_blocks(arrow), f"block long, ids array<{kind}>, words binary, tokens binary, runs binary, targets binary"), "lm-blocks")
+    asked = blocks.drop("ids").mapInArrow(_ask_words(buckets), ASKED)
+    words = _freed(stored(asked.groupBy("bucket").applyInArrow(_answer, ANSWERED), "lm-words"))
+    size, n_all, n_target, single_all, single_target = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS)).first()
+    words = words.drop(*TOTALS)
+    by_block = blocks.drop("ids").groupBy("block").cogroup(words.groupBy("block"))
+    bigrams = _freed(stored(by_block.applyInArrow(_ask_bigrams(buckets), ASKED).groupBy("bucket").applyInArrow(_answer, ANSWERED).drop(*TOTALS), "lm-bigrams"))
+    answers = words.withColumn("bigram", F.lit(0)).unionByName(bigrams.withColumn("bigram", F.lit(1)))
+    price = _price(buckets, (n_target, n_all), (single_target, single_all), size, arrow)
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(price, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
