@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import geo
 from tessera.operators.common import cols, first_by, small
+from tessera.operators.contains import occurring
 
 
 def lookup(facts: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -217,8 +218,8 @@ def contained_either_way(left: DataFrame, right: DataFrame, area: str, left_name
 
 
 def corpus_hits(names: DataFrame, name: str, corpus: DataFrame, text: str) -> DataFrame:
-    """Whether some text of a corpus holds each name. Distinct names are compared with the texts they occur in."""
-    hit = names.select(name).distinct().join(corpus.select(F.col(text).alias("_text")), F.col("_text").contains(F.col(name)), "left_semi")
+    """Whether some text of a corpus holds each name. The texts are scanned once for all names (see contains.py)."""
+    hit = occurring(names, name, corpus, text)
     return names.join(hit.withColumn("hit", F.lit(1)), name, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 

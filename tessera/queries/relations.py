@@ -469,6 +469,14 @@ def corpus_hits(spark, sf_dir):
     return joins.corpus_hits(names, "name", d, "text")
 
 
+@query()
+def corpus_hits_whole(spark, sf_dir):
+    """All distinct part and customer names and words of part names against all texts; no SQL, which would compare each with each."""
+    p, c = read(spark, sf_dir, "part"), read(spark, sf_dir, "customer")
+    names = p.select(F.col("p_name").alias("name")).union(c.select("c_name")).union(p.select(F.explode(F.split("p_name", " "))))
+    return joins.corpus_hits(names.distinct(), "name", read(spark, sf_dir, "documents"), "text")
+
+
 @query("WITH d AS (SELECT o_orderkey AS ord, [o_custkey] AS ids, o_orderpriority AS name FROM orders WHERE o_orderstatus = 'P'), i AS (SELECT unnest(ids) AS k, min(ord) AS a FROM d GROUP BY 1), n AS (SELECT name, min(ord) AS b FROM d GROUP BY 1) SELECT c_custkey AS k, coalesce(a, b) AS document FROM customer LEFT JOIN i ON c_custkey = k LEFT JOIN n ON name = '1-URGENT'")
 def document_lookup(spark, sf_dir):
     d = read(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("ord"), F.array("o_custkey").alias("ids"), F.col("o_orderpriority").alias("dname"))
