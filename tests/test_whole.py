@@ -26,3 +26,43 @@ def test_corpus_hits_odd_names(spark, sf, monkeypatch):
     got = {r.name: r.hit for r in joins.corpus_hits(df, "name", corpus, "text").collect()}
     assert got == {None: 0} | {n: int(any(n in t for t in texts if t is not None)) for n in names}
     assert sum(got.values()) not in (0, len(got))
+
+
+def test_resolution_whole(spark, sf):
+    """Every row of part is a query."""
+    run = lambda name: QUERIES[f"{name}_whole"](spark, sf).collect()
+    p = spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect()
+    assert len({r.p_size % 30 for r in p}) > 10
+    asked = {(r.p_name, r.p_brand) for r in p}
+    by_name, by_both = {}, {}
+    for r in p:
+        by_name.setdefault(r.p_name, []).append(r)
+        by_both.setdefault((r.p_name, r.p_brand), []).append(r)
+    assert {(r.name, r.area): (r.id, r.tier) for r in run("resolve_two_tier")} == {k: (by_both[k][0].p_partkey, 0) for k in asked}
+
+    def unique(k):
+        tiers = [by_both[k], by_name[k[0]]]
+        return next(((t[0].p_partkey, n) for n, t in enumerate(tiers) if len(t) == 1), (None, None))
+
+    assert {(r.name, r.area): (r.id, r.tier) for r in run("resolve_cascade")} == {k: unique(k) for k in asked}
+    first = min(r.p_type for r in p)
+
+    def pick(k):
+        left = by_name[k[0]]
+        for keep in (lambda r: True, lambda r: r.p_brand == k[1], lambda r: r.p_type == first, lambda r: r.p_partkey % 2 == 0):
+            some = [r for r in left if keep(r)]
+            if len(some) == 1:
+                return some[0].p_partkey
+            left = some or left
+
+    assert {(r.name, r.area): r.id for r in run("pick_unique")} == {k: pick(k) for k in asked}
+    word = lambda r: r.p_name.split(" ")[0]
+    holds = lambda w, r: len(w) >= 4 and len(r.p_name) >= 4 and (w in r.p_name or r.p_name in w)
+    want = {(word(q), q.p_brand): next((r.p_partkey for r in p if r.p_brand == q.p_brand and holds(word(q), r)), None) for q in p}
+    assert {(r.w, r.area): r.id for r in run("contains_fallback")} == want
+    scores = {}
+    for q in p:
+        near = [(-1000 if r.p_name == q.p_name else -800, r.p_partkey) for r in p if r.p_brand == q.p_brand and r is not q and word(r) == word(q)]
+        if near:
+            scores[q.p_partkey] = (min(near)[1], -min(near)[0])
+    assert {r.q: (r.id, r.score) for r in run("score_match")} == scores
