@@ -253,6 +253,12 @@ def brief_lists(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.brief_list(F.split(F.substring("text", 1, 40), " ")).alias("out"))
 
 
+@query()
+def brief_lists_whole(spark, sf_dir):
+    """brief_lists of whole texts, which its SQL cuts to 40 characters."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.brief_list(F.split("text", " ")).alias("out"))
+
+
 @query("SELECT event_id AS id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'none' END AS one, array_to_string(list_filter(list_distinct_in_order, lambda x: x IN ('click', 'view', 'x')), ',') AS many FROM (SELECT *, CASE WHEN event_type = 'x' THEN ['x'] ELSE [event_type, 'x'] END AS list_distinct_in_order FROM events)")
 def url_state(spark, sf_dir):
     state = F.concat(F.col("event_type"), F.lit(",,x,"), F.col("event_type"))

@@ -66,3 +66,15 @@ def test_resolution_whole(spark, sf):
         if near:
             scores[q.p_partkey] = (min(near)[1], -min(near)[0])
     assert {r.q: (r.id, r.score) for r in run("score_match")} == scores
+
+
+def test_brief_lists_whole(spark, sf):
+    def brief(text):
+        words = text.split(" ")
+        return "、".join(words[:4]) + ("等" if len(words) > 4 else "")
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = {r.doc_id: "未查到" if r.text is None else brief(r.text) for r in docs}
+    cut = {r.doc_id: "未查到" if r.text is None else brief(r.text[:40]) for r in docs}
+    assert want != cut
+    assert {r.id: r.out for r in QUERIES["brief_lists_whole"](spark, sf).collect()} == want
