@@ -79,7 +79,9 @@ def set_node(grams: np.ndarray) -> int:
 
 
 def group_counts(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams >> np.uint64(48)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.uint16)
+    """Two bytes a group, or four where a count needs them."""
+    counts = np.bincount((grams >> np.uint64(48)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
 
 
 def pack(grams: np.ndarray) -> bytes:
@@ -337,8 +339,11 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, labels: Call
 
 
 def _points(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint16).reshape(-1, GROUPS)
-    return counts, np.asarray(table["n_grams"])
+    rows = table["counts"].to_pylist()
+    if any(len(r) > 2 * GROUPS for r in rows):
+        rows = [np.frombuffer(r, np.uint16 if len(r) == 2 * GROUPS else np.uint32).astype(np.uint32).tobytes() for r in rows]
+        return np.frombuffer(b"".join(rows), np.uint32).reshape(-1, GROUPS), np.asarray(table["n_grams"])
+    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS), np.asarray(table["n_grams"])
 
 
 def _forest(percent: int):
@@ -373,7 +378,10 @@ def fine_counts(grams: list[bytes]) -> np.ndarray:
     """Count vectors over FINE groups, for a tighter bound than the trees'."""
     out = np.zeros((len(grams), FINE), np.uint16)
     for k, data in enumerate(grams):
-        out[k] = np.bincount(unpack(data) % np.uint64(FINE), minlength=FINE)
+        counts = np.bincount((unpack(data) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+        if counts.max() >= 1 << 16:
+            out = out.astype(np.uint32, copy=False)
+        out[k] = counts
     return out.astype(np.uint8) if not len(out) or out.max() < 256 else out
 
 

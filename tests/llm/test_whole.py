@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import lm_score
+from tessera.llm import lm_score, ngram_join
 from tests.llm.test_suffix_lm import reference
 
 
@@ -26,3 +28,16 @@ def test_lm_all_words(spark, monkeypatch, flush):
             assert got[k].score is None
         else:
             assert got[k].target_loss == pytest.approx(t, rel=1e-9) and got[k].background_loss == pytest.approx(b, rel=1e-9)
+
+
+def test_counts_of_very_long_texts(monkeypatch):
+    """Near copies with 70,000 n-grams a group are linked, also among short texts."""
+    monkeypatch.setattr(ngram_join, "FINE", 32)
+    grams = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 64 * 70_000, np.uint64) * np.uint64(2))
+    sets = [grams, grams[100:], grams[:50], grams[:49]]
+    assert [int(ngram_join.group_counts(g).sum()) for g in sets] == [len(g) for g in sets]
+    table = pa.table({"counts": [ngram_join.group_counts(g).tobytes() for g in sets], "n_grams": [len(g) for g in sets]})
+    packed = [ngram_join.pack(g) for g in sets]
+    assert (ngram_join.fine_counts(packed).sum(axis=1) == [len(g) for g in sets]).all()
+    links = {tuple(sorted(map(int, p))) for p in ngram_join.verify(*ngram_join._points(table), packed, 90)}
+    assert links == {(0, 1), (2, 3)}
