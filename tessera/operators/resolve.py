@@ -66,7 +66,7 @@ def converge(candidates: DataFrame, query: str, entity: str, in_area: Column, in
 
 
 def containment(queries: DataFrame, query: str, entities: DataFrame, name: str, entity: str, order: str, least: int = 4, area: str | None = None) -> DataFrame:
-    """Of each query the first entity one of whose names holds the other; both have ``least`` characters at least."""
+    """Of each query the first entity one of whose names holds the other; both have ``least`` characters at least."""
     e = entities.filter(F.length(name) >= least).select(*([area] if area else []), F.col(name).alias("_n"), F.col(entity).alias("_e"), F.col(order).alias("_o"))
     q = queries.filter(F.length(query) >= least)
     hit = F.col(query).contains(F.col("_n")) | F.col("_n").contains(F.col(query))
@@ -80,6 +80,21 @@ def exploded_prefixes(df: DataFrame, name: str, least: int = 1, out: str = "pref
     return df.withColumn(out, F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length(name), F.lit(least))), lambda n: F.substring(F.col(name), F.lit(1), n))))
 
 
+def group_match(queries: DataFrame, query: str, entities: DataFrame, name: str, entity: str, order: str, least: int = 4) -> DataFrame:
+    """Of each query the first entity of an equal name, else the first of whose name and the query one begins or ends with the other; then both have ``least`` characters at least."""
+    q = queries.select(F.col(query).alias("_q")).distinct()
+    e = entities.select(F.col(name).alias("_n"), F.col(entity).alias("_e"), F.col(order).alias("_o"))
+    found = q.join(e, F.col("_q") == F.col("_n")).select("_q", F.struct(F.lit(0).alias("tier"), "_o", "_e").alias("c"))
+    long_q, long_e = q.filter(F.length("_q") >= least), e.filter(F.length("_n") >= least)
+    for turned in (lambda c: F.col(c), F.reverse):
+        a, b = long_q.withColumn("_k", turned("_q")), long_e.withColumn("_k", turned("_n"))
+        for left, right in ((exploded_prefixes(a, "_k", least), b.withColumn("prefix", F.col("_k"))), (a.withColumn("prefix", F.col("_k")), exploded_prefixes(b, "_k", least))):
+            hit = left.drop("_k").join(right.drop("_k"), "prefix")
+            found = found.unionByName(hit.select("_q", F.struct(F.lit(1).alias("tier"), "_o", "_e").alias("c")))
+    best = found.groupBy("_q").agg(F.min("c").alias("c")).select(F.col("_q").alias(query), F.col("c._e").alias(entity))
+    return queries.join(best, query, "left")
+
+
 def family(keys: DataFrame, key: str, entities: DataFrame, name: str, aliases: str, entity: str, order: str, endings: Sequence[str] = ("校区", "分校", "教学点", "分教点", "分部")) -> DataFrame:
     """All entities of a legal key: by the key of a name or an alias, or with a core name that starts with the key and ends as a campus does."""
     own = entities.select(N.legal_key(F.col(name)).alias(key), entity, order)

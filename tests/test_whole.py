@@ -1,6 +1,6 @@
 """Queries over whole tables, against brute force."""
 
-from tessera.operators import contains, joins
+from tessera.operators import contains, joins, resolve
 from tessera.queries import QUERIES
 
 
@@ -78,3 +78,11 @@ def test_brief_lists_whole(spark, sf):
     cut = {r.doc_id: "未查到" if r.text is None else brief(r.text[:40]) for r in docs}
     assert want != cut
     assert {r.id: r.out for r in QUERIES["brief_lists_whole"](spark, sf).collect()} == want
+
+
+def test_group_match(spark):
+    """An equal core wins over earlier rows; then prefix or suffix either way, not any substring, from four characters."""
+    e = spark.createDataFrame([(1, "第一中学东校"), (2, "第一中学"), (3, "广州市越秀"), (4, "甲乙丙丁戊己"), (5, "中学")], "id int, core string")
+    q = spark.createDataFrame([("第一中学",), ("越秀区第一中学",), ("广州市越秀区",), ("乙丙丁戊",), ("丙丁戊己",), ("甲乙丙丁",), ("乙丙",), ("中学",), (None,)], "q string")
+    got = {r.q: r.id for r in resolve.group_match(q, "q", e, "core", "id", "id").collect()}
+    assert got == {"第一中学": 2, "越秀区第一中学": 2, "广州市越秀区": 3, "乙丙丁戊": None, "丙丁戊己": 4, "甲乙丙丁": 4, "乙丙": None, "中学": 5, None: None}
