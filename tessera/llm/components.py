@@ -16,7 +16,7 @@ from tessera.llm.store import Stored
 LOCAL_LINKS = 1 << 21
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def star_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same components as stars: (node, smallest node of its component) of all nodes but the smallest ones."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     a, b = at[: len(a)], at[len(a) :]
@@ -42,10 +42,10 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(tuple(np.asarray(batch.column(k)) for k in (0, 1)))
         count += batch.num_rows
         if count > LOCAL_LINKS:
-            held = [_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))]
+            held = [star_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))]
             count = 0
     if held:
-        u, v = _forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+        u, v = star_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
         for k in range(0, len(u), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], names=["u", "v"])
 

@@ -3,36 +3,55 @@
 Vectors of length one with cosine c lie at squared distance 2 - 2c. A fixed random rotation spreads that distance evenly
 and the rotated vector is cut into blocks of about ``BLOCK`` coordinates. If the whole squared distance is within the
 budget, some block's is within its share, so a range join per block finds every pair: a grid over a block's leading
-coordinates, of cells as wide as the ball, takes each vector to its own cell and to the cells that its ball touches,
-and inside a cell the block distance is compared. The union of all blocks' candidates is verified by cosine in double precision.
+coordinates, of cells as wide as the ball, takes each vector to its own cell and to the cells that its ball touches.
+Each entry of a cell carries the rotated vector at a byte a coordinate, whose distances are off by a known error at most;
+inside a cell, pairs that may be within the whole budget become candidates. Three steps:
+
+1. Cells report candidates as a spanning forest, never as all pairs. A cell with over ``CELL_CAP`` entries becomes one
+   candidate star, so a bucket of cells is read as a stream that holds a bounded part of each cell.
+2. The forest's components (distributed, see components.py) are the candidate clusters; their union over all blocks
+   holds every pair within the budget.
+3. Each cluster's vectors meet and all of their pairs are verified by cosine in double precision, in pieces of
+   ``PIECE`` vectors, two pieces a task. Tasks report links of each vector as a number, and a spanning forest of links.
 
 Equal vectors of one label fold into one node with a count, so copies are never paired. Vectors that are null, empty,
 zero, or hold null or non-finite components, and those without a label, link with nothing. Vectors of different length
-are never linked. Rows whose vec_id is null take part; a component's id is its smallest id that isn't null.
+are never linked. Rows whose vec_id is null take part; a component's id is its smallest id that isn't null. Rows that
+repeat are copies; a cosine that equals the threshold links. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import mix
-from tessera.llm.components import connected_components
-from tessera.llm.store import stored
+from tessera.llm.components import connected_components, star_forest
+from tessera.llm.store import dealt, stored
 
 BLOCK = 8
-#: Leading coordinates of a block that the grid cuts.
+#: Leading coordinates of a block that the grid cuts at least; more where a label has many vectors (see grid_width).
 GRID = 3
+#: Vectors of one label in a cell that the grid aims at.
+CELL_ROWS = 2_000
+#: A cell with more entries is taken as a whole to be a candidate cluster.
+CELL_CAP = 32_768
+#: Vectors of a cluster that meet in one task are at most two pieces.
+PIECE = 2_048
 SEED = 11
 #: Room for rounding in single precision; candidates are verified in double.
 SLACK = 1e-5
 BUCKET_ROWS = 4_000
+#: Steps of a sketch's coordinate.
+STEPS = 127
 
 
 @cache
@@ -45,8 +64,14 @@ def block_edges(dim: int) -> np.ndarray:
     return np.linspace(0, dim, max(1, dim // BLOCK) + 1).astype(int)
 
 
-def _cells(threshold: float, buckets: int):
-    """mapInArrow function over (node, label, vector): per block the home cell and the cells in reach, packed by bucket."""
+def grid_width(vectors: int) -> int:
+    """Coordinates of a block that the grid cuts: each one more leaves about 0.4 of a cell's vectors and costs half as many entries again."""
+    more = math.log(max(1.0, vectors * 0.1 / CELL_ROWS)) / math.log(2.5)
+    return min(BLOCK, GRID + math.ceil(more))
+
+
+def _cells(threshold: float, buckets: int, grid: int):
+    """mapInArrow function over (node, label, vector): per block the home cell and the cells in reach, with the vector's sketch, packed by bucket and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,32 +83,30 @@ def _cells(threshold: float, buckets: int):
                 x = values[begin[rows][:, None] + np.arange(dim)]
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 x = x @ rotation(int(dim))
+                sketch = np.rint(x * STEPS).astype(np.int8)
                 edges = block_edges(int(dim))
                 share = np.diff(edges) / dim
                 found: list[tuple[np.ndarray, ...]] = []
                 for j in range(len(share)):
-                    part = x[:, edges[j] : edges[j + 1]].astype(np.float32)
                     reach = np.sqrt((2 - 2 * threshold) * share[j]) + SLACK
-                    lead = part[:, : min(GRID, part.shape[1])].astype(np.float64)
-                    wide = np.zeros((len(part), BLOCK * 2), np.float32)
-                    wide[:, : part.shape[1]] = part
+                    lead = x[:, edges[j] : edges[j + 1]][:, :grid]
                     base = mix(label[rows].view(np.uint64) * np.uint64(1_000_003) + np.uint64(j * 4096 + int(dim)))
                     low, high = np.floor((lead - reach) / (2 * reach)).astype(np.int64), np.floor((lead + reach) / (2 * reach)).astype(np.int64)
-                    found.append((_cell(base, np.floor(lead / (2 * reach)).astype(np.int64)), np.zeros(len(rows), np.uint8), rows, wide))
+                    found.append((_cell(base, np.floor(lead / (2 * reach)).astype(np.int64)), np.zeros(len(rows), np.uint8), np.arange(len(rows))))
                     for corner in product((0, 1), repeat=lead.shape[1]):
                         take = np.array(corner, bool)
                         fresh = ~((low == high) & take).any(axis=1)
-                        found.append((_cell(base, np.where(take, high, low))[fresh], np.ones(fresh.sum(), np.uint8), rows[fresh], wide[fresh]))
-                key, role, row, wide = (np.concatenate([f[k] for f in found]) for k in range(4))
+                        found.append((_cell(base, np.where(take, high, low))[fresh], np.ones(fresh.sum(), np.uint8), np.flatnonzero(fresh)))
+                key, role, row = (np.concatenate([f[k] for f in found]) for k in range(3))
                 bucket = (key % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 out = []
                 for b in np.flatnonzero(np.diff(cut)):
                     p = order[cut[b] : cut[b + 1]]
-                    out.append((int(b), key[p].tobytes(), role[p].tobytes(), node[row[p]].tobytes(), wide[p, :BLOCK].tobytes() if edges[1] <= BLOCK else wide[p].tobytes(), float(((2 - 2 * threshold) * share.max()))))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=["bucket", "keys", "roles", "nodes", "parts", "budget"])
+                    out.append((int(b), int(dim), key[p].tobytes(), role[p].tobytes(), node[rows[row[p]]].tobytes(), sketch[row[p]].tobytes()))
+                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kinds[k]) for k in range(6)], names=["bucket", "dim", "keys", "roles", "nodes", "sketches"])
 
     return run
 
@@ -95,33 +118,124 @@ def _cell(base: np.ndarray, cell: np.ndarray) -> np.ndarray:
     return h
 
 
-def _range_join(key: tuple, table: pa.Table) -> pa.Table:
-    """Candidate pairs (smaller node first) of one bucket of cells: home vectors against those that reach into the cell."""
-    keys, roles, nodes, parts = [], [], [], []
-    for k, r, v, p in zip(*(table[c].to_pylist() for c in ("keys", "roles", "nodes", "parts")), strict=True):
-        keys.append(np.frombuffer(k, np.uint64))
-        roles.append(np.frombuffer(r, np.uint8))
-        nodes.append(np.frombuffer(v, np.int64))
-        flat = np.frombuffer(p, np.float32).reshape(len(keys[-1]), -1)
-        parts.append(np.pad(flat, ((0, 0), (0, 2 * BLOCK - flat.shape[1]))))
-    cell, role, node, part = map(np.concatenate, (keys, roles, nodes, parts))
-    budget = max(table["budget"].to_pylist()) + 2 * SLACK
-    order = np.lexsort((role, cell))
-    cell, role, node, part = cell[order], role[order], node[order], part[order]
-    cut = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-    pairs = []
-    for s, e in zip(cut[:-1], cut[1:], strict=True):
-        middle = s + int(np.searchsorted(role[s:e], 1))
-        reaching = part[middle:e]
-        norm = (reaching**2).sum(axis=1)
-        for k in range(s, middle, 512):
-            home = part[k : min(k + 512, middle)]
-            gap = (home**2).sum(axis=1)[:, None] + norm - 2 * home @ reaching.T
+class _Cell:
+    """What a task holds of one cell: its own vectors and those that reach into it."""
+
+    def __init__(self, dim: int, cap: int):
+        self.cap = cap
+        self.nodes: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.sketches: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.held, self.dim, self.star = 0, dim, -1
+
+    def add(self, role: int, nodes: np.ndarray, sketches: np.ndarray) -> np.ndarray | None:
+        """Null, or once the cell has over ``cap`` entries and is a star, nodes that are all linked to ``star``."""
+        if self.star < 0:
+            self.nodes[role].append(nodes)
+            self.sketches[role].append(sketches)
+            self.held += len(nodes)
+            if self.held <= self.cap:
+                return None
+            nodes = np.concatenate([*self.nodes[0], *self.nodes[1]])
+            self.star = int(nodes.min())
+            self.nodes, self.sketches = ([], []), ([], [])
+        return nodes
+
+    def pairs(self, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Candidates: own vectors and reaching ones whose sketches are near."""
+        if self.star >= 0 or not self.nodes[0] or not self.nodes[1]:
+            return
+        home, near = (np.concatenate(n) for n in self.nodes)
+        x, y = (np.concatenate(k).astype(np.float32) for k in self.sketches)
+        budget = (reach * STEPS) ** 2
+        size = (y**2).sum(axis=1)
+        for k in range(0, len(home), 512):
+            part = x[k : k + 512]
+            gap = (part**2).sum(axis=1)[:, None] + size - 2 * part @ y.T
             i, j = np.nonzero(gap <= budget)
-            a, b = node[k + i], node[middle + j]
-            pairs.append(np.stack([a[a < b], b[a < b]]))
-    both = np.unique(np.concatenate([*pairs, np.zeros((2, 0), np.int64)], axis=1), axis=1)
-    return pa.table({"a": pa.array(both[0]), "b": pa.array(both[1])})
+            other = home[k + i] != near[j]
+            yield home[k + i[other]], near[j[other]]
+
+
+def _range_join(threshold: float, cap: int):
+    """applyInArrow function over a bucket of cells: candidates as stars (a, b). Rows are read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[int, _Cell] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def keep(a: np.ndarray, b: np.ndarray) -> None:
+            nonlocal held, count
+            held.append((a, b))
+            count += len(a)
+            if count > 1 << 20:
+                held = [star_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))]
+                count = len(held[0][0])
+
+        for batch in batches:
+            for dim, k, r, v, p in zip(*(batch.column(c).to_pylist() for c in ("dim", "keys", "roles", "nodes", "sketches")), strict=True):
+                key, role, node = np.frombuffer(k, np.uint64), np.frombuffer(r, np.uint8), np.frombuffer(v, np.int64)
+                sketch = np.frombuffer(p, np.int8).reshape(len(key), dim)
+                order = np.lexsort((role, key))
+                new = np.flatnonzero(np.append(True, (key[order][1:] != key[order][:-1]) | (role[order][1:] != role[order][:-1])))
+                for s, e in zip(new.tolist(), np.append(new[1:], len(order)).tolist(), strict=True):
+                    own = order[s:e]
+                    cell = cells.setdefault(int(key[own[0]]), _Cell(dim, cap))
+                    members = cell.add(int(role[own[0]]), node[own], sketch[own])
+                    if members is not None:
+                        keep(members, np.full(len(members), cell.star))
+        for cell in cells.values():
+            # each sketch is off by half a step a coordinate at most
+            for a, b in cell.pairs(math.sqrt(2 - 2 * threshold) + math.sqrt(cell.dim) / STEPS + SLACK):
+                keep(a, b)
+        if held:
+            a, b = star_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _verify(threshold: float):
+    """applyInArrow function over two pieces of a cluster, or one, or a bucket of whole clusters: of each node how many rows it is linked to, and stars of links."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.append_column("size", pa.compute.list_value_length(table["vector"]))
+        table = table.sort_by([("cluster", "ascending"), ("piece", "ascending"), ("size", "ascending"), ("node", "ascending")])
+        cluster, piece, node, copies = (np.asarray(table[c]) for c in ("cluster", "piece", "node", "copies"))
+        sizes = np.asarray(table["size"])
+        values = np.asarray(table["vector"].combine_chunks().flatten(), np.float64)
+        begin = np.concatenate(([0], np.cumsum(sizes)))
+        out_n, stars = np.zeros(len(node), np.int64), []
+        edge = np.flatnonzero(np.concatenate(([True], (cluster[1:] != cluster[:-1]) | (sizes[1:] != sizes[:-1]) | (piece[1:] != piece[:-1]))))
+        parts = list(zip(edge.tolist(), np.append(edge[1:], len(node)).tolist(), strict=True))
+        two = table["two_pieces"][0].as_py()
+        for k, (s, e) in enumerate(parts):
+            dim = int(sizes[s])
+            # one piece meets itself; of two, each meets the other; parts of one cluster and piece differ in length only
+            others = [p for p in parts[k + 1 :] if sizes[p[0]] == dim and piece[p[0]] != piece[s]] if two else [(s, e)]
+            x = values[begin[s] : begin[e]].reshape(-1, dim)
+            norm = np.sqrt((x**2).sum(axis=1))
+            for t, f in others:
+                y = x if t == s else values[begin[t] : begin[f]].reshape(-1, dim)
+                other = norm if t == s else np.sqrt((y**2).sum(axis=1))
+                near = (x @ y.T) / (norm[:, None] * other) >= threshold
+                if t == s:
+                    np.fill_diagonal(near, False)
+                out_n[s:e] += near @ copies[t:f]
+                if t != s:
+                    out_n[t:f] += near.T @ copies[s:e]
+                i, j = np.nonzero(near)
+                if len(i):
+                    stars.append(star_forest(node[s + i], node[t + j]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in stars)]) for k in (0, 1))
+        linked = out_n > 0
+        none = lambda n: pa.nulls(n, pa.int64())
+        return pa.concat_tables([
+            pa.table([pa.array(node[linked]), pa.array(out_n[linked]), none(int(linked.sum())), none(int(linked.sum()))], names=["node", "n", "a", "b"]),
+            pa.table([none(len(a)), none(len(a)), pa.array(a), pa.array(b)], names=["node", "n", "a", "b"]),
+        ])
+
+    return run
 
 
 def usable(vector: str) -> Column:
@@ -130,13 +244,8 @@ def usable(vector: str) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, cell_cap: int = CELL_CAP, piece: int = PIECE) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept. The caps change who compares which vectors, never the result."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("usable", usable("vector") & F.col("label").isNotNull())
     rows = rows.withColumn("node", F.when(F.col("usable"), F.xxhash64("label", "vector")))
@@ -144,15 +253,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     rows = stored(rows, "vectors")
     nodes = rows.filter("usable").groupBy("node").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("copies"))
     nodes = stored(nodes, "vector-nodes")
+    count, largest = nodes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     floor = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(floor, nodes.count() // BUCKET_ROWS)
-    cells = nodes.select("node", "label", "vector").mapInArrow(_cells(threshold, buckets), "bucket int, keys binary, roles binary, nodes binary, parts binary, budget double")
-    pairs = stored(cells.groupBy("bucket").applyInArrow(_range_join, "a long, b long").distinct(), "vector-pairs")
-    left = nodes.select(F.col("node").alias("a"), F.col("vector").alias("va"), F.col("copies").alias("ca"))
-    right = nodes.select(F.col("node").alias("b"), F.col("vector").alias("vb"), F.col("copies").alias("cb"))
-    links = stored(pairs.join(left, "a").join(right, "b").filter(cosine("va", "vb") >= threshold).select("a", "b", "ca", "cb"), "vector-links")
-    degree = links.select(F.col("a").alias("node"), F.col("cb").alias("n")).union(links.select("b", "ca")).groupBy("node").agg(F.sum("n").alias("n"))
-    linked = connected_components(links, "a", "b")
+    buckets = max(floor, count // BUCKET_ROWS)
+    cells = nodes.select("node", "label", "vector").mapInArrow(_cells(threshold, buckets, grid_width(largest)), "bucket int, dim int, keys binary, roles binary, nodes binary, sketches binary")
+    near = dealt(cells, buckets).groupBy("bucket").applyInArrow(_range_join(threshold, cell_cap), "a long, b long")
+    clusters = connected_components(near, "a", "b").withColumnRenamed("component", "cluster")
+    clusters = clusters.union(clusters.select("cluster", "cluster").distinct())
+    members = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
+    placed = stored(clusters.join(members, "cluster").join(nodes, "node"), "vector-clusters")
+    facts = ("cluster", "node", "copies", "vector")
+    small = placed.filter(F.col("members") <= piece).select(F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int").alias("bucket"), *facts, F.lit(0).alias("piece"), F.lit(False).alias("two_pieces"))
+    schema = "node long, n long, a long, b long"
+    found = dealt(small, buckets).groupBy("bucket").applyInArrow(_verify(threshold), schema)
+    pieces = F.ceil(F.col("members") / piece).cast("int")
+    large = placed.filter(F.col("members") > piece).withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int"))
+    met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = met.select("cluster", F.least("piece", "other").alias("lower"), F.greatest("piece", "other").alias("upper"), "node", "copies", "vector", "piece", (F.col("piece") != F.col("other")).alias("two_pieces"))
+    found = stored(found.union(met.groupBy("cluster", "lower", "upper").applyInArrow(_verify(threshold), schema)), "vector-links")
+    degree = found.filter("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
+    linked = connected_components(found.filter("a is not null"), "a", "b")
     linked = linked.union(linked.select("component", "component").distinct())
     own = nodes.select("node", "copies")
     facts = own.join(degree, "node", "left").join(linked, "node", "left")

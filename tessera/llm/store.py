@@ -5,20 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _leftovers: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests on one machine), a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``; where unset, a temporary one on a local master, and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
     return sc.getCheckpointDir()
 
 
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name, with underscores added until no column has it (names differ regardless of case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of one Arrow batch of texts: keeps what the JVM and a Python worker hold of them to a few MB.
 BATCH_ROWS = 1_000
 
@@ -59,7 +72,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 @atexit.register
-def _clean() -> None:
+def drop_stored() -> None:
+    """Deletes all tables stored so far; results that were not written elsewhere can't be read any more. Runs at exit, long sessions may call it."""
     for t in list(_leftovers):
         try:
             t.drop()
@@ -73,6 +87,16 @@ def plan_bytes(df: DataFrame) -> int:
     return size if size < 1 << 55 else df.rdd.getNumPartitions() << 24
 
 
+#: Tasks of one exchange at most; with more buckets, a task takes several, one after the other.
+MAX_TASKS = 20_000
+
+
+def dealt(df: DataFrame, buckets: int, column: str = "bucket") -> DataFrame:
+    """The table with each bucket in the task of its number, so that tasks grow in number with the input and not in size."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(max(floor, min(buckets, MAX_TASKS)), F.col(column).cast("int"))
+
+
 def buckets_for(df: DataFrame, mb: float) -> int:
     """How many hash buckets keep one of them near ``mb`` MB of input, never fewer than the session's shuffle partitions."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
