@@ -9,7 +9,9 @@ A word outside the items' vocabulary always resets the automaton, and a run of k
 window cannot hold one, so only the other runs are stepped through in Python; the rest is vectorised.
 
 Null or empty texts have no words and are never hit. Items without words are ignored. An item whose id is null still
-marks words but is not listed among the items. Repeated rows are judged one by one.
+marks words but is not listed among the items. Repeated rows are judged one by one; repeated items and equal windows of
+several items all count. A very long text is judged whole, a task holds some 50 bytes for each of its bytes. Other
+columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bytescan import ALNUM, LOWER, Words, chunks
-from tessera.llm.store import text_batches
+from tessera.llm.store import fresh, text_batches
 
 WINDOW = 10
 #: Item text that one automaton may hold; more goes to further passes.
@@ -209,16 +211,17 @@ HIT_FIELDS = [
 
 
 def screen_documents(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """All columns of docs plus ``_n_words``, ``_hit_words`` (packed int64 word positions) and ``_item_ids``. No shuffle of documents."""
+    """All columns of docs plus ``_n_words``, ``_hit_words`` (packed int64 word positions) and ``_item_ids``, named anew if docs has those. No shuffle of documents."""
     source = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("string").alias("words"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()[0]
     passes = max(1, -(-total // max_item_bytes))
     fields = list(docs.schema.fields)
+    added = [T.StructField(fresh(f.name, docs.columns), f.dataType) for f in HIT_FIELDS]
     out = text_batches(docs)
     for k in range(passes):
         part = source if passes == 1 else source.filter(F.pmod(F.xxhash64("words"), F.lit(passes)) == k)
         screen = Screen([(r.name, r.words) for r in part.orderBy("name", "words").collect()], window)
-        out = out.mapInArrow(_screened(screen, docs.columns.index(text), k == 0), T.StructType([*fields, *HIT_FIELDS]))
+        out = out.mapInArrow(_screened(screen, docs.columns.index(text), k == 0), T.StructType([*fields, *added]))
     return out
 
 

@@ -9,8 +9,10 @@ there are constraints have not reached 0 or 1. Flights run in blocks of document
 again, block by block, until one block a source holds all that is left, which is the small landing problem.
 
 Null texts have no words and count in source null, the last one, when the source is null too. A source without words
-has target 0. An empty table gives an empty result. Rows that repeat are separate documents. Random numbers derive from
-a fixed seed, the source and the documents' place in the order of (doc_id, size) within a block: reruns agree.
+has target 0. An empty table gives an empty result. Rows that repeat are separate documents; ties between equal rows
+don't matter, as they are interchangeable. A very long text is one document, and its source's total may miss the target
+by its size. Other columns, whatever their names, pass through. Random numbers derive from a fixed seed, the source's
+number and the documents' order by hash of (doc_id, size), then size and text, within a block: reruns agree.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def word_count(text: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, n_docs, target) of each source, by water filling.
+    """(source, source_no, source_size, n_docs, target) of each source, numbered by code point with null last, by water filling.
 
     Sources in order of their stop by weight: those before the first whose stop is above its share keep their stop, the
     others share the rest by weight. There is one row a source here, never one a document.
@@ -46,7 +48,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    with_weight = per.withColumn("weight", weight).withColumn("stop", F.col("source_size") * float(max_epochs))
+    with_weight = per.withColumn("source_no", turn.cast("long")).withColumn("weight", weight).withColumn("stop", F.col("source_size") * float(max_epochs))
     order = W.orderBy(F.col("stop") / F.col("weight"), F.col("source").asc_nulls_last())
     every = W.partitionBy()
     stops_before = F.coalesce(F.sum("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
@@ -55,7 +57,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, max_epo
     ranked = with_weight.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("stop"))
     first_level = F.min(F.when(F.col("free"), F.struct(F.col("stop") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(every)["level"]
     target = F.coalesce(F.least("stop", first_level * F.col("weight")), F.col("stop"))
-    return ranked.select("source", "source_size", "n_docs", F.when(F.sum("source_size").over(every) > 0, target).otherwise(0.0).alias("target"))
+    return ranked.select("source", "source_no", "source_size", "n_docs", F.when(F.sum("source_size").over(every) > 0, target).otherwise(0.0).alias("target"))
 
 
 def flight(prob: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -134,7 +136,7 @@ def balanced_copies(sized: DataFrame, targets: DataFrame, block_rows: int = BLOC
     spark = sized.sparkSession
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     facts = targets.withColumn("times", times).select(
-        F.col("source").alias("its_source"), "source_size", "target", "n_docs", F.floor("times").alias("whole"), (F.col("times") - F.floor("times")).alias("part"), F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("source_no")
+        F.col("source").alias("its_source"), "source_size", "target", "n_docs", F.floor("times").alias("whole"), (F.col("times") - F.floor("times")).alias("part"), "source_no"
     )
     joined = sized.join(facts, sized["source"].eqNullSafe(facts["its_source"])).drop("its_source")
     mixed = F.xxhash64("doc_id", "size", F.lit(SEED))
@@ -168,15 +170,19 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epoch
 def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The mixture itself: each document as many times as it is taken, with the columns of docs.
 
-    Documents are matched to their copies by content (id, source, text) and their place among equal rows, which are interchangeable.
+    Documents are matched to their copies by content (id, source, text's hash); rows that agree in all three are
+    interchangeable, so the first ones of them take one copy more where their numbers differ. Texts are shuffled once.
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"), F.xxhash64("text").alias("row"))
     sized = stored(sized, "sized")
     targets = stored(source_targets(sized, weights, max_epochs), "targets")
-    copies = balanced_copies(sized, targets, block_rows).select(F.struct("doc_id", "source", "row").alias("_key"), "copies")
-    nth = F.row_number().over(W.partitionBy("_key").orderBy("copies"))
-    keyed = copies.withColumn("_nth", nth)
-    own = docs.withColumn("_key", F.struct("doc_id", "source", F.xxhash64("text").alias("row")))
-    own = own.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy("_key")))
-    joined = own.join(keyed, own["_key"].eqNullSafe(keyed["_key"]) & (own["_nth"] == keyed["_nth"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies >= 1").select(*[own[c] for c in docs.columns])
+    copies = balanced_copies(sized, targets, block_rows)
+    key = [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce("source", F.lit("")), F.col("row")]
+    names = [f"k{k}" for k in range(len(key))]
+    taken = copies.groupBy(*[k.alias(n) for k, n in zip(key, names, strict=True)]).agg(F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count("*").alias("rows"))
+    own = docs.select(F.struct("*").alias("document"), "doc_id", "source", F.xxhash64("text").alias("row"))
+    own = own.select("document", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    nth = F.row_number().over(W.partitionBy(*names).orderBy(*names))
+    joined = own.join(taken, names).withColumn("nth", nth)
+    times = (F.col("least") + (F.col("nth") <= F.col("total") - F.col("least") * F.col("rows")).cast("long")).cast("int")
+    return joined.withColumn("times", times).filter("times >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("document.*")

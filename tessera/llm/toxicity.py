@@ -8,8 +8,11 @@ trained on features by a lexicon from the other half of the labelled rows, isoto
 At most ``MAX_ROWS`` labelled rows, those with the smallest hash of their id, train the model; one third of the ids
 (crc32 of the id modulo 3 is 1) is held out. Only text is read to score. Every document is scored over its whole text.
 
-Null and empty texts are scored by the same trees, from zeros. A document labelled twice is toxic if any label says so.
-Without labelled rows every score is 0. Repeated rows get equal scores.
+Null and empty texts are scored by the same trees, from zeros. A document labelled twice is toxic if any label says so;
+a null label or id does not train. Without labelled rows every score is 0; with labels of one class, or too few for any
+term, trees without a lexicon score by the class's share. Repeated rows get equal scores, and each row that repeats a
+labelled id trains. Equal margins share one calibrated value. A very long text is scored whole; a task holds some 100
+bytes for each of its bytes. Other columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.boosting import BoostedTrees, Isotonic
 from tessera.llm.bytescan import LOWER, NOT_SPACE, Words, chunks, hash_bytes
-from tessera.llm.store import Stored, text_batches
+from tessera.llm.store import Stored, fresh, text_batches
 
 MAX_ROWS = 20_000
 MAX_TERMS = 600
@@ -147,7 +150,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(toxic, half, text) of the labelled rows that train, at most max_rows."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     taken = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("half")
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("toxic", half, "text")
@@ -187,11 +190,13 @@ def _count_terms(known: np.ndarray | None):
 def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[Lexicon]:
     """Lexicons of half 0, half 1 and both: terms in enough toxic documents (MIN_SHARE), by the log-odds of their use, above 2."""
     kinds = "term long, kind long, docs long, uses long"
+    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    # no half can take a term of fewer documents; as a document has each term once, at most 1 / MIN_SHARE times a document's terms are left
+    least = max(3, int(np.ceil(MIN_SHARE * min(sizes.get((h, 1), 0) for h in (0, 1)))))
     toxic = rows.filter("toxic = 1").mapInArrow(_count_terms(None), kinds)
-    often = toxic.groupBy("term").agg(F.sum("docs").alias("n")).filter("n >= 3").orderBy(F.desc("n"), "term").limit(100_000)
+    often = toxic.groupBy("term").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("term")
     known = np.sort(np.array([r.term for r in often.collect()], np.int64).view(np.uint64))
     counts = rows.mapInArrow(_count_terms(known), kinds).groupBy("term").pivot("kind", [0, 1, 2, 3]).agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses")).fillna(0)
-    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     table = counts.toPandas()
     out = []
     for halves in ((0,), (1,), (0, 1)):
@@ -199,9 +204,10 @@ def learn_lexicons(rows: DataFrame, max_terms: int = MAX_TERMS) -> list[Lexicon]
         n = [max(1, sum(sizes.get((h, t), 0) for h in halves)) for t in (0, 1)]
         odds = np.log((total("uses", 1) + 0.5) / n[1]) - np.log((total("uses", 0) + 0.5) / n[0])
         docs = np.log((total("docs", 1) + 0.5) / n[1]) - np.log((total("docs", 0) + 0.5) / n[0])
-        good = table[(total("docs", 1) >= max(3, MIN_SHARE * n[1])) & (odds > 2) & (docs > 1.2)].assign(score=odds + 0.5 * np.log(total("docs", 1).clip(1)))
+        rated = table[["term"]].assign(odds=odds, score=odds + 0.5 * np.log(total("docs", 1).clip(1)))
+        good = rated[(total("docs", 1) >= max(3, MIN_SHARE * n[1])) & (odds > 2) & (docs > 1.2)]
         good = good.sort_values(["score", "term"], ascending=False).head(max_terms)
-        out.append(Lexicon(good.term.tolist(), good.term[odds[good.index] > STRONG].tolist()))
+        out.append(Lexicon(good.term.tolist(), good.term[good.odds > STRONG].tolist()))
     return out
 
 
@@ -263,5 +269,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """Documents that score below the threshold; columns are those of docs."""
-    out = scored(docs, train(docs, labels, max_rows), name="_toxicity")
-    return out.filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    name = fresh("toxicity", docs.columns)
+    return scored(docs, train(docs, labels, max_rows), name=name).filter(F.col(name) < threshold).drop(name)
