@@ -12,12 +12,15 @@ one such n-gram form one tree. Three steps:
 
 1. The trees report which nodes may be linked, as a spanning forest and never as all pairs.
 2. Its components are the candidate clusters (distributed, see components.py).
-3. Each cluster's sets meet once, in one more tree, and pairs that aren't connected yet are verified. A cluster of over
-   ``CLUSTER_CAP`` nodes is verified in pieces instead, two at a time, and the pieces' links are joined afterwards.
+3. Each cluster's sets meet once, in one more tree, and pairs that aren't connected yet are verified on all 64 bits of
+   their hashes. A cluster of over ``CLUSTER_CAP`` nodes is verified in pieces instead: first each piece, together with
+   the cluster's ``HUBS`` hub sets, then what is not in the largest component so found, against everything.
 
 Null, empty and wordless texts have no n-grams and are linked with nothing. With fewer than n words the whole sequence
 is the only n-gram. Rows of one doc_id with different texts count as different nodes with the same id. Rows whose
-doc_id is null take part; a component's id is its smallest id that isn't null.
+doc_id is null take part; a component's id is its smallest id that isn't null. Rows that repeat are copies; a similarity
+that equals the threshold links. A very long text is one set; a task holds some 50 bytes for each of its bytes. Other
+columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix, sequence_hash
 from tessera.llm.components import connected_components
-from tessera.llm.store import Stored, buckets_for, stored, text_batches
+from tessera.llm.store import Stored, buckets_for, dealt, stored, text_batches
 
 GROUPS = 64
 #: Groups of the finer bound before two sets are compared.
@@ -47,8 +49,10 @@ CLUSTER_CAP = 20_000
 TREE_CAP = 256
 #: Nodes of one row that names such a cluster.
 ROW_CAP = 4_096
-#: Bytes kept of each n-gram's hash for verification.
-KEPT = 5
+#: Sets of a large cluster that each of its pieces is compared with first.
+HUBS = 64
+#: N-grams of a bucket that a task holds before it folds those that widespread n-grams don't need.
+HELD = 1 << 22
 #: An n-gram goes last in the order if it is in over one document of so many (and in over 50).
 WIDE = 2_000
 
@@ -84,19 +88,11 @@ def group_counts(grams: np.ndarray) -> np.ndarray:
     return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
 
 
-def pack(grams: np.ndarray) -> bytes:
-    """The low bytes of each hash, sorted."""
-    low = np.sort(grams & np.uint64((1 << 8 * KEPT) - 1))
-    return low.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
-
-
 def unpack(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // KEPT, 8), np.uint8)
-    wide[:, :KEPT] = np.frombuffer(data, np.uint8).reshape(-1, KEPT)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(data, np.uint64)
 
 
-NODE_SCHEMA = "doc_id long, node long, n_grams long, counts binary, grams binary, wide binary"
+NODE_SCHEMA = "doc_id long, text_hash long, node long, n_grams long, counts binary, grams binary, wide binary"
 
 
 def _nodes(n: int):
@@ -111,18 +107,18 @@ def _nodes(n: int):
                 node[row], size[row] = set_node(hashes), len(hashes)
                 if node[row] not in seen:
                     seen.add(node[row])
-                    counts[row], grams[row] = group_counts(hashes).tobytes(), pack(hashes)
+                    counts[row], grams[row] = group_counts(hashes).tobytes(), hashes.tobytes()
                     kept.append(hashes)
             docs += rows
             sizes.append(rows)
             if sum(map(len, kept)) > 1 << 20:
                 kept = [_often(kept, docs)]
-            columns = [batch.column(0).cast(pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary()), pa.nulls(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_grams", "counts", "grams", "wide"])
+            columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n_grams", "counts", "grams", "wide"])
         often = _often(kept, docs)
         if len(often):
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([often.tobytes()], pa.binary())], names=["doc_id", "node", "n_grams", "counts", "grams", "wide"])
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([often.tobytes()], pa.binary())], names=["doc_id", "text_hash", "node", "n_grams", "counts", "grams", "wide"])
 
     return run
 
@@ -209,28 +205,65 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
     return run
 
 
-def _blocks(key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket: the distinct node sets (two nodes or more) of its n-grams; wide ones are whole clusters, their first node in each row."""
-    grams, nodes = [], []
-    for g, o, v in zip(*(table[c].to_pylist() for c in ("grams", "owners", "nodes")), strict=True):
-        grams.append(np.frombuffer(g, np.uint64))
-        nodes.append(np.frombuffer(v, np.int64)[np.frombuffer(o, np.int32)])
-    gram, node = np.concatenate(grams), np.concatenate(nodes)
-    order = np.lexsort((node, gram))
-    gram, node = gram[order], node[order]
-    new = np.ones(len(gram), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-    gram, node = gram[new], node[new]
-    cut = np.append(np.flatnonzero(np.append(True, gram[1:] != gram[:-1])), len(gram))
-    out: dict[int, tuple[bool, np.ndarray]] = {}
-    many = np.flatnonzero(np.diff(cut) > 1)
-    for a, b in zip(cut[many], cut[many + 1], strict=True):
-        own = node[a:b]
-        whole = len(own) > TREE_CAP
-        for k in range(1, len(own), ROW_CAP):
-            part = np.concatenate([own[:1], own[k : k + ROW_CAP]]) if whole else own
-            out.setdefault(int(mix(part.view(np.uint64) ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).view(np.int64)), (whole, part))
-    return pa.table({"block": pa.array(list(out), pa.int64()), "whole": pa.array([w for w, _ in out.values()], pa.bool_()), "nodes": pa.array([v.tolist() for _, v in out.values()], pa.list_(pa.int64()))})
+def _block_rows(rows: list[tuple[bool, np.ndarray]]) -> pa.RecordBatch:
+    names = [int(mix(v.view(np.uint64) ^ np.uint64(0xABCDEF)).sum(dtype=np.uint64).view(np.int64)) for _, v in rows]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([w for w, _ in rows], pa.bool_()), pa.array([v.tolist() for _, v in rows], pa.list_(pa.int64()))], names=["block", "whole", "nodes"])
+
+
+def _blocks(cap: int, held_most: int = HELD):
+    """applyInArrow function over a bucket: the distinct node sets (two nodes or more) of its n-grams; wide ones are whole clusters, their first node in each row.
+
+    Rows are read as a stream; of an n-gram with over ``cap`` nodes only the first one is held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, node = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+        wide = np.zeros(0, np.uint64)
+        rows: list[tuple[bool, np.ndarray]] = []
+
+        def fold() -> np.ndarray:
+            """Sorts what is held; n-grams with over ``cap`` nodes turn to rows. Returns where the n-grams begin."""
+            nonlocal gram, node, wide
+            gram, node = (np.concatenate([v, *(m[k] for m in more)]) for k, v in enumerate((gram, node)))
+            more.clear()
+            order = np.lexsort((node, gram))
+            gram, node = gram[order], node[order]
+            new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))[: len(gram)]
+            gram, node = gram[new], node[new]
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+            size = np.diff(np.append(first, len(gram)))
+            large = (size > cap) | np.isin(gram[first], wide) if len(first) else np.zeros(0, bool)
+            gone = np.zeros(len(gram), bool)
+            for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+                for k in range(a + 1, a + n, ROW_CAP):
+                    rows.append((True, np.concatenate([node[a : a + 1], node[k : min(k + ROW_CAP, a + n)]])))
+                gone[a + 1 : a + n] = True
+            wide = np.union1d(wide, gram[first[large]])
+            gram, node = gram[~gone], node[~gone]
+            return np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+
+        count = 0
+        for batch in batches:
+            for g, o, v in zip(*(batch.column(c).to_pylist() for c in ("grams", "owners", "nodes")), strict=True):
+                more.append((np.frombuffer(g, np.uint64), np.frombuffer(v, np.int64)[np.frombuffer(o, np.int32)]))
+                count += len(more[-1][0])
+            if count > held_most:
+                fold()
+                count = len(gram) // 2  # so that a bucket of rare n-grams isn't folded for each batch
+                if rows:
+                    yield _block_rows(rows)
+                    rows = []
+        first = fold()
+        last = np.append(first[1:], len(gram))[: len(first)]
+        blocks: dict[bytes, np.ndarray] = {}
+        for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
+            blocks.setdefault(node[a:b].tobytes(), node[a:b])
+        rows += [(False, v) for v in blocks.values()]
+        for k in range(0, len(rows), 10_000):
+            yield _block_rows(rows[k : k + 10_000])
+
+    return run
 
 
 class CountTree:
@@ -385,9 +418,17 @@ def fine_counts(grams: list[bytes]) -> np.ndarray:
     return out.astype(np.uint8) if not len(out) or out.max() < 256 else out
 
 
-def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the true links among the given sets: pairs that the trees leave and a finer bound leaves are compared gram by gram."""
+def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: int, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the true links among the given sets: pairs that the trees leave and a finer bound leaves are compared gram by gram.
+
+    Sets of one ``known`` component count as connected from the start.
+    """
     groups, sets = Groups(len(sizes)), {}
+    if known is not None:
+        order = np.argsort(known, kind="stable")
+        for x, y in pairwise(order.tolist()):
+            if known[x] == known[y]:
+                groups.join(x, y)
     fine = fine_counts(grams) if len(grams) > 2 else None
     for i, j in tree_pairs(counts, sizes, percent, lambda rows: groups.label[rows]):
         if fine is not None:
@@ -409,15 +450,16 @@ def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: i
                 yield x, y
 
 
-def _verify(percent: int, by: str):
+def _verify(percent: int, by: str, known: str | None = None):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([(by, "ascending"), ("node", "ascending")])
         cluster, node = np.asarray(table[by]), np.asarray(table["node"])
         counts, sizes = _points(table)
         grams = table["grams"].to_pylist()
+        parts = np.asarray(table[known]) if known else None
         a, b = [], []
         for s, e in pairwise(np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))):
-            for x, y in verify(counts[s:e], sizes[s:e], grams[s:e], percent):
+            for x, y in verify(counts[s:e], sizes[s:e], grams[s:e], percent, None if parts is None else parts[s:e]):
                 a.append(node[s + x])
                 b.append(node[s + y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -425,21 +467,53 @@ def _verify(percent: int, by: str):
     return run
 
 
-def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUSTER_CAP) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, n_grams of each row; node, component of nodes that are linked)."""
+def _in_pieces(large: DataFrame, percent: int, cluster_cap: int) -> DataFrame:
+    """Links of clusters that are too large for one task: (a, b).
+
+    A piece has half as many sets as a task may hold. First each piece is verified together with its cluster's hubs, the
+    ``HUBS`` sets with the smallest hash. Of each cluster, the sets of the largest component found so far needn't be
+    compared with each other any more: only pairs of pieces of which one holds other sets are left.
+    """
+    half = cluster_cap // 2
+    mixed = F.xxhash64("node", F.lit(1))
+    pieces = F.ceil(F.col("members") / half).cast("int")
+    own = large.withColumn("pieces", pieces).withColumn("piece", F.pmod(mixed, F.col("pieces")).cast("int"))
+    # at least HUBS in expectation of each cluster, and about that many however large it is
+    hub = F.pmod(F.xxhash64("node", F.lit(2)), F.greatest(F.ceil(F.col("members") / HUBS), F.lit(1))) == 0
+    hubs = own.filter(hub).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = own.unionByName(hubs).dropDuplicates(["cluster", "piece", "node"]).withColumn("two", F.xxhash64("cluster", "piece"))
+    first = stored(met.groupBy("two").applyInArrow(_verify(percent, "two"), "a long, b long"), "ngram-hub-links")
+    parts = connected_components(first, "a", "b")
+    parts = parts.union(parts.select("component", "component").distinct())
+    own = own.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component", "piece", "pieces")
+    sizes = own.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"))
+    marked = own.join(main, "cluster").withColumn("rest", F.col("part") != F.col("main"))
+    n_rest, n_main = F.ceil((F.col("members") - F.col("n_main")) / half).cast("int"), F.ceil(F.col("n_main") / half).cast("int")
+    marked = marked.withColumn("n_rest", n_rest).withColumn("n_all", n_rest + n_main).filter("n_rest > 0")
+    marked = marked.withColumn("piece", F.when(F.col("rest"), F.pmod(mixed, F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(mixed, F.greatest(F.col("n_all") - F.col("n_rest"), F.lit(1)))).cast("int"))
+    # pieces from 0 hold the rest, those from n_rest on the main component
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("rest"), F.col("n_all")).otherwise(F.col("n_rest")) - 1)).alias("other")
+    two = marked.select("cluster", "node", "n_grams", "counts", "grams", "part", "piece", other)
+    two = two.withColumn("two", F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other")))
+    return first.union(two.groupBy("two").applyInArrow(_verify(percent, "two", "part"), "a long, b long"))
+
+
+def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUSTER_CAP, tree_cap: int = TREE_CAP) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, node, n_grams of each row; node, component of nodes that are linked). The caps change who compares what, never the result."""
     docs = text_batches(docs)
-    table = Stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_nodes(n), NODE_SCHEMA), "ngram-nodes")
+    table = Stored(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_nodes(n), NODE_SCHEMA), "ngram-nodes")
     every = table.df.filter("wide is null")
     wide = wide_grams(table.df, every.count())
     buckets = buckets_for(docs, 8)
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary")
-    blocks = prefixes.groupBy("bucket").applyInArrow(_blocks, "block long, whole boolean, nodes array<long>")
+    blocks = dealt(prefixes, buckets).groupBy("bucket").applyInArrow(_blocks(tree_cap), "block long, whole boolean, nodes array<long>")
     blocks = stored(blocks.dropDuplicates(["block"]), "ngram-blocks")
     sets = every.filter("grams is not null")
     points = sets.select("node", "n_grams", "counts").groupBy("node").agg(F.first("n_grams").alias("n_grams"), F.first("counts").alias("counts"))
     stars = blocks.filter("whole").select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b"))
-    members = blocks.filter("not whole").select("block", F.explode("nodes").alias("node"), F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket"))
-    forest = members.join(points, "node").groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
+    members = blocks.filter("not whole").select("block", F.explode("nodes").alias("node"), F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int").alias("bucket"))
+    forest = dealt(members.join(points, "node"), buckets).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
     clusters = stored(connected_components(forest.union(stars), "a", "b").withColumnRenamed("component", "cluster"), "ngram-clusters")
     clusters = clusters.union(clusters.select(F.col("cluster"), F.col("cluster")).distinct())
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
@@ -447,26 +521,26 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     held = sets.select("node", "n_grams", "counts", "grams")
     few = placed.count() * 24 <= 32 << 20
     joined = held.join(F.broadcast(placed) if few else placed, "node").dropDuplicates(["node"])
-    small = joined.filter(F.col("members") <= cluster_cap).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)))
-    links = small.groupBy("bucket").applyInArrow(_verify(percent, "cluster"), "a long, b long")
+    small = joined.filter(F.col("members") <= cluster_cap).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
+    links = dealt(small, buckets).groupBy("bucket").applyInArrow(_verify(percent, "cluster"), "a long, b long")
     if placed.filter(F.col("members") > cluster_cap).limit(1).count():
-        pieces = F.ceil(F.col("members") / (cluster_cap / 2)).cast("int")
-        piece = F.pmod(F.xxhash64("node", F.lit(1)), pieces).cast("int")
-        large = joined.filter(F.col("members") > cluster_cap).withColumn("pieces", pieces).withColumn("piece", piece)
-        other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other")
-        two = large.select("*", other).withColumn("two", F.xxhash64("cluster", F.least("piece", "other"), F.greatest("piece", "other")))
-        links = links.union(two.groupBy("two").applyInArrow(_verify(percent, "two"), "a long, b long"))
+        links = links.union(_in_pieces(joined.filter(F.col("members") > cluster_cap), percent, cluster_cap))
     out = stored(connected_components(links, "a", "b"), "ngram-components")
-    docs_nodes = stored(every.select("doc_id", "node", "n_grams"), "ngram-docs")
+    docs_nodes = stored(every.select("doc_id", "text_hash", "node", "n_grams"), "ngram-docs")
     table.drop()
     return docs_nodes, out
 
 
-def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85, cluster_cap: int = CLUSTER_CAP) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
-    rows, linked = similar_nodes(docs, n, percent, cluster_cap)
+def _components(docs: DataFrame, n: int, percent: int, **caps: int) -> DataFrame:
+    """doc_id, text_hash, n_grams and component (a node; null without n-grams) of each row."""
+    rows, linked = similar_nodes(docs, n, percent, **caps)
     linked = linked.union(linked.select("component", "component").distinct())
-    named = rows.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return rows.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85, **caps: int) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id."""
+    named = _components(docs, n, percent, **caps)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
         "doc_id", F.col("n_grams").alias("n_shingles"), F.when(F.col("n_grams") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id")
@@ -474,13 +548,16 @@ def similarity_components(docs: DataFrame, n: int = 4, percent: int = 85, cluste
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component, once, and every document that is linked with nothing; columns are those of docs.
+    """The document with the smallest id of each component, once; columns are those of docs.
 
-    Documents without words stay, also when their rows repeat.
+    Rows without words stay, all of them. Of a component's rows with the smallest id that differ, the one whose text has
+    the smallest hash stays; a component without any id keeps one row as well.
     """
-    found = similarity_components(docs, n, percent)
-    keep = found.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    keep = keep.groupBy(F.col("doc_id").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
-    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept"]))
-    again = F.row_number().over(W.partitionBy("_kept", F.xxhash64(docs["text"])).orderBy("_n"))
-    return joined.withColumn("_again", again).filter("_again = 1 or _n = 0").select(*[docs[c] for c in docs.columns])
+    named = _components(docs, n, percent).filter("component is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    kept = named.groupBy("component").agg(first).select(F.col("first.no_id").alias("no_id"), F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.text_hash").alias("hash"))
+    keys = ["no_id", "id", "hash"]
+    own = docs.select(F.struct("*").alias("document"), "text", F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"))
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = own.filter(wordy).select("document", *keys).groupBy(*keys).agg(F.first("document").alias("document"))
+    return once.join(stored(kept, "ngram-kept"), keys).select("document.*").union(own.filter(~wordy).select("document.*"))

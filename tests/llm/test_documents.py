@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontaminate, mixing, ngram_join, sharding, toxicity
@@ -57,8 +58,7 @@ def test_ngram_components(spark, sf, cap):
     assert {k: r.n_shingles for k, r in got.items()} == {k: len(s) for k, s in sets.items()}
 
 
-def test_wide_ngrams_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TREE_CAP", 8)
+def test_wide_ngrams_in_pieces(spark):
     base = [f"t{k}" for k in range(60)]
     rng = np.random.default_rng(1)
     texts = []
@@ -69,10 +69,28 @@ def test_wide_ngrams_in_pieces(spark, monkeypatch):
         texts.append(" ".join(own))
     docs = frame(spark, texts)
     want = components({k: shingles(t, 4) for k, t in enumerate(texts)}, 85)
-    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(docs.filter("doc_id is not null and text <> '...'"), 4, 85).collect()}
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(docs.filter("doc_id is not null and text <> '...'"), 4, 85, tree_cap=8, cluster_cap=12).collect()}
     assert got == want
 
 
+def test_blocks_are_folded(spark):
+    """What a bucket holds of widespread n-grams doesn't change the sets of its blocks."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(30):
+        gram, node = rng.choice([1, 1, 1, 2, 3, 4], 50).astype(np.uint64), rng.integers(0, 90, 50)
+        nodes, owner = np.unique(node, return_inverse=True)
+        rows.append({"grams": gram.tobytes(), "owners": owner.astype(np.int32).tobytes(), "nodes": nodes.tobytes()})
+    made = []
+    for held in (1 << 22, 10):
+        groups = defaultdict(set)
+        for batch in ngram_join._blocks(40, held)(iter(pa.RecordBatch.from_pylist([r]) for r in rows)):
+            for r in batch.to_pylist():
+                groups[r["whole"]].add(frozenset(r["nodes"]))
+        made.append((frozenset().union(*groups[True]), groups[False]))
+    assert made[0] == made[1] and made[0][0]
+
+
 def test_ngram_edges(spark):
     got = ngram_join.similarity_components(frame(spark, ODD), 4, 85).collect()
     by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
