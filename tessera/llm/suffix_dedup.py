@@ -11,9 +11,13 @@ same offset, so no repeat is missed, and each window belongs to one anchor.
 3. The runs of one bucket of grams are merged by a loser tree that compares suffixes by the known lengths of their
    common prefixes and looks at bytes beyond those only. The merge yields the common prefix of neighbours, and with it
    which windows agree from the anchor on; equal bytes before the anchor complete the match.
+4. Suffixes of a gram with over ``HOT`` places (a passage in very many different texts) would all meet in one task. Their
+   windows are counted by hash instead, spread over all buckets.
 
-Texts are identified by a 64-bit hash; equal texts are sorted once, and a text of LENGTH bytes or more with a copy goes
-whole. Null and empty texts have no bytes and lose none. Matches never cross documents. Repeated rows are copies.
+Anchors are read as a stream, so a task holds one of each gram. Texts are identified by a 64-bit hash, in step 4 windows
+as well; equal texts are sorted once, and a text of LENGTH bytes or more with a copy goes whole. Null and empty texts
+have no bytes and lose none. Matches never cross documents. Repeated rows are copies. A very long text is one row of a
+task, which holds some 50 bytes for each of its bytes. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytescan import BYTE_VALUE, chunks, mix, powers
-from tessera.llm.store import Stored, buckets_for, stored, text_batches
+from tessera.llm.store import Stored, buckets_for, dealt, stored, text_batches
 
 LENGTH = 200
 SEED_BYTES = 80
+#: Places of one gram whose suffixes one task merges; grams with more, and with a millionth of all places, are hot.
+HOT = 20_000
+#: Anchors that a task holds before it folds them.
+HELD = 1 << 20
 _U = np.uint64
 
 
@@ -105,27 +113,66 @@ def _emit_anchors(length: int, seed: int, buckets: int):
     return run
 
 
-def _columns(table: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(table[name].to_pylist()), kind) for name, kind in kinds.items()]
+KINDS = {"gram": np.uint64, "tid": np.int64, "at": np.int32, "low": np.uint8, "high": np.uint8}
+REPEATED = "tid long, places binary, gram long, n long"
 
 
-def _repeated(key: tuple, table: pa.Table) -> pa.Table:
-    """Anchors of one bucket whose gram occurs at two places or more, by text."""
-    gram, tid, at, low, high = _columns(table, {"gram": np.uint64, "tid": np.int64, "at": np.int32, "low": np.uint8, "high": np.uint8})
-    order = np.lexsort((at, tid, gram))
-    gram, tid, at, low, high = (v[order] for v in (gram, tid, at, low, high))
-    same = gram[1:] == gram[:-1]
-    new = np.append(True, ~same | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))
-    gram, tid, at, low, high = (v[new] for v in (gram, tid, at, low, high))
-    same = gram[1:] == gram[:-1]
-    many = np.append(False, same) | np.append(same, False) if len(gram) else np.zeros(0, bool)
-    gram, tid, at, low, high = (v[many] for v in (gram, tid, at, low, high))
+def _by_text(tid: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(tid, kind="stable")
     places = np.zeros(len(tid), PLACE)
     places["at"], places["low"], places["high"] = at[order], low[order], high[order]
     names, cut = np.unique(tid[order], return_index=True)
     ends = np.append(cut[1:], len(tid))[: len(names)]
-    return pa.table({"tid": pa.array(names, pa.int64()), "places": pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())})
+    packed = pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), packed, pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64())], names=["tid", "places", "gram", "n"])
+
+
+def _repeated(hot: int, held_most: int = HELD):
+    """applyInArrow function over a bucket: anchors whose gram occurs at two places or more, by text, and grams of over ``hot`` places.
+
+    Rows are read as a stream; of each gram one anchor stays, the others go out as soon as there are two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, k) for k in (*KINDS.values(), np.int64, bool)]  # gram ... high, places of the gram, whether it is out
+        more: list[list[np.ndarray]] = []
+        count = 0
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            columns = [np.concatenate([h, *(m[k] for m in more)]) for k, h in enumerate(held)]
+            more.clear()
+            gram, tid, at, _, _, _, out = columns
+            order = np.lexsort((~out, at, tid, gram))
+            gram, tid, at, low, high, n, out = (c[order] for c in columns)
+            new = np.append(True, (gram[1:] != gram[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))[: len(gram)]
+            gram, tid, at, low, high, n, out = (c[new] for c in (gram, tid, at, low, high, n, out))
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+            if not len(first):
+                return
+            size = np.diff(np.append(first, len(gram)))
+            known = np.logical_or.reduceat(out, first)
+            go = np.repeat((size > 1) | known, size) & ~out
+            if go.any():
+                yield _by_text(tid[go], at[go], low[go], high[go])
+            held = [c[first] for c in (gram, tid, at, low, high)] + [np.add.reduceat(n, first), known | (size > 1)]
+
+        for batch in batches:
+            rows = [[np.frombuffer(b, kind) for b in batch.column(name).to_pylist()] for name, kind in KINDS.items()]
+            for k in range(batch.num_rows):
+                own = [c[k] for c in rows]
+                more.append([*own, np.ones(len(own[0]), np.int64), np.zeros(len(own[0]), bool)])
+                count += len(own[0])
+            if count > held_most:
+                yield from fold()
+                count = 0
+        yield from fold()
+        many = held[5] > hot
+        if many.any():
+            none = int(many.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(held[0][many].view(np.int64)), pa.array(held[5][many])], names=["tid", "places", "gram", "n"])
+
+    return run
 
 
 PLACE = np.dtype([("at", "<i4"), ("low", "u1"), ("high", "u1")])
@@ -217,8 +264,65 @@ def decoded(shared: np.ndarray, lengths: np.ndarray, rests: bytes) -> Iterator[t
         yield h, before
 
 
-def _emit_runs(length: int, seed: int, buckets: int):
-    """mapInArrow function over (tid, text, places): sorted runs of the anchors' suffixes with their left contexts, by bucket."""
+def _hash_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of that size at the given places."""
+    p, inv = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, _U)
+    np.cumsum(BYTE_VALUE[data] * p[: len(data)], out=sums[1:])
+    return mix((sums[at + size] - sums[at]) * inv[at])
+
+
+def _is_hot(data: bytes, places: np.ndarray, seed: int, hot: np.ndarray) -> np.ndarray:
+    """Which places have a gram of the sorted ``hot`` ones."""
+    if not len(hot):
+        return np.zeros(len(places), bool)
+    grams = _hash_at(np.frombuffer(data, np.uint8), places["at"].astype(np.int64), seed)
+    return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+
+
+def _emit_windows(length: int, seed: int, buckets: int, hot: np.ndarray):
+    """mapInArrow function over (tid, text, places): hashes of all windows of hot grams' anchors, as anchors are emitted."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, tid, at = (np.concatenate([h[k] for h in held]) for k in range(3))
+        none = np.zeros(len(gram), np.uint8)
+        return _packed((gram % _U(buckets)).astype(np.int64), {"gram": gram, "tid": tid, "at": at.astype(np.int32), "low": none, "high": none})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            for tid, text, packed in zip(*(batch.column(k) for k in range(3)), strict=True):
+                data = text.as_py().encode()
+                places = np.unique(np.frombuffer(b"".join(packed.as_py()), PLACE))
+                places = places[_is_hot(data, places, seed, hot)]
+                if not len(places):
+                    continue
+                at = np.unique(np.concatenate([np.arange(a - high, a - low + 1) for a, low, high in places.tolist()]))
+                held.append((_hash_at(np.frombuffer(data, np.uint8), at, length), np.full(len(at), tid.as_py(), np.int64), at))
+                count += len(at)
+                if count > 1 << 20:
+                    yield flush(held)
+                    held, count = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _window_spans(length: int):
+    """mapInArrow function over (tid, places of windows): spans to remove."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.frombuffer(p, PLACE)["at"].astype(np.int64) for p in batch.column(1).to_pylist()]
+            spans = [merged(np.stack([a, a + length], axis=1)).tobytes() for a in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["tid", "spans"])
+
+    return run
+
+
+def _emit_runs(length: int, seed: int, buckets: int, hot: np.ndarray):
+    """mapInArrow function over (tid, text, places): sorted runs of the anchors' suffixes with their left contexts, by bucket; not those of hot grams."""
     import pickle
 
     def flush(held: list[tuple[int, bytes, bytes, int, int, int, int]]) -> pa.RecordBatch:
@@ -244,7 +348,8 @@ def _emit_runs(length: int, seed: int, buckets: int):
                     continue
                 seen.add(tid)
                 data = texts[k].as_py().encode()
-                for at, low, high in np.frombuffer(b"".join(places[k].as_py()), PLACE).tolist():
+                own = np.frombuffer(b"".join(places[k].as_py()), PLACE)
+                for at, low, high in own[~_is_hot(data, own, seed, hot)].tolist():
                     gram = data[at : at + seed]
                     held.append((hash_bucket(gram, buckets), data[at : at + length - low], data[at - high : at], tid, at, low, high))
                 if len(held) > 200_000:
@@ -329,21 +434,35 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[DataFrame, DataFrame]:
+ANCHORS = "bucket int, gram binary, tid binary, at binary, low binary, high binary"
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, hot_places: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(docs with their text's hash ``tid``; of each hash with anything to remove: copies and packed spans)."""
     named = text_batches(docs).withColumn("tid", F.xxhash64("text"))
     texts = named.filter(F.octet_length("text") >= length).select("tid", "text")
     buckets = buckets_for(docs, 6)
-    found = texts.mapInArrow(_emit_anchors(length, seed, buckets), "bucket int, gram binary, tid binary, at binary, low binary, high binary")
-    places = Stored(found.groupBy("bucket").applyInArrow(_repeated, "tid long, places binary"), "suffix-places")
-    by_text = places.df.groupBy("tid").agg(F.collect_list("places").alias("places"))
-    runs = texts.join(by_text, "tid").select("tid", "text", "places").mapInArrow(_emit_runs(length, seed, buckets), RUN)
-    spans = Stored(runs.groupBy("bucket").applyInArrow(_merge(length, seed), "tid long, spans binary"), "suffix-spans")
+    found = texts.mapInArrow(_emit_anchors(length, seed, buckets), ANCHORS)
+    places = Stored(dealt(found, buckets).groupBy("bucket").applyInArrow(_repeated(hot_places), REPEATED), "suffix-places")
+    by_text = places.df.filter("tid is not null").groupBy("tid").agg(F.collect_list("places").alias("places"))
+    # at most a million grams, as each has a millionth of what they have together
+    counted = places.df.filter("gram is not null")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = np.sort(np.array([r.gram for r in counted.filter(F.col("n") > total // 1_000_000).select("gram").collect()], np.int64).view(_U))
+    joined = texts.dropDuplicates(["tid"]).join(by_text, "tid").select("tid", "text", "places")
+    runs = joined.mapInArrow(_emit_runs(length, seed, buckets, hot), RUN)
+    spans = [Stored(dealt(runs, buckets).groupBy("bucket").applyInArrow(_merge(length, seed), "tid long, spans binary"), "suffix-spans")]
+    if len(hot):
+        windows = joined.mapInArrow(_emit_windows(length, seed, buckets, hot), ANCHORS)
+        twice = dealt(windows, buckets).groupBy("bucket").applyInArrow(_repeated(1 << 62), REPEATED)
+        spans.append(Stored(twice.select("tid", "places").mapInArrow(_window_spans(length), "tid long, spans binary"), "suffix-windows"))
     copies = texts.groupBy("tid").agg(F.count("*").alias("copies")).filter("copies > 1")
-    listed = spans.df.groupBy("tid").agg(F.collect_list("spans").alias("spans"))
+    every = spans[0].df if len(spans) == 1 else spans[0].df.union(spans[1].df)
+    listed = every.groupBy("tid").agg(F.collect_list("spans").alias("spans"))
     info = stored(listed.join(copies, "tid", "full_outer"), "suffix-info")
     places.drop()
-    spans.drop()
+    for s in spans:
+        s.drop()
     return named, info
 
 
@@ -369,9 +488,9 @@ def _cut(length: int, with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, with_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES, with_bytes: bool = True, hot_places: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes; a cut may split a character)."""
-    named, info = repeat_spans(docs.select("doc_id", "text"), length, seed)
+    named, info = repeat_spans(docs.select("doc_id", "text"), length, seed, hot_places)
     joined = named.join(info, "tid", "left").select("doc_id", "text", "copies", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = joined.mapInArrow(_cut(length, with_bytes), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

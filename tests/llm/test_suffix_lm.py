@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import lm_score, suffix_dedup
@@ -21,16 +23,38 @@ def test_loser_tree_merges_with_prefixes():
     assert list(suffix_dedup.LoserTree([])) == []
 
 
-@pytest.mark.parametrize("length, seed", [(200, 80), (40, 10)])
-def test_repeats(spark, sf, length, seed):
+@pytest.mark.parametrize("length, seed, hot", [(200, 80, suffix_dedup.HOT), (40, 10, suffix_dedup.HOT), (200, 80, 1), (40, 10, 3)])
+def test_repeats(spark, sf, length, seed, hot):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).collect()]
     p = texts[10][:700]
     texts += [p + texts[11][:100], "zz" + p[100:420] + "yy" + p[300:650], "x" * 1000, "ab" * 300, None, "", texts[3], "ü" * 150 + texts[4][20:240] + "é", "q" * 199, "q" * 200, "hello wörld " * 40, "q" * 200]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length, seed).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, length, seed, hot_places=hot).collect())
     assert got == [(k, *w) for k, w in enumerate(suffix_dedup.brute_force(texts, length))]
 
 
+def test_anchors_as_a_stream():
+    """Folding early finds the same places, those of one text sent twice aside."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(20):
+        gram, tid, at = rng.integers(0, 60, 25).astype(np.uint64), rng.integers(0, 8, 25), rng.integers(0, 5, 25).astype(np.int32)
+        none = np.zeros(25, np.uint8)
+        rows.append({"gram": gram.tobytes(), "tid": tid.tobytes(), "at": at.tobytes(), "low": none.tobytes(), "high": none.tobytes()})
+    made = []
+    for held in (1 << 20, 10):
+        found, hot = set(), set()
+        for batch in suffix_dedup._repeated(12, held)(iter(pa.RecordBatch.from_pylist([r]) for r in rows)):
+            for r in batch.to_pylist():
+                if r["tid"] is None:
+                    hot.add(r["gram"])
+                else:
+                    found |= {(r["tid"], p[0]) for p in np.frombuffer(r["places"], suffix_dedup.PLACE).tolist()}
+        made.append(found)
+        assert hot
+    assert made[0] == made[1] and made[0]
+
+
 def test_no_texts(spark):
     docs = spark.createDataFrame([(1, None), (None, ""), (1, "short")], "doc_id long, text string")
     assert {r.n_removed for r in suffix_dedup.remove_repeats(docs).collect()} == {0}
