@@ -2,11 +2,13 @@
 
 A text is cut into segments of ``STEPS`` bytes. Forward and backward GRU states label every byte of a segment; a
 document's probabilities are the means over its bytes. The network is trained by backpropagation through time on about
-``ROWS`` documents per language (chosen by a hash of their id, whole texts) and ``SEGMENTS`` segments of each language;
-one quarter of the ids (crc32 of the id modulo 4 is 2) is held out. Only text is read to predict.
+``ROWS`` documents per language (chosen by a hash of their id), at most ``PER_TEXT`` segments of each, and ``SEGMENTS``
+segments of each language; one quarter of the ids (crc32 of the id modulo 4 is 2) is held out. Only text is read to predict.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there is nothing to learn from.
-Repeated rows get equal results.
+Of equal probabilities the first language by code point wins. Repeated rows get equal results, and repeated ids all train.
+A very long text is labelled over all of its bytes, ``LANES`` segments at a time. Other columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ STEPS = 96
 HIDDEN = 8
 ROWS = 150
 SEGMENTS = 1_200
+#: Segments of one text that training may draw from: the driver's sample is bounded however long texts are.
+PER_TEXT = 256
 EPOCHS = 10
 BATCH = 96
 LANES = 2048
@@ -129,12 +133,13 @@ class ByteGru:
         """(row, class): means of the class probabilities over all bytes of each text; zeros for empty ones."""
         out = np.zeros((len(column), len(self.classes)))
         for first, stop, buf, starts, ends in chunks(column):
-            row, x, real = segments(buf, starts, ends)
+            row, begin = segments(starts, ends)
             sums = np.zeros((stop - first, len(self.classes)))
             for k in range(0, len(row), LANES):
                 own = slice(k, k + LANES)
-                p = softmax(self.forward(np.ascontiguousarray(x[own].T)))
-                p *= real[own].T[..., None]
+                x, real = segment_bytes(buf, begin[own], ends[row[own]])
+                p = softmax(self.forward(np.ascontiguousarray(x.T)))
+                p *= real.T[..., None]
                 np.add.at(sums, row[own], p.sum(axis=0))
             out[first:stop] = sums / np.maximum(ends - starts, 1)[:, None]
         return out
@@ -147,21 +152,41 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return p
 
 
-def segments(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, bytes (segment, step) filled up with spaces, which bytes are real)."""
+def segments(starts: np.ndarray, ends: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first byte) of each segment."""
     count = -(-(ends - starts) // steps)
     row = np.repeat(np.arange(len(starts)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    begin = starts[row] + nth * steps
+    return row, starts[row] + nth * steps
+
+
+def segment_bytes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes (segment, step) filled up with spaces, which bytes are real)."""
     at = begin[:, None] + np.arange(steps)
-    real = at < ends[row][:, None]
-    return row, np.where(real, buf[np.minimum(at, len(buf) - 1)], 0x20).astype(np.uint8), real
+    real = at < end[:, None]
+    return np.where(real, buf[np.minimum(at, len(buf) - 1)], 0x20).astype(np.uint8), real
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def _sampled_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text's segments at most ``PER_TEXT``, by chance that depends on the text's length only."""
+    for batch in batches:
+        lang, held, length = [], [], []
+        for k, name in enumerate(batch.column(0).to_pylist()):
+            for _, _, buf, starts, ends in chunks(batch.column(1).slice(k, 1)):
+                row, begin = segments(starts, ends)
+                if len(begin) > PER_TEXT:
+                    begin = np.sort(np.random.RandomState(len(begin)).permutation(len(begin))[:PER_TEXT]) * STEPS + starts[0]
+                x, real = segment_bytes(buf, begin, np.full(len(begin), ends[0]))
+                lang += [name] * len(x)
+                held += [v.tobytes() for v in x]
+                length += real.sum(axis=1).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(held, pa.binary()), pa.array(length, pa.int32())], names=["lang", "bytes", "length"])
+
+
 def train(docs: DataFrame, rows: int = ROWS) -> ByteGru | None:
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -170,23 +195,18 @@ def train(docs: DataFrame, rows: int = ROWS) -> ByteGru | None:
     classes = sorted(counts)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*[F.lit(v) for k in classes for v in (k, rows / counts[k])]), F.col("lang"))
-    sample = known.filter(chance < share).select("lang", "text").toArrow()
-    texts, lang = sample["text"].combine_chunks(), sample["lang"].to_pylist()
+    sample = known.filter(chance < share).select("lang", "text").mapInArrow(_sampled_segments, "lang string, bytes binary, length int").toArrow()
     rng = np.random.RandomState(3)
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(len(classes))}
-    order = sorted(range(len(lang)), key=lambda k: (lang[k], texts[k].as_py() or ""))  # the rows' order must not matter
-    for k in order:
-        for _, _, buf, starts, ends in chunks(texts.slice(k, 1)):
-            _, x, real = segments(buf, starts, ends)
-            parts[classes.index(lang[k])].append((x, real))
     xs, ys, reals = [], [], []
-    for k, own in parts.items():
-        if own and sum(len(x) for x, _ in own):
-            x, real = (np.concatenate([o[j] for o in own]) for j in (0, 1))
-            some = rng.permutation(len(x))[:SEGMENTS]
-            xs.append(x[some])
-            reals.append(real[some])
-            ys.append(np.full(len(some), k))
+    kind, held, length = np.array(sample["lang"].to_pylist()), np.array(sample["bytes"].to_pylist(), object), np.asarray(sample["length"])
+    for k, name in enumerate(classes):
+        own = np.flatnonzero(kind == name)
+        own = own[np.lexsort((length[own], held[own]))]  # the rows' order must not matter
+        own = own[rng.permutation(len(own))[:SEGMENTS]]
+        if len(own):
+            xs.append(np.frombuffer(b"".join(held[own]), np.uint8).reshape(-1, STEPS))
+            reals.append(np.arange(STEPS) < length[own][:, None])
+            ys.append(np.full(len(own), k))
     if not xs:
         return None
     return ByteGru(classes).fit(np.concatenate(xs), np.concatenate(ys), np.concatenate(reals))

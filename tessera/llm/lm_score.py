@@ -11,7 +11,9 @@ to a bucket by hash, the bucket adds up and answers each block with the sums; th
 bigrams. A word or bigram of any frequency is thus one entry a block. Then each block prices its documents alone.
 
 Words are identified by a 64-bit hash. Null, empty and wordless texts have no tokens and a null score. Without a labelled
-document the target model is its smoothing alone.
+document the target model is its smoothing alone. Repeated rows count and are scored each; a document labelled twice is
+good if any label says so. A very long text is one document of a block, which then has more than ``FLUSH`` tokens, some
+100 bytes each. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes
-from tessera.llm.store import buckets_for, stored, text_batches
+from tessera.llm.store import MAX_TASKS, buckets_for, dealt, stored, text_batches
 
-#: No longer used: frequent bigrams need no path of their own. Tests set it.
-HEAVY = 2048
 MU = 200.0
 FLUSH = 1 << 20
 _U = np.uint64
@@ -221,12 +221,17 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     arrow = to_arrow_type(docs.schema["doc_id"].dataType)
     blocks = stored(marked.mapInArrow(_blocks(arrow), f"block long, ids array<{kind}>, words binary, tokens binary, runs binary, targets binary"), "lm-blocks")
     asked = blocks.drop("ids").mapInArrow(_ask_words(buckets), ASKED)
-    words = _freed(stored(asked.groupBy("bucket").applyInArrow(_answer, ANSWERED), "lm-words"))
+    words = _freed(stored(dealt(asked, buckets).groupBy("bucket").applyInArrow(_answer, ANSWERED), "lm-words"))
     size, n_all, n_target, single_all, single_target = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in TOTALS)).first()
     words = words.drop(*TOTALS)
-    by_block = blocks.drop("ids").groupBy("block").cogroup(words.groupBy("block"))
-    bigrams = _freed(stored(by_block.applyInArrow(_ask_bigrams(buckets), ASKED).groupBy("bucket").applyInArrow(_answer, ANSWERED).drop(*TOTALS), "lm-bigrams"))
+    tasks = min(buckets, MAX_TASKS)  # a few blocks each
+
+    def by_block(table: DataFrame):
+        return table.repartition(tasks, "block").groupBy("block")
+
+    pairs = by_block(blocks.drop("ids")).cogroup(by_block(words)).applyInArrow(_ask_bigrams(buckets), ASKED)
+    bigrams = _freed(stored(dealt(pairs, buckets).groupBy("bucket").applyInArrow(_answer, ANSWERED).drop(*TOTALS), "lm-bigrams"))
     answers = words.withColumn("bigram", F.lit(0)).unionByName(bigrams.withColumn("bigram", F.lit(1)))
     price = _price(buckets, (n_target, n_all), (single_target, single_all), size, arrow)
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(price, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
+    out = by_block(blocks).cogroup(by_block(answers)).applyInArrow(price, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import language_id, token_counts
@@ -26,9 +27,41 @@ def test_gradients():
         assert grad[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-2, rel=0.05, abs=2e-4)
 
 
-def test_languages(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "EPOCHS", 4)
-    monkeypatch.setattr(language_id, "SEGMENTS", 500)
+def test_forward_by_one_byte_at_a_time():
+    """The network's states, gate by gate, and a document's means over its bytes."""
+    net = language_id.ByteGru(["a", "b", "c"], hidden=3, seed=9)
+    text = "Ünï text that is longer than one segment of the network, so that the states start anew in the middle of it. End"
+    data, steps = text.encode(), language_id.STEPS
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for begin in range(0, len(data), steps):
+        part = data[begin : begin + steps]
+        padded = list(part.ljust(steps, b" "))
+        states = []
+        for d, seen in ((0, padded), (1, padded[::-1])):
+            h, own = np.zeros(3), []
+            for byte in seen:
+                gates = sigmoid(2 * (net.w["gates_in"][d][byte] + h @ net.w["gates"][d]))
+                update, reset = gates[:3], gates[3:]
+                new = np.tanh(net.w["new_in"][d][byte] + (reset * h) @ net.w["new"][d])
+                h = (1 - update) * h + update * new
+                own.append(h)
+            states.append(own if d == 0 else own[::-1])
+        for t in range(len(part)):
+            logits = states[0][t] @ net.w["out"][0] + states[1][t] @ net.w["out"][1] + net.w["bias"]
+            want.append(np.exp(logits) / np.exp(logits).sum())
+    got = net.document_probabilities(pa.array([text, None, ""]))
+    assert got[0] == pytest.approx(np.mean(want, axis=0), rel=1e-4) and (got[1:] == 0).all()
+
+
+def test_very_long_text(spark):
+    """Every byte counts, and training draws a bounded part of a text."""
+    docs = spark.createDataFrame([(1, "der die das und " * 60_000, "de"), (3, "the and of with " * 60_000, "en"), (4, "the and of with " * 30_000 + "der die das und " * 40_000, None)], DOCS)
+    got = {r.doc_id: r for r in language_id.language_ids(docs).collect()}
+    assert [got[k].lang_pred for k in (1, 3, 4)] == ["de", "en", "de"]
+
+
+def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(50001, None, "en"), (50002, "", None), (50003, "123 ... 45", "de"), (50004, "a", None), (None, "le la de", None)], DOCS)
     got = language_id.language_ids(docs.select("doc_id", "text", "lang").union(odd)).toPandas()

@@ -89,9 +89,7 @@ def reference(docs, good, size):
     return out
 
 
-@pytest.mark.parametrize("heavy", [2048, 40])
-def test_lm_scores(spark, sf, monkeypatch, heavy):
-    monkeypatch.setattr(lm_score, "HEAVY", heavy)
+def test_lm_scores(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
     docs = docs.union(spark.createDataFrame([(9000, None), (9001, " "), (9002, "the"), (9003, docs.first().text)], "doc_id long, text string")).cache()
     labels = spark.createDataFrame([(k, int(k % 3 == 0), 0) for k in range(60)] + [(None, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
