@@ -17,6 +17,7 @@ columns, whatever their names, pass through.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -30,80 +31,111 @@ from tessera.llm.bytescan import ALNUM, LOWER, Words, chunks
 from tessera.llm.store import fresh, text_batches
 
 WINDOW = 10
-#: Item text that one automaton may hold; more goes to further passes.
-MAX_ITEM_BYTES = 16 << 20
+#: Item text that one automaton may hold: some 300 MB on the driver while it is built, less in a worker; more goes to further passes.
+MAX_ITEM_BYTES = 8 << 20
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over integer words; ``windows`` maps a state to the items whose windows end there."""
+    """Generalised suffix automaton over integer words; ``windows`` numbers the sets of items whose windows end in a state.
+
+    Nearly all states have one transition; it stands in two arrays, and dictionaries hold the others'. A state takes some
+    40 bytes. Words are below 2^31.
+    """
 
     def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.window = window
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.word, self.next = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         for _, words in items:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-        self.windows: dict[int, set[str]] = {}
+        self.windows = array("i", [-1]) * len(self.length)
+        self.sets: list[frozenset[str]] = []
+        numbers: dict[frozenset[str], int] = {}
         self.short: dict[int, list[tuple[int, str | None]]] = {}
         for name, words in items:
             if not words:
                 continue
+            own = frozenset([name] if name is not None else [])
             state, matched = 0, 0
             for w in words:
                 state, matched = self.step(state, matched, w)
                 if matched >= window:
-                    self.windows.setdefault(self.window_state(state), set()).update([name] if name is not None else [])
+                    at = self.window_state(state)
+                    held = self.windows[at]
+                    if held < 0 or not own <= self.sets[held]:
+                        both = own if held < 0 else own | self.sets[held]
+                        if both not in numbers:
+                            numbers[both] = len(self.sets)
+                            self.sets.append(both)
+                        self.windows[at] = numbers[both]
             if len(words) < window:
                 while self.length[self.link[state]] >= len(words):
                     state = self.link[state]
                 self.short.setdefault(state, []).append((len(words), name))
         self.shortest = min([window, *(n for entries in self.short.values() for n, _ in entries)])
         #: the nearest state at or above each one, by suffix links, at which a short item ends
-        self.short_at = [-1] * len(self.next)
-        for s in sorted(range(len(self.next)), key=self.length.__getitem__):
-            self.short_at[s] = s if s in self.short else self.short_at[self.link[s]] if s else -1
+        self.short_at = array("i", [-1]) * len(self.length)
+        if self.short:
+            for s in np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist():
+                self.short_at[s] = s if s in self.short else self.short_at[self.link[s]] if s else -1
+
+    def get(self, state: int, w: int) -> int:
+        """The state that a word leads to, -1 for none."""
+        if self.word[state] == w:
+            return self.next[state]
+        others = self.more.get(state)
+        return others.get(w, -1) if others is not None else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.next[state] = w, to
+        else:
+            self.more.setdefault(state, {})[w] = to
 
     def _extend(self, last: int, w: int) -> int:
-        if w in self.next[last]:
-            q = self.next[last][w]
+        q = self.get(last, w)
+        if q >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._clone(last, q, w)
-        new = self._state(self.length[last] + 1, {})
+        new = self._state(self.length[last] + 1)
         p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = new
+        while p >= 0 and self.get(p, w) < 0:
+            self._set(p, w, new)
             p = self.link[p]
         if p < 0:
             self.link[new] = 0
         else:
-            q = self.next[p][w]
+            q = self.get(p, w)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, w)
         return new
 
-    def _state(self, length: int, following: dict[int, int]) -> int:
-        self.next.append(following)
-        self.length.append(length)
-        self.link.append(0)
-        return len(self.next) - 1
+    def _state(self, length: int) -> int:
+        for column, value in ((self.word, -1), (self.next, -1), (self.link, 0), (self.length, length)):
+            column.append(value)
+        return len(self.length) - 1
 
     def _clone(self, p: int, q: int, w: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.next[q]))
+        copy = self._state(self.length[p] + 1)
+        self.word[copy], self.next[copy] = self.word[q], self.next[q]
+        if q in self.more:
+            self.more[copy] = dict(self.more[q])
         self.link[copy] = self.link[q]
         self.link[q] = copy
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = copy
+        while p >= 0 and self.get(p, w) == q:
+            self._set(p, w, copy)
             p = self.link[p]
         return copy
 
     def step(self, state: int, matched: int, w: int) -> tuple[int, int]:
         """The state and length of the longest match that ends in w."""
-        while w not in self.next[state]:
+        while (to := self.get(state, w)) < 0:
             state = self.link[state]
             if state < 0:
                 return 0, 0
             matched = self.length[state]
-        return self.next[state][w], matched + 1
+        return to, matched + 1
 
     def window_state(self, state: int) -> int:
         while self.length[self.link[state]] >= self.window:
@@ -120,7 +152,7 @@ class SuffixAutomaton:
             covered = 0
             if matched >= self.window:
                 covered = matched
-                found |= self.windows[self.window_state(state)]
+                found |= self.sets[self.windows[self.window_state(state)]]
             end = self.short_at[state]
             while end >= 0:
                 for n, name in self.short[end]:
