@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 # Freed Arrow buffers go back to the system at once; a worker shares its executor's memory with another one.
 pa.set_memory_pool(pa.system_memory_pool())
 _U = np.uint64

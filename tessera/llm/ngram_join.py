@@ -111,7 +111,7 @@ def _nodes(n: int):
                     kept.append(hashes)
             docs += rows
             sizes.append(rows)
-            if sum(map(len, kept)) > 1 << 20:
+            if sum(map(len, kept)) > 1 << 19:
                 kept = [_often(kept, docs)]
             columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary()), pa.nulls(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n_grams", "counts", "grams", "wide"])
@@ -196,7 +196,7 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
                 grams.append(hashes[:take])
                 nodes.append(node)
                 held += take
-                if held > 1 << 20:
+                if held > 1 << 19:
                     yield flush(grams, nodes)
                     grams, nodes, held = [], [], 0
         if grams:

@@ -127,56 +127,59 @@ def _by_text(tid: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), packed, pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64())], names=["tid", "places", "gram", "n"])
 
 
-def _repeated(hot: int, held_most: int = HELD):
-    """applyInArrow function over a bucket: anchors whose gram occurs at two places or more, by text, and grams of over ``hot`` places.
+class Repeats:
+    """Entries (hash, text, place, ...) whose hash occurs at two places or more, out of a stream; one entry of each hash is held."""
+
+    def __init__(self, held_most: int = HELD):
+        self.held = [np.zeros(0, k) for k in (*KINDS.values(), np.int64, bool)]  # hash ... high, places of the hash, whether it is out
+        self.more: list[list[np.ndarray]] = []
+        self.count, self.held_most = 0, held_most
+
+    def add(self, columns: list[np.ndarray]) -> bool:
+        """Whether it is time to fold."""
+        self.more.append([*columns, np.ones(len(columns[0]), np.int64), np.zeros(len(columns[0]), bool)])
+        self.count += len(columns[0])
+        return self.count > self.held_most
+
+    def fold(self) -> tuple[np.ndarray, ...]:
+        """(text, place, low, high) of entries that are known to repeat since the last time."""
+        columns = [np.concatenate([h, *(m[k] for m in self.more)]) for k, h in enumerate(self.held)]
+        self.more, self.count = [], 0
+        gram, tid, at, _, _, _, out = columns
+        order = np.lexsort((~out, at, tid, gram))
+        gram, tid, at = gram[order], tid[order], at[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))[: len(gram)]
+        gram, tid, at, low, high, n, out = (c[order][new] for c in columns)
+        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        if not len(first):
+            return tid, at, low, high
+        size = np.diff(np.append(first, len(gram)))
+        known = np.logical_or.reduceat(out, first) | (size > 1)
+        go = np.repeat(known, size) & ~out
+        self.held = [c[first] for c in (gram, tid, at, low, high)] + [np.add.reduceat(n, first), known]
+        return tid[go], at[go], low[go], high[go]
 
-    Rows are read as a stream; of each gram one anchor stays, the others go out as soon as there are two.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, k) for k in (*KINDS.values(), np.int64, bool)]  # gram ... high, places of the gram, whether it is out
-        more: list[list[np.ndarray]] = []
-        count = 0
-
-        def fold() -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            columns = [np.concatenate([h, *(m[k] for m in more)]) for k, h in enumerate(held)]
-            more.clear()
-            gram, tid, at, _, _, _, out = columns
-            order = np.lexsort((~out, at, tid, gram))
-            gram, tid, at, low, high, n, out = (c[order] for c in columns)
-            new = np.append(True, (gram[1:] != gram[:-1]) | (tid[1:] != tid[:-1]) | (at[1:] != at[:-1]))[: len(gram)]
-            gram, tid, at, low, high, n, out = (c[new] for c in (gram, tid, at, low, high, n, out))
-            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
-            if not len(first):
-                return
-            size = np.diff(np.append(first, len(gram)))
-            known = np.logical_or.reduceat(out, first)
-            go = np.repeat((size > 1) | known, size) & ~out
-            if go.any():
-                yield _by_text(tid[go], at[go], low[go], high[go])
-            held = [c[first] for c in (gram, tid, at, low, high)] + [np.add.reduceat(n, first), known | (size > 1)]
+def _repeated(hot: int, held_most: int = HELD):
+    """applyInArrow function over a bucket: anchors whose gram occurs at two places or more, by text, and grams of over ``hot`` places."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Repeats(held_most)
         for batch in batches:
-            rows = [[np.frombuffer(b, kind) for b in batch.column(name).to_pylist()] for name, kind in KINDS.items()]
-            for k in range(batch.num_rows):
-                own = [c[k] for c in rows]
-                more.append([*own, np.ones(len(own[0]), np.int64), np.zeros(len(own[0]), bool)])
-                count += len(own[0])
-            if count > held_most:
-                yield from fold()
-                count = 0
-        yield from fold()
-        many = held[5] > hot
+            for row in zip(*(batch.column(name).to_pylist() for name in KINDS), strict=True):
+                if seen.add([np.frombuffer(b, kind) for b, kind in zip(row, KINDS.values(), strict=True)]):
+                    yield _by_text(*seen.fold())
+        yield _by_text(*seen.fold())
+        many = seen.held[5] > hot
         if many.any():
             none = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(held[0][many].view(np.int64)), pa.array(held[5][many])], names=["tid", "places", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()), pa.array(seen.held[0][many].view(np.int64)), pa.array(seen.held[5][many])], names=["tid", "places", "gram", "n"])
 
     return run
 
 
 PLACE = np.dtype([("at", "<i4"), ("low", "u1"), ("high", "u1")])
-RUN = "bucket int, runs binary"
+RUN = "bucket int, runs binary, gram binary, tid binary, at binary"
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -280,49 +283,8 @@ def _is_hot(data: bytes, places: np.ndarray, seed: int, hot: np.ndarray) -> np.n
     return hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
 
 
-def _emit_windows(length: int, seed: int, buckets: int, hot: np.ndarray):
-    """mapInArrow function over (tid, text, places): hashes of all windows of hot grams' anchors, as anchors are emitted."""
-
-    def flush(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        gram, tid, at = (np.concatenate([h[k] for h in held]) for k in range(3))
-        none = np.zeros(len(gram), np.uint8)
-        return _packed((gram % _U(buckets)).astype(np.int64), {"gram": gram, "tid": tid, "at": at.astype(np.int32), "low": none, "high": none})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        for batch in batches:
-            for tid, text, packed in zip(*(batch.column(k) for k in range(3)), strict=True):
-                data = text.as_py().encode()
-                places = np.unique(np.frombuffer(b"".join(packed.as_py()), PLACE))
-                places = places[_is_hot(data, places, seed, hot)]
-                if not len(places):
-                    continue
-                at = np.unique(np.concatenate([np.arange(a - high, a - low + 1) for a, low, high in places.tolist()]))
-                held.append((_hash_at(np.frombuffer(data, np.uint8), at, length), np.full(len(at), tid.as_py(), np.int64), at))
-                count += len(at)
-                if count > 1 << 20:
-                    yield flush(held)
-                    held, count = [], 0
-        if held:
-            yield flush(held)
-
-    return run
-
-
-def _window_spans(length: int):
-    """mapInArrow function over (tid, places of windows): spans to remove."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [np.frombuffer(p, PLACE)["at"].astype(np.int64) for p in batch.column(1).to_pylist()]
-            spans = [merged(np.stack([a, a + length], axis=1)).tobytes() for a in at]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary())], names=["tid", "spans"])
-
-    return run
-
-
 def _emit_runs(length: int, seed: int, buckets: int, hot: np.ndarray):
-    """mapInArrow function over (tid, text, places): sorted runs of the anchors' suffixes with their left contexts, by bucket; not those of hot grams."""
+    """mapInArrow function over (tid, text, places), by bucket: sorted runs of the anchors' suffixes with their left contexts; of hot grams' anchors the hashes of all windows."""
     import pickle
 
     def flush(held: list[tuple[int, bytes, bytes, int, int, int, int]]) -> pa.RecordBatch:
@@ -336,27 +298,38 @@ def _emit_runs(length: int, seed: int, buckets: int, hot: np.ndarray):
             left = [r[2] for r in records]
             facts = (np.array([len(x) for x in left], np.uint8), b"".join(left), np.array([r[3] for r in records], np.int64), np.array([r[4] for r in records], np.int32), np.array([r[5] for r in records], np.uint8), np.array([r[6] for r in records], np.uint8))
             out.append((bucket, pickle.dumps((shared, lengths, rests, *facts))))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary())], names=["bucket", "runs"])
+        none = pa.nulls(len(out), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([r for _, r in out], pa.binary()), none, none, none], names=["bucket", "runs", "gram", "tid", "at"])
+
+    def flush_windows(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        gram, tid, at = (np.concatenate([h[k] for h in held]) for k in range(3))
+        made = _packed((gram % _U(buckets)).astype(np.int64), {"gram": gram, "tid": tid, "at": at.astype(np.int32)})
+        return pa.RecordBatch.from_arrays([made.column(0), pa.nulls(made.num_rows, pa.binary()), *made.columns[1:]], names=["bucket", "runs", "gram", "tid", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = [], set()
+        held, windows, count = [], [], 0
         for batch in batches:
-            tids, texts, places = (batch.column(k) for k in range(3))
-            for k in range(batch.num_rows):
-                tid = tids[k].as_py()
-                if tid in seen:
-                    continue
-                seen.add(tid)
-                data = texts[k].as_py().encode()
-                own = np.frombuffer(b"".join(places[k].as_py()), PLACE)
-                for at, low, high in own[~_is_hot(data, own, seed, hot)].tolist():
+            for tid, text, packed in zip(*(batch.column(k) for k in range(3)), strict=True):
+                tid, data = tid.as_py(), text.as_py().encode()
+                places = np.frombuffer(b"".join(packed.as_py()), PLACE)
+                spread = _is_hot(data, places, seed, hot)
+                for at, low, high in places[~spread].tolist():
                     gram = data[at : at + seed]
                     held.append((hash_bucket(gram, buckets), data[at : at + length - low], data[at - high : at], tid, at, low, high))
+                if spread.any():
+                    at = np.unique(np.concatenate([np.arange(a - high, a - low + 1) for a, low, high in places[spread].tolist()]))
+                    windows.append((_hash_at(np.frombuffer(data, np.uint8), at, length), np.full(len(at), tid, np.int64), at))
+                    count += len(at)
                 if len(held) > 200_000:
                     yield flush(held)
                     held = []
+                if count > 1 << 20:
+                    yield flush_windows(windows)
+                    windows, count = [], 0
         if held:
             yield flush(held)
+        if windows:
+            yield flush_windows(windows)
 
     return run
 
@@ -386,12 +359,35 @@ def repeated_windows(shared: np.ndarray, left: np.ndarray, low: np.ndarray, high
     return out
 
 
+def _spans(tid: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans packed by text."""
+    order = np.lexsort((begin, tid))
+    names, cut = np.unique(tid[order], return_index=True)
+    spans = np.stack([begin[order], end[order]], axis=1).astype(np.int64)
+    stops = np.append(cut[1:], len(order))[: len(names)]
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([merged(spans[a:b]).tobytes() for a, b in zip(cut, stops, strict=True)], pa.binary())], names=["tid", "spans"])
+
+
 def _merge(length: int, seed: int):
-    """applyInArrow function over a bucket's runs: spans to remove, packed by text."""
+    """applyInArrow function over a bucket: its runs are merged, windows of hot grams counted as they come; spans to remove, packed by text."""
     import pickle
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        coded = [pickle.loads(r) for r in table["runs"].to_pylist()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, seen = [], Repeats()
+        for batch in batches:
+            coded += [pickle.loads(r) for r in batch.column("runs").to_pylist() if r is not None]
+            for gram, tid, at in zip(*(batch.column(c).to_pylist() for c in ("gram", "tid", "at")), strict=True):
+                if gram is not None:
+                    none = np.zeros(len(gram) // 8, np.uint8)
+                    if seen.add([np.frombuffer(gram, np.uint64), np.frombuffer(tid, np.int64), np.frombuffer(at, np.int32), none, none]):
+                        tids, places, _, _ = seen.fold()
+                        yield _spans(tids, places, places + length)
+        tids, places, _, _ = seen.fold()
+        yield _spans(tids, places, places + length)
+        if coded:
+            yield merge_runs(coded)
+
+    def merge_runs(coded: list[tuple]) -> pa.RecordBatch:
         start = np.concatenate(([0], np.cumsum([len(c[0]) for c in coded])))
         done = [0] * len(coded)
         order, shared = np.zeros(start[-1], np.int64), np.zeros(start[-1], np.int32)
@@ -416,12 +412,7 @@ def _merge(length: int, seed: int):
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         last = np.nonzero(edge == -1)[1] - 1
-        begin, end = at[row] - last, at[row] - first + length
-        order = np.lexsort((begin, tid[row]))
-        names, cut = np.unique(tid[row][order], return_index=True)
-        spans = np.stack([begin[order], end[order]], axis=1).astype(np.int64)
-        stops = np.append(cut[1:], len(order))[: len(names)]
-        return pa.table({"tid": pa.array(names, pa.int64()), "spans": pa.array([merged(spans[a:b]).tobytes() for a, b in zip(cut, stops, strict=True)], pa.binary())})
+        return _spans(tid[row], at[row] - last, at[row] - first + length)
 
     return run
 
@@ -451,18 +442,12 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, seed: int = SEED_BYTES,
     hot = np.sort(np.array([r.gram for r in counted.filter(F.col("n") > total // 1_000_000).select("gram").collect()], np.int64).view(_U))
     joined = texts.dropDuplicates(["tid"]).join(by_text, "tid").select("tid", "text", "places")
     runs = joined.mapInArrow(_emit_runs(length, seed, buckets, hot), RUN)
-    spans = [Stored(dealt(runs, buckets).groupBy("bucket").applyInArrow(_merge(length, seed), "tid long, spans binary"), "suffix-spans")]
-    if len(hot):
-        windows = joined.mapInArrow(_emit_windows(length, seed, buckets, hot), ANCHORS)
-        twice = dealt(windows, buckets).groupBy("bucket").applyInArrow(_repeated(1 << 62), REPEATED)
-        spans.append(Stored(twice.select("tid", "places").mapInArrow(_window_spans(length), "tid long, spans binary"), "suffix-windows"))
+    spans = Stored(dealt(runs, buckets).groupBy("bucket").applyInArrow(_merge(length, seed), "tid long, spans binary"), "suffix-spans")
     copies = texts.groupBy("tid").agg(F.count("*").alias("copies")).filter("copies > 1")
-    every = spans[0].df if len(spans) == 1 else spans[0].df.union(spans[1].df)
-    listed = every.groupBy("tid").agg(F.collect_list("spans").alias("spans"))
+    listed = spans.df.groupBy("tid").agg(F.collect_list("spans").alias("spans"))
     info = stored(listed.join(copies, "tid", "full_outer"), "suffix-info")
     places.drop()
-    for s in spans:
-        s.drop()
+    spans.drop()
     return named, info
 
 
