@@ -38,8 +38,6 @@ from tessera.llm.components import connected_components, star_forest
 from tessera.llm.store import dealt, stored
 
 BLOCK = 8
-#: Leading coordinates of a block that the grid cuts at least; more where a label has many vectors (see grid_width).
-GRID = 3
 #: Vectors of one label in a cell that the grid aims at.
 CELL_ROWS = 2_000
 #: A cell with more entries is taken as a whole to be a candidate cluster.
@@ -65,9 +63,8 @@ def block_edges(dim: int) -> np.ndarray:
 
 
 def grid_width(vectors: int) -> int:
-    """Coordinates of a block that the grid cuts: each one more leaves about 0.4 of a cell's vectors and costs half as many entries again."""
-    more = math.log(max(1.0, vectors * 0.1 / CELL_ROWS)) / math.log(2.5)
-    return min(BLOCK, GRID + math.ceil(more))
+    """Leading coordinates of a block that the grid cuts, by the vectors of the largest label: each leaves about a quarter of them in a cell and doubles the entries."""
+    return min(BLOCK, 1 + math.ceil(max(0.0, math.log(max(1, vectors) / 4 / CELL_ROWS, 4))))
 
 
 def _cells(threshold: float, buckets: int, grid: int):
@@ -92,11 +89,12 @@ def _cells(threshold: float, buckets: int, grid: int):
                     lead = x[:, edges[j] : edges[j + 1]][:, :grid]
                     base = mix(label[rows].view(np.uint64) * np.uint64(1_000_003) + np.uint64(j * 4096 + int(dim)))
                     low, high = np.floor((lead - reach) / (2 * reach)).astype(np.int64), np.floor((lead + reach) / (2 * reach)).astype(np.int64)
-                    found.append((_cell(base, np.floor(lead / (2 * reach)).astype(np.int64)), np.zeros(len(rows), np.uint8), np.arange(len(rows))))
+                    own = np.floor(lead / (2 * reach)).astype(np.int64)
+                    other = np.where(low < own, low, high)  # a ball is as wide as a cell, so it touches two of them at most
                     for corner in product((0, 1), repeat=lead.shape[1]):
                         take = np.array(corner, bool)
-                        fresh = ~((low == high) & take).any(axis=1)
-                        found.append((_cell(base, np.where(take, high, low))[fresh], np.ones(fresh.sum(), np.uint8), np.flatnonzero(fresh)))
+                        touched = ~((other == own) & take).any(axis=1)
+                        found.append((_cell(base, np.where(take, other, own))[touched], np.full(touched.sum(), take.any(), np.uint8), np.flatnonzero(touched)))
                 key, role, row = (np.concatenate([f[k] for f in found]) for k in range(3))
                 bucket = (key % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -141,11 +139,12 @@ class _Cell:
         return nodes
 
     def pairs(self, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Candidates: own vectors and reaching ones whose sketches are near."""
-        if self.star >= 0 or not self.nodes[0] or not self.nodes[1]:
+        """Candidates: own vectors and all of the cell's whose sketches are near."""
+        if self.star >= 0 or not self.nodes[0]:
             return
-        home, near = (np.concatenate(n) for n in self.nodes)
-        x, y = (np.concatenate(k).astype(np.float32) for k in self.sketches)
+        home, near = np.concatenate(self.nodes[0]), np.concatenate([*self.nodes[0], *self.nodes[1]])
+        x = np.concatenate(self.sketches[0]).astype(np.float32)
+        y = np.concatenate([x, *(k.astype(np.float32) for k in self.sketches[1])])
         budget = (reach * STEPS) ** 2
         size = (y**2).sum(axis=1)
         for k in range(0, len(home), 512):

@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tessera.llm import embedding_join
 from tessera.llm.embedding_join import grid_width, near_duplicates
 
 
@@ -28,8 +29,11 @@ def brute(rows, threshold=0.98):
     return {(rows[k][0], n[k], rows[find(k)][0]) for k in range(len(rows))}
 
 
-@pytest.mark.parametrize("options", [{}, {"cell_cap": 30, "piece": 16}])
-def test_against_brute_force(spark, sf, options):
+@pytest.mark.parametrize("options", [{}, {"cell_cap": 30, "piece": 16}, {"grid": 3}])
+def test_against_brute_force(spark, sf, options, monkeypatch):
+    if "grid" in options:
+        monkeypatch.setattr(embedding_join, "grid_width", lambda n: options["grid"])
+        options = {}
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     rng = np.random.default_rng(3)
     for k in range(120):  # a dense group
@@ -48,7 +52,7 @@ def test_empty(spark):
 
 def test_grid_follows_the_largest_label():
     widths = [grid_width(n) for n in (0, 1000, 20_000, 60_000, 10**6, 10**12)]
-    assert widths[:3] == [3, 3, 3] and widths == sorted(widths) and widths[-1] == 8
+    assert widths[:2] == [1, 1] and widths == sorted(widths) and widths[-1] == 8
 
 
 def test_other_columns_do_not_matter(spark):
