@@ -32,7 +32,7 @@ def brute(rows, threshold=0.98):
 @pytest.mark.parametrize("options", [{}, {"cell_cap": 30, "piece": 16}, {"grid": 3}])
 def test_against_brute_force(spark, sf, options, monkeypatch):
     if "grid" in options:
-        monkeypatch.setattr(embedding_join, "grid_width", lambda n: options["grid"])
+        monkeypatch.setattr(embedding_join, "grid_width", lambda n, width=options["grid"]: width)
         options = {}
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     rng = np.random.default_rng(3)
