@@ -92,7 +92,7 @@ def unpack(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-NODE_SCHEMA = "doc_id long, text_hash long, node long, n_grams long, counts binary, grams binary, wide binary"
+NODE_SCHEMA = "doc_id long, text_hash long, node long, n_grams long, counts binary, wide binary"
 
 
 def _nodes(n: int):
@@ -102,23 +102,44 @@ def _nodes(n: int):
         for batch in batches:
             rows = batch.num_rows
             node, size = [None] * rows, [0] * rows
-            counts, grams = [None] * rows, [None] * rows
+            counts = [None] * rows
             for row, hashes in ngram_sets(batch.column(1), n):
                 node[row], size[row] = set_node(hashes), len(hashes)
                 if node[row] not in seen:
                     seen.add(node[row])
-                    counts[row], grams[row] = group_counts(hashes).tobytes(), hashes.tobytes()
+                    counts[row] = group_counts(hashes).tobytes()
                     kept.append(hashes)
             docs += rows
             sizes.append(rows)
             if sum(map(len, kept)) > 1 << 19:
                 kept = [_often(kept, docs)]
-            columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.array(grams, pa.binary()), pa.nulls(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n_grams", "counts", "grams", "wide"])
+            columns = [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(counts, pa.binary()), pa.nulls(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "node", "n_grams", "counts", "wide"])
         often = _often(kept, docs)
         if len(often):
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array([often.tobytes()], pa.binary())], names=["doc_id", "text_hash", "node", "n_grams", "counts", "grams", "wide"])
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([often.tobytes()], pa.binary())], names=["doc_id", "text_hash", "node", "n_grams", "counts", "wide"])
+
+    return run
+
+
+def _grams(n: int):
+    """mapInArrow function over (node, cluster, members, text): each node once, with its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            node = batch.column(0).to_pylist()
+            at, counts, grams = [], [], []
+            new = [k for k, v in enumerate(node) if v not in seen and not seen.add(v)]
+            for k, hashes in ngram_sets(batch.column(3).take(pa.array(new, pa.int64())), n):
+                if set_node(hashes) == node[new[k]]:  # another text may have the same hash
+                    at.append(new[k])
+                    counts.append(group_counts(hashes).tobytes())
+                    grams.append(hashes.tobytes())
+            held = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:3]]
+            sizes = pa.array([len(g) // 8 for g in grams], pa.int64())
+            yield pa.RecordBatch.from_arrays([*held, sizes, pa.array(counts, pa.binary()), pa.array(grams, pa.binary())], names=["node", "cluster", "members", "n_grams", "counts", "grams"])
 
     return run
 
@@ -474,6 +495,7 @@ def _in_pieces(large: DataFrame, percent: int, cluster_cap: int) -> DataFrame:
     ``HUBS`` sets with the smallest hash. Of each cluster, the sets of the largest component found so far needn't be
     compared with each other any more: only pairs of pieces of which one holds other sets are left.
     """
+    large = stored(large, "ngram-large")
     half = cluster_cap // 2
     mixed = F.xxhash64("node", F.lit(1))
     pieces = F.ceil(F.col("members") / half).cast("int")
@@ -509,24 +531,25 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary")
     blocks = dealt(prefixes, buckets).groupBy("bucket").applyInArrow(_blocks(tree_cap), "block long, whole boolean, nodes array<long>")
     blocks = stored(blocks.dropDuplicates(["block"]), "ngram-blocks")
-    sets = every.filter("grams is not null")
-    points = sets.select("node", "n_grams", "counts").groupBy("node").agg(F.first("n_grams").alias("n_grams"), F.first("counts").alias("counts"))
+    docs_nodes = stored(every.select("doc_id", "text_hash", "node", "n_grams"), "ngram-docs")
+    points = every.filter("counts is not null").groupBy("node").agg(F.first("n_grams").alias("n_grams"), F.first("counts").alias("counts"))
     stars = blocks.filter("whole").select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b"))
     members = blocks.filter("not whole").select("block", F.explode("nodes").alias("node"), F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int").alias("bucket"))
     forest = dealt(members.join(points, "node"), buckets).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long")
     clusters = stored(connected_components(forest.union(stars), "a", "b").withColumnRenamed("component", "cluster"), "ngram-clusters")
     clusters = clusters.union(clusters.select(F.col("cluster"), F.col("cluster")).distinct())
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    placed = stored(clusters.join(sizes, "cluster"), "ngram-members")
-    held = sets.select("node", "n_grams", "counts", "grams")
-    few = placed.count() * 24 <= 32 << 20
-    joined = held.join(F.broadcast(placed) if few else placed, "node").dropDuplicates(["node"])
+    texts = docs_nodes.groupBy("node").agg(F.min("text_hash").alias("text_hash"))
+    placed = stored(clusters.join(sizes, "cluster").join(texts, "node"), "ngram-members")
+    few = placed.count() * 32 <= 32 << 20
+    own = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(placed) if few else placed, "text_hash")
+    # n-grams are made again for the nodes of clusters only, instead of stored for all
+    joined = own.select("node", "cluster", "members", "text").mapInArrow(_grams(n), "node long, cluster long, members long, n_grams long, counts binary, grams binary").dropDuplicates(["node"])
     small = joined.filter(F.col("members") <= cluster_cap).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
     links = dealt(small, buckets).groupBy("bucket").applyInArrow(_verify(percent, "cluster"), "a long, b long")
     if placed.filter(F.col("members") > cluster_cap).limit(1).count():
         links = links.union(_in_pieces(joined.filter(F.col("members") > cluster_cap), percent, cluster_cap))
     out = stored(connected_components(links, "a", "b"), "ngram-components")
-    docs_nodes = stored(every.select("doc_id", "text_hash", "node", "n_grams"), "ngram-docs")
     table.drop()
     return docs_nodes, out
 
