@@ -6,6 +6,7 @@ longest single text. Hashes are 64-bit polynomial sums over random byte values,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 CHUNK = 1 << 18
 # Freed Arrow buffers go back to the system at once; a worker shares its executor's memory with another one.
 pa.set_memory_pool(pa.system_memory_pool())
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _U = np.uint64
 _rng = np.random.RandomState(20240517)
 BYTE_VALUE = _rng.randint(1, 1 << 62, size=256, dtype=np.int64).astype(_U) | _U(1)
@@ -31,6 +33,12 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+def release() -> None:
+    """Gives freed memory back to the system (glibc keeps it otherwise): workers are reused, and several share an executor's memory."""
+    if _trim is not None:
+        _trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["p"]) < n:
         size = max(n, CHUNK * 2)
@@ -85,6 +93,7 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
             buf[at[k] : at[k] + part[k]] = raw[starts[first + k] : ends[first + k]]
         yield first, stop, buf, at[:-1], at[:-1] + part
         first = stop
+    release()
 
 
 class Words:

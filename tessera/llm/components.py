@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bytescan import release
 from tessera.llm.store import Stored
 
 
@@ -48,6 +49,8 @@ def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = star_forest(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
         for k in range(0, len(u), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(u[k : k + (1 << 16)]), pa.array(v[k : k + (1 << 16)])], names=["u", "v"])
+    held = []
+    release()
 
 
 def connected_components(links: DataFrame, a: str, b: str, local_links: int = LOCAL_LINKS) -> DataFrame:

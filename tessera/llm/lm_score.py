@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes
+from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, release
 from tessera.llm.store import MAX_TASKS, buckets_for, dealt, stored, text_batches
 
 MU = 200.0
@@ -143,6 +143,7 @@ def _ask_words(buckets: int):
 
 def _answer(key: tuple, table: pa.Table) -> pa.Table:
     """The sums over all blocks of a bucket's entries, back to each block; one row has the number of those that occur twice or more and the sums of all and of the others."""
+    release()  # what the last bucket held
     asked = [_expanded(b, _U, True) for b in table["hash"].to_pylist()]
     hashes, n, nt = np.concatenate(asked), *(_joined(table[c].to_pylist(), np.int64) for c in ("n", "nt"))
     names, at = np.unique(hashes, return_inverse=True)
@@ -175,6 +176,7 @@ def _bigrams(words: np.ndarray, known: np.ndarray, tokens: np.ndarray, doc: np.n
 
 def _ask_bigrams(buckets: int):
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()  # what the last block held
         words, tokens, doc, target = _open(left.to_pylist()[0])
         n, _ = _answers(right, words, buckets)
         follows, grams = _bigrams(words, n > 1, tokens, doc)
@@ -187,6 +189,7 @@ def _price(buckets: int, totals: tuple[int, int], unknown: tuple[int, int], size
     """cogroup function: losses of a block's documents. ``totals`` and ``unknown`` are tokens in all and of the unknown word, by the target and the background; ``size`` is the number of known words."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        release()  # what the last block held
         row = left.to_pylist()[0]
         words, tokens, doc, _ = _open(row)
         is_word = np.asarray(right["bigram"]) == 0

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix, sequence_hash
+from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix, release, sequence_hash
 from tessera.llm.components import connected_components
 from tessera.llm.store import Stored, buckets_for, dealt, stored, text_batches
 
@@ -222,6 +222,8 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
                     grams, nodes, held = [], [], 0
         if grams:
             yield flush(grams, nodes)
+        grams = []
+        release()
 
     return run
 
@@ -283,6 +285,8 @@ def _blocks(cap: int, held_most: int = HELD):
         rows += [(False, v) for v in blocks.values()]
         for k in range(0, len(rows), 10_000):
             yield _block_rows(rows[k : k + 10_000])
+        del gram, node, rows, blocks
+        release()
 
     return run
 
@@ -423,7 +427,10 @@ def _forest(percent: int):
             own = at[s:e]
             for i, j in tree_pairs(counts[s:e], sizes[s:e], percent, lambda rows, own=own: groups.label[own[rows]]):
                 out += [(x, y) for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True) if groups.join(x, y)]
-        return pa.table({"a": pa.array(names[[x for x, _ in out]], pa.int64()), "b": pa.array(names[[y for _, y in out]], pa.int64())})
+        made = pa.table({"a": pa.array(names[[x for x, _ in out]], pa.int64()), "b": pa.array(names[[y for _, y in out]], pa.int64())})
+        del table, counts, groups, out
+        release()
+        return made
 
     return run
 
@@ -472,8 +479,13 @@ def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: i
 
 
 def _verify(percent: int, by: str, known: str | None = None):
+    """applyInArrow function over a bucket of clusters, or over pieces: true links. Rows that repeat a node count once."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([(by, "ascending"), ("node", "ascending")])
+        groups, nodes = np.asarray(table[by]), np.asarray(table["node"])
+        new = np.append(True, (groups[1:] != groups[:-1]) | (nodes[1:] != nodes[:-1]))[: len(nodes)]
+        table = table.filter(pa.array(new))
         cluster, node = np.asarray(table[by]), np.asarray(table["node"])
         counts, sizes = _points(table)
         grams = table["grams"].to_pylist()
@@ -483,6 +495,8 @@ def _verify(percent: int, by: str, known: str | None = None):
             for x, y in verify(counts[s:e], sizes[s:e], grams[s:e], percent, None if parts is None else parts[s:e]):
                 a.append(node[s + x])
                 b.append(node[s + y])
+        del counts, grams, table
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -495,7 +509,7 @@ def _in_pieces(large: DataFrame, percent: int, cluster_cap: int) -> DataFrame:
     ``HUBS`` sets with the smallest hash. Of each cluster, the sets of the largest component found so far needn't be
     compared with each other any more: only pairs of pieces of which one holds other sets are left.
     """
-    large = stored(large, "ngram-large")
+    large = stored(large.dropDuplicates(["node"]), "ngram-large")
     half = cluster_cap // 2
     mixed = F.xxhash64("node", F.lit(1))
     pieces = F.ceil(F.col("members") / half).cast("int")
@@ -544,7 +558,7 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     few = placed.count() * 32 <= 32 << 20
     own = docs.select("text", F.xxhash64("text").alias("text_hash")).join(F.broadcast(placed) if few else placed, "text_hash")
     # n-grams are made again for the nodes of clusters only, instead of stored for all
-    joined = own.select("node", "cluster", "members", "text").mapInArrow(_grams(n), "node long, cluster long, members long, n_grams long, counts binary, grams binary").dropDuplicates(["node"])
+    joined = own.select("node", "cluster", "members", "text").mapInArrow(_grams(n), "node long, cluster long, members long, n_grams long, counts binary, grams binary")
     small = joined.filter(F.col("members") <= cluster_cap).withColumn("bucket", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).cast("int"))
     links = dealt(small, buckets).groupBy("bucket").applyInArrow(_verify(percent, "cluster"), "a long, b long")
     if placed.filter(F.col("members") > cluster_cap).limit(1).count():

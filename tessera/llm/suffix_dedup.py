@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bytescan import BYTE_VALUE, chunks, mix, powers
+from tessera.llm.bytescan import BYTE_VALUE, chunks, mix, powers, release
 from tessera.llm.store import Stored, buckets_for, dealt, stored, text_batches
 
 LENGTH = 200
@@ -109,6 +109,8 @@ def _emit_anchors(length: int, seed: int, buckets: int):
                 held, count = [], 0
         if held:
             yield flush(held)
+        held = []
+        release()
 
     return run
 
@@ -386,6 +388,8 @@ def _merge(length: int, seed: int):
         yield _spans(tids, places, places + length)
         if coded:
             yield merge_runs(coded)
+        del coded, seen
+        release()
 
     def merge_runs(coded: list[tuple]) -> pa.RecordBatch:
         start = np.concatenate(([0], np.cumsum([len(c[0]) for c in coded])))
