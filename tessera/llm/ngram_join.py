@@ -3,7 +3,8 @@
 A document is its set of distinct word n-grams, hashed to 64 bits; texts with equal sets fold into one node. The n-grams
 fall by hash into ``GROUPS`` groups, and the group counts of a set are a point. The sum of the coordinates' minima of
 two points bounds the overlap of the sets from above, and the same with the upper corners of two boxes bounds it for all
-pairs of two tree nodes: that is what the R-tree join prunes by. Surviving pairs are verified on the n-gram hashes.
+pairs of two tree nodes: that is what the R-tree join prunes by. Pairs of points that it leaves are bounded once more by
+finer groups, about one for each 8 n-grams; what is left is verified on the n-gram hashes.
 
 One tree over all documents can't be split by space (a single coordinate bounds nothing: the whole difference of two
 sets may lie in one group), so the trees are dealt by a key that no linked pair can miss: of the sets' hashes in one
@@ -37,9 +38,10 @@ from tessera.llm.bytescan import NOT_SPACE, Words, chunks, gram_hashes, mix, rel
 from tessera.llm.components import connected_components
 from tessera.llm.store import Stored, buckets_for, dealt, stored, text_batches
 
+#: Groups of the trees' count vectors, and the most of a stored one: a set of n n-grams has about n / 8 groups, since
+#: with many more n-grams than groups the counts of all sets are alike and bound nothing.
 GROUPS = 64
-#: Groups of the finer bound before two sets are compared.
-FINE = 1024
+MOST_GROUPS = 4096
 LEAF = 32
 FAN = 16
 #: Nodes that one verifying task may hold.
@@ -82,10 +84,70 @@ def set_node(grams: np.ndarray) -> int:
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def group_number(sizes: np.ndarray) -> np.ndarray:
+    """Groups of sets of those sizes: powers of two."""
+    wanted = np.maximum(np.asarray(sizes, np.int64), 8) / 8
+    return np.clip(1 << np.ceil(np.log2(wanted)).astype(np.int64), GROUPS, MOST_GROUPS)
+
+
 def group_counts(grams: np.ndarray) -> np.ndarray:
-    """Two bytes a group, or four where a count needs them."""
-    counts = np.bincount((grams >> np.uint64(48)).astype(np.int64) % GROUPS, minlength=GROUPS)
-    return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.uint32)
+    """One byte a group, or two or four where a count needs them. The first half of the groups plus the second are the counts over half as many."""
+    groups = int(group_number(np.array([len(grams)]))[0])
+    counts = np.bincount((grams >> np.uint64(20)).astype(np.int64) % groups, minlength=groups)
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
+
+
+class Points:
+    """Count vectors of sets: ``coarse`` over GROUPS groups for the trees, and as fine as stored for a tighter bound of a pair."""
+
+    def __init__(self, rows: list[bytes], sizes: np.ndarray):
+        self.sizes = np.asarray(sizes)
+        self.groups = group_number(self.sizes)
+        self.place = np.zeros(len(rows), np.int64)
+        self.fine: dict[int, np.ndarray] = {}
+        for groups in np.unique(self.groups).tolist():
+            own = np.flatnonzero(self.groups == groups)
+            self.place[own] = np.arange(len(own))
+            counts = [np.frombuffer(rows[k], f"u{len(rows[k]) // groups}") for k in own.tolist()]
+            self.fine[groups] = np.stack(counts).astype(max(c.dtype for c in counts), copy=False)
+        self.coarse = self._coarse(np.arange(len(rows)))
+
+    def _coarse(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), GROUPS), np.uint32)
+        for groups, held in self.fine.items():
+            own = np.flatnonzero(self.groups[rows] == groups)
+            for k in range(0, len(own), 1 << 12):
+                part = own[k : k + (1 << 12)]
+                out[part] = _folded(held[self.place[rows[part]]], GROUPS)
+        return out.astype(np.uint16) if not len(out) or out.max() < 1 << 16 else out
+
+    def take(self, rows: np.ndarray) -> Points:
+        out = object.__new__(Points)
+        out.sizes, out.groups, out.place, out.fine, out.coarse = self.sizes[rows], self.groups[rows], self.place[rows], self.fine, self.coarse[rows]
+        return out
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Share of the two sizes that two sets can have in common at most, for pairs that may be linked by it, else -1."""
+        out = np.full(len(i), -1.0)
+        kinds = self.groups[i] * (2 * MOST_GROUPS) + self.groups[j]
+        for kind in np.unique(kinds).tolist():
+            a, b = divmod(kind, 2 * MOST_GROUPS)
+            least = min(a, b)
+            own = np.flatnonzero(kinds == kind)
+            step = max(1, (1 << 20) // least)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                x, y = (_folded(self.fine[g][self.place[rows[part]]], least) for g, rows in ((a, i), (b, j)))
+                overlap = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                total = self.sizes[i[part]] + self.sizes[j[part]]
+                out[part] = np.where((100 + percent) * overlap >= percent * total, overlap / total, -1.0)
+        return out
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    if counts.shape[1] == groups:
+        return counts
+    return counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.uint32)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -396,12 +458,8 @@ def tree_pairs(counts: np.ndarray, sizes: np.ndarray, percent: int, labels: Call
             yield tree.order[i[near]], tree.order[j[near]]
 
 
-def _points(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = table["counts"].to_pylist()
-    if any(len(r) > 2 * GROUPS for r in rows):
-        rows = [np.frombuffer(r, np.uint16 if len(r) == 2 * GROUPS else np.uint32).astype(np.uint32).tobytes() for r in rows]
-        return np.frombuffer(b"".join(rows), np.uint32).reshape(-1, GROUPS), np.asarray(table["n_grams"])
-    return np.frombuffer(b"".join(rows), np.uint16).reshape(-1, GROUPS), np.asarray(table["n_grams"])
+def _points(table: pa.Table) -> Points:
+    return Points(table["counts"].to_pylist(), np.asarray(table["n_grams"]))
 
 
 def _forest(percent: int):
@@ -410,60 +468,51 @@ def _forest(percent: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("node", "ascending")])
         block, node = np.asarray(table["block"]), np.asarray(table["node"])
-        counts, sizes = _points(table)
         names, at = np.unique(node, return_inverse=True)
         first = np.zeros(len(names), np.int64)
         first[at[::-1]] = np.arange(len(node))[::-1]
+        points = _points(table.take(pa.array(first)))  # of each node, by its place in ``names``
+        counts, sizes = points.coarse, points.sizes
         cut = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
         groups, out = Groups(len(names)), []
         width = np.diff(cut)
         two = cut[:-1][width == 2]
         pairs = np.unique(np.stack([at[two], at[two + 1]], axis=1), axis=0)
         for k in range(0, len(pairs), 1 << 14):
-            i, j = first[pairs[k : k + (1 << 14), 0]], first[pairs[k : k + (1 << 14), 1]]
+            i, j = pairs[k : k + (1 << 14), 0], pairs[k : k + (1 << 14), 1]
             near = may_link(np.minimum(counts[i], counts[j]).sum(axis=1, dtype=np.int64), sizes[i], sizes[i], sizes[j], sizes[j], percent)
-            out += [(x, y) for x, y in pairs[k : k + (1 << 14)][near].tolist() if groups.join(x, y)]
+            i, j = i[near], j[near]
+            near = points.near(i, j, percent) >= 0
+            out += [(x, y) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True) if groups.join(x, y)]
         for s, e in zip(cut[:-1][width > 2], cut[1:][width > 2], strict=True):
             own = at[s:e]
-            for i, j in tree_pairs(counts[s:e], sizes[s:e], percent, lambda rows, own=own: groups.label[own[rows]]):
-                out += [(x, y) for x, y in zip(own[i].tolist(), own[j].tolist(), strict=True) if groups.join(x, y)]
+            for i, j in tree_pairs(counts[own], sizes[own], percent, lambda rows, own=own: groups.label[own[rows]]):
+                near = points.near(own[i], own[j], percent) >= 0
+                out += [(x, y) for x, y in zip(own[i[near]].tolist(), own[j[near]].tolist(), strict=True) if groups.join(x, y)]
         made = pa.table({"a": pa.array(names[[x for x, _ in out]], pa.int64()), "b": pa.array(names[[y for _, y in out]], pa.int64())})
-        del table, counts, groups, out
+        del table, counts, points, groups, out
         release()
         return made
 
     return run
 
 
-def fine_counts(grams: list[bytes]) -> np.ndarray:
-    """Count vectors over FINE groups, for a tighter bound than the trees'."""
-    out = np.zeros((len(grams), FINE), np.uint16)
-    for k, data in enumerate(grams):
-        counts = np.bincount((unpack(data) % np.uint64(FINE)).astype(np.int64), minlength=FINE)
-        if counts.max() >= 1 << 16:
-            out = out.astype(np.uint32, copy=False)
-        out[k] = counts
-    return out.astype(np.uint8) if not len(out) or out.max() < 256 else out
-
-
-def verify(counts: np.ndarray, sizes: np.ndarray, grams: list[bytes], percent: int, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+def verify(points: Points, grams: list[bytes], percent: int, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
     """A spanning forest of the true links among the given sets: pairs that the trees leave and a finer bound leaves are compared gram by gram.
 
     Sets of one ``known`` component count as connected from the start.
     """
+    sizes = points.sizes
     groups, sets = Groups(len(sizes)), {}
     if known is not None:
         order = np.argsort(known, kind="stable")
         for x, y in pairwise(order.tolist()):
             if known[x] == known[y]:
                 groups.join(x, y)
-    fine = fine_counts(grams) if len(grams) > 2 else None
-    for i, j in tree_pairs(counts, sizes, percent, lambda rows: groups.label[rows]):
-        if fine is not None:
-            near = np.concatenate([np.minimum(fine[i[k : k + 4096]], fine[j[k : k + 4096]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), 4096)])
-            keep = (100 + percent) * near >= percent * (sizes[i] + sizes[j])
-            order = np.argsort(-near[keep] / (sizes[i] + sizes[j])[keep], kind="stable")
-            i, j = i[keep][order], j[keep][order]
+    for i, j in tree_pairs(points.coarse, sizes, percent, lambda rows: groups.label[rows]):
+        near = points.near(i, j, percent)
+        order = np.argsort(-near, kind="stable")[: int((near >= 0).sum())]  # the likeliest first
+        i, j = i[order], j[order]
         for x, y in zip(i.tolist(), j.tolist(), strict=True):
             if groups.label[x] == groups.label[y]:
                 continue
@@ -487,15 +536,15 @@ def _verify(percent: int, by: str, known: str | None = None):
         new = np.append(True, (groups[1:] != groups[:-1]) | (nodes[1:] != nodes[:-1]))[: len(nodes)]
         table = table.filter(pa.array(new))
         cluster, node = np.asarray(table[by]), np.asarray(table["node"])
-        counts, sizes = _points(table)
+        points = _points(table)
         grams = table["grams"].to_pylist()
         parts = np.asarray(table[known]) if known else None
         a, b = [], []
         for s, e in pairwise(np.append(np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1])), len(cluster))):
-            for x, y in verify(counts[s:e], sizes[s:e], grams[s:e], percent, None if parts is None else parts[s:e]):
+            for x, y in verify(points.take(np.arange(s, e)), grams[s:e], percent, None if parts is None else parts[s:e]):
                 a.append(node[s + x])
                 b.append(node[s + y])
-        del counts, grams, table
+        del points, grams, table
         release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
