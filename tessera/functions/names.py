@@ -1,7 +1,7 @@
 """Name normalisers and text extractors as Column functions.
 
 Several normalisers look alike and differ in one rule; each is its own function. A null name gives null unless said
-otherwise. Only :func:`fold_unicode`, :func:`similarity_fix` and :func:`expand_references` need Python (Arrow batches).
+otherwise. Only :func:`fold_unicode`, :func:`similarity` and :func:`fuzzy_fix` need Python (Arrow batches).
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,8 @@ PLAIN_SUFFIXES = ("小学", "学校", "校区", "中学", "初中")
 PART_SUFFIXES = ("初中部", "高中部", "小学部")
 DISTRICTS = ("越秀", "海珠", "天河", "荔湾", "白云", "黄埔", "番禺", "南沙", "增城", "从化", "花都", "萝岗")
 LEADING_DISTRICTS = ("白云", "越秀", "海珠", "天河", "荔湾", "黄埔", "番禺", "萝岗")
-GENERIC = ("实验学校", "实验小学", "实验中学", "外国语学校", "小学", "中学", "学校", "校区", "分校", "初中部", "高中部", "小学部", "部")
-STATUS_WORDS = ("建设中", "在建", "筹建", "暂停", "停办", "规划")
+GENERIC = ("实验中学", "附属实验学校", "外国语实验学校", "实验学校", "外国语学校", "附属中学", "中学", "附属小学", "小学", "学校", "初中部", "小学部", "高中部")
+STATUS_WORDS = ("建设中", "在建", "筹建", "规划", "拟建", "待建", "新开办", "暂定", "筹办", "装修", "工地", "选址", "暂停营业")
 NUMERALS = "一二三四五六七八九"
 VARIANTS = {"穂": "穗", "敎": "教", "學": "学", "朮": "术", "甦": "苏"}
 MECHANISM_ORDER = ("zhi_sheng", "single_zone", "group_paidui", "single_paidui", "single_chouqian", "min_zi_zhu")
@@ -90,12 +90,10 @@ def brand_norm(s: Column) -> Column:
     return F.coalesce(F.translate(t, "（）()[] 　", ""), F.lit(""))
 
 
-def strip_generic(s: Column, generic: Sequence[str] = GENERIC, rounds: int = 4) -> Column:
-    """Generic suffixes, plain or in brackets, and a bracket left open go, again and again; something always stays."""
+def strip_generic(s: Column, generic: Sequence[str] = GENERIC) -> Column:
+    """Generic suffixes, plain or in brackets, and a bracket left open go until none is left; a name of one suffix only loses what fits behind a first character."""
     words = "|".join(generic)
-    for _ in range(rounds):
-        s = F.regexp_replace(s, rf"(?<=.)(?:[（(](?:{words})[)）]|{words}|[（(])$", "")
-    return s
+    return F.regexp_replace(F.regexp_replace(s, rf"(?<=.)(?:\((?:{words})\)|（(?:{words})）|{words}|[（(])+$", ""), "^[（(]$", "")
 
 
 def core_campus_name(s: Column) -> Column:
@@ -261,10 +259,8 @@ def scope_parts(s: Column, conditions: Sequence[str], endings: Sequence[str], bl
 
     Commas inside brackets don't split; brackets with a condition word go; what does not end as a name or holds a blocking word is left out.
     """
-    guarded = s
-    for _ in range(4):
-        guarded = F.regexp_replace(guarded, "([（(][^（）()]*)[、，,;；]([^（）()]*[）)])", "$1\u0001$2")
-    parts = F.transform(F.split(guarded, "[、，,;；\n]"), lambda p: F.translate(F.trim(p), "\u0001", "、"))
+    pieces = F.regexp_extract_all(s, F.lit("(?:[（(][^（）()\n]*[）)]|[^、，,;；\n])+"), 0)
+    parts = F.transform(pieces, lambda p: F.translate(F.trim(p), "，,;；", "、、、、"))
     words = "|".join(conditions)
     clean = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, f"[（(][^（）()]*(?:{words})[^（）()]*[）)]", "")))
     return F.filter(clean, lambda p: p.rlike(f"(?:{'|'.join(endings)})[）)]?$") & ~p.rlike("|".join(blocked)))
@@ -330,13 +326,43 @@ def near_distance(a: Column, b: Column) -> Column:
 
 
 @F.pandas_udf(T.DoubleType())
-def similarity_fix(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The ratio of matching blocks of two strings."""
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The ratio of matching blocks of two strings."""
     import difflib
 
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def without_area(s: Column, areas: Sequence[str] = DISTRICTS) -> Column:
+    """The name behind a leading district, with or without 区, if something is left."""
+    return F.regexp_replace(s, f"^(?:{'|'.join(areas)})区?(?=.)", "")
+
+
+def fuzzy_fix(df: DataFrame, name: str, candidates: DataFrame, candidate: str, order: str) -> DataFrame:
+    """Adds ``fixed`` and ``rule``: a misread name's right form among the candidates, null for none.
+
+    By the names' bodies, without their district: 1 an equal body; else 2 the most similar one, of a ratio of 0.75 or
+    more, where the shorter body has at most ten characters; else 3 an equally long body of five characters or more
+    that ends in the same three and differs in two places at most. Of several candidates the first by ``order`` counts.
+    Rules 1 and 3 are equi-joins. A ratio of 0.75 needs a common character in at least 3/8 of both, so rule 2's pairs
+    are those that share a character, counted by an equi-join, with lengths that can reach the ratio.
+    """
+    q = df.select(F.col(name).alias("_q")).filter("_q is not null").distinct().withColumn("_b", without_area(F.col("_q")))
+    c = candidates.groupBy(F.col(candidate).alias("_c")).agg(F.min(order).alias("_o")).filter("_c is not null").withColumn("_d", without_area(F.col("_c")))
+    equal = q.join(c, F.col("_b") == F.col("_d")).select("_q", F.struct(F.lit(1).alias("rule"), F.lit(0.0).alias("less"), "_o", "_c").alias("hit"))
+    letters = lambda t, body: t.withColumn("_l", F.explode(F.array_distinct(F.split(body, ""))))
+    near = F.least(F.length("_b"), F.length("_d"))
+    shared = letters(q, "_b").join(letters(c, "_d"), "_l").groupBy("_q", "_b", "_c", "_d", "_o").agg(F.count("*").alias("_n"))
+    able = shared.filter((near <= 10) & (2 * near >= 0.75 * (F.length("_b") + F.length("_d"))))
+    alike = able.withColumn("_r", similarity("_b", "_d")).filter("_r >= 0.75")
+    alike = alike.select("_q", F.struct(F.lit(2).alias("rule"), (-F.col("_r")).alias("less"), "_o", "_c").alias("hit"))
+    tail = lambda t, body: t.filter(F.length(body) >= 5).withColumn("_t", F.substring(body, -3, 3)).withColumn("_z", F.length(body))
+    differ = F.size(F.filter(F.arrays_zip(F.split("_b", "").alias("x"), F.split("_d", "").alias("y")), lambda p: p["x"] != p["y"]))
+    two = tail(q, "_b").join(tail(c, "_d"), ["_t", "_z"]).filter(differ <= 2).select("_q", F.struct(F.lit(3).alias("rule"), F.lit(0.0).alias("less"), "_o", "_c").alias("hit"))
+    best = equal.unionByName(alike).unionByName(two).groupBy("_q").agg(F.min("hit").alias("hit"))
+    return df.join(best, F.col(name) == F.col("_q"), "left").withColumn("fixed", F.col("hit._c")).withColumn("rule", F.col("hit.rule")).drop("_q", "hit")
+
+
 def source_label(url: Column, rules: Sequence[tuple[Sequence[str], str]], default: str) -> Column:
     """The label of the first rule all of whose parts the address holds."""
     out = F.lit(default)

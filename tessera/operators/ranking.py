@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessera.operators.common import materialised
+
 
 def metric_order(last: Column, metric: Column, ties: Sequence[str | Column], descending: bool = True) -> list[Column]:
     """O1: rows with ``last`` false first, then by metric with nulls at the end in either direction, then by ties."""
@@ -28,15 +30,18 @@ def collated(name: Column, locale: str | None = None) -> Column:
 def ranked(df: DataFrame, order: Sequence[Column], out: str = "rank", within: Sequence[str] = ()) -> DataFrame:
     """Numbers rows from 1 in an order within each group; without groups by a range sort, so that no task holds all rows.
 
-    Without groups, places are a global sort's: rows before the own partition plus the place in it.
+    Without groups, places are a global sort's: rows of the partitions before plus the place in the own one. The sorted
+    table is materialised once, so that the sizes and the places are those of one and the same sort.
     """
     if within:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*within).orderBy(*order)))
-    ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    placed = ordered.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy("_i")))
-    sizes = placed.groupBy("_p").agg(F.max("_n").alias("_s"))
+    ordered = materialised(df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()))
+    # an id is the partition's number, then the row's in 33 bits
+    part = F.shiftright("_i", 33)
+    sizes = ordered.groupBy(part.alias("_p")).agg(F.count("*").alias("_s"))
     before = sizes.select("_p", F.coalesce(F.sum("_s").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # one row a partition
-    return placed.join(F.broadcast(before), "_p").withColumn(out, F.col("_n") + F.col("_b")).drop("_p", "_i", "_n", "_b")
+    numbered = ordered.withColumn("_p", part).join(F.broadcast(before), "_p")
+    return numbered.withColumn(out, (F.col("_i").bitwiseAND((1 << 33) - 1) + F.col("_b") + 1).cast("long")).drop("_p", "_i", "_b")
 
 
 def metric_switch(metrics: Mapping[str, Column], name: str) -> Column:

@@ -11,15 +11,15 @@ from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
 
 MONEY = "decimal(18,2)"
-_PARTS = "WITH e AS (SELECT p_partkey AS id, p_partkey AS ord, p_name AS name, p_brand AS area, p_type AS stage FROM part), q AS (SELECT DISTINCT p_name AS name, p_brand AS area FROM part WHERE p_size % 3 = 0) "
+_PARTS = "WITH e AS (SELECT p_partkey AS id, p_partkey AS ord, p_name AS name, p_brand AS area, p_type AS stage FROM part), q AS (SELECT DISTINCT p_name AS name, p_brand AS area FROM part) "
 
 
 def _entities(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("name"), F.col("p_brand").alias("area"), F.col("p_type").alias("stage"), F.col("p_size").alias("size"))
 
 
-def _queries(spark, sf_dir, which="size % 3 = 0"):
-    return _entities(spark, sf_dir).filter(which).select("name", "area").distinct()
+def _queries(spark, sf_dir):
+    return _entities(spark, sf_dir).select("name", "area").distinct()
 
 
 # --- indicators
@@ -462,15 +462,8 @@ def contained_match(spark, sf_dir):
     return joins.contained_either_way(p, right, "p_brand", "p_name", "t", "t").select("p_partkey", "match")
 
 
-@query("WITH n AS (SELECT DISTINCT substr(text, 1, 12) AS name FROM documents WHERE doc_id % 40 = 0) SELECT name, (count(*) > 0)::INT AS hit FROM n JOIN documents ON contains(text, name) GROUP BY 1")
-def corpus_hits(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    names = d.filter("doc_id % 40 = 0").select(F.substring("text", 1, 12).alias("name")).distinct()
-    return joins.corpus_hits(names, "name", d, "text")
-
-
 @query()
-def corpus_hits_whole(spark, sf_dir):
+def corpus_hits(spark, sf_dir):
     """All distinct part and customer names and words of part names against all texts; no SQL, which would compare each with each."""
     p, c = read(spark, sf_dir, "part"), read(spark, sf_dir, "customer")
     names = p.select(F.col("p_name").alias("name")).union(c.select("c_name")).union(p.select(F.explode(F.split("p_name", " "))))
@@ -487,67 +480,30 @@ def document_lookup(spark, sf_dir):
 # --- resolution
 @query(_PARTS + ", a AS (SELECT name, area, min(ord) AS o, arg_min(id, ord) AS id FROM e GROUP BY 1, 2), b AS (SELECT name, arg_min(id, ord) AS id FROM e GROUP BY 1) SELECT q.name, q.area, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 END AS tier FROM q LEFT JOIN a USING (name, area) LEFT JOIN b USING (name)")
 def resolve_two_tier(spark, sf_dir):
-    return _two_tier(spark, sf_dir, _queries(spark, sf_dir))
-
-
-@query()
-def resolve_two_tier_whole(spark, sf_dir):
-    """resolve_two_tier of all names; this and the other ``_whole`` queries have no modulo filter on the query side, and no SQL."""
-    return _two_tier(spark, sf_dir, _queries(spark, sf_dir, "true"))
-
-
-def _two_tier(spark, sf_dir, queries):
-    e, q = _entities(spark, sf_dir), queries.withColumn("qid", F.concat_ws("|", "name", "area"))
+    e, q = _entities(spark, sf_dir), _queries(spark, sf_dir).withColumn("qid", F.concat_ws("|", "name", "area"))
     return resolve.tiered(q, "qid", [(e, ["name", "area"]), (e, "name")], "id", "ord").select("name", "area", "id", "tier")
 
 
 @query(_PARTS + ", a AS (SELECT name, area, min(id) AS id, count(DISTINCT id) AS n FROM e GROUP BY 1, 2), b AS (SELECT name, min(id) AS id, count(DISTINCT id) AS n FROM e GROUP BY 1) SELECT q.name, q.area, CASE WHEN a.n = 1 THEN a.id WHEN b.n = 1 THEN b.id END AS id, CASE WHEN a.n = 1 THEN 0 WHEN b.n = 1 THEN 1 END AS tier FROM q LEFT JOIN a USING (name, area) LEFT JOIN b USING (name)")
 def resolve_cascade(spark, sf_dir):
-    return _cascade(spark, sf_dir, _queries(spark, sf_dir))
-
-
-@query()
-def resolve_cascade_whole(spark, sf_dir):
-    return _cascade(spark, sf_dir, _queries(spark, sf_dir, "true"))
-
-
-def _cascade(spark, sf_dir, queries):
-    e, q = _entities(spark, sf_dir), queries.withColumn("qid", F.concat_ws("|", "name", "area"))
+    e, q = _entities(spark, sf_dir), _queries(spark, sf_dir).withColumn("qid", F.concat_ws("|", "name", "area"))
     return resolve.unique_tiers(q, "qid", [(e, ["name", "area"], False), (e, "name", False)], "id").select("name", "area", "id", "tier")
 
 
 @query(_PARTS + ", c AS (SELECT q.name, q.area, e.id, e.area = q.area AS a, e.stage = (SELECT min(stage) FROM e) AS s, e.id % 2 = 0 AS m FROM q JOIN e USING (name)), n AS (SELECT *, count(*) OVER w AS n0, min(id) OVER w AS e0, count_if(a) OVER w AS n1, min(CASE WHEN a THEN id END) OVER w AS e1, CASE WHEN count_if(a) OVER w > 0 THEN a ELSE TRUE END AS k1 FROM c WINDOW w AS (PARTITION BY name, area)), n2 AS (SELECT *, count_if(k1 AND s) OVER w AS n2, min(CASE WHEN k1 AND s THEN id END) OVER w AS e2, CASE WHEN count_if(k1 AND s) OVER w > 0 THEN k1 AND s ELSE k1 END AS k2 FROM n WINDOW w AS (PARTITION BY name, area)), n3 AS (SELECT *, count_if(k2 AND m) OVER w AS n3, min(CASE WHEN k2 AND m THEN id END) OVER w AS e3 FROM n2 WINDOW w AS (PARTITION BY name, area)) SELECT name, area, min(CASE WHEN n0 = 1 THEN e0 WHEN n1 = 1 THEN e1 WHEN n2 = 1 THEN e2 WHEN n3 = 1 THEN e3 END) AS id FROM n3 GROUP BY 1, 2")
 def pick_unique(spark, sf_dir):
-    return _pick_unique(spark, sf_dir, _queries(spark, sf_dir))
-
-
-@query()
-def pick_unique_whole(spark, sf_dir):
-    return _pick_unique(spark, sf_dir, _queries(spark, sf_dir, "true"))
-
-
-def _pick_unique(spark, sf_dir, queries):
     e = _entities(spark, sf_dir)
     first = e.agg(F.min("stage")).first()[0]
-    q = queries.withColumnRenamed("area", "want")
+    q = _queries(spark, sf_dir).withColumnRenamed("area", "want")
     c = q.join(e, "name").withColumn("qid", F.concat_ws("|", "name", "want"))
     out = resolve.converge(c, "qid", "id", F.col("area") == F.col("want"), F.col("stage") == first, F.col("id") % 2 == 0)
     return out.select(F.split_part("qid", F.lit("|"), F.lit(1)).alias("name"), F.split_part("qid", F.lit("|"), F.lit(2)).alias("area"), "id")
 
 
-@query("WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w, p_brand AS area FROM part WHERE p_size % 5 = 0) SELECT q.w, q.area, arg_min(p_partkey, p_partkey) AS id FROM q LEFT JOIN part ON p_brand = q.area AND length(q.w) >= 4 AND length(p_name) >= 4 AND (contains(p_name, q.w) OR contains(q.w, p_name)) GROUP BY 1, 2")
+@query("WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w, p_brand AS area FROM part) SELECT q.w, q.area, arg_min(p_partkey, p_partkey) AS id FROM q LEFT JOIN part ON p_brand = q.area AND length(q.w) >= 4 AND length(p_name) >= 4 AND (contains(p_name, q.w) OR contains(q.w, p_name)) GROUP BY 1, 2")
 def contains_fallback(spark, sf_dir):
-    return _contains_fallback(spark, sf_dir, "size % 5 = 0")
-
-
-@query()
-def contains_fallback_whole(spark, sf_dir):
-    return _contains_fallback(spark, sf_dir, "true")
-
-
-def _contains_fallback(spark, sf_dir, which):
     e = _entities(spark, sf_dir)
-    q = e.filter(which).select(F.split("name", " ")[0].alias("w"), "area").distinct()
+    q = e.select(F.split("name", " ")[0].alias("w"), "area").distinct()
     return resolve.containment(q, "w", e, "name", "id", "ord", area="area").select("w", "area", "id")
 
 
@@ -559,19 +515,10 @@ def family_expand(spark, sf_dir):
     return resolve.family(e.select("key"), "key", e, "name", "aliases", "id", "ord").select("key", "id")
 
 
-@query("WITH p AS (SELECT a.p_partkey AS q, b.p_partkey AS id, CASE WHEN a.p_name = b.p_name THEN 1000 WHEN split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) THEN 800 ELSE 0 END AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_size % 10 = 0) SELECT q, id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM p WHERE score >= 600) WHERE r = 1")
+@query("WITH p AS (SELECT a.p_partkey AS q, b.p_partkey AS id, CASE WHEN a.p_name = b.p_name THEN 1000 WHEN split_part(a.p_name, ' ', 1) = split_part(b.p_name, ' ', 1) THEN 800 ELSE 0 END AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) SELECT q, id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS r FROM p WHERE score >= 600) WHERE r = 1")
 def score_match(spark, sf_dir):
-    return _score_match(spark, sf_dir, "p_size % 10 = 0")
-
-
-@query()
-def score_match_whole(spark, sf_dir):
-    return _score_match(spark, sf_dir, "true")
-
-
-def _score_match(spark, sf_dir, which):
     p = read(spark, sf_dir, "part").withColumn("w", F.split("p_name", " ")[0])
-    a = p.filter(which).select(F.col("p_partkey").alias("q"), F.col("p_name").alias("qn"), "p_brand", "w")
+    a = p.select(F.col("p_partkey").alias("q"), F.col("p_name").alias("qn"), "p_brand", "w")
     # equal names have equal first words, so no pair without that reaches the least score
     pairs = a.join(p.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "w"), ["p_brand", "w"]).filter("q <> id")
     return resolve.scored(pairs, "q", [(F.col("qn") == F.col("p_name"), 1000), (F.lit(True), 800)], 600, ["id"]).select("q", "id", "score")

