@@ -6,7 +6,7 @@ otherwise. Only :func:`fold_unicode`, :func:`similarity` and :func:`fuzzy_fix` n
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +33,11 @@ def _alternatives(words: Sequence[str]) -> str:
     return "(" + "|".join(words) + ")"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def unify_brackets(s: Column) -> Column:
     """Full-width round brackets become half-width."""
     return F.translate(s, "（）", "()")
@@ -73,15 +78,16 @@ def match_norm(s: Column, generic: Sequence[str] = GENERIC, status: Sequence[str
     t = F.replace(t, F.lit(CITY), F.lit(""))
     t = F.regexp_replace(t, f"{_alternatives(DISTRICTS)}区", "$1")
 
-    def without(n: int) -> Column:
-        rest = F.substring(t, n + 1, 10_000)
-        special = is_generic_core(F.regexp_replace(rest, r"[\(\[].*$", ""), generic)
-        return F.when((F.length(rest) >= 4) & ~special, rest)
+    def without(lead: str) -> Callable[[Column], Column]:
+        def step(x: Column) -> Column:
+            rest = F.substring(x, 3, 10_000)
+            special = is_generic_core(F.regexp_replace(rest, r"[\(\[].*$", ""), generic)
+            return F.when(x.rlike(lead) & (F.length(rest) >= 4) & ~special, rest).otherwise(x)
+
+        return step
 
-    t = F.coalesce(F.when(t.rlike("^" + _alternatives(LEADING_DISTRICTS)), without(2)), t)
-    rest = F.substring(t, 3, 10_000)
-    city = t.startswith(CITY_SHORT) & (F.length(rest) >= 4) & ~is_generic_core(F.regexp_replace(rest, r"[\(\[].*$", ""), generic)
-    return F.coalesce(F.regexp_replace(F.when(city, rest).otherwise(t), r"(?U)\s+", ""), F.lit(""))
+    t = _let(_let(t, without("^" + _alternatives(LEADING_DISTRICTS))), without("^" + CITY_SHORT))
+    return F.coalesce(F.regexp_replace(t, r"(?U)\s+", ""), F.lit(""))
 
 
 def brand_norm(s: Column) -> Column:

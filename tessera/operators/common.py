@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -22,14 +22,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= BROADCAST_BYTES else df
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """The table computed once, with its partitions as they are, in the folder of ``spark.checkpoint.dir``; where that is unset, in a temporary one on a local master."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master, and an error on a cluster."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
+    return sc.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The table computed once, with its partitions as they are, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

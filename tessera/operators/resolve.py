@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import names as N
-from tessera.operators.common import cols, small
+from tessera.operators.common import cols, materialised, small
 
 
 def tiered(queries: DataFrame, query: str, tiers: Sequence[tuple[DataFrame, str | Sequence[str]]], entity: str, order: str) -> DataFrame:
@@ -65,6 +65,145 @@ def converge(candidates: DataFrame, query: str, entity: str, in_area: Column, in
     return c.withColumn("_pick", F.coalesce(*picks)).groupBy(query).agg(F.min("_pick").alias(entity))
 
 
+#: Words of places that are out of reach, words too weak to attract a name, and endings of names that are no schools.
+FAR_WORDS = ("花都", "南沙", "增城", "从化", "英德", "清远", "佛山", "东莞", "韶关", "梅州", "河源", "惠州", "汕头", "湛江", "肇庆", "江门", "阳江", "茂名", "揭阳", "潮州", "汕尾", "云浮", "珠海", "中山")
+WEAK_CORES = (*N.LEADING_DISTRICTS, "第一", "第二", "第三", "第四", "第五", "第六", "第七", "第八", "第九", "第十")
+NO_SCHOOL = ("充电站", "停车场", "广场", "大厦", "中心", "公园", "小区", "花园", "银行", "医院", "超市", "餐厅", "酒店", "公司", "商厦")
+KIND_ENDINGS = ("小学", "中学", "初中", "高中", "学校")
+
+
+def _ends(s: Column, words: Sequence[str]) -> Column:
+    return F.coalesce(s.rlike(f"(?:{'|'.join(words)})$"), F.lit(False))
+
+
+def exploded_substrings(df: DataFrame, name: str, least: int, out: str) -> DataFrame:
+    """A row for each distinct substring of a name of ``least`` characters or more, so that a containment join becomes an equi-join."""
+    ends = lambda a: F.transform(F.sequence(a + least - 1, F.length(name)), lambda b: F.substring(F.col(name), a, b - a + 1))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), ends))
+    return df.filter(F.length(name) >= least).withColumn(out, F.explode(F.array_distinct(every)))
+
+
+def picked(candidates: DataFrame, guard: bool) -> DataFrame:
+    """J28 of the cascade: (qid, id) of queries whose candidates come down to one.
+
+    Candidates have qid, id, the flags in_area, in_stage, is_main, and of the query whether it has an area and names
+    another one. The only one of the area wins. With ``guard`` a query with an area stays in it: the only one of the
+    area's by stage, or by being a main site; candidates elsewhere only if the name itself states another area. Else all
+    candidates: the only one by stage, by being a main site, or at all.
+    """
+    flags = ("in_area", "in_stage", "is_main", "has_area", "other_area")
+    one = candidates.groupBy("qid", "id").agg(*[F.max(f).alias(f) for f in flags])
+    area, stage, main = F.col("in_area"), F.col("in_stage"), F.col("is_main")
+    sets = {"every": F.lit(True), "area": area, "area_stage": area & stage, "area_main": area & main, "stage": stage, "main": main}
+    counted = one.groupBy("qid").agg(
+        F.max("has_area").alias("has"), F.max("other_area").alias("other"), *[F.count(F.when(c, 1)).alias(f"n_{k}") for k, c in sets.items()], *[F.min(F.when(c, F.col("id"))).alias(k) for k, c in sets.items()]
+    )
+    only = lambda *names: F.coalesce(*[F.when(F.col(f"n_{k}") == 1, F.col(k)) for k in names])
+    anywhere = only("stage", "main", "every")
+    own = F.when(F.col("n_area") > 0, only("area_stage", "area_main")).when(F.col("other"), anywhere)
+    pick = F.when(F.col("has") & (F.col("n_area") == 1), F.col("area")).when(F.col("has") & F.lit(guard), own).otherwise(anywhere)
+    return counted.select("qid", pick.alias("id")).filter("id is not null")
+
+
+def cascade(queries: DataFrame, entities: DataFrame, overrides: DataFrame, areas: dict[str, str], far: Sequence[str] = FAR_WORDS) -> DataFrame:
+    """Adds ``id`` and ``how`` to queries (qid, name, area, stage; area and stage may be null).
+
+    ``entities`` has id, name, aliases, stage and area; ``overrides`` name and id; ``areas`` leads from a district's word to
+    its area. Tiers, each for the names that none before has resolved or stopped:
+
+    - ``override``: the table of overrides by the plain name;
+    - the area, where none is given, is that of a leading district word;
+    - ``exact``: equal after normalisation (N2) with a name or alias, entities of the very same name alone if there are
+      any; picked within the area; not if it is of another stage than the wanted one;
+    - ``alias``: an alias by the first of three looser keys that is known; entities of the wanted stage alone if there
+      are any; picked in any area, or the main site's only campus in the area; then, with an area, an only entity;
+      without an area the search stops as ``variant``, without an id;
+    - ``far``: a name that holds a far word stops here, without an id;
+    - ``contained``: entities whose name holds the query's whole bare name, else its core, else whose core the query holds;
+      of these, those of the same kind; picked within the area;
+    - ``missing``.
+
+    Containment goes through exploded substrings of the shorter table of names: equi-joins only.
+    """
+    words = F.create_map(*[F.lit(x) for kv in areas.items() for x in kv]) if areas else F.create_map(F.lit(""), F.lit(""))
+    lead = F.nullif(F.regexp_extract("name", f"^({'|'.join(areas)})", 1), F.lit("")) if areas else F.lit(None).cast("string")
+    q = queries.select("qid", "name", F.coalesce("area", F.element_at(words, lead)).alias("area"), "stage").filter("name <> ''")
+    own_word = F.element_at(F.create_map(*[F.lit(x) for k, v in areas.items() for x in (v, k)]), F.col("area")) if areas else F.lit("")
+    stated = F.filter(F.array(*map(F.lit, N.LEADING_DISTRICTS)), lambda w: F.contains(F.replace("name", F.lit(N.CITY), F.lit("")), F.concat(w, F.lit("区"))) & ~w.eqNullSafe(own_word))
+    q = q.withColumn("has_area", F.col("area").isNotNull()).withColumn("other_area", F.size(stated) > 0)
+    q = q.withColumn("norm", N.strict_norm_spaces(F.col("name"))).withColumn("match", N.match_norm(F.col("name"))).withColumn("flat", F.translate("match", "()", ""))
+    q = materialised(q)
+    bare = lambda c: F.regexp_replace(c, r"[(（][^()（）]*[)）]", "")
+    e = entities.select(F.col("id"), F.col("name").alias("e_name"), "aliases", F.col("stage").alias("e_stage"), F.col("area").alias("e_area"))
+    e = e.withColumn("e_match", N.match_norm(F.col("e_name"))).withColumn("e_bare", bare(F.col("e_match")))
+    e = materialised(e)
+
+    def flagged(pairs: DataFrame) -> DataFrame:
+        return pairs.select(
+            "qid", "id", "has_area", "other_area", F.coalesce(F.col("e_area") == F.col("area"), F.lit(False)).alias("in_area"),
+            F.coalesce(F.col("e_stage") == F.col("stage"), F.lit(False)).alias("in_stage"), (~F.col("e_name").rlike("[(（]")).alias("is_main"),
+        )
+
+    def prefer(pairs: DataFrame, flag: Column) -> DataFrame:
+        """Of each query the pairs with the flag alone, if there are any."""
+        some = F.max(flag.cast("int")).over(W.partitionBy("qid"))
+        return pairs.withColumn("_flag", flag).withColumn("_some", some).filter("_some = 0 or _flag").drop("_flag", "_some")
+
+    step = lambda found, how: found.select("qid", "id", F.lit(how).alias("how"))
+    rest = lambda done: q.join(done.select("qid"), "qid", "left_anti")
+    done = step(q.join(overrides.groupBy("name").agg(F.min("id").alias("id")), "name"), "override")
+    keys = e.select("id", "e_name", "e_stage", "e_area", "e_match", "e_bare", F.explode(F.array_distinct(F.concat(F.array("e_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("key"))
+    keys = keys.withColumn("key", N.strict_norm_spaces(F.col("key"))).dropDuplicates(["id", "e_name", "e_stage", "key"])
+    # exact
+    pairs = prefer(rest(done).join(keys, F.col("norm") == F.col("key")), F.col("e_name") == F.col("name"))
+    exact = picked(flagged(pairs), True).join(pairs.select("qid", "id", "stage", "e_stage").distinct(), ["qid", "id"])
+    exact = exact.groupBy("qid", "id").agg(F.max(F.col("stage").isNull() | (F.col("stage") == F.col("e_stage"))).alias("fits")).filter("fits")
+    done = done.union(step(exact, "exact"))
+    # alias: of three forms of the name the first that some entity has
+    forms = rest(done).select("*", F.posexplode(F.array("norm", "match", "flat")).alias("form_no", "form"))
+    hits = forms.join(keys, F.col("form") == F.col("key"))
+    first = F.min("form_no").over(W.partitionBy("qid"))
+    hits = hits.withColumn("_first", first).filter("form_no = _first")
+    hits = materialised(prefer(hits, F.coalesce(F.col("e_stage") == F.col("stage"), F.lit(False))).drop("_first"))
+    alias = picked(flagged(hits), False)
+    open_ = hits.join(alias, "qid", "left_anti")
+    sites = open_.filter(~F.col("e_name").rlike("[(（][^()（）]*校区[)）]") & (F.length("e_bare") >= 4)).select("qid", "name", "area", "stage", "has_area", "other_area", F.col("e_bare").alias("base")).distinct()
+    campus = exploded_prefixes(e, "e_match", 4, "base").join(sites, "base").filter(~F.col("has_area") | (F.col("e_area") == F.col("area")))
+    campus = picked(flagged(campus), True)
+    lone = open_.join(campus, "qid", "left_anti").groupBy("qid").agg(F.max("has_area").alias("has"), F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    done = done.union(step(alias.union(campus), "alias")).union(step(lone.filter("has and n = 1"), "alias"))
+    done = done.union(lone.filter("not has").select("qid", F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.lit("variant").alias("how")))
+    several = lone.filter("has and n > 1").select("qid", F.lit(True).alias("several"))
+    # far
+    beyond = rest(done).filter(F.col("name").rlike("|".join(far))) if far else rest(done).limit(0)
+    done = materialised(done.union(beyond.select("qid", F.lit(None).cast(entities.schema["id"].dataType).alias("id"), F.lit("far").alias("how"))))
+    # contained
+    left = rest(done).join(several, "qid", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    left = left.withColumn("core", N.strip_generic(F.col("match"))).withColumn("bare", bare(F.col("match")))
+    left = left.filter("match <> ''").withColumn("kind", F.regexp_extract("match", f"({'|'.join(KIND_ENDINGS)})$", 1))
+    core = N.strip_generic(F.col("e_bare"))
+    able = e.filter((F.col("e_match") != "") & ~_ends(bare(F.col("e_name")), NO_SCHOOL))
+    able = able.drop("aliases").dropDuplicates(["id", "e_name", "e_stage"]).withColumn("e_core", F.when(core.isin(*WEAK_CORES), "").otherwise(core))
+    strong = (~F.col("several") | (F.length("core") >= 4)) & (F.length("core") >= 3) & ~F.col("core").isin(*WEAK_CORES)
+    parts = exploded_substrings(able, "e_bare", 3, "part")
+    whole = left.filter((F.length("bare") >= 4) & (F.col("bare") != F.col("core"))).join(parts, F.col("bare") == F.col("part")).withColumn("branch", F.lit(0))
+    short = left.filter((F.length("core") < 3) & (F.length("bare") >= 4)).join(parts, F.col("bare") == F.col("part")).withColumn("branch", F.lit(1))
+    held = left.filter(strong).join(parts, F.col("core") == F.col("part")).withColumn("branch", F.lit(1))
+    inside = exploded_substrings(left.filter(~F.col("several") | (F.length("core") >= 4)), "match", 2, "part").join(able.filter(F.length("e_core") >= 2), F.col("part") == F.col("e_core")).withColumn("branch", F.lit(2))
+    found = whole.unionByName(short).unionByName(held).unionByName(inside)
+    campus_only = (F.col("match") != F.col("bare")) & F.col("match").contains("校区") & ~F.col("e_match").rlike("[(（]")
+    foreign = F.col("e_bare").contains("集团") & ~(F.startswith("e_match", "bare") | F.endswith("e_match", "bare"))
+    found = found.filter(~campus_only & ~foreign).dropDuplicates(["qid", "id", "e_name", "e_stage", "branch"])
+    found = materialised(found)
+    contained = picked(flagged(found.filter("branch = 0")), True)
+    later = found.join(contained, "qid", "left_anti").filter("branch > 0")
+    later = later.withColumn("_least", F.min("branch").over(W.partitionBy("qid"))).filter("branch = _least")
+    same_kind = (F.col("kind") != "") & F.endswith("e_bare", "kind")
+    contained = contained.union(picked(flagged(prefer(later, same_kind)), True))
+    done = done.union(step(contained, "contained"))
+    return queries.join(done, "qid", "left").withColumn("how", F.coalesce("how", F.lit("missing")))
+
+
 def containment(queries: DataFrame, query: str, entities: DataFrame, name: str, entity: str, order: str, least: int = 4, area: str | None = None) -> DataFrame:
     """Of each query the first entity one of whose names holds the other; both have ``least`` characters at least."""
     e = entities.filter(F.length(name) >= least).select(*([area] if area else []), F.col(name).alias("_n"), F.col(entity).alias("_e"), F.col(order).alias("_o"))

@@ -59,7 +59,7 @@ def high_ranking(scores: DataFrame, key: str, name: str, year: str, batch: str,
     return aggregates.pooled(chosen, key, year, value, digits).join(small(scores.groupBy(key).agg(F.min(name).alias(name))), key)
 
 
-def middle_ranking(rows: DataFrame, metrics: DataFrame, key: str, order: Sequence[str], keep_without: bool = True, every: DataFrame | None = None) -> DataFrame:
+def middle_ranking(rows: DataFrame, metrics: DataFrame, key: str, order: Sequence[str], metric_order: Sequence[str], keep_without: bool = True, every: DataFrame | None = None) -> DataFrame:
     """Rows with the metrics of the same place within their key; entities without a row are appended on request."""
-    out = joins.positional(rows, metrics, key, order, order)
+    out = joins.positional(rows, metrics, key, order, metric_order)
     return joins.append_missing(out, every, key) if keep_without and every is not None else out

@@ -490,6 +490,16 @@ def resolve_cascade(spark, sf_dir):
     return resolve.unique_tiers(q, "qid", [(e, ["name", "area"], False), (e, "name", False)], "id").select("name", "area", "id", "tier")
 
 
+@query()
+def resolve_all_tiers(spark, sf_dir):
+    """J27 of all part names, some of them written otherwise, among the parts as entities; the tiers are tested case by case."""
+    p = read(spark, sf_dir, "part")
+    e = p.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit("学校")).alias("name"), F.array("p_name").alias("aliases"), F.lit("middle").alias("stage"), F.col("p_brand").alias("area"))
+    shape = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("广州市"), "p_name", F.lit("学校"))).when(F.col("p_size") % 3 == 1, F.col("p_name")).otherwise(F.concat("p_name", F.lit("中学")))
+    q = p.select(F.col("p_partkey").alias("qid"), shape.alias("name"), F.col("p_brand").alias("area"), F.lit(None).cast("string").alias("stage"))
+    return resolve.cascade(q, e, e.limit(0), {"白云": "Brand#11"}).select("qid", "id", "how")
+
+
 @query(_PARTS + ", c AS (SELECT q.name, q.area, e.id, e.area = q.area AS a, e.stage = (SELECT min(stage) FROM e) AS s, e.id % 2 = 0 AS m FROM q JOIN e USING (name)), n AS (SELECT *, count(*) OVER w AS n0, min(id) OVER w AS e0, count_if(a) OVER w AS n1, min(CASE WHEN a THEN id END) OVER w AS e1, CASE WHEN count_if(a) OVER w > 0 THEN a ELSE TRUE END AS k1 FROM c WINDOW w AS (PARTITION BY name, area)), n2 AS (SELECT *, count_if(k1 AND s) OVER w AS n2, min(CASE WHEN k1 AND s THEN id END) OVER w AS e2, CASE WHEN count_if(k1 AND s) OVER w > 0 THEN k1 AND s ELSE k1 END AS k2 FROM n WINDOW w AS (PARTITION BY name, area)), n3 AS (SELECT *, count_if(k2 AND m) OVER w AS n3, min(CASE WHEN k2 AND m THEN id END) OVER w AS e3 FROM n2 WINDOW w AS (PARTITION BY name, area)) SELECT name, area, min(CASE WHEN n0 = 1 THEN e0 WHEN n1 = 1 THEN e1 WHEN n2 = 1 THEN e2 WHEN n3 = 1 THEN e3 END) AS id FROM n3 GROUP BY 1, 2")
 def pick_unique(spark, sf_dir):
     e = _entities(spark, sf_dir)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.operators import joins
+from tessera.operators import aggregates, filters, joins, ranking
+from tessera.operators.common import shared_folder
 from tessera.plans import indicators
 from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
@@ -148,3 +151,118 @@ def view_middle_ranking(spark, sf_dir):
 def windowed_events(spark, sf_dir):
     """An extension without a counterpart: the batch form of the windowed stream in tessera.streaming."""
     return windows.tumbling(read(spark, sf_dir, "events"), "ts", "1 hour", "event_type", "value")
+
+
+# --- readers and writers, over files that the query writes into the shared folder
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderpriority AS kind, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1)::INT AS ord, o_orderkey FROM orders")
+def json_documents(spark, sf_dir):
+    """One document for each priority; ``ord`` is the place in the document, which the document's own order gives."""
+    path = _folder(spark, "json")
+    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("kind"))))
+    docs = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(rows.alias("records"))
+    docs.select("o_orderpriority", F.to_json(F.struct("records")).alias("value")).write.partitionBy("o_orderpriority").text(path)
+    return tables.read_json_records(spark, f"{path}/*", "o_orderkey long, kind string").select("kind", F.col("ord").cast("int"), "o_orderkey")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_sorted(spark, sf_dir):
+    """Written in a fixed order and read back."""
+    path = _folder(spark, "json-sorted")
+    tables.write_json_sorted(read(spark, sf_dir, "nation"), path, ["n_nationkey"])
+    return spark.read.schema("n_nationkey int, n_name string, n_regionkey int").json(path)
+
+
+@query("SELECT n_nationkey, 'nation' AS tbl FROM nation UNION ALL SELECT r_regionkey, 'region' FROM region")
+def file_name_columns(spark, sf_dir):
+    """S3: which file a row is from."""
+    both = [read(spark, sf_dir, t).select(F.col(k).alias("n_nationkey"), F.input_file_name().alias("path")) for t, k in (("nation", "n_nationkey"), ("region", "r_regionkey"))]
+    return tables.from_file_names(both[0].union(both[1]), "path", {"tbl": r"/(\w+)\.parquet"}).select("n_nationkey", "tbl")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def csv_by_category(spark, sf_dir):
+    """A folder for each segment, read back as one table."""
+    path = _folder(spark, "csv")
+    tables.write_csv(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), path, by="c_mktsegment")
+    return tables.read_csv(spark, path, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS first, nullif(split_part(p_name, ' ', 2), '') AS second, NULL::VARCHAR AS ninth FROM part")
+def positional_cells(spark, sf_dir):
+    """Columns by their place in a row of cells."""
+    p = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("cells"))
+    first, second, *_, ninth = tables.positional("cells", ["first", "second", *map(str, range(6)), "ninth"])
+    return p.select("p_partkey", first, second, ninth)
+
+
+@query("SELECT p_partkey, 1 AS row_no, p_size || '|' || p_brand AS cells FROM part")
+def second_tables(spark, sf_dir):
+    """The second table's rows of two cells that don't repeat the header."""
+    p = read(spark, sf_dir, "part")
+    head = "<p><table><tr><th>no</th><th>name</th></tr></table><table><tr><td>no</td><td>name</td></tr><tr><td>"
+    html = F.concat(F.lit(head), F.col("p_size").cast("string"), F.lit("</td><td> <b>"), "p_brand", F.lit("</b></td></tr><tr><td>1</td></tr></table>"))
+    rows = tables.nth_table(p.withColumn("html", html), "p_partkey", "html", 1).filter(tables.wide_enough("cells", 2, "^no$"))
+    return rows.select("p_partkey", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("SELECT n_nationkey, n_regionkey AS kept FROM nation")
+def trimmed_columns(spark, sf_dir):
+    """A column and a field of a struct less."""
+    n = read(spark, sf_dir, "nation").withColumn("s", F.struct(F.col("n_regionkey").alias("kept"), F.col("n_name").alias("gone")))
+    out = codec.trim(n, ["n_name", "n_regionkey"], {"s": ["gone"]})
+    return out.select("n_nationkey", "s.*")
+
+
+@query("SELECT count(*) AS n, 0 AS missing FROM nation")
+def catalogue_rows(spark, sf_dir):
+    """A listed table is there and can be read."""
+    c = tables.Catalogue(spark, sf_dir, ["nation", "region"])
+    return c.read("nation").agg(F.count("*").alias("n")).withColumn("missing", F.lit(len(c.missing())))
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def projected_fields(spark, sf_dir):
+    """allow-listed fields, of which the table has two."""
+    return filters.project(read(spark, sf_dir, "part"), ["p_partkey", "nothing", "p_name"])
+
+
+@query("SELECT o_custkey, coalesce(sum(CASE WHEN o_orderstatus <> 'P' THEN 1 END), 0)::BIGINT AS total FROM orders GROUP BY 1")
+def sums_over_maps(spark, sf_dir):
+    """The sum of a map's values whose key is kept."""
+    n = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    cells = n.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("cells"))
+    return cells.select("o_custkey", aggregates.map_sum("cells", lambda k: k != "P").alias("total"))
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY CASE WHEN s_suppkey % 3 <> 0 THEN floor(s_acctbal / 1000) END DESC NULLS LAST, s_name) AS rank FROM supplier")
+def rank_by_score_and_name(spark, sf_dir):
+    """O3: by score with nulls last, then by name in binary order."""
+    score = F.when(F.col("s_suppkey") % 3 != 0, F.floor(F.col("s_acctbal") / 1000))
+    return ranking.ranked(read(spark, sf_dir, "supplier"), [score.desc_nulls_last(), ranking.collated(F.col("s_name"))]).select("s_suppkey", "rank")
+
+
+_RANKING = """WITH r AS (SELECT l_suppkey AS k, l_orderkey AS o, l_linenumber AS n, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem WHERE l_quantity > 45),
+ m AS (SELECT l_suppkey AS k, l_extendedprice AS price, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem WHERE l_quantity < 5)"""
+
+
+@query(_RANKING + " SELECT r.k, r.o, r.n, price FROM r LEFT JOIN m USING (k, p) UNION ALL SELECT s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM r)")
+def view_middle_web(spark, sf_dir):
+    """G21, one variant: entities without a row are appended."""
+    return _middle(spark, sf_dir, True).select(F.col("supp").alias("k"), "o", "n", "price")
+
+
+@query(_RANKING + " SELECT r.k, r.o, r.n, price FROM r LEFT JOIN m USING (k, p)")
+def view_middle_mini(spark, sf_dir):
+    """G21, the other variant: only entities with rows."""
+    return _middle(spark, sf_dir, False).select(F.col("supp").alias("k"), "o", "n", "price")
+
+
+def _middle(spark, sf_dir, keep_without):
+    l = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("price"))
+    rows, metrics = l.filter("q > 45").select("supp", "o", "n"), l.filter("q < 5").select("supp", F.col("o").alias("mo"), F.col("n").alias("mn"), "price")
+    every = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"))
+    return indicators.middle_ranking(rows, metrics, "supp", ["o", "n"], ["mo", "mn"], keep_without, every)

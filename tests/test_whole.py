@@ -151,3 +151,48 @@ def test_fuzzy_fix(spark):
         if rule == 2 and max(ratios.values()) < 0.75:
             rule = 3
         assert got[read] == (fixed, rule), (read, ratios)
+
+
+AREAS = {"荔湾": "103", "越秀": "104", "海珠": "105", "天河": "106", "白云": "111", "黄埔": "112", "番禺": "113", "花都": "114"}
+SITES = [
+    ("a1", "广东实验中学(越秀校区)", ["广东实验中学"], "middle", "104"),
+    ("a2", "广东实验中学(荔湾校区)", ["广东实验中学"], "high", "103"),
+    ("b1", "五一小学", [], "primary", "111"),
+    ("b2", "五一小学(红英校区)", ["五一小学"], "primary", "111"),
+    ("c1", "海珠实验小学", [], "primary", "105"),
+    ("c2", "天河实验小学", [], "primary", "106"),
+    ("d1", "华阳教育集团高塘石小学", [], "primary", "106"),
+    ("d2", "华阳小学(华成校区)", [], "primary", "106"),
+    ("e1", "培英中学", ["培英学校"], "middle", "103"),
+    ("f1", "星执学校", [], "middle", "112"),
+    ("g1", "第三中学", [], "middle", "104"),
+    ("h1", "邝维煜纪念中学停车场", [], "middle", "114"),
+    ("i1", "白云广大附中实验中学", [], "middle", "111"),
+    ("i2", "广大附中实验中学", [], "middle", "104"),
+]
+ASKED = [  # name, area, stage -> id, how
+    ("广东实验中学", "104", None, "a1", "exact"),
+    ("广东实验中学", "106", None, None, "missing"),
+    ("广东实验中学", None, "high", "a2", "exact"),
+    ("五一小学", None, None, "b1", "exact"),
+    ("海珠区实验小学", None, None, "c1", "alias"),
+    ("高塘石小学", "106", None, "d1", "contained"),
+    ("培英学校", "111", None, "e1", "alias"),
+    ("星执学校", None, "primary", "f1", "alias"),
+    ("增城新塘镇第三中学", None, None, None, "far"),
+    ("邝维煜纪念中学", "114", None, None, "missing"),
+    ("另一名称", None, None, "g1", "override"),
+    ("完全没有的学校", "104", None, None, "missing"),
+    ("", None, None, None, "missing"),
+    (None, "104", None, None, "missing"),
+]
+
+
+def test_cascade(spark):
+    e = spark.createDataFrame(SITES, "id string, name string, aliases array<string>, stage string, area string")
+    q = spark.createDataFrame([(k, *row[:3]) for k, row in enumerate(ASKED)], "qid int, name string, area string, stage string")
+    o = spark.createDataFrame([("另一名称", "g1")], "name string, id string")
+    got = {r.qid: (r.id, r.how) for r in resolve.cascade(q, e, o, AREAS).collect()}
+    assert got == {k: row[3:] for k, row in enumerate(ASKED)}
+    none = resolve.cascade(q.limit(0), e, o, AREAS)
+    assert none.collect() == [] and resolve.cascade(q, e.limit(0), o.limit(0), {}).filter("id is not null").count() == 0
