@@ -246,7 +246,7 @@ def rank_by_score_and_name(spark, sf_dir):
 
 
 _RANKING = """WITH r AS (SELECT l_suppkey AS k, l_orderkey AS o, l_linenumber AS n, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem WHERE l_quantity > 45),
- m AS (SELECT l_suppkey AS k, l_extendedprice AS price, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem WHERE l_quantity < 5)"""
+ m AS (SELECT l_suppkey AS k, l_extendedprice AS price, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS p FROM lineitem WHERE l_quantity < 5)"""
 
 
 @query(_RANKING + " SELECT r.k, r.o, r.n, price FROM r LEFT JOIN m USING (k, p) UNION ALL SELECT s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM r)")
@@ -265,4 +265,4 @@ def _middle(spark, sf_dir, keep_without):
     l = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supp"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("price"))
     rows, metrics = l.filter("q > 45").select("supp", "o", "n"), l.filter("q < 5").select("supp", F.col("o").alias("mo"), F.col("n").alias("mn"), "price")
     every = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supp"))
-    return indicators.middle_ranking(rows, metrics, "supp", ["o", "n"], ["mo", "mn"], keep_without, every)
+    return indicators.middle_ranking(rows, metrics, "supp", ["o", "n"], ["mo", "mn", "price"], keep_without, every)
