@@ -52,3 +52,19 @@ def first_by(df: DataFrame, keys: str | Sequence[str], order: Sequence[str | Col
 def only_by(df: DataFrame, keys: str | Sequence[str], value: str) -> DataFrame:
     """(keys, value) where a key has exactly one distinct value."""
     return df.groupBy(*cols(keys)).agg(F.min(value).alias(value), F.max(value).alias("_most")).filter(F.col(value) == F.col("_most")).drop("_most")
+
+
+def exploded_substrings(df: DataFrame, name: str, least: int, out: str) -> DataFrame:
+    """A row for each distinct substring of a name of ``least`` characters or more, so that a containment join becomes an equi-join."""
+    ends = lambda a: F.transform(F.sequence(a + least - 1, F.length(name)), lambda b: F.substring(F.col(name), a, b - a + 1))
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), ends))
+    return df.filter(F.length(name) >= least).withColumn(out, F.explode(F.array_distinct(every)))
+
+
+def holding(left: DataFrame, left_name: str, right: DataFrame, right_name: str, by: Sequence[str], least: int = 1) -> DataFrame:
+    """Distinct (by, left_name, right_name) such that one name holds the other, by equi-joins on substrings; the shorter one has ``least`` characters or more."""
+    a, b = left.select(*by, left_name).distinct(), right.select(*by, right_name).distinct()
+    inner = exploded_substrings(a, left_name, least, "_part").join(b.withColumn("_part", F.col(right_name)), [*by, "_part"])
+    outer = exploded_substrings(b, right_name, least, "_part").join(a.withColumn("_part", F.col(left_name)), [*by, "_part"])
+    pair = [*by, left_name, right_name]
+    return inner.select(*pair).union(outer.select(*pair)).distinct()

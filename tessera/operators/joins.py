@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import geo
-from tessera.operators.common import cols, first_by, small
+from tessera.operators.common import cols, first_by, holding, small
 from tessera.operators.contains import occurring
 
 
@@ -166,10 +166,18 @@ def gap_groups(df: DataFrame, partition: Sequence[str], by: str, gap: float) ->
 
 
 def nearest_value(left: DataFrame, right: DataFrame, area: str, left_id: str, left_value: str, right_id: str, right_value: str) -> DataFrame:
-    """Of each left row the right row of its area with the nearest value, the smaller id of equals."""
-    joined = left.select(area, left_id, left_value).join(small(right.select(area, right_id, right_value)), area)
-    gap = F.abs(F.col(left_value) - F.col(right_value))
-    best = joined.groupBy(left_id).agg(F.min(F.struct(gap.alias("gap"), F.col(right_id))).alias("b"))
+    """Of each left row the right row of its area with the nearest value, the smaller id of equals.
+
+    Both sides are sorted together once upwards and once downwards, and each left row takes the right one before it: no pairs are built.
+    """
+    values = right.filter(F.col(right_value).isNotNull()).groupBy(area, F.col(right_value).alias("_v")).agg(F.min(right_id).alias("_r"))
+    rows = left.filter(F.col(left_value).isNotNull()).select(area, F.col(left_value).alias("_v"), F.col(left_id).alias("_l"), F.lit(1).alias("_left"), F.lit(None).cast(values.schema["_r"].dataType).alias("_r"))
+    both = rows.unionByName(values.select(area, "_v", F.lit(None).cast(rows.schema["_l"].dataType).alias("_l"), F.lit(0).alias("_left"), "_r"))
+    held = F.when(F.col("_left") == 0, F.struct("_v", "_r"))
+    last = lambda order: F.last(held, ignorenulls=True).over(W.partitionBy(area).orderBy(order, "_left").rowsBetween(W.unboundedPreceding, 0))
+    near = both.withColumn("_low", last(F.asc("_v"))).withColumn("_high", last(F.desc("_v"))).filter("_left = 1")
+    found = near.select(F.col("_l").alias(left_id), "_v", F.explode(F.array("_low", "_high")).alias("_c")).filter("_c is not null")
+    best = found.groupBy(left_id).agg(F.min(F.struct(F.abs(F.col("_v") - F.col("_c._v")).alias("gap"), F.col("_c._r").alias(right_id))).alias("b"))
     return best.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.gap").alias("gap"))
 
 
@@ -210,10 +218,10 @@ def two_way_gap(official: DataFrame, held: DataFrame, key: str) -> DataFrame:
 
 
 def contained_either_way(left: DataFrame, right: DataFrame, area: str, left_name: str, right_name: str, right_order: str) -> DataFrame:
-    """The first right row of a left row's area such that one base name holds the other."""
+    """The first right row of a left row's area such that one base name holds the other; an empty name holds and is held by none."""
     r = right.select(area, F.col(right_name).alias("_r"), F.col(right_order).alias("_o"))
-    hit = F.col(left_name).contains(F.col("_r")) | F.col("_r").contains(F.col(left_name))
-    found = left.join(small(r), area).filter(hit).groupBy(area, left_name).agg(F.min_by("_r", "_o").alias("match"))
+    pairs = holding(left, left_name, r, "_r", [area]).join(r, [area, "_r"])
+    found = pairs.groupBy(area, left_name).agg(F.min_by("_r", "_o").alias("match"))
     return left.join(found, [area, left_name], "left")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import names as N
-from tessera.operators.common import cols, materialised, small
+from tessera.operators.common import cols, exploded_substrings, holding, materialised, small
 
 
 def tiered(queries: DataFrame, query: str, tiers: Sequence[tuple[DataFrame, str | Sequence[str]]], entity: str, order: str) -> DataFrame:
@@ -76,13 +76,6 @@ def _ends(s: Column, words: Sequence[str]) -> Column:
     return F.coalesce(s.rlike(f"(?:{'|'.join(words)})$"), F.lit(False))
 
 
-def exploded_substrings(df: DataFrame, name: str, least: int, out: str) -> DataFrame:
-    """A row for each distinct substring of a name of ``least`` characters or more, so that a containment join becomes an equi-join."""
-    ends = lambda a: F.transform(F.sequence(a + least - 1, F.length(name)), lambda b: F.substring(F.col(name), a, b - a + 1))
-    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), ends))
-    return df.filter(F.length(name) >= least).withColumn(out, F.explode(F.array_distinct(every)))
-
-
 def picked(candidates: DataFrame, guard: bool) -> DataFrame:
     """J28 of the cascade: (qid, id) of queries whose candidates come down to one.
 
@@ -206,12 +199,11 @@ def cascade(queries: DataFrame, entities: DataFrame, overrides: DataFrame, areas
 
 def containment(queries: DataFrame, query: str, entities: DataFrame, name: str, entity: str, order: str, least: int = 4, area: str | None = None) -> DataFrame:
     """Of each query the first entity one of whose names holds the other; both have ``least`` characters at least."""
-    e = entities.filter(F.length(name) >= least).select(*([area] if area else []), F.col(name).alias("_n"), F.col(entity).alias("_e"), F.col(order).alias("_o"))
-    q = queries.filter(F.length(query) >= least)
-    hit = F.col(query).contains(F.col("_n")) | F.col("_n").contains(F.col(query))
-    pairs = (q.join(small(e), area) if area else q.join(small(e), hit)).filter(hit)
-    best = pairs.groupBy(*([area] if area else []), query).agg(F.min_by("_e", "_o").alias(entity))
-    return queries.join(best, [*([area] if area else []), query], "left")
+    by = [area] if area else []
+    e = entities.filter(F.length(name) >= least).select(*by, F.col(name).alias("_n"), F.col(entity).alias("_e"), F.col(order).alias("_o"))
+    pairs = holding(queries.filter(F.length(query) >= least), query, e, "_n", by, least).join(e, [*by, "_n"])
+    best = pairs.groupBy(*by, query).agg(F.min_by("_e", "_o").alias(entity))
+    return queries.join(best, [*by, query], "left")
 
 
 def exploded_prefixes(df: DataFrame, name: str, least: int = 1, out: str = "prefix") -> DataFrame:
