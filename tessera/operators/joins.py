@@ -42,6 +42,13 @@ def keep_first_maps(df: DataFrame, key: str, order: str, maps: str) -> DataFrame
     return one.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(maps))
 
 
+def member_maps(schools: DataFrame, key: str, rows: DataFrame, one: str, many: str, order: str, maps: str) -> DataFrame:
+    """Each school with the maps of all rows that list it, alone or among several, as one; of an entry that several have, the first stays."""
+    listed = index_ids(rows.select(one, many, order, maps), one, many, key)
+    merged = keep_first_maps(listed.join(schools.select(key).distinct(), key, "left_semi"), key, order, maps)
+    return schools.join(merged, key, "left")
+
+
 def reverse_lookup(long: DataFrame, key: str, wanted: Sequence) -> DataFrame:
     """A long table serves lookups from either side by a filter."""
     return long.filter(F.col(key).isin(*wanted))

@@ -477,6 +477,15 @@ def document_lookup(spark, sf_dir):
     return joins.document_lookup(d, "ids", "dname", c, "k", "name", "ord").select("k", "document")
 
 
+@query("WITH l AS (SELECT o_orderkey AS ord, o_custkey, o_custkey + 1 AS next, o_orderpriority AS k, o_totalprice AS v FROM orders), i AS (SELECT o_custkey AS id, ord, k, v FROM l UNION ALL SELECT next, ord, k, v FROM l), f AS (SELECT id, k, arg_min(v, ord) AS v FROM i GROUP BY 1, 2) SELECT c_custkey AS id, k, v FROM customer JOIN f ON id = c_custkey")
+def member_maps(spark, sf_dir):
+    """Each order lists two customers; a customer's first total of each priority."""
+    o = read(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("one"), F.array("o_custkey", F.col("o_custkey") + 1).alias("many"), F.col("o_orderkey").alias("ord"), F.create_map("o_orderpriority", "o_totalprice").alias("cells"))
+    schools = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    return joins.member_maps(schools, "id", rows, "one", "many", "ord", "cells").select("id", F.explode("cells").alias("k", "v"))
+
+
 # --- resolution
 @query(_PARTS + ", a AS (SELECT name, area, min(ord) AS o, arg_min(id, ord) AS id FROM e GROUP BY 1, 2), b AS (SELECT name, arg_min(id, ord) AS id FROM e GROUP BY 1) SELECT q.name, q.area, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 END AS tier FROM q LEFT JOIN a USING (name, area) LEFT JOIN b USING (name)")
 def resolve_two_tier(spark, sf_dir):

@@ -196,3 +196,33 @@ def test_cascade(spark):
     assert got == {k: row[3:] for k, row in enumerate(ASKED)}
     none = resolve.cascade(q.limit(0), e, o, AREAS)
     assert none.collect() == [] and resolve.cascade(q, e.limit(0), o.limit(0), {}).filter("id is not null").count() == 0
+
+
+def test_a_tier_that_stops(spark):
+    """An ambiguous tier falls through, or ends the search if it is marked so."""
+    strict = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3)], "k string, id int")
+    loose = spark.createDataFrame([("x", 4), ("y", 5), ("z", 6)], "k string, id int")
+    q = spark.createDataFrame([("x",), ("y",), ("z",), ("w",)], "k string")
+    for stops, x in ((False, (4, 1)), (True, (None, None))):
+        got = {r.k: (r.id, r.tier) for r in resolve.unique_tiers(q, "k", [(strict, "k", stops), (loose, "k", False)], "id").collect()}
+        assert got == {"x": x, "y": (3, 0), "z": (6, 1), "w": (None, None)}
+
+
+def test_exempt_pairs(spark):
+    points = spark.createDataFrame([(k, 113.0 + k * 0.0005, 23.0, "s") for k in range(4)], "id int, lng double, lat double, stage string")
+    exempt = spark.createDataFrame([(1, 2)], "i int, j int")
+    got = {(r.i, r.j) for r in joins.proximity_pairs(points, 60.0, ["stage"], "id", exempt).collect()}
+    assert got == {(0, 1), (2, 3)}
+
+
+def test_family_by_alias(spark):
+    e = spark.createDataFrame([(1, "甲第一中学", [], 1), (2, "乙学校", ["甲第一中学(东校区)"], 2), (3, "甲第一中学西校区", [], 3), (4, "甲第一中学附近", [], 4)], "id int, name string, aliases array<string>, ord int")
+    keys = spark.createDataFrame([("甲第一中学",)], "key string")
+    assert {r.id for r in resolve.family(keys, "key", e, "name", "aliases", "id", "ord").collect()} == {1, 2, 3}
+
+
+def test_nearest_value_ties(spark):
+    left = spark.createDataFrame([(1, "a", 5.0), (2, "a", 0.0), (3, "b", 1.0), (4, "a", None), (5, "c", 1.0)], "l int, area string, v double")
+    right = spark.createDataFrame([(9, "a", 4.0), (8, "a", 6.0), (7, "a", 6.0), (6, "b", None), (5, "b", 1.0)], "r int, area string, w double")
+    got = {r.l: (r.r, r.gap) for r in joins.nearest_value(left, right, "area", "l", "v", "r", "w").collect()}
+    assert got == {1: (7, 1.0), 2: (9, 4.0), 3: (5, 0.0)}
