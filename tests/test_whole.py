@@ -226,3 +226,18 @@ def test_nearest_value_ties(spark):
     right = spark.createDataFrame([(9, "a", 4.0), (8, "a", 6.0), (7, "a", 6.0), (6, "b", None), (5, "b", 1.0)], "r int, area string, w double")
     got = {r.l: (r.r, r.gap) for r in joins.nearest_value(left, right, "area", "l", "v", "r", "w").collect()}
     assert got == {1: (7, 1.0), 2: (9, 4.0), 3: (5, 0.0)}
+
+
+def test_roster_status(spark):
+    held = [
+        ("a", "广州市第一中学", ["一中"], "middle", "104"), ("b", "第二中学(高中部)", [], "high", "104"), ("c", "第三中学（东校区）", [], "middle", "103"),
+        ("d", "第四小学", [], "primary", "104"), ("e", "第五中学(南校区)", [], "high", "104"), ("f", "第五中学(北校区)", [], "middle", "104"),
+    ]
+    asked = [
+        ("第一中学", "104", None, True, "MATCHED"), ("一中", "104", None, True, "MATCHED"), ("第二中学", "104", None, True, "ONLY_HIGH"), ("第二中学", "104", None, False, "MATCHED"),
+        ("第三中学", "104", None, True, "CROSS"), ("第四小学", "104", None, True, "MISSING"), ("第四小学", "104", None, False, "MATCHED"), ("第五中学", "104", None, True, "MATCHED"),
+        ("第五中学(南校区)", "104", "南校区", True, "ONLY_HIGH"), (None, "104", None, True, "MISSING"),
+    ]
+    e = spark.createDataFrame(held, "id string, name string, aliases array<string>, stage string, area string")
+    q = spark.createDataFrame([(k, *row[:4]) for k, row in enumerate(asked)], "qid int, name string, area string, campus string, expected boolean")
+    assert {r.qid: r.status for r in resolve.roster_status(q, e).collect()} == {k: row[4] for k, row in enumerate(asked)}
