@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import geo
 from tessera.operators.common import cols, small
+from tessera.operators.ranking import ranked
 
 
 def count_by(df: DataFrame, key: str) -> DataFrame:
@@ -110,10 +111,10 @@ def union_maps(df: DataFrame, key: str, maps: str) -> DataFrame:
 def dimension(df: DataFrame, columns: Sequence[str], order: str, name: str = "dim_id") -> DataFrame:
     """Distinct tuples numbered from 0 by first sight, with the number of their rows.
 
-    The numbering sorts one row a distinct tuple, never the facts.
+    The numbering sorts one row a distinct tuple, never the facts, and no task holds all tuples.
     """
     first = df.groupBy(*columns).agg(F.min(order).alias("_first"), F.count("*").alias("uses"))
-    return first.withColumn(name, F.row_number().over(W.orderBy("_first", *columns)) - 1).drop("_first")
+    return ranked(first, [F.col("_first"), *map(F.col, columns)], "_n").withColumn(name, F.col("_n") - 1).drop("_first", "_n")
 
 
 def content_groups(df: DataFrame, members: Sequence[str], order: str) -> DataFrame:

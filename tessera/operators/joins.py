@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.functions import geo
-from tessera.operators.common import cols, first_by, holding, small
+from tessera.operators.common import cols, first_by, holding, materialised, small
 from tessera.operators.contains import occurring
 
 
@@ -100,16 +102,34 @@ def claim_once(claims: DataFrame, item: str, explicit: str, order: str) -> DataF
     return claims.withColumn("granted", F.row_number().over(w) == 1)
 
 
-def nearest(points: DataFrame, sites: DataFrame, area: str, point_id: str, site_id: str, site_order: str) -> DataFrame:
+#: Cells through which the nearest site is sought one after another, in degrees.
+NEAREST_STEPS = (0.005, 0.08, 1.28)
+
+
+def nearest(points: DataFrame, sites: DataFrame, area: str, point_id: str, site_id: str, site_order: str, steps: Sequence[float] = NEAREST_STEPS) -> DataFrame:
     """Of each point the nearest site of its area: (point_id, site_id, metres); the first of equally near ones.
 
-    Both tables have lng and lat. Each point's candidates are reduced by a partial aggregate, never gathered.
+    Both tables have lng and lat; rows that lack one have no part in it. A point meets the sites of its own and the eight
+    cells around it; the nearest of them is the nearest of all if it is no farther than a site outside can be. The other
+    points go on to a wider grid, and what no grid settles is compared with all sites of its area.
     """
-    s = sites.select(area, F.col(site_id).alias("_site"), F.col(site_order).alias("_ord"), F.col("lng").alias("_lng"), F.col("lat").alias("_lat"))
-    joined = points.join(small(s), area)
-    d = geo.metres(F.col("lng"), F.col("lat"), F.col("_lng"), F.col("_lat"))
-    best = joined.groupBy(point_id).agg(F.min(F.struct(d.alias("d"), "_ord", "_site")).alias("b"))
-    return best.select(point_id, F.col("b._site").alias(site_id), F.col("b.d").alias("metres"))
+    s = sites.select(area, F.col(site_id).alias("_site"), F.col(site_order).alias("_ord"), F.col("lng").alias("_lng"), F.col("lat").alias("_lat")).dropna(subset=["_lng", "_lat"])
+    left = points.select(area, F.col(point_id).alias("_point"), "lng", "lat").dropna(subset=["lng", "lat"]).distinct()
+    best = F.min(F.struct(geo.metres(F.col("lng"), F.col("lat"), F.col("_lng"), F.col("_lat")).alias("d"), "_ord", "_site")).alias("b")
+    own = [area, "_point", "lng", "lat"]
+    settled = []
+    for step in steps:
+        around = _cells(s.withColumnsRenamed({"_lng": "lng", "_lat": "lat"}), step, step, True).withColumnsRenamed({"lng": "_lng", "lat": "_lat"})
+        met = _cells(left, step, step, False).join(around, [area, "_x", "_y"]).groupBy(*own).agg(best)
+        # a site outside is a cell's height away, or beyond the meridian a cell's width away or that of 180 degrees
+        beyond = lambda degrees: F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.least(degrees, F.lit(90.0)))))
+        bound = 0.999 * geo.EARTH_M * F.least(F.lit(math.radians(step)), beyond(F.lit(step)), beyond(180 - F.abs("lng")))
+        near = materialised(left.join(met, own, "left").withColumn("sure", F.coalesce(F.col("b.d") <= bound, F.lit(False))))
+        settled.append(near.filter("sure").select("_point", "b"))
+        left = near.filter("not sure").select(*own)
+    settled.append(left.join(small(s), area).groupBy("_point").agg(best))
+    every = reduce(DataFrame.unionByName, settled).groupBy("_point").agg(F.min("b").alias("b"))
+    return every.select(F.col("_point").alias(point_id), F.col("b._site").alias(site_id), F.col("b.d").alias("metres"))
 
 
 def _cells(df: DataFrame, degrees_lng: float, degrees_lat: float, around: bool) -> DataFrame:
@@ -125,8 +145,6 @@ def within_radius(points: DataFrame, sites: DataFrame, radius_m: float, point_id
 
     Only neighbouring cells are joined: an equi-join, not a comparison of everything with everything.
     """
-    import math
-
     lat_step = radius_m / 111_000.0
     lng_step = lat_step / math.cos(math.radians(max_lat))
     a = _cells(points.select(point_id, "lng", "lat"), lng_step, lat_step, False)
@@ -143,8 +161,6 @@ def radius_ids(points: DataFrame, sites: DataFrame, radius_m: float, point_id: s
 
 def proximity_pairs(points: DataFrame, radius_m: float, same: Sequence[str], point_id: str, exempt: DataFrame | None = None) -> DataFrame:
     """Pairs i < j of points within a radius that agree in the ``same`` columns, less exempt pairs (i, j)."""
-    import math
-
     lat_step = radius_m / 111_000.0
     lng_step = lat_step / math.cos(math.radians(60.0))
     a = _cells(points, lng_step, lat_step, False).select(*same, F.col(point_id).alias("i"), "lng", "lat", "_x", "_y")

@@ -9,6 +9,7 @@ tiers are bounded by an area and a least length.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -320,18 +321,34 @@ def classified(df: DataFrame, score: str, metres: str, sure: int = 900, near: fl
     return F.when(F.col(score).isNull(), "none").when(F.col(score) >= sure, "same").when(F.col(metres) <= near, "near").otherwise("far")
 
 
-def affix_status(names: DataFrame, name: str, points: DataFrame, point: str, area: str, campus: str = r"^[^\s]*(校区|分校)$", prefixes: Sequence[str] = N.DISTRICTS) -> DataFrame:
-    """Of each name its best status in its area: 0 equal, 1 the point is the name and a campus, 2 the name is a district and the point, 3 the name is the point and a campus; 9 none."""
-    p = points.select(area, F.col(point).alias("_p")).distinct()
-    n, m = F.col(name), F.col("_p")
-    rest_of_point, rest_of_name = F.substring(m, F.length(n) + 1, F.lit(10_000)), F.substring(n, F.length(m) + 1, F.lit(10_000))
-    lead = F.substring(n, F.lit(1), F.length(n) - F.length(m))
-    rank = (
-        F.when(n == m, 0)
-        .when(m.startswith(n) & rest_of_point.rlike(campus), 1)
-        .when(n.endswith(m) & lead.isin(*prefixes), 2)
-        .when(n.startswith(m) & rest_of_name.rlike(campus), 3)
-        .otherwise(9)
-    )
-    best = names.join(small(p), area).groupBy(area, name).agg(F.min(rank).alias("status"))
-    return names.join(best, [area, name], "left").withColumn("status", F.coalesce("status", F.lit(9)))
+#: What marks the rest of a longer name as a campus, and what a district before a name ends in.
+CAMPUS_WORDS = ("校区", "分校", "初中部", "高中部", "小学部", "本部", "校本部", "中学部", "东校区", "西校区", "南校区", "北校区", "首校区", "新校区", "实验学校", "学校")
+AREA_ENDINGS = ("区", "镇", "街道", "街")
+CAMPUS_SHORT, CAMPUS_LONG, AFFIXED_LEAST = 8, 15, 3
+
+
+def affix_status(names: DataFrame, name: str, points: DataFrame, point: str, area: str) -> DataFrame:
+    """Of each name its best status in its area: 0 equal, 1 the point is the name and a campus, 2 the name is a district and the point, 3 the name is the point and a campus; 9 none.
+
+    A campus is a rest of at most eight characters, or of at most fifteen with a campus word; a point behind a district
+    has three characters or more. Null and empty names have status 9. Only equi-joins: of a longer name, the parts that
+    are left without up to fifteen last characters, or without a district, are looked up.
+    """
+    n = names.select(area, F.col(name).alias("_n")).filter("_n <> ''").distinct()
+    p = points.select(area, F.col(point).alias("_p")).filter("_p <> ''").distinct()
+
+    def shortened(df: DataFrame, c: str) -> DataFrame:
+        """A row for each part of a name that a campus follows, as ``part``."""
+        ends = F.sequence(F.greatest(F.length(c) - CAMPUS_LONG, F.lit(1)), F.length(c) - 1)
+        cut = df.filter(F.length(c) > 1).withColumn("at", F.explode(ends))
+        rest = F.substring(F.col(c), F.col("at") + 1, F.length(c))
+        return cut.filter((F.length(rest) <= CAMPUS_SHORT) | rest.rlike("|".join(CAMPUS_WORDS))).withColumn("part", F.substring(F.col(c), F.lit(1), F.col("at")))
+
+    behind = n.filter(F.length("_n") > AFFIXED_LEAST).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("_n") - AFFIXED_LEAST)))
+    behind = behind.filter(_ends(F.substring(F.col("_n"), F.lit(1), F.col("at")), AREA_ENDINGS)).withColumn("part", F.substring(F.col("_n"), F.col("at") + 1, F.length("_n")))
+    parts = [n.withColumn("part", F.col("_n")), behind, shortened(n, "_n")]
+    looked = reduce(DataFrame.unionByName, [df.select(area, "_n", "part", F.lit(rank).alias("rank")) for df, rank in zip(parts, (0, 2, 3), strict=True)])
+    found = looked.join(p.withColumnRenamed("_p", "part"), [area, "part"], "left_semi").select(area, "_n", "rank")
+    longer = shortened(p, "_p").select(area, F.col("part").alias("_n"), F.lit(1).alias("rank"))
+    best = found.union(longer).groupBy(area, "_n").agg(F.min("rank").alias("status"))
+    return names.join(best.withColumnRenamed("_n", name), [area, name], "left").withColumn("status", F.coalesce("status", F.lit(9)))

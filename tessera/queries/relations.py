@@ -573,10 +573,20 @@ def brand_match(spark, sf_dir):
     return resolve.brand_of(p, "p_name", units, "brand", "uname", "unames", "ord").select("p_partkey", "brand")
 
 
-@query("WITH n AS (SELECT DISTINCT p_brand AS area, split_part(p_name, ' ', 1) AS name FROM part), p AS (SELECT p_brand AS area, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || '东校区' END AS p FROM part WHERE p_size > 20) SELECT n.area, n.name, coalesce(min(CASE WHEN n.name = p THEN 0 WHEN p = n.name || '东校区' THEN 1 END), 9) AS status FROM n LEFT JOIN p ON n.area = p.area GROUP BY 1, 2")
+_AFFIX_NAMES = "SELECT DISTINCT p_brand AS area, CASE p_size % 4 WHEN 0 THEN '天河区' || split_part(p_name, ' ', 1) WHEN 1 THEN split_part(p_name, ' ', 1) || ' 的某一个很长的名字校区' ELSE split_part(p_name, ' ', 1) END AS name FROM part"
+_CAMPUS = "(length({0}) BETWEEN 1 AND 8 OR (length({0}) BETWEEN 9 AND 15 AND regexp_matches({0}, '校区|分校|[初高]中部|小学部|本部|中学部|学校')))"
+
+
+@query(
+    f"""WITH n AS ({_AFFIX_NAMES}), p AS (SELECT DISTINCT p_brand AS area, CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 1) || '东校区' END AS p FROM part WHERE p_size > 20)
+ SELECT n.area, n.name, coalesce(min(CASE WHEN n.name = p THEN 0 WHEN starts_with(p, n.name) AND {_CAMPUS.format('substr(p, length(n.name) + 1)')} THEN 1
+ WHEN ends_with(n.name, p) AND length(p) >= 3 AND regexp_matches(left(n.name, length(n.name) - length(p)), '(区|镇|街道|街)$') THEN 2
+ WHEN starts_with(n.name, p) AND {_CAMPUS.format('substr(n.name, length(p) + 1)')} THEN 3 END), 9) AS status FROM n LEFT JOIN p ON n.area = p.area GROUP BY 1, 2"""
+)
 def affix_status(spark, sf_dir):
     p = read(spark, sf_dir, "part").withColumn("w", F.split("p_name", " ")[0])
-    names = p.select(F.col("p_brand").alias("area"), F.col("w").alias("name")).distinct()
+    shape = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("天河区"), "w")).when(F.col("p_size") % 4 == 1, F.concat("w", F.lit(" 的某一个很长的名字校区"))).otherwise(F.col("w"))
+    names = p.select(F.col("p_brand").alias("area"), shape.alias("name")).distinct()
     points = p.filter("p_size > 20").select(F.col("p_brand").alias("area"), F.when(F.col("p_size") % 2 == 0, F.col("w")).otherwise(F.concat("w", F.lit("东校区"))).alias("p"))
     return resolve.affix_status(names, "name", points, "p", "area")
 

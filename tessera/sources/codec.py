@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tessera.operators.common import small
+from tessera.operators.ranking import ranked
 
 
 def dictionary(df: DataFrame, column: str, order: str) -> DataFrame:
-    """(column, code): distinct values numbered from 0 by first sight. One row a distinct value is sorted, never the table."""
+    """(column, code): distinct values numbered from 0 by first sight. One row a distinct value is sorted, never the table, and no task holds all values."""
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    return first.select(column, (F.row_number().over(W.orderBy("_first", column)) - 1).alias("code"))
+    return ranked(first, [F.col("_first"), F.col(column)], "_n").select(column, (F.col("_n") - 1).alias("code"))
 
 
 def worth_encoding(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -241,3 +241,37 @@ def test_roster_status(spark):
     e = spark.createDataFrame(held, "id string, name string, aliases array<string>, stage string, area string")
     q = spark.createDataFrame([(k, *row[:4]) for k, row in enumerate(asked)], "qid int, name string, area string, campus string, expected boolean")
     assert {r.qid: r.status for r in resolve.roster_status(q, e).collect()} == {k: row[4] for k, row in enumerate(asked)}
+
+
+def test_affix_status(spark):
+    points = ["第一中学", "第二中学东校区", "一二", "甲乙丙", "很长的名字" + "一" * 9, "另一个" + "一" * 8 + "学校", "远" * 2 + "一" * 16 + "校区"]
+    asked = {"第一中学": 0, "天河区第一中学": 2, "某镇第一中学": 2, "某某第一中学": 9, "第一中学（南）": 3, "第二中学": 1, "区一二": 9, "区甲乙丙": 2, "很长的名字": 9, "另一个": 1, "远远": 9, "": 9, None: 9}
+    n = spark.createDataFrame([("a", k) for k in asked] + [("b", "第一中学")], "area string, name string")
+    p = spark.createDataFrame([("a", x) for x in [*points, "", None]], "area string, p string")
+    got = {(r.area, r.name): r.status for r in resolve.affix_status(n, "name", p, "p", "area").collect()}
+    assert got == {("a", k): v for k, v in asked.items()} | {("b", "第一中学"): 9}
+
+
+def test_nearest_by_rings(spark):
+    """Near, far, equally near, across the 180th meridian, by the pole and without a place."""
+    from math import asin, cos, radians, sin, sqrt
+
+    rng = random.Random(3)
+    sites = [(k, "ab"[k % 2], rng.uniform(113, 113.2), rng.uniform(23, 23.2)) for k in range(60)]
+    sites += [(70, "a", 179.999, 10.0), (71, "a", 0.0, 89.99), (72, "b", 120.0, 23.0), (73, "a", -60.0, -30.0), (74, "c", 113.0, None), (76, "d", 1.0, 0.0), (75, "d", -1.0, 0.0)]
+    points = [(k, "ab"[k % 2], rng.uniform(112.9, 113.3), rng.uniform(22.9, 23.3)) for k in range(200)]
+    points += [(300, "a", -179.999, 10.0), (301, "a", 170.0, 89.98), (302, "b", 119.0, 24.0), (303, "a", 100.0, -40.0), (304, "a", None, 1.0), (305, "c", 113.0, 23.0), (306, "d", 0.0, 0.0), (307, "e", 0.0, 0.0)]
+
+    def metres(p, s):
+        h = sin(radians(s[3] - p[3]) / 2) ** 2 + cos(radians(p[3])) * cos(radians(s[3])) * sin(radians(s[2] - p[2]) / 2) ** 2
+        return 2 * 6_371_000 * asin(sqrt(h))
+
+    want = {}
+    for p in points:
+        own = [(metres(p, s), s[0]) for s in sites if s[1] == p[1] and s[3] is not None and p[2] is not None]
+        if own:
+            want[p[0]] = min(own)
+    kind = "int, area string, lng double, lat double"
+    got = {r.id: (r.metres, r.sid) for r in joins.nearest(spark.createDataFrame(points, "id " + kind), spark.createDataFrame(sites, "sid " + kind), "area", "id", "sid", "sid").collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(got[k][0] - want[k][0]) < 1e-3 for k in want)
