@@ -96,6 +96,12 @@ def brand_norm(s: Column) -> Column:
     return F.coalesce(F.translate(t, "（）()[] 　", ""), F.lit(""))
 
 
+def brand_core(s: Column) -> Column:
+    """N7 without bracketed parts: what names of groups and members are compared by."""
+    t = F.translate(F.regexp_replace(s, "[（(][^）)]*[）)]", ""), " 　", "")
+    return F.replace(F.replace(t, F.lit(CITY), F.lit("")), F.lit(CITY_SHORT), F.lit(""))
+
+
 def strip_generic(s: Column, generic: Sequence[str] = GENERIC) -> Column:
     """Generic suffixes, plain or in brackets, and a bracket left open go until none is left; a name of one suffix only loses what fits behind a first character."""
     words = "|".join(generic)

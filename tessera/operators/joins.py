@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.functions import geo
+from tessera.functions import geo, names
 from tessera.operators.common import cols, first_by, holding, materialised, small
 from tessera.operators.contains import occurring
 
@@ -240,6 +240,35 @@ def two_way_gap(official: DataFrame, held: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").withColumn("side", F.lit("official_only")).union(b.join(a, key, "left_anti").withColumn("side", F.lit("held_only")))
 
 
+def listed_gap(official: DataFrame, held: DataFrame, norm: Callable[[Column], Column] = names.strict_norm_spaces) -> DataFrame:
+    """(list, side, name) of official names that no held row of their list has, and of held rows that have none of their list's names.
+
+    ``official`` has list and name; ``held`` list, id, name and aliases. Names are compared normalised; a null name of
+    either table meets nothing.
+    """
+    asked = official.select("list", "name", norm(F.col("name")).alias("key")).distinct()
+    flat = held.select("list", "id", "name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).filter("n is not null").select("list", "id", "name", norm(F.col("n")).alias("key")).filter("key <> ''")
+    lacking = asked.join(flat, ["list", "key"], "left_anti").select("list", F.lit("official_only").alias("side"), "name")
+    known = flat.join(asked.filter("name is not null"), ["list", "key"], "left_semi").select("list", "id").distinct()
+    return lacking.union(held.join(known, ["list", "id"], "left_anti").select("list", F.lit("held_only").alias("side"), "name"))
+
+
+def member_gap(official: DataFrame, held: DataFrame, entities: DataFrame, norm: Callable[[Column], Column] = names.brand_core) -> DataFrame:
+    """Official members that a group neither has as a member nor as a member's campus, with the ids of the entities of that name.
+
+    ``official`` has group and member; ``held`` group, member and campuses (an array); ``entities`` id, name and aliases.
+    An id is found by the member's name up to a full-width bracket, among names and aliases; ``ids`` is sorted, empty for none.
+    """
+    every = lambda one, many: F.explode(F.concat(F.array(one), F.coalesce(many, F.array().cast("array<string>"))))
+    key = lambda c: F.coalesce(norm(F.col(c)), F.lit(""))
+    have = held.select(key("group").alias("_g"), every("member", "campuses").alias("n")).select("_g", key("n").alias("_m")).distinct()
+    lacking = official.withColumn("_g", key("group")).withColumn("_m", key("member")).join(have, ["_g", "_m"], "left_anti").select("group", "member")
+    lacking = lacking.withColumn("_k", norm(F.split("member", "（")[0]))
+    flat = entities.select("id", every("name", "aliases").alias("n")).select("id", norm(F.col("n")).alias("_k")).filter("_k <> ''").join(lacking.select("_k").distinct(), "_k", "left_semi")
+    ids = flat.groupBy("_k").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return lacking.join(ids, "_k", "left").select("group", "member", F.coalesce("ids", F.array().cast(ids.schema["ids"].dataType)).alias("ids"))
+
+
 def contained_either_way(left: DataFrame, right: DataFrame, area: str, left_name: str, right_name: str, right_order: str) -> DataFrame:
     """The first right row of a left row's area such that one base name holds the other; an empty name holds and is held by none."""
     r = right.select(area, F.col(right_name).alias("_r"), F.col(right_order).alias("_o"))

@@ -237,15 +237,6 @@ def family(keys: DataFrame, key: str, entities: DataFrame, name: str, aliases: s
     return keys.select(key).distinct().join(every, key).groupBy(key, entity).agg(F.min(order).alias(order))
 
 
-def campus_options(df: DataFrame, text: str) -> DataFrame:
-    """J31: "legal（A、B…）" as rows (legal, option), options taking over the last one's suffix 校区."""
-    legal = F.regexp_extract(text, "^([^（]+)（", 1)
-    inside = F.regexp_extract(text, "（([^）]+)）", 1)
-    shared = F.when(inside.endswith("校区"), F.lit("校区")).otherwise("")
-    option = F.transform(F.split(inside, "[、和]"), lambda o: F.when(o.endswith("校区"), o).otherwise(F.concat(o, shared)))
-    return df.withColumn("legal", legal).withColumn("option", F.explode(F.filter(option, lambda o: o != "")))
-
-
 def roster_status(official: DataFrame, held: DataFrame, skipped: Sequence[str] = ("primary",), wanted: str = "middle") -> DataFrame:
     """Adds ``status`` to official rows (qid, name, area, campus, expected) by entities (id, name, aliases, stage, area).
 
@@ -316,6 +307,70 @@ def scored(pairs: DataFrame, query: str, rules: Sequence[tuple[Column, int]], le
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(query).orderBy(F.desc("score"), *order))).filter("_r = 1").drop("_r")
 
 
+#: Words a school's point has in its kind or name, and words of points that are none; what names lose before they are compared.
+POINT_KINDS = ("学校", "小学", "附小", "教育")
+NO_POINTS = ("培训", "托辅", "托管", "辅导", "自习", "成长中心", "学习中心", "文具", "书店", "幼儿园", "工地", "公交", "地铁", "路口", "停车场", "小区", "花园", "站")
+POINT_NAMES = (("番禺区", ""), ("番禺", ""), ("小学校", "小学"), ("镇", ""))
+REUSED_POINTS, EQUAL_POINTS = 900, 1000
+
+
+def _point_name(c: Column) -> Column:
+    return F.trim(reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), POINT_NAMES, N.strict_norm_spaces(c)))
+
+
+def scored_rounds(queries: DataFrame, points: DataFrame, reusable: DataFrame) -> DataFrame:
+    """Adds ``point``, ``score`` and ``round`` to queries (qid, name, area).
+
+    ``points`` has id, name, kind, area and ord; ``reusable``, points of another stage, id, name and ord. What a match
+    has to score, 900 or more, only equal names do, so each round is an equi-join, for the names that none before has
+    resolved: 1, the points of the area; 2, another stage's point (900) whose core name equals, holds or is held by the
+    query's; 3, the points anywhere. Points that are no schools by kind or name don't count; of several the first by ord.
+    """
+    q = queries.filter("name <> ''").select("qid", "area", _point_name(F.col("name")).alias("key"), F.regexp_replace("name", r"（小学部）|\(小学部\)", "").alias("base"))
+    q = q.withColumn("core", F.replace(_point_name(F.col("base")), F.lit("小学"), F.lit(""))).filter("key <> ''")
+    p = points.withColumn("key", _point_name(F.col("name")))
+    schools = F.col("kind").rlike("|".join(POINT_KINDS)) | F.col("key").rlike("|".join(POINT_KINDS))
+    p = p.filter(F.coalesce(schools, F.lit(False)) & ~F.col("name").rlike("|".join(NO_POINTS)))
+    firsts = lambda *keys: p.groupBy(*keys).agg(F.min_by("id", "ord").alias("point"))
+    one = q.join(firsts("area", "key"), ["area", "key"]).select("qid", "point", F.lit(EQUAL_POINTS).alias("score"), F.lit(1).alias("round"))
+    open_ = q.join(one, "qid", "left_anti")
+    cores = reusable.select("id", "ord", F.replace(F.replace(_point_name(F.col("name")), F.lit("初中部"), F.lit("")), F.lit("小学"), F.lit("")).alias("r"))
+    held = holding(open_.filter("core <> ''"), "core", cores.filter("r <> ''"), "r", []).join(cores, "r").groupBy("core").agg(F.min_by("id", "ord").alias("point"))
+    two = open_.join(held, "core").select("qid", "point", F.lit(REUSED_POINTS).alias("score"), F.lit(2).alias("round"))
+    three = open_.join(two, "qid", "left_anti").join(firsts("key"), "key").select("qid", "point", F.lit(EQUAL_POINTS).alias("score"), F.lit(3).alias("round"))
+    return queries.join(one.unionByName(two).unionByName(three), "qid", "left")
+
+
+def fact_row(queries: DataFrame, denied: DataFrame, index: DataFrame, rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds ``row`` and ``tier`` to queries (qid, name): the fact row of a name, unless the name is denied.
+
+    ``rows`` has row (unique, in order) and either id and ids, the members of a legal entity, or a name; ``index`` name
+    and id; ``entities`` id, name, aliases and ord. Tiers: 0 the index's id, 1 a row of that very name, 2 the row of the
+    entity's id, 3 the first row that has the entity among its members, 4 the first row of an equal plain name (N12).
+    The entity of a name is the first with an equal strict form (N1) of a name or alias, else loose form (N5). Of rows
+    with the same id or name the last one counts.
+    """
+    q = queries.filter("name <> ''").join(denied.select("name").distinct(), "name", "left_anti").select("qid", "name")
+    by_id = rows.filter("id is not null").groupBy("id").agg(F.max("row").alias("row"))
+    by_name = rows.filter("id is null and name is not null").groupBy("name").agg(F.max("row").alias("row"))
+    flat = entities.select("id", "ord", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    forms = lambda c: F.inline(F.array(*[F.struct(F.lit(k).alias("form"), f(c).alias("key")) for k, f in enumerate((N.strict_norm, N.loose_norm))]))
+    found = q.select("qid", forms(F.col("name"))).join(flat.select("id", "ord", forms(F.col("n"))), ["form", "key"])
+    entity = found.groupBy("qid").agg(F.min_by("id", F.struct("form", "ord")).alias("id"))
+    members = rows.filter("id is not null").select("row", "id", F.explode("ids").alias("member")).groupBy("member").agg(F.min_by("id", "row").alias("id"))
+    plain = rows.filter("id is null").select("row", "name", N.plain_school_name(F.col("name")).alias("key")).filter("key <> ''").groupBy("key").agg(F.min_by("name", "row").alias("name"))
+    tiers = [
+        q.join(index.groupBy("name").agg(F.max("id").alias("id")), "name").join(by_id, "id"),
+        q.join(by_name, "name"),
+        entity.join(by_id, "id"),
+        entity.withColumnRenamed("id", "member").join(members, "member").join(by_id, "id"),
+        q.select("qid", N.plain_school_name(F.col("name")).alias("key")).join(plain, "key").join(by_name, "name"),
+    ]
+    every = reduce(DataFrame.unionByName, [t.select("qid", F.struct(F.lit(k).alias("tier"), "row").alias("c")) for k, t in enumerate(tiers)])
+    best = every.groupBy("qid").agg(F.min("c").alias("c")).select("qid", "c.row", "c.tier")
+    return queries.join(best, "qid", "left")
+
+
 def classified(df: DataFrame, score: str, metres: str, sure: int = 900, near: float = 200.0) -> Column:
     """Same, near, far or none, by a match's points and distance."""
     return F.when(F.col(score).isNull(), "none").when(F.col(score) >= sure, "same").when(F.col(metres) <= near, "near").otherwise("far")

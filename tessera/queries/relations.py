@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
-from tessera.operators import filters, graph, joins, quality, ranking, resolve, sequence, sets
+from tessera.operators import campuses, filters, graph, joins, quality, ranking, resolve, sequence, sets
 from tessera.plans import indicators
 from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
@@ -445,8 +445,9 @@ def conflict_spill(spark, sf_dir):
 @query("WITH h AS (SELECT p_name, max((p_type = (SELECT min(p_type) FROM part))::INT) AS own FROM part WHERE p_size > 25 GROUP BY 1), o AS (SELECT DISTINCT p_name FROM part) SELECT p_name, CASE WHEN own = 1 THEN 'MATCHED' WHEN own = 0 THEN 'CROSS' ELSE 'MISSING' END AS status FROM o LEFT JOIN h USING (p_name)")
 def roster_reconcile(spark, sf_dir):
     p = read(spark, sf_dir, "part")
-    wanted = p.agg(F.min("p_type")).first()[0]
-    return joins.reconcile(p, p.filter("p_size > 25"), "p_name", "p_type", wanted)
+    first = p.crossJoin(F.broadcast(p.agg(F.min("p_type").alias("first"))))  # one row
+    held = first.filter("p_size > 25").withColumn("stage", F.col("p_type") == F.col("first"))
+    return joins.reconcile(p, held, "p_name", "stage", True)
 
 
 @query("WITH a AS (SELECT DISTINCT p_name AS k FROM part WHERE p_size < 10), b AS (SELECT DISTINCT p_name AS k FROM part WHERE p_size > 40) SELECT k, 'official_only' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'held_only' FROM b WHERE k NOT IN (SELECT k FROM a)")
@@ -546,7 +547,7 @@ def score_match(spark, sf_dir):
 @query("SELECT p_partkey, p_brand || '中学' AS legal, unnest([p_brand || '东校区', p_type || '校区']) AS option FROM part")
 def campus_options(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("中学（"), "p_brand", F.lit("东、"), "p_type", F.lit("校区）")).alias("t"))
-    return resolve.campus_options(p, "t").select("p_partkey", "legal", "option")
+    return campuses.campus_options(p, "t").select("p_partkey", "legal", "option")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS policy_area FROM customer")
@@ -591,6 +592,120 @@ def affix_status(spark, sf_dir):
     return resolve.affix_status(names, "name", points, "p", "area")
 
 
+_STEMS = "SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS w, p_brand, p_size, p_type, p_name FROM part"
+
+
+def _stems(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("w"), "p_brand", "p_size", "p_type", "p_name")
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), e AS (SELECT id, CASE WHEN p_size % 2 = 0 THEN w || p_brand ELSE p_brand || w END AS n FROM p), q AS (SELECT DISTINCT w AS q FROM p UNION SELECT n FROM e WHERE id % 3 = 0),
+ t AS (SELECT q, min(CASE WHEN n = q THEN id END) AS a, min(CASE WHEN length(n) >= 4 AND length(q) >= 4 AND (starts_with(n, q) OR starts_with(q, n) OR ends_with(n, q) OR ends_with(q, n)) THEN id END) AS b FROM q, e GROUP BY 1)
+ SELECT q, coalesce(a, b) AS id FROM t"""
+)
+def group_match(spark, sf_dir):
+    p = _stems(spark, sf_dir)
+    e = p.select("id", F.when(F.col("p_size") % 2 == 0, F.concat("w", "p_brand")).otherwise(F.concat("p_brand", "w")).alias("n"))
+    q = p.select(F.col("w").alias("q")).union(e.filter("id % 3 = 0").select("n")).distinct()
+    return resolve.group_match(q, "q", e, "n", "id", "id")
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), h AS (SELECT p_name AS n, CASE p_size % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'middle' ELSE 'high' END AS stage, p_brand AS area FROM p WHERE p_size > 10),
+ f AS (SELECT p.id, count(h.n) AS n, count_if(h.area = p.p_brand) AS own, count_if(h.area = p.p_brand AND h.stage = 'middle') AS good FROM p LEFT JOIN h ON h.n = p.p_name AND h.stage <> 'primary' GROUP BY 1)
+ SELECT id AS qid, CASE WHEN own > 0 AND good > 0 THEN 'MATCHED' WHEN own > 0 THEN 'ONLY_HIGH' WHEN n > 0 THEN 'CROSS' ELSE 'MISSING' END AS status FROM f"""
+)
+def roster_status(spark, sf_dir):
+    p = _stems(spark, sf_dir)
+    stage = F.when(F.col("p_size") % 3 == 0, "primary").when(F.col("p_size") % 3 == 1, "middle").otherwise("high")
+    held = p.filter("p_size > 10").select("id", F.concat("p_name", F.lit("学校")).alias("name"), F.array("p_name").alias("aliases"), stage.alias("stage"), F.col("p_brand").alias("area"))
+    official = p.select(F.col("id").alias("qid"), F.col("p_name").alias("name"), F.col("p_brand").alias("area"), F.lit(None).cast("string").alias("campus"), F.lit(True).alias("expected"))
+    return resolve.roster_status(official, held).select("qid", "status")
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), o AS (SELECT DISTINCT p_brand AS list, p_name AS name FROM p WHERE p_size < 30), h AS (SELECT p_brand AS list, id, w AS name, p_name AS alias FROM p WHERE p_size > 15)
+ SELECT list, 'official_only' AS side, name FROM o WHERE NOT EXISTS (FROM h WHERE h.list = o.list AND (h.name = o.name OR h.alias = o.name))
+ UNION ALL SELECT list, 'held_only', name FROM h WHERE NOT EXISTS (FROM o WHERE h.list = o.list AND (h.name = o.name OR h.alias = o.name))"""
+)
+def listed_gap(spark, sf_dir):
+    p = _stems(spark, sf_dir)
+    official = p.filter("p_size < 30").select(F.col("p_brand").alias("list"), F.col("p_name").alias("name"))
+    held = p.filter("p_size > 15").select(F.col("p_brand").alias("list"), "id", F.col("w").alias("name"), F.array("p_name").alias("aliases"))
+    return joins.listed_gap(official, held)
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), l AS (SELECT p_brand, id, p_name FROM p WHERE p_size % 2 = 0 AND NOT EXISTS (FROM p h WHERE h.p_size > 40 AND h.p_brand = p.p_brand AND (h.p_name = p.p_name OR h.w = p.p_name)))
+ SELECT l.p_brand AS "group", l.p_name AS member, coalesce(array_to_string(list_sort(list(DISTINCT e.id) FILTER (WHERE e.id IS NOT NULL)), ','), '') AS ids FROM l LEFT JOIN p e ON e.p_name = l.p_name AND e.p_size < 20 GROUP BY l.p_brand, l.p_name, l.id"""
+)
+def member_gap(spark, sf_dir):
+    p = _stems(spark, sf_dir)
+    official = p.filter("p_size % 2 = 0").select(F.col("p_brand").alias("group"), F.concat("p_name", F.lit("（"), "w", F.lit("）")).alias("member"))
+    held = p.filter("p_size > 40").select(F.col("p_brand").alias("group"), F.concat(F.lit("广州市"), "p_name").alias("member"), F.array("w").alias("campuses"))
+    entities = p.filter("p_size < 20").select("id", F.concat("p_name", F.lit("x")).alias("name"), F.array("p_name").alias("aliases"))
+    out = joins.member_gap(official, held, entities)
+    return out.select("group", F.split("member", "（")[0].alias("member"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), rows AS (SELECT id AS row, CASE WHEN p_size % 3 > 0 THEN id END AS id, p_name AS name FROM p WHERE p_size < 30), e AS (SELECT p_name AS name, min(id) AS id FROM p GROUP BY 1),
+ t AS (SELECT p.id AS qid, p.p_size, (SELECT max(row) FROM rows r WHERE r.id = p.id) AS t0, (SELECT max(row) FROM rows r WHERE r.id IS NULL AND r.name = p.p_name) AS t1, (SELECT max(row) FROM rows r WHERE r.id = e.id) AS t2, (SELECT min(row) FROM rows r WHERE r.id + 1 = e.id) AS t3 FROM p JOIN e ON e.name = p.p_name)
+ SELECT qid, CASE WHEN p_size % 7 <> 0 THEN coalesce(CASE WHEN p_size % 5 = 0 THEN t0 END, t1, t2, t3) END AS row, CASE WHEN p_size % 7 <> 0 THEN CASE WHEN p_size % 5 = 0 AND t0 IS NOT NULL THEN 0 WHEN t1 IS NOT NULL THEN 1 WHEN t2 IS NOT NULL THEN 2 WHEN t3 IS NOT NULL THEN 3 END END AS tier FROM t"""
+)
+def fact_row(spark, sf_dir):
+    """J6 of all parts by a name of their own, which the index and the deny set know, and of those not found by the part's name."""
+    p = _stems(spark, sf_dir)
+    known = F.col("p_size") % 3 > 0
+    rows = p.filter("p_size < 30").select(F.col("id").alias("row"), F.when(known, F.col("id")).alias("id"), F.when(known, F.array(F.col("id") + 1)).alias("ids"), "p_name").withColumnRenamed("p_name", "name")
+    own = F.concat("p_name", F.lit("（"), F.col("id").cast("string"), F.lit("）"))
+    q = p.select(F.col("id").alias("qid"), "p_size", own.alias("own"), F.col("p_name").alias("name"))
+    e = p.select("id", F.col("p_name").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("id").alias("ord"))
+    index = q.filter("p_size % 5 = 0").select(F.col("own").alias("name"), F.col("qid").alias("id"))
+    denied = q.filter("p_size % 7 = 0").select(F.col("own").alias("name"))
+    first = resolve.fact_row(q.select("qid", F.col("own").alias("name")), denied, index, rows.filter("id is not null"), e.limit(0)).filter("tier = 0").select("qid", "row", "tier")
+    rest = q.join(first, "qid", "left_anti").select("qid", F.when(F.col("p_size") % 7 != 0, F.col("name")).alias("name"))
+    return resolve.fact_row(rest, denied, index, rows, e).select("qid", "row", "tier").union(first)
+
+
+@query(
+    f"""WITH p AS ({_STEMS}), s AS (SELECT id, p_name || '小学' AS name, p_brand AS area FROM p WHERE p_size > 30), m AS (SELECT id, w FROM p WHERE p_size < 3),
+ q AS (SELECT id AS qid, p_name, p_name || '小学' AS name, p_brand AS area FROM p), t AS (SELECT qid, (SELECT min(id) FROM s WHERE s.name = q.name AND s.area = q.area) AS a, (SELECT min(id) FROM m WHERE contains(replace(q.p_name, ' ', ''), m.w)) AS b, (SELECT min(id) FROM s WHERE s.name = q.name) AS c FROM q)
+ SELECT qid, coalesce(a, b, c) AS point, CASE WHEN a IS NULL AND b IS NOT NULL THEN 900 WHEN coalesce(a, c) IS NOT NULL THEN 1000 END AS score, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS round FROM t"""
+)
+def scored_rounds(spark, sf_dir):
+    p = _stems(spark, sf_dir)
+    named = F.concat("p_name", F.lit("小学"))
+    points = p.filter("p_size > 30").select("id", named.alias("name"), F.lit("学校").alias("kind"), F.col("p_brand").alias("area"), F.col("id").alias("ord"))
+    reusable = p.filter("p_size < 3").select("id", F.concat("w", F.lit("初中部")).alias("name"), F.col("id").alias("ord"))
+    q = p.select(F.col("id").alias("qid"), named.alias("name"), F.col("p_brand").alias("area"))
+    return resolve.scored_rounds(q, points, reusable).select("qid", "point", "score", "round")
+
+
+def _legal_sites(spark, sf_dir):
+    """Each part as a campus of a legal entity that its name and brand stand for."""
+    p = _stems(spark, sf_dir)
+    legal = F.concat("p_name", F.lit("小学"))
+    e = p.select("id", F.concat(legal, F.lit("（"), F.col("id").cast("string"), F.lit("校区）")).alias("name"), F.array().cast("array<string>").alias("aliases"), F.lit("primary").alias("stage"), F.col("p_brand").alias("area"), F.lit(None).cast("string").alias("policy_area"), F.col("id").alias("ord"))
+    return p.withColumn("legal", legal), e, e.select("name", "id").limit(0)
+
+
+@query(f"WITH p AS ({_STEMS}) SELECT a.id AS qid, b.id FROM p a JOIN p b ON a.p_name = b.p_name AND (a.p_size % 2 = 1 OR a.p_brand = b.p_brand)")
+def legal_campuses(spark, sf_dir):
+    p, e, none = _legal_sites(spark, sf_dir)
+    q = p.select(F.col("id").alias("qid"), F.col("legal").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("area"), F.lit("primary").alias("stage"))
+    return campuses.campuses(q, e, none, {}).select("qid", "id")
+
+
+@query(f"WITH p AS ({_STEMS}) SELECT a.id AS qid, b.id FROM p a JOIN p b ON a.p_name = b.p_name AND (starts_with(b.id::VARCHAR || '校区', a.id::VARCHAR || '校区') OR starts_with(b.id::VARCHAR || '校区', (a.id + 1)::VARCHAR || '校区'))")
+def campus_lists(spark, sf_dir):
+    p, e, none = _legal_sites(spark, sf_dir)
+    listed = F.concat("legal", F.lit("（"), F.col("id").cast("string"), F.lit("、"), (F.col("id") + 1).cast("string"), F.lit("校区）"))
+    q = p.select(F.col("id").alias("qid"), listed.alias("name"), F.lit(None).cast("string").alias("area"), F.lit(None).cast("string").alias("stage"))
+    return campuses.campus_sites(q, e, none, {}).select("qid", "id")
+
+
 # --- sequence
 @query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
 def first_by_key(spark, sf_dir):

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tessera.functions import names as N
-from tessera.operators import contains, joins, ranking, resolve
+from tessera.operators import campuses, contains, joins, ranking, resolve
 from tessera.queries import QUERIES
 
 
@@ -275,3 +275,86 @@ def test_nearest_by_rings(spark):
     got = {r.id: (r.metres, r.sid) for r in joins.nearest(spark.createDataFrame(points, "id " + kind), spark.createDataFrame(sites, "sid " + kind), "area", "id", "sid", "sid").collect()}
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert all(abs(got[k][0] - want[k][0]) < 1e-3 for k in want)
+
+
+def test_list_options(spark):
+    want = {
+        "校本部、岭南校区、御景校区": ["校本部", "岭南校区", "御景校区"], "第一、二、三小学部": ["第一小学部", "第二小学部", "第三小学部"], "1、2、3校区": ["1校区", "2校区", "3校区"],
+        "东、西、北校区": ["东校区", "西校区", "北校区"], "一、二": ["一", "二"], "第一、二，初中部": ["第一初中部", "第二初中部"], " 东 , 本部、西分校": ["东分校", "本部", "西分校"], "南": ["南"], "、": [], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in want], "s string")
+    assert {r.s: r.o for r in df.select("s", campuses.options(F.col("s")).alias("o")).collect()} == want
+
+
+LEGAL = [  # id, name, aliases, stage, area, policy_area
+    ("s1", "沙面小学(本校区)", ["沙面小学"], "primary", "103", None),
+    ("s2", "沙面小学(岭南校区)", [], "primary", "103", None),
+    ("s3", "沙面小学御景校区", [], "primary", "104", "103"),
+    ("s4", "沙面小学(大坦沙校区)", [], "primary", "105", None),
+    ("t1", "真光实验学校(一德西校区)", [], "primary", "104", None),
+    ("t2", "真光实验学校(一德西校区)", [], "middle", "104", None),
+    ("u1", "培正明星中学", [], "middle", "104", None),
+]
+
+
+def _legal(spark):
+    rows = [(*row, k) for k, row in enumerate(LEGAL)]
+    return spark.createDataFrame(rows, "id string, name string, aliases array<string>, stage string, area string, policy_area string, ord int")
+
+
+def test_legal_campuses(spark):
+    asked = [
+        ("沙面小学", None, None, {"s1", "s2", "s3", "s4"}), ("沙面小学", "103", None, {"s1", "s2", "s3"}), ("沙面小学", "103", "middle", {"s1"}), ("沙面小学（岭南校区）", "103", None, {"s2"}),
+        ("沙面小学（不存在校区）", None, None, set()), ("沙面小学御景校区", None, None, {"s3"}), ("真光实验学校", "104", "middle", {"t2"}), ("培正明星中学", None, None, {"u1"}), ("别的锚定名", "999", None, {"u1", "s4"}), ("", None, None, set()), (None, None, None, set()),
+    ]
+    q = spark.createDataFrame([(k, *row[:3]) for k, row in enumerate(asked)], "qid int, name string, area string, stage string")
+    o = spark.createDataFrame([("别的锚定名", "u1"), ("别的锚定名", "s4"), ("别的锚定名", "gone")], "name string, id string")
+    got = {}
+    for r in campuses.campuses(q, _legal(spark), o, {}).collect():
+        assert r.id not in got.setdefault(r.qid, set())
+        got[r.qid].add(r.id)
+    assert got == {k: row[3] for k, row in enumerate(asked) if row[3]}
+    assert campuses.campuses(q, _legal(spark).limit(0), o.limit(0), {}).collect() == []
+
+
+def test_listed_campuses(spark):
+    asked = [
+        ("沙面小学（校本部、岭南校区、御景校区）", None, None, {"s1", "s2", "s3"}), ("沙面小学（岭南、大坦沙校区）", None, None, {"s2", "s4"}), ("沙面小学（大坦沙校区）", "103", None, {"s4"}), ("真光实验学校（小学部）", None, "primary", {"t1"}),
+        ("真光实验学校（第一、二小学部）", None, "primary", set()), ("培正明星中学（本部）", None, None, {"u1"}), ("培正明星中学", None, None, set()), ("锚定（东校区）", None, None, {"u1"}), (None, None, None, set()),
+    ]
+    q = spark.createDataFrame([(k, *row[:3]) for k, row in enumerate(asked)], "qid int, name string, area string, stage string")
+    o = spark.createDataFrame([("锚定（东校区）", "u1")], "name string, id string")
+    got = {}
+    for r in campuses.campus_sites(q, _legal(spark), o, {}).collect():
+        got.setdefault(r.qid, set()).add(r.id)
+    assert got == {k: row[3] for k, row in enumerate(asked) if row[3]}
+
+
+def test_scored_rounds(spark):
+    points = [(1, "星光小学", "学校", "a", 2), (2, "星光小学", "学校", "a", 1), (3, "星光小学(公交站)", "交通", "a", 0), (4, "月亮小学", "科教", "b", 3), (5, "番禺区云镇小学校", None, "a", 4), (6, "花店", "商铺", "a", 5)]
+    p = spark.createDataFrame(points, "id int, name string, kind string, area string, ord int")
+    m = spark.createDataFrame([(9, "太阳中学初中部", 1), (8, "小学", 0)], "id int, name string, ord int")
+    asked = [("星光小学", "a", 2, 1000, 1), ("月亮小学", "a", 4, 1000, 3), ("云小学", "a", 5, 1000, 1), ("太阳中学（小学部）", "a", 9, 900, 2), ("花店", "a", None, None, None), (None, "a", None, None, None), ("小学", "a", None, None, None)]
+    q = spark.createDataFrame([(k, *row[:2]) for k, row in enumerate(asked)], "qid int, name string, area string")
+    assert {r.qid: (r.point, r.score, r.round) for r in resolve.scored_rounds(q, p, m).collect()} == {k: row[2:] for k, row in enumerate(asked)}
+
+
+def test_fact_row(spark):
+    rows = spark.createDataFrame([(1, "a", ["a", "b"], None), (2, "c", [], None), (3, None, None, "海外学校"), (4, None, None, "广州海外学校"), (5, "d", ["b"], None)], "row int, id string, ids array<string>, name string")
+    e = spark.createDataFrame([("a", "甲校", ["甲"], 0), ("b", "乙校", [], 1), ("c", "丙中学初中部", [], 2), ("z", "海外", [], 3)], "id string, name string, aliases array<string>, ord int")
+    index = spark.createDataFrame([("官方名", "c"), ("空名", "nowhere"), ("新校", "a")], "name string, id string")
+    asked = [("官方名", 2, 0), ("海外学校", 3, 1), ("甲", 1, 2), ("广州市乙校", 1, 3), ("丙中学", 2, 2), ("海外小学", 3, 4), ("空名", None, None), ("新校", None, None), ("", None, None), (None, None, None)]
+    q = spark.createDataFrame([(k, row[0]) for k, row in enumerate(asked)], "qid int, name string")
+    got = resolve.fact_row(q, spark.createDataFrame([("新校",)], "name string"), index, rows, e).collect()
+    assert {r.qid: (r.row, r.tier) for r in got} == {k: row[1:] for k, row in enumerate(asked)}
+
+
+def test_gaps(spark):
+    official = spark.createDataFrame([("省", "一中"), ("省", "二中"), ("市", "一中"), ("市", None)], "list string, name string")
+    held = spark.createDataFrame([("省", 1, "第一中学", ["广州市一中"]), ("省", 2, "三中", []), ("市", 3, "四中", None)], "list string, id int, name string, aliases array<string>")
+    got = {tuple(r) for r in joins.listed_gap(official, held).collect()}
+    assert got == {("省", "official_only", "二中"), ("省", "held_only", "三中"), ("市", "official_only", "一中"), ("市", "official_only", None), ("市", "held_only", "四中")}
+    official = spark.createDataFrame([("甲集团", "广州市一中（东）"), ("甲集团", "二中"), ("乙集团", "一中"), ("乙集团", "五中")], "group string, member string")
+    held = spark.createDataFrame([("广州甲集团", "一中", ["二中 "]), ("乙集团", "五", None)], "group string, member string, campuses array<string>")
+    e = spark.createDataFrame([(7, "一中", []), (6, "x", ["广州一中", "一中"]), (5, "五", [])], "id int, name string, aliases array<string>")
+    assert {(r.group, r.member): r.ids for r in joins.member_gap(official, held, e).collect()} == {("乙集团", "一中"): [6, 7], ("乙集团", "五中"): []}
