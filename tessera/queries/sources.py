@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tessera.operators import aggregates, filters, joins, ranking
+from tessera.operators import aggregates, filters, graph, joins, ranking
 from tessera.operators.common import shared_folder
-from tessera.plans import indicators
+from tessera.plans import indicators, linkage
 from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
 from tessera.sources import codec, tables
@@ -109,6 +109,88 @@ def view_info_card(spark, sf_dir):
     return out.select("s_suppkey", F.array_join(F.transform("signals", lambda x: F.concat(x["label"], F.lit("="), x["value"])), ";").alias("card"))
 
 
+_CAMPUS_SITES = "SELECT p_partkey AS pk, CASE WHEN p_size % 4 <> 0 THEN 'gz-' || p_partkey END AS id, p_name || '-' || p_partkey AS name, p_brand AS school, p_size < 20 AS site, 'E' || p_partkey AS e FROM part"
+
+
+def _campus_sites(spark, sf_dir):
+    key = F.col("p_partkey").cast("string")
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), "p_size", F.concat(F.lit("gz-"), key).alias("gz"), F.concat("p_name", F.lit("-"), key).alias("name"), F.col("p_brand").alias("school"), F.concat(F.lit("E"), key).alias("e"))
+    sites = p.filter("p_size < 20").select(F.when(F.col("p_size") % 4 != 0, F.col("gz")).alias("id"), "name", "school", "ord")
+    return p, sites, p.select(F.col("gz").alias("id"), F.col("e").alias("name"))
+
+
+@query(
+    f"""WITH p AS ({_CAMPUS_SITES}), q AS (SELECT l_suppkey AS m, coalesce(id, name) AS key, coalesce(CASE WHEN id IS NOT NULL THEN e END, name) AS nm, school, CASE WHEN id IS NOT NULL THEN e END AS poi, pk, count(*) AS n FROM lineitem JOIN p ON l_partkey = pk WHERE l_returnflag = 'A' AND site GROUP BY ALL),
+ b AS (SELECT l_suppkey AS m, site AND (pk % 3 = 0 OR id IS NOT NULL) AS listed, CASE WHEN pk % 3 <> 0 THEN 'gz-' || pk WHEN site THEN coalesce(id, name) ELSE name END AS key, CASE WHEN pk % 3 <> 0 THEN e ELSE name END AS nm, school, CASE WHEN pk % 3 <> 0 AND (NOT (site AND id IS NOT NULL) OR pk % 2 = 0) THEN e END AS poi, pk, min(l_extendedprice) AS score FROM lineitem JOIN p ON l_partkey = pk WHERE l_returnflag = 'R' GROUP BY ALL),
+ r AS (SELECT coalesce(q.m, b.m) AS middle, 'batch' AS part, coalesce(q.key, b.key) AS key, coalesce(b.nm, q.nm) AS name, coalesce(b.school, q.school) AS school, coalesce(b.poi, q.poi) AS poi, n, score, coalesce(q.pk, 1099511627776) AS o1, b.pk AS o2 FROM q FULL JOIN (FROM b WHERE listed) b ON q.m = b.m AND q.key = b.key
+ UNION ALL SELECT d.m, 'district', d.key, d.e, NULL, d.e, d.n, b.score, 0, d.pk FROM (SELECT l_suppkey AS m, pk, 'gz-' || pk AS key, e, count(*) AS n FROM lineitem JOIN p ON l_partkey = pk WHERE l_returnflag = 'N' GROUP BY ALL) d LEFT JOIN (FROM b WHERE NOT listed) b ON d.m = b.m AND d.key = b.key)
+ SELECT middle, part, key, name, school, poi, n, score, row_number() OVER (PARTITION BY middle, part ORDER BY coalesce(n, 0) DESC, o1, o2) AS place FROM r"""
+)
+def linkage_middle(spark, sf_dir):
+    """G16 of all suppliers as middle schools and parts as campuses, some without an entity, some asked for by name."""
+    p, sites, e = _campus_sites(spark, sf_dir)
+    l = read(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "ord")
+    of = lambda flag, *keep: l.filter(F.col("l_returnflag") == flag).join(p, "ord").groupBy(F.col("l_suppkey").alias("middle"), "ord", *keep)
+    quota = l.filter("l_returnflag = 'A'").join(sites, "ord").groupBy(F.col("l_suppkey").alias("middle"), F.coalesce("id", "name").alias("key")).agg(F.count("*").alias("n"))
+    batch = of("R", F.when(F.col("ord") % 3 == 0, F.col("name")).otherwise(F.col("gz")).alias("key")).agg(F.min("l_extendedprice").alias("score"))
+    district = of("N", F.col("gz").alias("key")).agg(F.count("*").alias("n"))
+    places = e.filter(F.substring("name", -1, 1).isin("0", "2", "4", "6", "8")).select("name", F.col("name").alias("poi"))
+    return linkage.middle_linkage(quota, batch, district, sites, e, places)
+
+
+@query(
+    f"""WITH p AS ({_CAMPUS_SITES}), t AS (SELECT school, min(pk) AS qid FROM p GROUP BY 1), c AS (SELECT school AS brand, l_suppkey, count(*) AS n, string_agg(DISTINCT s_nationkey::VARCHAR, ',') AS areas FROM lineitem JOIN p ON l_partkey = pk JOIN supplier ON s_suppkey = l_suppkey WHERE site AND id IS NOT NULL GROUP BY 1, 2),
+ r AS (SELECT qid, 'quota' AS part, l_suppkey, n, areas FROM c JOIN t ON brand = school UNION ALL SELECT qid, 'district', l_suppkey, count(*), '' FROM lineitem JOIN p ON l_partkey = pk JOIN t USING (school) WHERE l_returnflag = 'N' GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY qid, part ORDER BY n DESC, l_suppkey) AS place FROM r)
+ SELECT qid, part, 'S' || l_suppkey AS school, CASE WHEN l_suppkey % 2 = 0 THEN 'gz-' || l_suppkey END AS school_id, n, areas, place FROM x WHERE place <= CASE part WHEN 'quota' THEN 30 ELSE 50 END"""
+)
+def linkage_high(spark, sf_dir):
+    """G16 of all brands as high schools with their parts as campuses and suppliers as the schools that send pupils."""
+    p, sites, e = _campus_sites(spark, sf_dir)
+    targets = p.groupBy(F.col("school").alias("name")).agg(F.min("ord").alias("qid"))
+    l = read(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "ord").join(p, "ord").withColumnRenamed("l_suppkey", "s_suppkey")
+    l = joins.lookup(l, read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("area")), "s_suppkey").filter("area is not null")
+    sender = [F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("school"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("gz-"), F.col("s_suppkey").cast("string"))).alias("school_id"), F.col("s_suppkey").alias("by")]
+    coverage = l.groupBy(F.col("gz").alias("campus"), "area", *sender).agg(F.count("*").alias("n")).withColumnRenamed("by", "ord")
+    near = l.filter("l_returnflag = 'N'").groupBy(F.col("school").alias("target"), "area", *sender).agg(F.count("*").alias("n")).withColumnRenamed("by", "ord")
+    return linkage.high_linkage(targets, sites, e, coverage, near).withColumn("areas", F.array_join("areas", ","))
+
+
+@query(
+    """WITH f AS (SELECT c_custkey, string_agg(CASE WHEN s_suppkey % 3 > 0 THEN s_name ELSE 's' || s_suppkey END || '=s' || s_suppkey, ',' ORDER BY CASE WHEN s_suppkey % 3 > 0 THEN s_name ELSE 's' || s_suppkey END) AS scope FROM customer JOIN supplier ON (c_mktsegment = 'BUILDING' AND s_nationkey = c_nationkey) OR (c_mktsegment = 'MACHINERY' AND s_nationkey + 1 = c_nationkey) WHERE c_custkey % 2 = 0 GROUP BY 1)
+ SELECT c_custkey AS row, CASE WHEN c_custkey % 2 = 0 THEN coalesce(scope, '') ELSE 'x=y' END AS scope FROM customer LEFT JOIN f USING (c_custkey)"""
+)
+def reverse_backfill(spark, sf_dir):
+    area = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    given = F.when(F.col("c_custkey") % 2 == 1, F.create_map(F.lit("x"), F.array(F.lit("y"))))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), area(F.col("c_nationkey")).alias("id"), F.lit(None).cast("array<string>").alias("ids"), F.col("c_mktsegment").alias("mechanism"), given.alias("scope"))
+    s = read(spark, sf_dir, "supplier").withColumn("id", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
+    feeds = s.select("id", F.create_map(F.lit("BUILDING"), F.array(area(F.col("s_nationkey"))), F.lit("MACHINERY"), F.array(area(F.col("s_nationkey") + 1))).alias("by_mechanism"))
+    out = graph.reverse_backfill(rows, feeds, s.filter("s_suppkey % 3 > 0").select("id", F.col("s_name").alias("name")))
+    pairs = F.transform(F.map_entries(F.coalesce("scope", F.create_map().cast("map<string,array<string>>"))), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))
+    return out.select("row", F.array_join(pairs, ",").alias("scope"))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 2 AND c_custkey % 2 = 0 THEN '2026=' || c_mktsegment || '|特控线上线率 2026=' || c_nationkey
+ ELSE '学部=' || CASE c_custkey % 3 WHEN 0 THEN '小学' WHEN 1 THEN '初中' ELSE '高中' END || '|所在区=' || coalesce(n_name, '—') || CASE c_custkey % 3 WHEN 0 THEN '|2026班数=' || c_nationkey || ' 个班|招生地段=' || c_mktsegment WHEN 1 THEN '|生源小学=' || CASE WHEN c_custkey % 2 = 0 THEN c_name || '、' || c_mktsegment ELSE '无公办对口名单（民办校以摇号/直升为准）' END ELSE '' END END AS card,
+ '/school/' || replace(c_name, '#', '%23') || '?stage=' || CASE c_custkey % 3 WHEN 0 THEN 'primary' WHEN 1 THEN 'middle' ELSE 'high' END || '&id=gz-' || c_custkey AS address
+ FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 12"""
+)
+def place_card(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").filter("n_nationkey < 12").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("area_name"))
+    c = joins.lookup(read(spark, sf_dir, "customer"), n, "c_nationkey")
+    key, text = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    stage = F.when(key % 3 == 0, "primary").when(key % 3 == 1, "middle").otherwise("high")
+    ident = F.concat(F.lit("gz-"), key.cast("string"))
+    points = c.select(
+        key.alias("k"), F.col("c_name").alias("name"), ident.alias("school_id"), "area_name", F.array(stage).alias("stages"), stage.alias("main_stage"), F.create_map(stage, ident).alias("ids"), (key % 2 == 0).alias("has_record"),
+        F.array(F.struct(F.lit("2026").alias("label"), F.col("c_mktsegment").alias("value"))).alias("scores"), text.alias("top_rate"), F.lit("").alias("high_share"), F.col("c_nationkey").alias("classes"), F.col("c_mktsegment").alias("zone"), F.lit(None).cast("string").alias("route"),
+        F.when(key % 2 == 0, F.array("c_name", "c_mktsegment")).alias("feeders"),
+    )
+    out = linkage.place_card(points)
+    return out.select("k", F.array_join(F.transform("rows", lambda r: F.concat(r["label"], F.lit("="), r["value"])), "|").alias("card"), F.col("links")[0]["to"].alias("address"))
+
+
 def _d(a: str, b: str) -> str:
     return f"2 * 6371000 * asin(sqrt(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lng - {a}.lng) / 2), 2)))"
 
