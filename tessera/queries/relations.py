@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
-from tessera.operators import campuses, filters, graph, joins, quality, ranking, resolve, sequence, sets
+from tessera.operators import campuses, feeds, filters, graph, joins, quality, ranking, resolve, sequence, sets
 from tessera.plans import indicators
 from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
@@ -706,6 +706,31 @@ def campus_lists(spark, sf_dir):
     return campuses.campus_sites(q, e, none, {}).select("qid", "id")
 
 
+@query(
+    """WITH g AS (SELECT p_brand AS gid, p_name AS name FROM part WHERE p_size > 25 GROUP BY 1, 2), l AS (SELECT p_name AS name, min(p_size) AS plan FROM part WHERE p_size < 40 GROUP BY 1), n AS (SELECT gid, count(*) AS members FROM g GROUP BY 1)
+ SELECT gid, name, plan, 'pool' AS mechanism, members FROM g JOIN n USING (gid) LEFT JOIN l USING (name) UNION ALL SELECT NULL, name, plan, 'zone', NULL FROM l WHERE name NOT IN (SELECT name FROM g)"""
+)
+def group_plans(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    groups = p.filter("p_size > 25").groupBy(F.col("p_brand").alias("gid")).agg(F.array_sort(F.collect_set(F.concat("p_name", F.lit(" ")))).alias("members"))
+    plan = p.filter("p_size < 40").groupBy(F.col("p_name").alias("name")).agg(F.min("p_size").alias("plan"))
+    return feeds.group_plans(groups, plan, "pool", "zone").withColumn("members", F.size("members")).withColumn("name", F.trim("name"))
+
+
+@query(
+    """WITH q AS (SELECT p_partkey AS qid, p_name, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || '（初中部）' END AS name FROM part), r AS (SELECT p_partkey AS row, p_name, p_size % 3 AS kind FROM part WHERE p_size < 30 AND p_size % 4 > 0),
+ t AS (SELECT qid, row, CASE WHEN q.p_name = q.name OR kind = 1 THEN 0 ELSE 1 END AS tier FROM q JOIN r USING (p_name)), b AS (SELECT *, min(tier) OVER (PARTITION BY qid) AS best FROM t) SELECT qid, row FROM b WHERE tier = best"""
+)
+def year_rows(spark, sf_dir):
+    """J35 of all parts' names, half of them with a later year's suffix, among names a third of which have it too."""
+    p = read(spark, sf_dir, "part")
+    later = F.concat("p_name", F.lit("（初中部）"))
+    q = p.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(later).alias("name"))
+    rows = p.filter("p_size < 30 and p_size % 4 > 0").select(F.col("p_partkey").alias("row"), F.when(F.col("p_size") % 3 == 1, later).otherwise(F.col("p_name")).alias("name"))
+    none = q.limit(0)
+    return feeds.year_rows(q, rows, none.select("name", F.col("name").alias("other"), F.col("qid").alias("ord")), none)
+
+
 # --- sequence
 @query("SELECT p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1")
 def first_by_key(spark, sf_dir):

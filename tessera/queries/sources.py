@@ -109,6 +109,24 @@ def view_info_card(spark, sf_dir):
     return out.select("s_suppkey", F.array_join(F.transform("signals", lambda x: F.concat(x["label"], F.lit("="), x["value"])), ";").alias("card"))
 
 
+@query(
+    """WITH w AS (SELECT event_id // 50 AS page, event_id, (event_id % 4) * 70.0 AS x, floor(value / 10) * 3.0 AS y, CASE WHEN event_id % 4 = 3 THEN (event_id % 10000)::VARCHAR ELSE event_type END AS t FROM events)
+ SELECT page, round_even(y / 3, 0)::BIGINT AS band, coalesce(string_agg(t, '' ORDER BY y, event_id) FILTER (WHERE x < 180), '') AS name, min_by(t, event_id) FILTER (WHERE x >= 180)::INT AS count FROM w GROUP BY 1, 2"""
+)
+def name_counts(spark, sf_dir):
+    third = F.col("event_id") % 4
+    text = F.when(third == 3, (F.col("event_id") % 10000).cast("string")).otherwise(F.col("event_type"))
+    e = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 50).alias("page"), "event_id", (third * 70.0).alias("x"), (F.floor(F.col("value") / 10) * 3.0).alias("y"), text.alias("t"))
+    return tables.name_counts(e, "page", "event_id", "x", "y", "t")
+
+
+@query("SELECT 2024 + c_custkey % 3 AS year, 'high' AS stage, c_custkey AS n, c_name AS school, CASE c_custkey % 3 WHEN 0 THEN c_mktsegment ELSE '' END AS award FROM customer WHERE c_custkey % 3 < 2 AND c_custkey >= 5 * (1 + c_custkey % 3)")
+def laid_out(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select((F.col("c_custkey") % 3 + 2024).alias("year"), F.lit("high").alias("stage"), F.col("c_custkey").alias("n"), F.when(F.col("c_custkey") % 3 == 0, F.array("c_mktsegment", F.concat(F.lit(" "), "c_name"))).otherwise(F.array("c_name")).alias("cells"))
+    layouts = {(2024, None): ({"school": 1, "award": 0}, 5), (2025, "high"): ({"school": 0}, 10), (2025, None): ({"school": 7}, 0)}
+    return tables.laid_out(c, "cells", "n", "year", "stage", layouts, "school")
+
+
 _CAMPUS_SITES = "SELECT p_partkey AS pk, CASE WHEN p_size % 4 <> 0 THEN 'gz-' || p_partkey END AS id, p_name || '-' || p_partkey AS name, p_brand AS school, p_size < 20 AS site, 'E' || p_partkey AS e FROM part"
 
 

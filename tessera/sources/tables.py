@@ -85,6 +85,45 @@ def words_to_rows(words: DataFrame, page: str, x: str, y: str, text: str, height
     return rows.select(page, "band", F.array_join(F.transform("_w", lambda w: w[text]), "").alias(text))
 
 
+def name_counts(words: DataFrame, page: str, order: str, x: str, y: str, text: str, names_end: float = 180.0, counts_end: float = 230.0, height: float = 3.0) -> DataFrame:
+    """(page, band, name, count): words left of one line of the page joined as a name, and the first number between it and a second line.
+
+    A band is the nearest multiple of its height, halves to the even one; its words are taken from top to bottom, then in
+    order. Bands that have neither are left out; a missing name is '', a missing count null.
+    """
+    left = F.col(x) < names_end
+    number = (F.col(x) >= names_end) & (F.col(x) < counts_end) & F.col(text).rlike(r"^\d{1,4}$")
+    kept = words.filter(left | number).withColumn("band", F.bround(F.col(y) / height).cast("long"))
+    place = F.struct(F.col(y).alias("y"), F.col(order).alias("o"), F.col(text).alias("t"))
+    rows = kept.groupBy(page, "band").agg(F.sort_array(F.collect_list(F.when(left, place))).alias("_n"), F.min_by(F.when(number, F.col(text)), F.when(number, place)).alias("_c"))
+    return rows.select(page, "band", F.array_join(F.transform("_n", lambda w: w["t"]), "").alias("name"), F.col("_c").cast("int").alias("count")).filter("name <> '' or count is not null")
+
+
+def read_line_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, x, y, text) of caches that hold a JSON array of recognised lines each; lines without text go, and a file that isn't there fails."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.from_json("value", "array<struct<x: double, y: double, text: string>>")).alias("ord", "line"))
+    return lines.select("file", "ord", "line.x", "line.y", "line.text").filter("text is not null")
+
+
+def laid_out(rows: DataFrame, cells: str, row_no: str, year: str, stage: str, layouts: Mapping[tuple[int, str | None], tuple[Mapping[str, int], int]], needed: str) -> DataFrame:
+    """The columns of sheets whose layout depends on year and stage: (key columns, names), all trimmed text.
+
+    A layout is (place of each name from 0, number of header rows) by (year, stage), or by (year, None) for the year's
+    other stages; a name that the layout lacks is ''. Header rows, rows without ``needed`` and unknown years go.
+    """
+    columns = list(dict.fromkeys(name for places, _ in layouts.values() for name in places))
+    out, header = {name: F.lit(None).cast("string") for name in columns}, F.lit(None).cast("int")
+    # a year's general layout is tested last
+    for (y, s), (places, first) in sorted(layouts.items(), key=lambda kv: kv[0][1] is not None):
+        fits = (F.col(year) == y) if s is None else (F.col(year) == y) & (F.col(stage) == s)
+        header = F.when(fits, first).otherwise(header)
+        for name in columns:
+            cell = F.coalesce(F.trim(F.get(cells, F.lit(places[name]))), F.lit("")) if name in places else F.lit("")
+            out[name] = F.when(fits, cell).otherwise(out[name])
+    made = rows.select(year, stage, row_no, header.alias("_h"), *[c.alias(n) for n, c in out.items()])
+    return made.filter((F.col(row_no) >= F.col("_h")) & (F.col(needed) != "")).drop("_h")
+
+
 def polygon(text: str) -> Column:
     """S16: "lng,lat;…|…" as rings of points; rings of fewer than three points go."""
     point = lambda p: F.transform(F.split(p, ","), lambda v: v.try_cast("double"))

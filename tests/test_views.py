@@ -1,7 +1,10 @@
 """Views and back-fills against cases written out."""
 
-from tessera.operators import graph
+import json
+
+from tessera.operators import feeds, graph
 from tessera.plans import linkage
+from tessera.sources import tables
 
 
 def test_reverse_backfill(spark):
@@ -94,3 +97,68 @@ def test_place_card(spark):
     assert got["乙"][2] == [("查看学校详情 →", "/school/%E4%B9%99?stage=middle")]
     assert got["丙"] == ([("2026", "700", False), ("特控线上线率 2026", "90%", False)], linkage.HIGH_NOTE, [("查看学校详情 →", "/school/%E4%B8%99?stage=high&id=gz-3")])
     assert got["丁"][:2] == ([("学部", "高中", False), ("所在区", "—", False)], linkage.NO_RECORD_NOTE)
+
+
+def test_campus_lines(spark):
+    records = [(1, ["a", "b"], "明德校区：甲小、乙小\n同德校区:丙小;丁小\n明德校区：戊小\n说明：无\n没有标签"), (2, ["c", "d"], " 南校区：己小 "), (3, ["b"], "南校区：己小"), (4, ["d"], "北校区：庚小"), (5, ["a"], None), (6, None, "明德校区：x")]
+    entities = [("a", "六十五中学（明德校区）"), ("b", "六十五中学(同德校区)"), ("c", "竹料一中（北校区）"), ("d", "竹料一中")]
+    out = feeds.campus_lines(spark.createDataFrame(records, "row int, ids array<string>, scope string"), spark.createDataFrame(entities, "id string, name string"))
+    got = sorted((r.row, r.id, r.pos, r.name) for r in out.collect())
+    assert got == [(1, "a", 0, "甲小"), (1, "a", 1, "乙小"), (1, "a", 2, "戊小"), (1, "b", 0, "丙小"), (1, "b", 1, "丁小"), (2, "d", 0, "己小")]
+
+
+def test_group_plans(spark):
+    groups = spark.createDataFrame([(1, ["甲", "乙 "]), (2, ["甲"]), (3, [])], "gid int, members array<string>")
+    plan = spark.createDataFrame([("甲 ", 4), ("乙", 5), ("丙", 6)], "name string, plan int")
+    got = {(r.gid, r.name, r.plan, r.mechanism, tuple(r.members or ())) for r in feeds.group_plans(groups, plan, "pool", "zone").collect()}
+    assert got == {(1, "甲", 4, "pool", ("甲", "乙 ")), (1, "乙 ", 5, "pool", ("甲", "乙 ")), (2, "甲", 4, "pool", ("甲",)), (None, "丙", 6, "zone", ())}
+
+
+def test_year_rows(spark):
+    rows = [(1, "广州市一中（初中校区）"), (2, "一中"), (3, "旧名"), (4, "三中"), (5, "实体名"), (6, "六中"), (7, "另名")]
+    queries = [(1, "一中"), (2, "新名"), (3, "三中（初中部）"), (4, "查无"), (5, "六中"), (6, "没有"), (7, None), (8, "")]
+    other = [("新名", "另名", 1), ("新名", "旧名", 0), ("六中", "旧名", 0)]
+    resolved = [(4, "实体名"), (4, "一中"), (5, "实体名")]
+    frame = spark.createDataFrame
+    out = feeds.year_rows(frame(queries, "qid int, name string"), frame(rows, "row int, name string"), frame(other, "name string, other string, ord int"), frame(resolved, "qid int, name string"))
+    assert sorted((r.qid, r.row) for r in out.collect()) == [(1, 1), (1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (5, 6)]
+
+
+def test_district_feeds(spark):
+    frame = spark.createDataFrame
+    entities = [("s1", "沙面小学(岭南校区)", ["沙面小学"], 0), ("s2", "沙面小学(御景校区)", [], 1), ("p1", "培正小学", [], 2), ("q1", "协和学校小学部", [], 3), ("r1", "民办小学", [], 4), ("t1", "新小学", [], 5)]
+    e = frame([(i, n, a, "primary", "103", None, o) for i, n, a, o in entities], "id string, name string, aliases array<string>, stage string, area string, policy_area string, ord int")
+    official = [
+        (0, "沙面小学（岭南校区）", "103", 1, "中学甲", False, None), (1, "沙面小学", "103", 2, "中学丁", True, None), (2, "培正小学", "103", 2, "中学丙", True, False), (3, "协和学校小学部", "103", None, "协和", None, None),
+        (4, "查无此校名", "103", 1, None, None, None), (5, "新小学", "103", 1, None, None, True),
+    ]
+    groups = [("103", 1, ["中学甲", "中学乙"]), ("103", 2, ["中学丙"])]
+    points = [(i, n, "103") for i, n, _, _ in entities] + [("z", "别区小学", "999")]
+    out = feeds.district_feeds(
+        frame(official, "ord int, name string, area string, group_no int, direct string, direct_joins boolean, refused boolean"), frame(groups, "area string, group_no int, feed array<string>"), frame(points, "id string, name string, area string"),
+        frame([("103", "民办小学", "民办")], "area string, name string, reason string"), e, frame([], "name string, id string"), {},
+    )
+    got = {(r.status, r.id, tuple(r.feed or ()), r.gap, r.official) for r in out.collect()}
+    assert got == {
+        ("record", "s1", ("中学甲", "中学乙"), None, "沙面小学（岭南校区）"), ("record", "s2", ("中学丁", "中学丙"), None, "沙面小学"), ("record", "p1", ("中学丙",), None, "培正小学"), ("record", "q1", ("协和",), None, "协和学校小学部"),
+        ("gap", "r1", (), "民办", None), ("missing", "t1", (), None, None), ("unresolved", None, (), None, "查无此校名"), ("unresolved", None, (), None, "新小学"),
+    }
+
+
+def test_name_counts(spark):
+    words = [(1, 0, 10.0, 30.0, "甲"), (1, 1, 20.0, 30.2, "中"), (1, 2, 190.0, 30.1, "12"), (1, 3, 200.0, 30.0, "7"), (1, 4, 400.0, 30.0, "x"), (1, 5, 190.0, 60.0, "abc"), (1, 6, 190.0, 90.0, "12345"), (1, 7, 10.0, 4.5, "a"), (1, 8, 185.0, 7.5, "3"), (2, 0, 1.0, 30.0, "乙")]
+    out = tables.name_counts(spark.createDataFrame(words, "page int, o int, x double, y double, t string"), "page", "o", "x", "y", "t")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 2, "a", 3), (1, 10, "甲中", 7), (2, 10, "乙", None)]
+
+
+def test_line_cache(spark, tmp_path):
+    for name, lines in (("a", [{"x": 1, "y": 2.5, "text": "甲"}, {"x": 3, "y": 4}]), ("b", [])):
+        (tmp_path / f"{name}.json").write_text(json.dumps(lines, indent=1), encoding="utf-8")
+    assert [tuple(r)[1:] for r in tables.read_line_cache(spark, f"file://{tmp_path}/*.json").collect()] == [(0, 1.0, 2.5, "甲")]
+
+
+def test_layouts(spark):
+    layouts = {(2025, None): ({"school": 1, "award": 0, "area": 2}, 1), (2026, "middle"): ({"school": 0, "award": 1}, 0), (2026, None): ({"school": 2, "award": 0}, 2)}
+    rows = [(2025, "high", 0, ["奖", "校", "区"]), (2025, "high", 1, [" 一 ", "甲", "越秀"]), (2025, "high", 2, ["一", " ", "越秀"]), (2026, "middle", 0, ["乙", "二"]), (2026, "high", 1, ["a", "b", "c"]), (2026, "high", 2, ["三", "b", "丙"]), (2026, "high", 3, ["三"]), (2024, "high", 9, ["x", "y", "z"])]
+    out = tables.laid_out(spark.createDataFrame(rows, "year int, stage string, n int, cells array<string>"), "cells", "n", "year", "stage", layouts, "school")
+    assert sorted((r.year, r.stage, r.school, r.award, r.area) for r in out.collect()) == [(2025, "high", "甲", "一", "越秀"), (2026, "high", "丙", "三", ""), (2026, "middle", "乙", "二", "")]
