@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.functions import names as N
 from tessera.operators import aggregates, filters, graph, joins, ranking
 from tessera.operators.common import shared_folder
-from tessera.plans import indicators, linkage
+from tessera.plans import entities, indicators, linkage
 from tessera.queries.registry import query, read
 from tessera.queries.text import PLACE, placed
 from tessera.sources import codec, tables
@@ -127,6 +128,24 @@ def laid_out(spark, sf_dir):
     return tables.laid_out(c, "cells", "n", "year", "stage", layouts, "school")
 
 
+@query(
+    """WITH p AS (SELECT p_partkey, p_size, p_type, replace(p_name, ' ', '') AS core, p_size % 2 = 1 AS odd, count(*) OVER (PARTITION BY p_type, p_size, p_name) AS n FROM part WHERE p_size <> 8),
+ e AS (SELECT *, core || CASE WHEN odd THEN '东校区' ELSE '' END AS norm FROM p), k AS (SELECT *, 'gz-' || p_size || '-' || substr(sha1(p_size || '|' || norm), 1, 8) AS id FROM e)
+ SELECT id, p_type AS stage, min(p_partkey) AS ord, CASE WHEN any_value(odd) AND min(n) = 1 THEN any_value(core) ELSE '' END AS aliases, CASE WHEN any_value(p_size) = 7 THEN '民办' END AS nature FROM k GROUP BY 1, 2"""
+)
+def entity_table(spark, sf_dir):
+    """G22 of all parts as points, half of them campuses; attached names and corrections are tested case by case."""
+    p = read(spark, sf_dir, "part").withColumn("name", F.when(F.col("p_size") % 2 == 1, F.concat("p_name", F.lit("（东校区）"))).otherwise(F.concat("p_name", F.when(F.col("p_size") == 8, "x").otherwise(""))))
+    points = p.select(F.col("p_partkey").alias("ord"), "name", F.col("p_size").cast("string").alias("area"), F.col("p_type").alias("stage"), F.lit(None).cast("string").alias("id"))
+    key = N.surrogate_key(F.col("area"), F.col("area"), N.strict_norm_spaces(F.col("name")))
+    frame = lambda schema: spark.createDataFrame([], schema)
+    out = entities.entity_table(
+        points, points.filter("area = '8'"), frame("name string, fixed string"), frame("name string, area string, right string"), frame("ord int, stage string, name string, alias string, force boolean"), frame("id string, alias string"),
+        points.filter("area = '7'").select(key.alias("id")), {},
+    )
+    return out.select("id", "stage", "ord", F.array_join("aliases", ",").alias("aliases"), "nature")
+
+
 _CAMPUS_SITES = "SELECT p_partkey AS pk, CASE WHEN p_size % 4 <> 0 THEN 'gz-' || p_partkey END AS id, p_name || '-' || p_partkey AS name, p_brand AS school, p_size < 20 AS site, 'E' || p_partkey AS e FROM part"
 
 

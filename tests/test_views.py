@@ -3,7 +3,7 @@
 import json
 
 from tessera.operators import feeds, graph
-from tessera.plans import linkage
+from tessera.plans import entities, linkage
 from tessera.sources import tables
 
 
@@ -162,3 +162,32 @@ def test_layouts(spark):
     rows = [(2025, "high", 0, ["奖", "校", "区"]), (2025, "high", 1, [" 一 ", "甲", "越秀"]), (2025, "high", 2, ["一", " ", "越秀"]), (2026, "middle", 0, ["乙", "二"]), (2026, "high", 1, ["a", "b", "c"]), (2026, "high", 2, ["三", "b", "丙"]), (2026, "high", 3, ["三"]), (2024, "high", 9, ["x", "y", "z"])]
     out = tables.laid_out(spark.createDataFrame(rows, "year int, stage string, n int, cells array<string>"), "cells", "n", "year", "stage", layouts, "school")
     assert sorted((r.year, r.stage, r.school, r.award, r.area) for r in out.collect()) == [(2025, "high", "甲", "一", "越秀"), (2026, "high", "丙", "三", ""), (2026, "middle", "乙", "二", "")]
+
+
+def test_entity_table(spark):
+    points = [
+        (0, "广州市甲小学", "104", "primary", "gz-104-a"), (1, "甲小学(东校区)", "104", "primary", "gz-104-a"), (2, "乙中学（南校区）", "104", "middle", "gz-104-b"), (3, "丙中学（一校区）", "104", "middle", "gz-104-c"), (4, "丙中学（二校区）", "104", "middle", "gz-104-d"),
+        (5, "停车场", "104", "middle", None), (6, "错名中学", "105", "middle", "gz-105-e"), (7, "景泰中学", "111", "middle", "gz-111-f"), (8, "白云湖校区", "111", "middle", "gz-111-g"), (9, "高中甲", "111", "middle", "gz-111-h"), (10, "无号小学", "104", "primary", None),
+    ]
+    attached = [
+        (0, "middle", "白云湖校区", "景泰中学", False), (1, "middle", "白云湖校区", "白云区景泰分校", False), (2, "primary", "错名已改中学", "越秀区某中学", False), (3, "high", "景泰中学", "共名中学", False), (4, "middle", "白云湖校区", "共名中学", False),
+        (5, "middle", "高中甲", "共名中学", True), (6, "middle", "查无", "x", True), (7, "middle", "高中甲", "白云区留名学校", False), (8, "middle", "景泰中学", "白云区去名学校", False), (9, "middle", "高中甲", "高中甲", True),
+    ]
+    frame = spark.createDataFrame
+    out = entities.entity_table(
+        frame(points, "ord int, name string, area string, stage string, id string"), frame([("停车场",)], "name string"), frame([("错名中学", "错名已改中学")], "name string, fixed string"), frame([("高中甲", "111", "high")], "name string, area string, right string"),
+        frame(attached, "ord int, stage string, name string, alias string, force boolean"), frame([("gz-111-h", "白云区留名学校")], "id string, alias string"), frame([("gz-104-b",)], "id string"), {"104": "越秀", "111": "白云", "105": "海珠"},
+    )
+    got = {r.ord: (r.id, r.stage, r.name, r.aliases, r.nature) for r in out.collect()}
+    key = got.pop(10)
+    assert key[0].startswith("gz-104-") and key[1:] == ("primary", "无号小学", [], None)
+    assert got == {
+        0: ("gz-104-a", "primary", "广州市甲小学", ["甲小学东校区"], None),
+        2: ("gz-104-b", "middle", "乙中学（南校区）", ["乙中学"], "民办"),
+        3: ("gz-104-c", "middle", "丙中学（一校区）", [], None),
+        4: ("gz-104-d", "middle", "丙中学（二校区）", [], None),
+        6: ("gz-105-e", "middle", "错名已改中学", ["越秀区某中学"], None),
+        7: ("gz-111-f", "middle", "景泰中学", ["共名中学"], None),
+        8: ("gz-111-g", "middle", "白云湖校区", [], None),
+        9: ("gz-111-h", "high", "高中甲", ["白云区留名学校", "共名中学"], None),
+    }
