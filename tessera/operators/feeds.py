@@ -60,7 +60,8 @@ def year_rows(queries: DataFrame, rows: DataFrame, equivalents: DataFrame, resol
     ``queries`` has qid and name; ``rows`` row and name; ``equivalents`` name, other and ord; ``resolved`` qid and name,
     the names and aliases of the entities that a query resolves to. Spellings: the name, its equivalents in order, the
     name without a later year's suffix - each against the rows' names with and without that suffix - then the resolved
-    names against the rows' own. Compared by N2; null and empty names have no rows.
+    names against the rows' own. Compared by N2; null and empty names have no rows. The spelling that counts is found
+    before any row is joined, so that the pairs are made last and are not shuffled.
     """
     norm = N.strict_norm_spaces
     bare = lambda c: norm(F.regexp_replace(c, LATER_SUFFIX, ""))
@@ -70,11 +71,14 @@ def year_rows(queries: DataFrame, rows: DataFrame, equivalents: DataFrame, resol
     most, last = (1 << 62) - 1, 1 << 62
     cut = asked.select("qid", F.lit(most).alias("tier"), bare(F.col("name")).alias("key"))
     found = resolved.select("qid", F.lit(last).alias("tier"), norm(F.col("name")).alias("key"))
-    both = rows.select("row", F.explode(F.array_distinct(F.array(norm(F.col("name")), bare(F.col("name"))))).alias("key"))
-    whole = rows.select("row", norm(F.col("name")).alias("key"))
-    hits = own.unionByName(other).unionByName(cut).filter("key <> ''").join(both, "key").unionByName(found.filter("key <> ''").join(whole, "key"))
-    best = F.min("tier").over(W.partitionBy("qid"))
-    return hits.withColumn("_b", best).filter("tier = _b").select("qid", "row").distinct()
+    both = rows.select("row", F.explode(F.array_distinct(F.array(norm(F.col("name")), bare(F.col("name"))))).alias("key")).withColumn("whole", F.lit(False))
+    keyed = both.unionByName(rows.select("row", norm(F.col("name")).alias("key")).withColumn("whole", F.lit(True))).distinct()
+    spelt = reduce(DataFrame.unionByName, [own, other, cut, found]).filter("key <> ''").withColumn("whole", F.col("tier") == last)
+    known = spelt.join(keyed.select("key", "whole").distinct(), ["key", "whole"], "left_semi").groupBy("qid", "tier").agg(F.collect_set(F.struct("key", "whole")).alias("keys"))
+    best = known.groupBy("qid").agg(F.min_by("keys", "tier").alias("keys"))
+    hits = best.select("qid", F.size("keys").alias("n"), F.inline("keys")).join(keyed, ["key", "whole"])
+    # only several keys of a query can lead to a row twice
+    return hits.filter("n = 1").select("qid", "row").union(hits.filter("n > 1").select("qid", "row").distinct())
 
 
 def district_feeds(official: DataFrame, groups: DataFrame, points: DataFrame, reasons: DataFrame, entities: DataFrame, overrides: DataFrame, areas: Mapping[str, str], far: Sequence[str] = FAR_WORDS) -> DataFrame:

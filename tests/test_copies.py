@@ -52,3 +52,10 @@ def test_score_match_of_copies(spark, sf, tmp_path):
     p.crossJoin(spark.range(20).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("k")).drop("k").write.parquet(f"{tmp_path}/part.parquet")
     rows, joined = most(QUERIES["score_match"](spark, str(tmp_path)), "numOutputRows")
     assert len(rows) == 20 * p.count() and {r.score for r in rows} == {1000} and joined <= 6 * len(rows)
+
+
+def test_year_rows_of_copies(spark, copies):
+    rows = copies.withColumnRenamed("qid", "row")
+    none = copies.limit(0)
+    out, shuffled = most(feeds.year_rows(copies, rows, none.select("name", F.col("name").alias("other"), F.col("qid").alias("ord")), none), "shuffleRecordsWritten")
+    assert len(out) == COPIES * COPIES and shuffled <= 8 * COPIES
