@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.operators.common import cols, first_by, small
+from tessera.operators.common import asked_once, cols, first_by, small, to_all
 from tessera.operators.joins import index_ids
 
 
@@ -56,14 +56,17 @@ def reverse_backfill(rows: DataFrame, feeds: DataFrame, names: DataFrame) -> Dat
     ``rows`` has row (unique), id, ids, mechanism and scope, a map of a feeder's name to its ids; ``feeds`` id and
     by_mechanism, a map of a mechanism to the ids it feeds; ``names`` id and name. A feeder counts if it feeds the row's
     id or one of its ids by the row's mechanism; one without a name goes by its id. Nothing found leaves the scope as it is.
+    Rows of the same ids and mechanism are looked up once.
     """
+    by = ["mechanism", "id", "ids", "_open"]
     edges = feeds.select("id", F.explode("by_mechanism").alias("mechanism", "to")).select(F.col("id").alias("feeder"), "mechanism", F.explode("to").alias("target"))
-    empty = rows.filter(F.coalesce(F.size("scope"), F.lit(0)) <= 0)
-    sites = index_ids(empty.select("row", "mechanism", "id", "ids"), "id", "ids", "target")
+    rows = rows.withColumn("_open", F.coalesce(F.size("scope"), F.lit(0)) <= 0)
+    once = asked_once(rows.filter("_open"), by, "row")
+    sites = index_ids(once.select("row", "mechanism", "id", "ids"), "id", "ids", "target")
     found = sites.join(edges, ["target", "mechanism"]).join(names.select(F.col("id").alias("feeder"), "name"), "feeder", "left")
     per = found.groupBy("row", F.coalesce("name", "feeder").alias("name")).agg(F.array_sort(F.collect_set("feeder")).alias("ids"))
     scope = per.groupBy("row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "ids")))).alias("_scope"))
-    return rows.join(scope, "row", "left").withColumn("scope", F.coalesce("_scope", "scope")).drop("_scope")
+    return to_all(rows, once, scope, by, "row", "left").withColumn("scope", F.coalesce("_scope", "scope")).drop("_scope", "_open")
 
 
 def override(df: DataFrame, values: DataFrame, key: str | Sequence[str], column: str) -> DataFrame:

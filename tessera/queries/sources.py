@@ -203,8 +203,8 @@ def reverse_backfill(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").withColumn("id", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")))
     feeds = s.select("id", F.create_map(F.lit("BUILDING"), F.array(area(F.col("s_nationkey"))), F.lit("MACHINERY"), F.array(area(F.col("s_nationkey") + 1))).alias("by_mechanism"))
     out = graph.reverse_backfill(rows, feeds, s.filter("s_suppkey % 3 > 0").select("id", F.col("s_name").alias("name")))
-    pairs = F.transform(F.map_entries(F.coalesce("scope", F.create_map().cast("map<string,array<string>>"))), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+")))
-    return out.select("row", F.array_join(pairs, ",").alias("scope"))
+    pairs = F.transform(F.map_entries(F.coalesce("scope", F.create_map().cast("map<string,array<string>>"))), lambda e: F.transform(e["value"], lambda v: F.concat(e["key"], F.lit("="), v)))
+    return out.select("row", F.array_join(F.flatten(pairs), ",").alias("scope"))
 
 
 @query(

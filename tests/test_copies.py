@@ -47,6 +47,24 @@ def test_roster_status_of_copies(copies):
     assert len(rows) == COPIES and {r.status for r in rows} == {"MATCHED"} and joined <= 8 * COPIES
 
 
+def test_backfill_of_copies(copies):
+    rows = copies.select(F.col("qid").alias("row"), F.lit("m").alias("id"), F.lit(None).cast("array<string>").alias("ids"), F.lit("zone").alias("mechanism"), F.lit(None).cast("map<string, array<string>>").alias("scope"))
+    to = copies.select(F.col("qid").cast("string").alias("id"), F.create_map(F.lit("zone"), F.array(F.lit("m"))).alias("by_mechanism"))
+    out, joined = most(graph.reverse_backfill(rows, to, to.select("id", F.lit("甲").alias("name"))), "numOutputRows")
+    assert len(out) == COPIES and {len(r.scope["甲"]) for r in out} == {COPIES} and joined <= 4 * COPIES
+
+
+def test_backfill_of_equal_names(spark, sf, tmp_path):
+    """Senders of one name are listed one by one, as in the SQL."""
+    spark.read.parquet(f"{sf}/customer.parquet").write.parquet(f"{tmp_path}/customer.parquet")
+    to = spark.read.parquet(f"{sf}/customer.parquet").filter("c_mktsegment = 'BUILDING' and c_custkey % 2 = 0").first().c_nationkey
+    s = spark.read.parquet(f"{sf}/supplier.parquet").filter("s_suppkey = 1").withColumn("s_nationkey", F.lit(to))
+    s.union(s.withColumn("s_suppkey", s.s_suppkey + 3)).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r.scope for r in QUERIES["reverse_backfill"](spark, str(tmp_path)).collect()}
+    name = s.first().s_name
+    assert got - {"", "x=y"} == {f"{name}=s1,{name}=s4"}
+
+
 def test_score_match_of_copies(spark, sf, tmp_path):
     p = spark.read.parquet(f"{sf}/part.parquet")
     p.crossJoin(spark.range(20).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("k")).drop("k").write.parquet(f"{tmp_path}/part.parquet")
