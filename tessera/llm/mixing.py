@@ -182,7 +182,13 @@ def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs:
     taken = copies.groupBy(*[k.alias(n) for k, n in zip(key, names, strict=True)]).agg(F.min("copies").alias("least"), F.sum("copies").alias("total"), F.count("*").alias("rows"))
     own = docs.select(F.struct("*").alias("document"), "doc_id", "source", F.xxhash64("text").alias("row"))
     own = own.select("document", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    taken = stored(taken.filter("total > 0").withColumn("more", F.col("total") - F.col("least") * F.col("rows")), "taken")
+    # texts are streamed past a hash table of the copies; only those of repeated rows whose numbers differ are sorted
+    joined = own.join(taken.hint("shuffle_hash"), names)
     nth = F.row_number().over(W.partitionBy(*names).orderBy(*names))
-    joined = own.join(taken, names).withColumn("nth", nth)
-    times = (F.col("least") + (F.col("nth") <= F.col("total") - F.col("least") * F.col("rows")).cast("long")).cast("int")
-    return joined.withColumn("times", times).filter("times >= 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("document.*")
+    out = joined.filter("more = 0").select("document", F.col("least").alias("times"))
+    if taken.filter("more > 0").limit(1).count():
+        differing = joined.filter("more > 0").withColumn("nth", nth)
+        out = out.union(differing.select("document", (F.col("least") + (F.col("nth") <= F.col("more")).cast("long")).alias("times")))
+    out = out.withColumn("times", F.col("times").cast("int")).filter("times >= 1")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("document.*")

@@ -240,3 +240,17 @@ def test_held_out_is_crc32(spark):
 
 def test_items_digest_is_sha256():
     assert decontaminate.brute_force_row("x", [("b", "x"), ("a", "x")])[3] == hashlib.sha256(b"a,b").hexdigest()
+
+
+def test_mixed_rows_of_repeated_rows(spark):
+    """Rows that repeat share their copies however these differ, and texts are not sorted for the others."""
+    rows = [(k // 3, f"w{k // 3} x y z", "a") for k in range(30)] + [(100 + k, "v " * 40, "b") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix_documents(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+    out = mixing.mixed_rows(docs)
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in taken.items() if n}
+    once = mixing.mixed_rows(docs.filter("doc_id >= 100"))
+    assert "Window" not in once._jdf.queryExecution().executedPlan().toString()
