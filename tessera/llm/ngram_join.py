@@ -9,7 +9,9 @@ finer groups, about one for each 8 n-grams; what is left is verified on the n-gr
 One tree over all documents can't be split by space (a single coordinate bounds nothing: the whole difference of two
 sets may lie in one group), so the trees are dealt by a key that no linked pair can miss: of the sets' hashes in one
 fixed order (widespread n-grams last), two linked sets share one among the first n - ceil(t * n) + 1. The documents of
-one such n-gram form one tree. Three steps:
+one such n-gram form one tree; of their first shared n-gram more is known: sets of its tree are near in size, and it is
+among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller one. Sets of an n-gram without such a partner leave its tree;
+what is left becomes trees of sets whose sizes are near. Three steps:
 
 1. The trees report which nodes may be linked, as a spanning forest and never as all pairs.
 2. Its components are the candidate clusters (distributed, see components.py).
@@ -46,9 +48,10 @@ LEAF = 32
 FAN = 16
 #: Nodes that one verifying task may hold.
 CLUSTER_CAP = 20_000
-#: Nodes of one tree of step 1. The documents of an n-gram in more prefixes than that are mostly made of widespread
-#: n-grams (those come last in the order); they become one candidate cluster, and step 3's tree prunes its pairs once.
-TREE_CAP = 256
+#: Nodes of one tree of step 1. The sets of an n-gram that are more, though near in size, are mostly large groups of near
+#: copies; they become one candidate cluster, and step 3's tree prunes its pairs once. With few nodes a tree, n-grams that
+#: unlike documents share grow past it with the corpus, and their clusters join to one of half of all documents.
+TREE_CAP = 2_048
 #: Nodes of one row that names such a cluster.
 ROW_CAP = 4_096
 #: Sets of a large cluster that each of its pieces is compared with first.
@@ -241,12 +244,32 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def short_prefix(size: int, percent: int) -> int:
+    """Of the smaller one of two linked sets, the n-grams that hold the first shared one: so many must be left from it on."""
+    return size - -(-2 * percent * size // (100 + percent)) + 1
+
+
+def partners(gram: np.ndarray, size: np.ndarray, short: np.ndarray, percent: int) -> np.ndarray:
+    """Which (n-gram's number, set) have another set near in size with which the n-gram can be the first shared one; ``short``: it is in the set's short prefix."""
+    size = size.astype(np.int64)
+    base = gram.astype(np.int64) << 32
+    key, low = base + size, base + -(-percent * size // 100)
+    high = base + np.minimum(100 * size // max(percent, 1), (1 << 32) - 1)
+    every, shorts = np.sort(key), np.sort(key[short])
+    as_larger = np.searchsorted(shorts, key, "right") - np.searchsorted(shorts, low, "left") - short
+    as_smaller = np.searchsorted(every, high, "right") - np.searchsorted(every, key, "left") - 1
+    return (as_larger > 0) | (short & (as_smaller > 0))
+
+
 def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
-    """mapInArrow function: (bucket, grams, owners, nodes): prefix n-grams by bucket, owners index the nodes of the row."""
+    """mapInArrow function: (bucket, grams, owners, nodes, sizes, shorts): prefix n-grams by bucket, owners index the nodes of the row, shorts are bits: in the short prefix."""
 
-    def flush(grams: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+    def flush(grams: list[np.ndarray], nodes: list[int], n_grams: list[int]) -> pa.RecordBatch:
         sizes = np.fromiter(map(len, grams), np.int64, len(grams))
         flat, owner = np.concatenate(grams), np.repeat(np.arange(len(grams), dtype=np.int32), sizes)
+        shorts = np.array([short_prefix(v, percent) for v in n_grams])
+        short = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < shorts[owner]
+        n_of = np.array(n_grams, np.int32)
         bucket = (mix(flat) % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -255,15 +278,16 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
         for k in np.flatnonzero(cut[1:] > cut[:-1]):
             part = order[cut[k] : cut[k + 1]]
             used, local = np.unique(owner[part], return_inverse=True)
-            rows.append((int(k), flat[part].tobytes(), local.astype(np.int32).tobytes(), node[used].tobytes()))
-        names = ["bucket", "grams", "owners", "nodes"]
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], names=names)
+            rows.append((int(k), flat[part].tobytes(), local.astype(np.int32).tobytes(), node[used].tobytes(), n_of[used].tobytes(), np.packbits(short[part]).tobytes()))
+        names = ["bucket", "grams", "owners", "nodes", "sizes", "shorts"]
+        kinds = [pa.int32(), *[pa.binary()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         grams: list[np.ndarray] = []
         nodes: list[int] = []
+        sizes: list[int] = []
         held = 0
         for batch in batches:
             for _, hashes in ngram_sets(batch.column(0), n):
@@ -278,12 +302,13 @@ def _prefixes(n: int, percent: int, wide: np.ndarray, buckets: int):
                     hashes = np.concatenate([hashes[~last], hashes[last]])
                 grams.append(hashes[:take])
                 nodes.append(node)
+                sizes.append(len(hashes))
                 held += take
                 if held > 1 << 19:
-                    yield flush(grams, nodes)
-                    grams, nodes, held = [], [], 0
+                    yield flush(grams, nodes, sizes)
+                    grams, nodes, sizes, held = [], [], [], 0
         if grams:
-            yield flush(grams, nodes)
+            yield flush(grams, nodes, sizes)
         grams = []
         release()
 
@@ -295,59 +320,105 @@ def _block_rows(rows: list[tuple[bool, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([w for w, _ in rows], pa.bool_()), pa.array([v.tolist() for _, v in rows], pa.list_(pa.int64()))], names=["block", "whole", "nodes"])
 
 
-def _blocks(cap: int, held_most: int = HELD):
+def size_parts(gram: np.ndarray, size: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, part of each) of (n-gram, set) in order of n-gram and size: in parts of which any two near sizes of an n-gram share one.
+
+    Parts end where sizes have a gap. Those of over ``most`` places become overlapping ones, of two classes of sizes each.
+    """
+    new = np.append(True, (gram[1:] != gram[:-1]) | (100 * size[:-1] < percent * size[1:]))[: len(gram)]
+    part = np.cumsum(new) - 1
+    width = np.bincount(part, minlength=1)
+    large = width[part] > most
+    bounds = [1]  # of classes: two sizes that are near are in one class or in neighbours
+    while len(size) and percent and bounds[-1] <= int(size.max()):
+        bounds.append(max(bounds[-1] + 1, 100 * bounds[-1] // percent + 1))
+    kind = np.searchsorted(np.array(bounds), size, "right")
+    at = np.flatnonzero(large)
+    span = len(bounds) + 2
+    places = np.concatenate([np.flatnonzero(~large), at, at])
+    key = np.concatenate([part[~large] * span, part[at] * span + kind[at], part[at] * span + kind[at] + 1])
+    return places, key
+
+
+def _blocks(cap: int, held_most: int = HELD, percent: int = 100):
     """applyInArrow function over a bucket: the distinct node sets (two nodes or more) of its n-grams; wide ones are whole clusters, their first node in each row.
 
-    Rows are read as a stream; of an n-gram with over ``cap`` nodes only the first one is held.
+    Rows are read as a stream; of an n-gram with over ``cap`` nodes only the first one is held once a task holds
+    ``held_most`` n-grams. When all have been read, nodes without a partner go, and the rest is parted by size. Rows
+    without sizes count as of one size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, node = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        more: list[tuple[np.ndarray, np.ndarray]] = []
+        gram, node, kind = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # kind: twice the size, and one more in the short prefix
+        more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         wide = np.zeros(0, np.uint64)
         rows: list[tuple[bool, np.ndarray]] = []
 
-        def fold() -> np.ndarray:
-            """Sorts what is held; n-grams with over ``cap`` nodes turn to rows. Returns where the n-grams begin."""
-            nonlocal gram, node, wide
-            gram, node = (np.concatenate([v, *(m[k] for m in more)]) for k, v in enumerate((gram, node)))
+        def sort() -> None:
+            nonlocal gram, node, kind
+            gram, node, kind = (np.concatenate([v, *(m[k] for m in more)]) for k, v in enumerate((gram, node, kind)))
             more.clear()
             order = np.lexsort((node, gram))
-            gram, node = gram[order], node[order]
+            gram, node, kind = gram[order], node[order], kind[order]
             new = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))[: len(gram)]
-            gram, node = gram[new], node[new]
-            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
-            size = np.diff(np.append(first, len(gram)))
-            large = (size > cap) | np.isin(gram[first], wide) if len(first) else np.zeros(0, bool)
-            gone = np.zeros(len(gram), bool)
-            for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+            gram, node, kind = gram[new], node[new], kind[new]
+
+        def stars(part: np.ndarray, node: np.ndarray, large: np.ndarray) -> np.ndarray:
+            """Turns parts of the sorted places to rows, those marked; returns which places go."""
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+            gone = np.zeros(len(part), bool)
+            for a, n in zip(first[large].tolist(), np.diff(np.append(first, len(part)))[large].tolist(), strict=True):
                 for k in range(a + 1, a + n, ROW_CAP):
                     rows.append((True, np.concatenate([node[a : a + 1], node[k : min(k + ROW_CAP, a + n)]])))
                 gone[a + 1 : a + n] = True
+            return gone
+
+        def fold(most: int) -> None:
+            """Sorts what is held; n-grams with over ``most`` nodes turn to rows."""
+            nonlocal gram, node, kind, wide
+            sort()
+            first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+            size = np.diff(np.append(first, len(gram)))
+            large = (size > most) | np.isin(gram[first], wide) if len(first) else np.zeros(0, bool)
+            gone = stars(gram, node, large)
             wide = np.union1d(wide, gram[first[large]])
-            gram, node = gram[~gone], node[~gone]
-            return np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+            gram, node, kind = gram[~gone], node[~gone], kind[~gone]
 
         count = 0
         for batch in batches:
-            for g, o, v in zip(*(batch.column(c).to_pylist() for c in ("grams", "owners", "nodes")), strict=True):
-                more.append((np.frombuffer(g, np.uint64), np.frombuffer(v, np.int64)[np.frombuffer(o, np.int32)]))
+            sized = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * batch.num_rows for c in ("sizes", "shorts")]
+            for g, o, v, s, b in zip(*(batch.column(c).to_pylist() for c in ("grams", "owners", "nodes")), *sized, strict=True):
+                owner = np.frombuffer(o, np.int32)
+                own = np.full(len(owner), 3) if s is None else 2 * np.frombuffer(s, np.int32).astype(np.int64)[owner] + np.unpackbits(np.frombuffer(b, np.uint8), count=len(owner))
+                more.append((np.frombuffer(g, np.uint64), np.frombuffer(v, np.int64)[owner], own))
                 count += len(more[-1][0])
             if count > held_most:
-                fold()
+                fold(cap)
                 count = len(gram) // 2  # so that a bucket of rare n-grams isn't folded for each batch
                 if rows:
                     yield _block_rows(rows)
                     rows = []
-        first = fold()
-        last = np.append(first[1:], len(gram))[: len(first)]
+        fold(1 << 62)  # the rest of n-grams that are rows already
+        number = np.cumsum(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+        stay = partners(number, kind >> 1, (kind & 1).astype(bool), percent)
+        gram, node, size = number[stay], node[stay], kind[stay] >> 1
+        order = np.lexsort((size, gram))
+        places, part = size_parts(gram[order], size[order], percent, cap)
+        node = node[order][places]
+        order = np.lexsort((node, part))
+        part, node = part[order], node[order]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        gone = stars(part, node, np.diff(np.append(first, len(part))) > cap)
+        part, node = part[~gone], node[~gone]
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)])
+        last = np.append(first[1:], len(part))[: len(first)]
         blocks: dict[bytes, np.ndarray] = {}
         for a, b in zip(first[last - first > 1].tolist(), last[last - first > 1].tolist(), strict=True):
             blocks.setdefault(node[a:b].tobytes(), node[a:b])
         rows += [(False, v) for v in blocks.values()]
         for k in range(0, len(rows), 10_000):
             yield _block_rows(rows[k : k + 10_000])
-        del gram, node, rows, blocks
+        del gram, node, kind, number, size, part, places, order, rows, blocks
         release()
 
     return run
@@ -591,8 +662,8 @@ def similar_nodes(docs: DataFrame, n: int, percent: int, cluster_cap: int = CLUS
     every = table.df.filter("wide is null")
     wide = wide_grams(table.df, every.count())
     buckets = buckets_for(docs, 8)
-    prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary")
-    blocks = dealt(prefixes, buckets).groupBy("bucket").applyInArrow(_blocks(tree_cap), "block long, whole boolean, nodes array<long>")
+    prefixes = docs.select("text").mapInArrow(_prefixes(n, percent, wide, buckets), "bucket int, grams binary, owners binary, nodes binary, sizes binary, shorts binary")
+    blocks = dealt(prefixes, buckets).groupBy("bucket").applyInArrow(_blocks(tree_cap, percent=percent), "block long, whole boolean, nodes array<long>")
     blocks = stored(blocks.dropDuplicates(["block"]), "ngram-blocks")
     docs_nodes = stored(every.select("doc_id", "text_hash", "node", "n_grams"), "ngram-docs")
     points = every.filter("counts is not null").groupBy("node").agg(F.first("n_grams").alias("n_grams"), F.first("counts").alias("counts"))

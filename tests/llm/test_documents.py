@@ -91,6 +91,37 @@ def test_blocks_are_folded(spark):
     assert made[0] == made[1] and made[0][0]
 
 
+def test_unlike_sizes_make_no_clusters(spark):
+    """An n-gram that many documents share, all too unlike in size or late in the order, makes no candidate cluster of them."""
+    texts = [" ".join(["the common four words", *(f"d{k}w{j}" for j in range(20 + 6 * k * k))]) for k in range(24)]
+    texts += [texts[9] + " more", texts[15] + " and some more"]
+    docs = frame(spark, texts).filter("doc_id is not null and text <> '...'")
+    rows = docs.select("text").mapInArrow(ngram_join._prefixes(4, 85, np.zeros(0, np.uint64), 1), "bucket int, grams binary, owners binary, nodes binary, sizes binary, shorts binary")
+    batches = [pa.RecordBatch.from_pylist([r.asDict()]) for r in rows.collect()]
+    made = [r for b in ngram_join._blocks(8, percent=85)(iter(batches)) for r in b.to_pylist()]
+    node = {k: ngram_join.set_node(h) for k, h in ngram_join.ngram_sets(pa.array(texts), 4)}
+    assert not [r for r in made if r["whole"]]
+    assert {frozenset((node[9], node[24])), frozenset((node[15], node[25]))} <= {frozenset(r["nodes"]) for r in made}
+    got = {r.doc_id: r.component_id for r in ngram_join.similarity_components(docs, 4, 85, tree_cap=8).collect()}
+    assert got == components({k: shingles(t, 4) for k, t in enumerate(texts)}, 85) and got[24] == 9
+
+
+def test_size_parts_hold_all_near_pairs():
+    rng = np.random.default_rng(2)
+    for percent in (50, 80, 85, 99, 100):
+        gram, size = rng.integers(0, 3, 300), np.append(rng.integers(1, 40, 150), rng.integers(1, 5000, 150))
+        order = np.lexsort((size, gram))
+        gram, size = gram[order], size[order]
+        for most in (1, 20, 1000):
+            groups = defaultdict(set)
+            for at, part in zip(*(v.tolist() for v in ngram_join.size_parts(gram, size, percent, most)), strict=True):
+                groups[at].add(part)
+            for a, b in combinations(range(300), 2):
+                near = gram[a] == gram[b] and 100 * min(size[a], size[b]) >= percent * max(size[a], size[b])
+                assert not near or groups[a] & groups[b]
+                assert gram[a] == gram[b] or not groups[a] & groups[b]
+
+
 def test_ngram_edges(spark):
     got = ngram_join.similarity_components(frame(spark, ODD), 4, 85).collect()
     by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
