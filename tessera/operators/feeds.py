@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from tessera.functions import names as N
 from tessera.operators.campuses import campuses
-from tessera.operators.common import first_by, materialised, small
+from tessera.operators.common import ASKED_BLOCK, FOUND_BLOCK, first_by, in_blocks, materialised, pairs_of_blocks, small
 from tessera.operators.resolve import FAR_WORDS
 
 #: What parts a line's names, marks of a campus in an entity's name, labels that mean the legal entity itself.
@@ -61,24 +61,35 @@ def year_rows(queries: DataFrame, rows: DataFrame, equivalents: DataFrame, resol
     the names and aliases of the entities that a query resolves to. Spellings: the name, its equivalents in order, the
     name without a later year's suffix - each against the rows' names with and without that suffix - then the resolved
     names against the rows' own. Compared by N2; null and empty names have no rows. The spelling that counts is found
-    before any row is joined, so that the pairs are made last and are not shuffled.
+    before any row is joined, once for each name, and queries and rows of the same spellings meet in blocks, so that the
+    pairs are made last and are not shuffled.
     """
     norm = N.strict_norm_spaces
     bare = lambda c: norm(F.regexp_replace(c, LATER_SUFFIX, ""))
-    asked = queries.filter("name <> ''")
-    own = asked.select("qid", F.lit(0).alias("tier"), norm(F.col("name")).alias("key"))
-    other = asked.join(equivalents, "name").select("qid", (F.col("ord").cast("long") + 1).alias("tier"), norm(F.col("other")).alias("key"))
+    asked = queries.filter("name <> ''").select("qid", "name")
+    once = asked.select("name").distinct()
+    own = once.select("name", F.lit(0).alias("tier"), norm(F.col("name")).alias("key"))
+    other = once.join(equivalents, "name").select("name", (F.col("ord").cast("long") + 1).alias("tier"), norm(F.col("other")).alias("key"))
     most, last = (1 << 62) - 1, 1 << 62
-    cut = asked.select("qid", F.lit(most).alias("tier"), bare(F.col("name")).alias("key"))
+    cut = once.select("name", F.lit(most).alias("tier"), bare(F.col("name")).alias("key"))
     found = resolved.select("qid", F.lit(last).alias("tier"), norm(F.col("name")).alias("key"))
     both = rows.select("row", F.explode(F.array_distinct(F.array(norm(F.col("name")), bare(F.col("name"))))).alias("key")).withColumn("whole", F.lit(False))
     keyed = both.unionByName(rows.select("row", norm(F.col("name")).alias("key")).withColumn("whole", F.lit(True))).distinct()
-    spelt = reduce(DataFrame.unionByName, [own, other, cut, found]).filter("key <> ''").withColumn("whole", F.col("tier") == last)
-    known = spelt.join(keyed.select("key", "whole").distinct(), ["key", "whole"], "left_semi").groupBy("qid", "tier").agg(F.collect_set(F.struct("key", "whole")).alias("keys"))
-    best = known.groupBy("qid").agg(F.min_by("keys", "tier").alias("keys"))
-    hits = best.select("qid", F.size("keys").alias("n"), F.inline("keys")).join(keyed, ["key", "whole"])
-    # only several keys of a query can lead to a row twice
-    return hits.filter("n = 1").select("qid", "row").union(hits.filter("n > 1").select("qid", "row").distinct())
+
+    def first_keys(spelt: DataFrame, of: str) -> DataFrame:
+        spelt = spelt.filter("key <> ''").withColumn("whole", F.col("tier") == last)
+        known = spelt.join(keyed.select("key", "whole").distinct(), ["key", "whole"], "left_semi").groupBy(of, "tier").agg(F.collect_set(F.struct("key", "whole")).alias("keys"))
+        return known.groupBy(of).agg(F.min(F.col("tier")).alias("tier"), F.min_by("keys", "tier").alias("keys"))
+
+    of_names = first_keys(reduce(DataFrame.unionByName, [own, other, cut]), "name")
+    every = asked.join(of_names, "name").select("qid", "tier", "keys").unionByName(first_keys(found, "qid"))
+    every = every.groupBy("qid").agg(F.min("tier").alias("tier"), F.collect_list(F.struct("tier", "keys")).alias("all"))
+    best = every.select("qid", F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("all", lambda s: s["tier"] == F.col("tier")), lambda s: s["keys"])))).alias("keys"))
+    blocks = materialised(in_blocks(best, ["keys"], ["qid"], "qid", ASKED_BLOCK, "_asked"))
+    hits = blocks.select("keys").distinct().select("keys", F.size("keys").alias("n"), F.inline("keys")).join(keyed, ["key", "whole"])
+    # only several keys can lead to a row twice
+    hits = hits.filter("n = 1").select("keys", "row").union(hits.filter("n > 1").select("keys", "row").distinct())
+    return pairs_of_blocks(blocks, in_blocks(hits, ["keys"], ["row"], "row", FOUND_BLOCK, "_found"), "keys", ["qid"], "row").select("qid", "row")
 
 
 def district_feeds(official: DataFrame, groups: DataFrame, points: DataFrame, reasons: DataFrame, entities: DataFrame, overrides: DataFrame, areas: Mapping[str, str], far: Sequence[str] = FAR_WORDS) -> DataFrame:

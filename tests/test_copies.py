@@ -140,6 +140,22 @@ def test_year_rows_of_copies(spark, copies):
     assert len(out) == COPIES * COPIES and shuffled <= 8 * COPIES
 
 
+def test_year_rows_shuffled(spark, copies, monkeypatch):
+    """Names are looked up once, and queries meet rows in blocks: over all steps each row is dealt a few times."""
+    dealt = []
+
+    def kept(df):
+        dealt.append(most(df, "shuffleRecordsWritten", sum)[1])
+        return materialised(df)
+
+    monkeypatch.setattr(feeds, "materialised", kept)
+    none = copies.limit(0)
+    rows = copies.limit(3).withColumnRenamed("qid", "row")
+    out, shuffled = most(feeds.year_rows(copies, rows, none.select("name", F.col("name").alias("other"), F.col("qid").alias("ord")), none), "shuffleRecordsWritten", sum)
+    assert sorted((r.qid, r.row) for r in out) == [(k, r) for k in range(COPIES) for r in range(3)]
+    assert shuffled + sum(dealt) <= 2.5 * COPIES
+
+
 @pytest.fixture
 def written(monkeypatch):
     """Rows of each table that resolution writes on its way."""
